@@ -16,6 +16,12 @@ def hex64(column: str):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_scores import backoff_scores
+
+    return backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -23,6 +29,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, personal_data
+
+    return digest(personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_vectors
 
@@ -51,7 +63,27 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, secret_spans
+
+    return digest(secret_spans(_table(spark, sf_dir, "documents")))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, predictions, train
+
+    docs = _table(spark, sf_dir, "documents")
+    found = predictions(docs, train(docs, held_out(F.col("doc_id"))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_embedding_dedup, op5_mixing, op6_hamming_search, op7_packing)
+    f.__name__: f for f in (op1_backoff_scores, op2_simhash, op3_pii, op4_embedding_dedup, op5_mixing, op6_hamming_search, op7_packing, op8_secrets, op9_language, op10_licenses)
 }
 ORACLE_SQL: dict[str, str] = {}
