@@ -8,6 +8,8 @@ number of rests that rounding leaves over is laid end to end and cut freely, the
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,37 +29,62 @@ PARTS = 64
 WHOLE, LOOSE = 1 << 62, 1 << 61
 
 
+#: Where a letter ends and ASCII punctuation begins the tokenizer cuts in any case.
+_EDGE = re.compile(r"(?<=[^\W\d_])(?=[!-/:-@\[-`{-~])")
+
+
 class WordEncoder:
-    """Token ids of texts from a tokenizer that never looks across white space, each distinct word encoded once and kept.
+    """Token ids of texts from a tokenizer that cuts at white space and between a letter and punctuation, and lower-cases.
 
-    At most ``most`` words are kept; then it starts afresh.
+    Each distinct word is encoded once and kept, in parts without the punctuation after them, so that most new words are known already.  New
+    parts are encoded many at a time.  At most ``words`` words and ``parts`` parts are kept; beyond that it forgets those and goes on.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        import os
-
+    def __init__(self, path: str, words: int = 300_000, parts: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most_words, self.most_parts = Tokenizer.from_file(path), words, parts
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.reset()
+        self.parts: dict[str, bytes] = {}
+        self.forget()
 
-    def reset(self) -> None:
+    def forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.ids = np.empty(0, self.kind)
         self.starts = np.zeros(1, np.int64)
 
+    def _learn(self, parts: list[str]) -> None:
+        """Encode new parts: those of letters in runs of 200, joined by spaces and told apart by word number, the others one by one."""
+        alone = [p for p in parts if not p.isalpha()]
+        letters = [p for p in parts if p.isalpha()]
+        for at in range(0, len(letters), 200):
+            run = letters[at : at + 200]
+            found = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
+            numbers = np.array(found.word_ids, np.int64) if None not in found.word_ids else np.empty(0, np.int64)
+            ends = np.append(np.flatnonzero(np.diff(numbers)) + 1, len(numbers)).tolist()
+            if len(ends) == len(run) and len(numbers):
+                raw, width = np.array(found.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
+                self.parts.update(zip(run, (raw[a * width : b * width] for a, b in zip([0, *ends], ends))))
+            else:  # some letter becomes two words when lower-cased
+                alone += run
+        self.parts.update(zip(alone, (np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))))
+
     def _slots(self, words: list[str]) -> np.ndarray:
-        if len(self.slots) + len(words) > self.most:
-            self.reset()
+        if len(self.slots) + len(words) > self.most_words:
+            self.forget()
+        if len(self.parts) > self.most_parts:
+            self.parts.clear()
         get = self.slots.get
         fresh = [w for w in words if get(w) is None]
         if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            cut = [[w] if "<|" in w else _EDGE.split(w.lower() if w.isascii() else w) for w in fresh]
+            known = self.parts
+            self._learn(list({p for parts in cut for p in parts if p not in known}))
+            found = [known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for parts in cut]
             self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), self.kind, int(lengths.sum()))])
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), self.kind)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
 
@@ -77,7 +104,7 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _runs(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text."""
     total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
     at = 0
@@ -226,7 +253,8 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, width: int = B
     placed = saved(ranked.join(F.broadcast(table), fits, "left").withColumn("sequence_id", F.expr("base + (rank - low) div each")))  # table: patterns x bins
     inside = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "piece_id").rowsBetween(Window.unboundedPreceding, -1)
     filled = placed.where("sequence_id is not null").withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
-    loose = pieces.join(placed.where("sequence_id is null").select("piece_id"), "piece_id", "left_semi")
+    # rounding leaves less than one use of each of at most bins patterns, so the left-over pieces are bounded by the histogram
+    loose = pieces.join(F.broadcast(placed.where("sequence_id is null").select("piece_id")), "piece_id", "left_semi")
     kind = "<u2" if _vocabulary(tokenizer) <= 1 << 16 else "<u4"
     laid = loose.withColumn("stream", F.lit(0)).groupBy("stream").applyInArrow(_lay_end_to_end(length, kind), ", ".join(f"{c} long" for c in out))
     return whole.select(out).union(filled.select(out)).union(laid.select(out))

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import labels, pairs, saved, texts, whole_groups
 from .components import components
@@ -117,6 +118,16 @@ def near_fingerprints(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance), "u long, v long").distinct()
 
 
+def _grouped(docs: DataFrame, distance: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fingerprint) of every row, and (fingerprint, root, component_id) of every fingerprint; root names the group, whatever its ids."""
+    prints = saved(fingerprints(docs, width))
+    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    found = components(near_fingerprints(distinct.select("fingerprint"), distance))
+    rooted = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, saved(rooted.join(named, "root").select("fingerprint", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -> DataFrame:
     """(doc_id, fingerprint long, component_id) for every row of ``docs`` (doc_id, text, any other columns).
 
@@ -124,22 +135,32 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -
     cost one row however many there are.  Null and empty texts have fingerprint 0 and are linked like any other; rows with a null doc_id take
     part and get the component's smallest non-null doc_id, null if there is none; repeated rows stay repeated; no row gives no row.
     """
-    prints = saved(fingerprints(docs, width))
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    found = components(near_fingerprints(distinct.select("fingerprint"), distance))
-    rooted = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = saved(rooted.join(named, "root").select("fingerprint", "component_id"))
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    prints, groups = _grouped(docs, distance, width)
+    return prints.join(groups, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one whose doc_id names the group; of repeated rows with that id, one."""
-    found = near_duplicates(docs, distance, width)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = saved(kept.select(F.col("doc_id").alias("kept_id"), "n"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    once = docs.join(kept.where("n = 1"), same, "left_semi")
-    again = docs.join(kept.where("n > 1"), same, "left_semi")
-    first = again.withColumn("rank__", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("rank__ = 1")
-    return once.unionByName(first.drop("rank__")).select(docs.columns)
+    """``docs`` with one document of each near-duplicate group: the one whose doc_id names the group; of repeated rows with that id, one.
+
+    Of a group all of whose ids are null one row stays, the one with the smallest text.
+    """
+    prints, groups = _grouped(docs, distance, width)
+    found = prints.where("doc_id is not null").join(groups, "fingerprint").where("doc_id = component_id")
+    kept = saved(found.groupBy("doc_id").agg(F.count("*").alias("n")))
+    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
+    again = _first(docs.join(kept.where("n > 1"), "doc_id", "left_semi"), "doc_id")
+    nameless = _with_fingerprint(docs.where("doc_id is null"), width).join(groups.where("component_id is null").drop("component_id"), "fingerprint")
+    return once.unionByName(again).unionByName(_first(nameless, "root").select(docs.columns)).select(docs.columns)
+
+
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("rank__", F.row_number().over(Window.partitionBy(key).orderBy("text"))).where("rank__ = 1").drop("rank__")
+
+
+def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.fromiter((fingerprint(t, width) for _, part in texts(batch) for t in part), np.uint64, batch.num_rows)
+            yield batch.append_column("fingerprint", pa.array(values.view(np.int64)))
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.LongType())]))
