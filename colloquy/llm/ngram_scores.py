@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents (Brants et al., 2007) from n-gram counts of the whole corpus.
 
-Documents are dealt into blocks of bounded size by a hash.  A block asks for the counts of its distinct n-grams: their 64-bit hashes, sorted, are
+Documents are dealt into blocks of bounded size by a hash.  A block asks for the counts of its distinct n-grams: their 56-bit hashes, sorted, are
 cut by leading bits into one packed row per table partition, with how often the block has each.  A table partition adds up all blocks' counts
 and answers each block in its own order; the block joins the answers to the n-grams of its documents and sums per document.  Packing makes a
 row of a shuffle hold hundreds of n-grams; no n-gram, however frequent, costs a block more than one entry.
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,27 @@ ORDER = 3
 BACKOFF = 0.4
 CUTOFF = 2
 BLOCK_BYTES = 8 << 20
+#: Of G distinct n-grams about G / 2**56 of each one's like share its hash and are counted with it.
+HASH_BITS = 56
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """The bytes of ``values`` by significance, so that those that hardly vary lie together and compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """The bytes of ``values`` by significance, so that those that hardly vary lie together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
 
 
 def _values(raw: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _packed_sorted(values: np.ndarray) -> bytes:
+    return _packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def _sorted_values(raw: bytes) -> np.ndarray:
+    return np.cumsum(_values(raw, "<u8"), dtype=np.uint64)
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -52,23 +63,23 @@ def ngram_hashes(column: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndar
     table = np.array([xxhash.xxh64_intdigest(w, 42) for w in words.dictionary.to_pylist()], np.uint64)
     one = table[words.indices.to_numpy()] if len(words) else np.empty(0, np.uint64)
     place = np.arange(len(one)) - np.repeat(np.cumsum(counts) - counts, counts)
-    out = [one]
+    whole = [one]
     for n in range(2, order + 1):
         longer = np.zeros(len(one), np.uint64)
-        longer[1:] = _mix(out[-1][:-1] * np.uint64(31) + one[1:] + np.uint64(n))
+        longer[1:] = _mix(whole[-1][:-1] * np.uint64(31) + one[1:] + np.uint64(n))
         longer[place < n - 1] = 0
-        out.append(longer)
-    return counts, out
+        whole.append(longer)
+    return counts, [w >> np.uint64(64 - HASH_BITS) for w in whole]
 
 
 def _ask(order: int, bits: int):
     def ask(table: pa.Table) -> pa.Table:
         _, grams = ngram_hashes(table["text"].combine_chunks(), order)
         hashes, counts = np.unique(np.concatenate([g[g != 0] for g in grams]), return_counts=True)
-        top = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        top = (hashes >> np.uint64(HASH_BITS - bits)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(top) else np.empty(0, np.int64)
         ends = np.r_[starts[1:], len(top)]
-        rows = [(int(top[a]), _planes(hashes[a:b]), _planes(counts[a:b].astype("<u4"))) for a, b in zip(starts, ends)]
+        rows = [(int(top[a]), _packed_sorted(hashes[a:b]), _packed(counts[a:b].astype("<u4"))) for a, b in zip(starts, ends)]
         block = table["block"][0].as_py()
         columns = list(zip(*rows)) or [[], [], []]
         return pa.table([pa.array([block] * len(rows), pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["block", "part", "hashes", "counts"])
@@ -78,12 +89,12 @@ def _ask(order: int, bits: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """Of one table partition: the sum over all blocks of each n-gram's count, in the order in which each block asked."""
-    asked = [_values(r, "<u8") for r in table["hashes"].to_pylist()]
+    asked = [_sorted_values(r) for r in table["hashes"].to_pylist()]
     counts = np.concatenate([_values(r, "<u4") for r in table["counts"].to_pylist()])
     _, slot = np.unique(np.concatenate(asked), return_inverse=True)
     sums = np.bincount(slot, counts)[slot].astype("<u8")
     ends = np.cumsum([len(a) for a in asked])
-    totals = [_planes(sums[e - len(a) : e]) for a, e in zip(asked, ends)]
+    totals = [_packed(sums[e - len(a) : e]) for a, e in zip(asked, ends)]
     return pa.table([table["block"].combine_chunks(), table["part"].combine_chunks(), pa.array(totals, pa.binary())], ["block", "part", "totals"])
 
 
