@@ -1,0 +1 @@
+"""Analytics on annotated conversations as Spark DataFrame operators."""
