@@ -33,7 +33,7 @@ def collapse(text: Column) -> Column:
 
 def clock(seconds: Column, mark: str = ",") -> Column:
     """Milliseconds as HH:MM:SS,mmm."""
-    return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.expr("0") + F.floor(seconds / 3_600_000), F.floor(seconds / 60_000) % 60, F.floor(seconds / 1000) % 60, seconds % 1000)
+    return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.floor(seconds / 3_600_000), F.floor(seconds / 60_000) % 60, F.floor(seconds / 1000) % 60, seconds % 1000)
 
 
 def clock_to_ms(text: Column) -> Column:
@@ -49,5 +49,10 @@ def safe_name(text: Column) -> Column:
 
 
 def short_count(n: Column) -> Column:
-    """1.23M, 4.56K or the number itself."""
-    return F.when(n >= 1_000_000, F.format_string("%.2fM", n / 1_000_000)).when(n >= 1000, F.format_string("%.2fK", n / 1000)).otherwise(n.cast("string"))
+    """1.23M, 4.56K or the number itself; hundredths are rounded half up."""
+
+    def scaled(unit: int, letter: str) -> Column:
+        hundredths = F.floor((n + unit // 200) / (unit // 100))
+        return F.format_string(f"%d.%02d{letter}", F.floor(hundredths / 100), hundredths % 100)
+
+    return F.when(n >= 1_000_000, scaled(1_000_000, "M")).when(n >= 1000, scaled(1000, "K")).otherwise(n.cast("string"))
