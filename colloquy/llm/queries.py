@@ -86,4 +86,47 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_backoff_scores, op2_simhash, op3_pii, op4_embedding_dedup, op5_mixing, op6_hamming_search, op7_packing, op8_secrets, op9_language, op10_licenses)
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_backoff_scores": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT r, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT *, lag(c) OVER (PARTITION BY r ORDER BY i) AS b, lag(c, 2) OVER (PARTITION BY r ORDER BY i) AS a FROM t),
+n1 AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+n2 AS (SELECT b, c, count(*) AS n FROM g WHERE i > 1 GROUP BY b, c),
+n3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE i > 2 GROUP BY a, b, c),
+v1 AS (SELECT g.*, n1.n / CAST((SELECT count(*) FROM t) AS DOUBLE) AS v FROM g JOIN n1 ON n1.c = g.c),
+v2 AS (SELECT v1.r, v1.i, v1.a, v1.b, v1.c, CASE WHEN i = 1 THEN v WHEN n2.n >= 2 THEN n2.n / CAST(x.n AS DOUBLE) ELSE 0.4::DOUBLE * v END AS v, i > 1 AND n2.n >= 2 AS l2
+  FROM v1 LEFT JOIN n2 ON n2.b = v1.b AND n2.c = v1.c LEFT JOIN n1 x ON x.c = v1.b),
+v3 AS (SELECT v2.r, v2.i, CASE WHEN i < 3 THEN v WHEN n3.n >= 2 THEN n3.n / CAST(x.n AS DOUBLE) ELSE 0.4::DOUBLE * v END AS v, i > 2 AND n3.n >= 2 AS l3, l2
+  FROM v2 LEFT JOIN n3 ON n3.a = v2.a AND n3.b = v2.b AND n3.c = v2.c LEFT JOIN n2 x ON x.b = v2.a AND x.c = v2.b)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(*) FILTER (l3) AS n_full,
+  count(*) FILTER ((i = 2 AND NOT coalesce(l2, false)) OR (i > 2 AND NOT coalesce(l3, false))) AS n_backed, CAST(coalesce(sum(CAST(round(ln(v) * 1e6) AS BIGINT)), 0) AS BIGINT) AS logscore_micro
+FROM d LEFT JOIN v3 ON v3.r = d.r GROUP BY d.r, d.doc_id, d.w""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(v, v) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(m.b, e.vec_id)) AS kept
+FROM e LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = e.vec_id""",
+    "op5_mixing": r"""
+WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+l AS (SELECT *, total * 2.0::DOUBLE AS cap FROM s),
+m AS (SELECT *, ((sum(total) OVER ()) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
+f AS (SELECT min_by(level, cap / w) FILTER (level * w <= cap) AS level FROM m),
+t AS (SELECT source, total, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target FROM m, f),
+p AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor(target / total) AS BIGINT) ELSE 0 END AS epochs FROM t),
+k AS (SELECT d.*, p.total, p.target, p.epochs, CAST(floor(p.target) AS BIGINT) - p.epochs * p.total AS part,
+  -ln((CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    / CASE WHEN size = 0 THEN 0.25 WHEN (length(text) - size + 1) / size BETWEEN 3 AND 12 THEN 1.0 ELSE 0.25 END AS key
+  FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT doc_id, size, total AS source_size, target, CAST(epochs * size + greatest(0, least(size, part - before)) AS BIGINT) AS taken FROM c""",
+    "op6_hamming_search": """
+WITH c AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0 AND NOT isnan(embedding[i]), false)) AS code FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+h AS (SELECT q.id AS query_id, c.id AS match_id, CAST(len(list_filter(range(1, 65), lambda i: q.code[i] <> c.code[i])) AS INTEGER) AS distance FROM c q JOIN c ON c.id <> q.id WHERE q.id % 100 = 0)
+SELECT query_id, CAST(n AS INTEGER) AS rank, match_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, match_id) AS n FROM h) WHERE n <= 10""",
+}
