@@ -83,9 +83,11 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(labelled: DataFrame, per_language: int) -> list:
-    """(language, features, frequencies) of up to ``per_language`` documents of each language, those with the smallest hashes."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    chosen = labelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    """(language, features, frequencies) of up to ``per_language`` documents of each language, those with the smallest hashes; a repeated row counts once."""
+    keyed = labelled.withColumn("key", F.xxhash64("doc_id", "text"))
+    ranked = keyed.select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    keys = ranked.where(F.col("rank") <= per_language).select("lang", "key")  # per_language rows of each language: broadcast within that bound
+    chosen = keyed.join(F.broadcast(keys), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +99,7 @@ def _sample(labelled: DataFrame, per_language: int) -> list:
                     out.append((language, used.astype("<u4").tobytes(), (counts / counts.sum()).astype("<f4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))], ["lang", "used", "share"])
 
-    rows = chosen.select("lang", "text", "rank").drop("rank").mapInArrow(scan, "lang string, used binary, share binary").collect()
+    rows = chosen.select("lang", "text").mapInArrow(scan, "lang string, used binary, share binary").collect()
     rows = sorted((r["lang"], bytes(r["used"]), bytes(r["share"])) for r in rows)
     return [(a, np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<f4").astype(np.float64)) for a, b, c in rows]
 
