@@ -1,0 +1 @@
+"""Streaming forms of batch operators, an addition for live input."""
