@@ -393,3 +393,44 @@ def test_licenses(spark, docs):
     frame = spark.createDataFrame([(1, "Copyright X. " + full.upper()), (2, short + " end"), (3, broken), (4, full[:200])], "doc_id long, text string")
     assert [r.labels for r in license_scan(frame).orderBy("doc_id").collect()] == ["mit", "mit", "", ""]
     assert license_scan(docs.limit(0)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from colloquy.llm.secrets import find_secrets, redact
+
+    rng = random.Random(11)
+    parts = {"en": "the th ing and er on ou sh".split(), "de": "der sch ung ein ich ß ä und".split()}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    data = [(i, text(lang, rng.randint(30, 60)), lang, rng.choice(["a", "b"])) for i in range(80) for lang in [rng.choice(["en", "de"])]]
+    data += [(100 + i, data[i][1], data[i][2], "b") for i in range(10)]
+    data += [(200, data[3][1] + ' password = "hunter2hunter2"' + text("en", 200), "en", "a"), (201, "1234 5678", "en", "a"), (202, None, None, None), (203, "", "de", "b")]
+    frame = spark.createDataFrame([(*d, len(d[1] or "")) for d in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, seen = frame, {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), frame.schema)
+        assert docs.columns == frame.columns
+        seen[name] = docs.collect()
+    by_id = {d[0]: d for d in data}
+    assert {r.doc_id for r in seen["language"]} == set(by_id) - {201, 202, 203}
+    left = {r.doc_id for r in seen["near_duplicates"]}
+    prints = {i: plain_simhash(by_id[i][1]) for i in left | {r.doc_id for r in seen["language"]}}
+    ids = sorted(prints)
+    root = plain_components(len(ids), lambda a, b: (prints[ids[a]] ^ prints[ids[b]]).bit_count() <= 4)
+    assert left == {ids[r] for r in root}
+    texts = {r.doc_id: r.text for r in seen["secrets"]}
+    assert set(texts) == left and all(t == redact(by_id[i][1], find_secrets(by_id[i][1])) for i, t in texts.items()) and "[ASSIGN]" in texts[200] and "hunter2" not in texts[200]
+    counted, taken = Counter(), Counter()
+    for i in left:
+        counted[by_id[i][3]] += len(words(texts[i]))
+    for r in seen["mixing"]:
+        taken[r.source] += len(words(r.text))
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(counted.values()), abs=2)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0).keys() == {r.doc_id for r in seen["mixing"]}
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in seen["mixing"])
