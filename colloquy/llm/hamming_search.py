@@ -53,27 +53,31 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         clean = clean.withColumn("n", F.row_number().over(Window.partitionBy("code", salt).orderBy("id"))).where(F.col("n") <= k + 1)
     index = saved(clean.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     table = saved(index.select("code", "ids", F.posexplode(_segments(F.col("code"))).alias("segment", "key")))
-    open_ = saved(queries.where("id is not null and code is not null").select(F.col("id").cast("long").alias("query_id"), F.col("code").alias("query")).distinct())
-    best = saved(spark.createDataFrame([], "query_id long, query long, match_id long, distance int, rank int"))
+    open_ = saved(queries.where("id is not null and code is not null").select(F.col("id").cast("long").alias("query_id"), F.col("code").alias("query")).distinct().withColumn("bound", F.lit(64)))
+    best = spark.createDataFrame([], "query_id long, query long, match_id long, distance int, rank int")
     done = best
     for radius in range(WIDTH + 1):
         if open_.isEmpty():
             break
-        probes = open_.select("query_id", "query", F.posexplode(_segments(F.col("query"))).alias("segment", "base"))
+        probes = open_.select("query_id", "query", "bound", F.posexplode(_segments(F.col("query"))).alias("segment", "base"))
         probes = probes.withColumn("mask", F.explode(_ball(radius))).withColumn("key", F.col("base").bitwiseXOR(F.col("mask")))
         # a code counts in the first round and segment that meets it
         apart = F.transform(_segments(F.col("query").bitwiseXOR(F.col("code"))), lambda x: F.bit_count(x))
         least = F.array_min(apart)
         first = (least == radius) & (F.array_position(apart, least) == F.col("segment") + 1)
-        met = probes.join(table, ["segment", "key"]).where(first)
-        met = met.select("query_id", "query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("match_id"))
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
+        met = probes.join(table, ["segment", "key"]).where(first & (distance <= F.col("bound")))  # verified in the join: what cannot be among the k never leaves it
+        met = met.select("query_id", "query", distance.alias("distance"), F.explode("ids").alias("match_id"))
         fresh = _smallest(met.where("match_id <> query_id"), k, salted=True).drop("rank")
         now = saved(_smallest(best.drop("rank").unionByName(fresh), k, salted=False))
         covered = SEGMENTS * (radius + 1) - 1
-        ended = now.groupBy("query_id", "query").agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where((F.col("n") >= k) & (F.col("worst") <= covered))
-        closed = now.join(ended, ["query_id", "query"], "left_semi") if radius < WIDTH else now
+        keys = ["query_id", "query"]
+        state = now.groupBy(*keys).agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
+        ended = state.where((F.col("n") >= k) & (F.col("worst") <= covered)).select(*keys)
+        closed = now.join(ended, keys, "left_semi") if radius < WIDTH else now
         done = done.unionByName(saved(closed))
-        best = saved(now.join(ended, ["query_id", "query"], "left_anti"))
-        open_ = saved(open_.join(ended, ["query_id", "query"], "left_anti"))
+        best = saved(now.join(ended, keys, "left_anti"))
+        bounds = state.select(*keys, F.when(F.col("n") >= k, F.col("worst")).otherwise(64).alias("bound"))
+        open_ = saved(open_.select(*keys).join(ended, keys, "left_anti").join(bounds, keys, "left").withColumn("bound", F.coalesce("bound", F.lit(64))))
         forget(now)
     return done.select("query_id", F.col("rank").cast("int").alias("rank"), "match_id", "distance")
