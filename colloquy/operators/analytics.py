@@ -118,3 +118,19 @@ def audit(candidates: DataFrame, chosen: DataFrame, cell: str = "cell", group: s
     had = candidates.groupBy(cell).agg(F.count("*").alias("available"))
     got = chosen.groupBy(cell).agg(F.count("*").alias("got"), F.count_distinct(group).alias("used"))
     return had.join(got, cell, "left").fillna(0, ["got", "used"])
+
+
+def distance_to_chosen(runs: DataFrame, chosen: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """``runs`` with the least Euclidean distance of their z-scores (by mean and deviation of all runs) to those of the ``chosen`` few.
+
+    The chosen runs are a short list made by hand or by a limit and are broadcast.
+    """
+    stats = runs.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+
+    def scored(frame: DataFrame, name: str) -> DataFrame:
+        z = [((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)) for c in columns]
+        return frame.withColumn(name, F.array(*z))
+
+    picks = [r["z"] for r in scored(chosen, "z").select("z").collect()]
+    apart = F.array_min(F.transform(F.array(*[F.array(*map(F.lit, p)) for p in picks]), lambda p: F.sqrt(F.aggregate(F.zip_with(p, F.col("z__"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v))))
+    return scored(runs, "z__").withColumn("distance", apart).drop("z__")

@@ -113,15 +113,15 @@ def speaker_tokens(utterances: DataFrame, tokens: Column, keys: Sequence[str], s
     return parts.select(*keys, speaker, F.flatten(F.transform("parts", lambda p: p["t"])).alias("tokens"))
 
 
-def assigned_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], speaker: str = "speaker") -> DataFrame:
+def assigned_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], speaker: str = "speaker", errors_of=token_errors) -> DataFrame:
     """(keys, errors, length): token errors of (keys, speaker, tokens) tables under the best one-to-one assignment of speakers.
 
-    A speaker without a partner counts as all deleted or all inserted.
+    A speaker without a partner counts as all deleted or all inserted.  ``errors_of`` compares two lists; see :func:`timed_errors`.
     """
     keys = list(keys)
     ref = reference.select(*keys, F.col(speaker).alias("r"), F.col("tokens").alias("a"))
     hyp = hypothesis.select(*keys, F.col(speaker).alias("h"), F.col("tokens").alias("b"))
-    pairs = ref.join(hyp, keys).select(*keys, "r", "h", token_errors("a", "b").alias("cost"), F.size("a").alias("n_r"), F.size("b").alias("n_h"))
+    pairs = ref.join(hyp, keys).select(*keys, "r", "h", errors_of("a", "b").alias("cost"), F.size("a").alias("n_r"), F.size("b").alias("n_h"))
     alone = ref.select(*keys, "r", F.lit(None).cast("string").alias("h"), F.lit(0).cast("long").alias("cost"), F.size("a").alias("n_r"), F.lit(0).alias("n_h"))
     extra = hyp.select(*keys, F.lit(None).cast("string").alias("r"), "h", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("n_r"), F.size("b").alias("n_h"))
 
@@ -148,6 +148,37 @@ def single_stream_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequ
     return joined.select(*keys, token_errors("a", "b").alias("errors"), F.size("a").cast("long").alias("length"))
 
 
+def timed_distance(a: list[tuple], b: list[tuple], collar: float) -> int:
+    """Edit distance of (token, start, end) lists in which tokens pair up only where they are less than ``collar`` apart in time."""
+    row = list(range(len(b) + 1))
+    for i, (x, s, e) in enumerate(a, 1):
+        new = [i]
+        for j, (y, t, u) in enumerate(b, 1):
+            pair = row[j - 1] + (x != y) if s < u + collar and t < e + collar else 1 << 40
+            new.append(min(row[j] + 1, new[-1] + 1, pair))
+        row = new
+    return row[-1]
+
+
+def spread_in_time(tokens: Column, start: Column, end: Column) -> Column:
+    """(token, start, end) of each token, the utterance's time shared out evenly."""
+    share = (end - start) / F.size(tokens)
+    return F.transform(tokens, lambda t, i: F.struct(t.alias("token"), (start + i * share).cast("double").alias("start"), (start + (i + 1) * share).cast("double").alias("end")))
+
+
+def timed_errors(collar: float):
+    """Like :data:`token_errors` for arrays from :func:`spread_in_time`."""
+
+    @F.pandas_udf(LongType())
+    def errors(a: pd.Series, b: pd.Series) -> pd.Series:
+        def rows(x):
+            return [] if x is None else [(t["token"], t["start"], t["end"]) for t in x]
+
+        return pd.Series([timed_distance(rows(x), rows(y), collar) for x, y in zip(a, b)])
+
+    return errors
+
+
 def best_streams(utterances: list[Sequence], streams: list[Sequence]) -> int:
     """Least errors when each reference utterance goes, in order, to the stream that suits it best."""
     ends = tuple(len(s) for s in streams)
@@ -169,28 +200,50 @@ def best_streams(utterances: list[Sequence], streams: list[Sequence]) -> int:
     return min(cost + sum(e - p for e, p in zip(ends, at)) for at, cost in row(len(utterances)).items())
 
 
-def best_interleaving(speakers: list[list[Sequence]], stream: Sequence) -> int:
-    """Least errors of any merge of the speakers' utterances that keeps each speaker's own order, against one stream."""
+def best_interleaving(speakers: list[list[Sequence]], stream: Sequence) -> tuple[int, list]:
+    """Least errors of any merge of the speakers' utterances that keeps each speaker's own order, against one stream, and that merge."""
     start = np.arange(len(stream) + 1)
     rows: dict[tuple[int, ...], np.ndarray] = {tuple(0 for _ in speakers): start}
+    froms: dict[tuple[int, ...], np.ndarray] = {}
     for total in range(sum(map(len, speakers))):
         for at in [k for k in rows if sum(k) == total]:
             for s, own in enumerate(speakers):
                 if at[s] < len(own):
-                    row = rows[at]
+                    row, origin = rows[at], start.copy()
                     for token in own[at[s]]:
-                        kept = np.minimum(row[1:] + 1, row[:-1] + np.array([t != token for t in stream], int)) if len(stream) else np.empty(0, int)
-                        row = np.minimum.accumulate(np.concatenate([[row[0] + 1], kept]) - start) + start
+                        row, origin = _advance(row, origin, np.array([t != token for t in stream], int))
                     key = (*at[:s], at[s] + 1, *at[s + 1 :])
-                    rows[key] = np.minimum(rows[key], row) if key in rows else row
-    return int(rows[tuple(map(len, speakers))][-1])
-
-
-def interleaved_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], multi_stream: bool = False) -> DataFrame:
+                    if key not in rows:
+                        rows[key], froms[key] = row, np.stack([np.full(len(row), s), origin])
+                    else:
+                        better = row < rows[key]
+                        rows[key] = np.where(better, row, rows[key])
+                        froms[key] = np.where(better, np.stack([np.full(len(row), s), origin]), froms[key])
+    at, place, order = tuple(map(len, speakers)), len(stream), []
+    errors = int(rows[at][-1])
+    while any(at):
+        s, place = froms[at][:, place].tolist()
+        at = (*at[:s], at[s] - 1, *at[s + 1 :])
+        order.append((s, at[s]))
+    return errors, [t for s, i in reversed(order) for t in speakers[s][i]]
+
+
+def _advance(row: np.ndarray, origin: np.ndarray, differs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more reference token: the new costs, and for each place the stream place at which the utterance began on the best way there."""
+    skip, take = row + 1, np.concatenate([[1 << 40], row[:-1] + differs])
+    new = np.minimum(skip, take)
+    came = np.where(take <= skip, np.concatenate([[0], origin[:-1]]), origin)
+    for j in range(1, len(new)):
+        if new[j - 1] + 1 < new[j]:
+            new[j], came[j] = new[j - 1] + 1, came[j - 1]
+    return new, came
+
+
+def interleaved_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], multi_stream: bool = False, characters_too: bool = False) -> DataFrame:
     """(keys, errors, length): (keys, speaker, order, tokens) utterances against (keys, stream, tokens).
 
     One stream: the best merge of the speakers that keeps each one's order.  With ``multi_stream`` utterances stay in time order and each goes to
-    its best stream.  The cost is a product of lengths, so sessions are expected to be short; each is one group.
+    its best stream; with ``characters_too`` the errors and length are those of characters under the best merge of words.  The cost is a product of lengths, so sessions are expected to be short; each is one group.
     """
     keys = list(keys)
 
@@ -201,7 +254,10 @@ def interleaved_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequen
         if multi_stream:
             errors = best_streams([list(t) for t in left["tokens"]], streams)
         else:
-            errors = best_interleaving([[list(t) for t in g["tokens"]] for _, g in left.groupby("speaker", sort=True)], streams[0])
+            errors, merged = best_interleaving([[list(t) for t in g["tokens"]] for _, g in left.groupby("speaker", sort=True)], streams[0])
+            if characters_too:
+                a, b = "".join(merged), "".join(streams[0])
+                return pd.DataFrame([[*key, edit_distance(a, b), len(a)]], columns=[*keys, "errors", "length"])
         return pd.DataFrame([[*key, errors, sum(map(len, left["tokens"]))]], columns=[*keys, "errors", "length"])
 
     types = ", ".join(f"`{k}` {reference.schema[k].dataType.simpleString()}" for k in keys)

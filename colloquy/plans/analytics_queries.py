@@ -384,3 +384,14 @@ def sel_04_top_configs(spark, sf_dir):
 def sel_07_anchors(spark, sf_dir):
     total = segments(spark, sf_dir).groupBy("rec", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("solo"))
     return total.withColumn("weak", F.col("solo") < 100_000)
+
+
+@query(
+    """SELECT name, round(list_min(list_transform(picks, lambda p: sqrt((p.a - a) ** 2 + (p.b - b) ** 2))), 6) AS distance FROM
+        (SELECT name, (score - avg(score) OVER ()) / stddev_samp(score) OVER () AS a, (size - avg(size) OVER ()) / stddev_samp(size) OVER () AS b FROM runs),
+        (SELECT list({'a': a, 'b': b}) AS picks FROM (SELECT name, (score - avg(score) OVER ()) / stddev_samp(score) OVER () AS a, (size - avg(size) OVER ()) / stddev_samp(size) OVER () AS b FROM runs) WHERE name < 'run000004')""",
+    RUNS,
+)
+def agg_16_distance_to_chosen(spark, sf_dir):
+    r = runs(spark, sf_dir)
+    return an.distance_to_chosen(r, r.where("name < 'run000004'"), ["score", "size"], "name").select("name", F.round("distance", 6).alias("distance"))

@@ -72,7 +72,7 @@ def test_word_errors(spark):
 
 def test_interleaving_and_streams():
     speakers = [[["jeden"], ["dwa"]], [["trzy"]]]
-    assert me.best_interleaving(speakers, ["jeden", "dwa", "trzy"]) == 0
+    assert me.best_interleaving(speakers, ["jeden", "dwa", "trzy"]) == (0, ["jeden", "dwa", "trzy"])
     assert me.edit_distance(["jeden", "trzy", "dwa"], ["jeden", "dwa", "trzy"]) > 0
     utterances = [["jeden"], ["dwa"], ["trzy"]]
     assert me.best_streams(utterances, [["jeden", "trzy"], ["dwa"]]) == 0
@@ -82,4 +82,19 @@ def test_interleaving_and_streams():
         stream = [rng.choice("ab") for _ in range(rng.randint(0, 5))]
         orders = set(itertools.permutations([0] * len(own[0]) + [1] * len(own[1])))
         best = min(plain_distance([t for s, i in zip(o, [o[:k].count(o[k]) for k in range(len(o))]) for t in own[s][i]], stream) for o in orders)
-        assert me.best_interleaving(own, stream) == best
+        errors, merged = me.best_interleaving(own, stream)
+        assert errors == best == plain_distance(merged, stream)
+
+
+def test_timed_errors(spark):
+    a = [("x", 0.0, 1.0), ("y", 1.0, 2.0)]
+    assert me.timed_distance(a, a, 0.0) == 0 and me.timed_distance(a, [("x", 50.0, 51.0), ("y", 51.0, 52.0)], 5.0) == 4
+    rows = spark.createDataFrame([("r", "A", 0, 2, ["x", "y"])], "rec string, speaker string, start long, end long, tokens array<string>")
+    timed = rows.select("rec", "speaker", me.spread_in_time(F.col("tokens"), F.col("start"), F.col("end")).alias("tokens"))
+    assert tuple(me.assigned_errors(timed, timed, ["rec"], errors_of=me.timed_errors(5.0)).first()) == ("r", 0, 2)
+
+
+def test_characters_under_the_merge(spark):
+    ref = spark.createDataFrame([("r", "A", 1, ["kot"]), ("r", "B", 2, ["pies"])], "rec string, speaker string, order long, tokens array<string>")
+    hyp = spark.createDataFrame([("r", 1, ["pies", "kos"])], "rec string, stream int, tokens array<string>")
+    assert tuple(me.interleaved_errors(ref, hyp, ["rec"], characters_too=True).first()) == ("r", 1, 7)
