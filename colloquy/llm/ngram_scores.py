@@ -104,12 +104,15 @@ SCORES = "doc_id long, n_words long, n_full long, n_backed long, logscore_micro
 def _score(order: int, cutoff: int, backoff: float, size: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         words, grams = ngram_hashes(docs["text"].combine_chunks(), order)
-        hashes = np.unique(np.concatenate([g[g != 0] for g in grams]))
+        there = [g != 0 for g in grams]
+        hashes, slots = np.unique(np.concatenate([g[t] for g, t in zip(grams, there)]), return_inverse=True)
         totals = np.concatenate([np.empty(0, "<u8"), *(_values(r, "<u8") for r in answers.sort_by("part")["totals"].to_pylist())]).astype(np.float64)
         if len(totals) != len(hashes):
             raise RuntimeError("a block's documents changed while they were scored")
         place = np.arange(len(grams[0])) - np.repeat(np.cumsum(words) - words, words)
-        counts = [totals[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)] for g in grams]
+        counts = [np.zeros(len(place)) for _ in grams]
+        for count, t, slot in zip(counts, there, np.split(slots, np.cumsum([t.sum() for t in there])[:-1])):
+            count[t] = totals[slot]
         value, level = counts[0] / size, np.ones(len(place), np.int64)
         for n in range(2, order + 1):
             has = place >= n - 1
