@@ -104,8 +104,11 @@ def _sample(labelled: DataFrame, per_language: int) -> list:
     return [(a, np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<f4").astype(np.float64)) for a, b, c in rows]
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x classes) and bias of multinomial logistic regression by FTRL-proximal with elastic-net penalties."""
+def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, steps: int = 6000, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x classes) and bias of multinomial logistic regression by FTRL-proximal with elastic-net penalties.
+
+    The rows are gone through four times, or as often as makes ``steps`` steps of a small sample.
+    """
     z, n = np.zeros((FEATURES + 1, classes)), np.zeros((FEATURES + 1, classes))
 
     def solve(used):
@@ -113,7 +116,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, epochs: i
         w = -(zu - np.sign(zu) * l1) / ((beta + np.sqrt(nu)) / alpha + l2)
         return np.where(np.abs(zu) <= l1, 0.0, w)
 
-    for epoch in range(epochs):
+    for epoch in range(max(4, -(-steps // max(1, len(rows))))):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
             y, used, x = rows[i]
             used, x = np.append(used, FEATURES), np.append(x, 1.0)
