@@ -76,12 +76,13 @@ def sticky(history: DataFrame, keys: Sequence[str], order: str, starts: Column)
 
 
 def as_of(rows: DataFrame, schedule: DataFrame, at: str, since: str, value: str) -> DataFrame:
-    """The ``value`` of the last ``schedule`` entry at or before each row's ``at``; both are merged in time, so no range join is needed."""
-    points = rows.withColumn("t__", F.col(at)).withColumn("v__", F.lit(None).cast(schedule.schema[value].dataType)).withColumn("row__", F.lit(1))
-    entries = schedule.select(F.col(since).alias("t__"), F.col(value).alias("v__")).withColumn("row__", F.lit(0))
-    both = points.unionByName(entries, allowMissingColumns=True)
-    along = Window.orderBy("t__", "row__").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("v__", ignorenulls=True).over(along)).where("row__ = 1").drop("t__", "v__", "row__")
+    """The ``value`` of the last ``schedule`` entry at or before each row's ``at``, null before the first.
+
+    A schedule is a short list made by hand; it becomes a constant, so that the rows are not moved at all.
+    """
+    entries = sorted((r[0], r[1]) for r in schedule.select(since, value).collect())
+    known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v")) for t, v in entries])
+    return rows.withColumn(value, F.get(F.reverse(F.filter(known, lambda e: e["t"] <= F.col(at))), F.lit(0))["v"] if entries else F.lit(None).cast(schedule.schema[value].dataType))
 
 
 def quota_select(candidates: DataFrame, cells: Sequence[tuple[str, int]], quota: int, cell: str = "cell", group: str = "rec", score: str = "score", key: str = "key") -> DataFrame:

@@ -245,3 +245,10 @@ def repeated_runs(turns: DataFrame, keys: Sequence[str], text: str = "text", lea
     runs = turns.withColumn("run__", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
     nth = F.row_number().over(Window.partitionBy(*keys, "run__").orderBy("start", "end"))
     return runs.withColumn("nth__", nth).where(F.col("nth__") == least).drop("nth__", "run__")
+
+
+def first_containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, order: str) -> DataFrame:
+    """Each point with the first span, by ``order``, that holds it, both ends included; points in none are left out."""
+    own = points.columns
+    met = points.join(spans, list(keys)).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")))
+    return met.groupBy(*own).agg(F.min(F.struct(order, "start", "end")).alias("s")).select(*own, "s.*")

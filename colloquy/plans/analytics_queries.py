@@ -395,3 +395,59 @@ def sel_07_anchors(spark, sf_dir):
 def agg_16_distance_to_chosen(spark, sf_dir):
     r = runs(spark, sf_dir)
     return an.distance_to_chosen(r, r.where("name < 'run000004'"), ["score", "size"], "name").select("name", F.round("distance", 6).alias("distance"))
+
+
+@query('SELECT w.rec, w."from" AS at, min(s."start") AS "start" FROM cells w JOIN segments s ON s.rec = w.rec AND w."from" BETWEEN s."start" AND s."end" GROUP BY 1, 2', SEGMENTS, _CELLS)
+def jon_16_point_in_interval(spark, sf_dir):
+    from ..operators.intervals import first_containing
+
+    points = _cells(spark, sf_dir).select("rec", F.col("start").alias("at"))
+    spans = segments(spark, sf_dir).withColumn("n", F.col("start"))
+    return first_containing(points, spans, ["rec"], "at", "n").select("rec", "at", "start")
+
+
+@query("SELECT a.sid, a.x, b.y FROM (SELECT vec_id AS sid, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) a JOIN (SELECT vec_id AS sid, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) b ON b.sid = a.sid")
+def jon_04_same_name(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    a = e.select(F.col("vec_id").alias("sid"), F.col("embedding")[0].cast("double").alias("x"))
+    return a.join(e.select(F.col("vec_id").alias("sid"), F.col("embedding")[1].cast("double").alias("y")), "sid")
+
+
+@query('SELECT rec, CAST(min(w) AS BIGINT) AS least, CAST(sum(w) AS BIGINT) AS total, count(*) AS speakers FROM (SELECT rec, speaker, sum("end" - "start") AS w FROM segments GROUP BY rec, speaker) GROUP BY rec', SEGMENTS)
+def map_01_02_by_speaker(spark, sf_dir):
+    per = segments(spark, sf_dir).groupBy("rec", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("w"))
+    maps = per.groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("speaker", "w"))).alias("m"))
+    values = F.map_values("m")
+    return maps.select("rec", F.array_min(values).alias("least"), F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.size("m").cast("long").alias("speakers"))
+
+
+@query('SELECT rec, CAST(sum(w) FILTER (speaker = \'S0\') AS BIGINT) AS spk_s0, CAST(sum(w) FILTER (speaker = \'S1\') AS BIGINT) AS spk_s1 FROM (SELECT *, "end" - "start" AS w FROM segments) GROUP BY rec', SEGMENTS)
+def map_03_columns_by_speaker(spark, sf_dir):
+    wide = segments(spark, sf_dir).withColumn("w", F.col("end") - F.col("start")).groupBy("rec").pivot("speaker", ["S0", "S1"]).agg(F.sum("w"))
+    return wide.select("rec", F.col("S0").alias("spk_s0"), F.col("S1").alias("spk_s1"))
+
+
+@query("SELECT event_id, event_type, coalesce(json_extract_string(props, '$.missing.deep'), 'none') AS deep FROM events")
+def map_04_nested_default(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.coalesce(F.get_json_object("props", "$.missing.deep"), F.lit("none")).alias("deep"))
+
+
+@query("SELECT name AS path, sweep AS model, state AS task, 'r' || size AS run FROM (SELECT 'x/' || sweep || '/' || state || '/r' || size || '/' || name AS name, sweep, state, size FROM runs)", RUNS)
+def src_16_checkpoint_paths(spark, sf_dir):
+    from ..sources.annotations import checkpoint_paths
+
+    paths = runs(spark, sf_dir).select(F.concat_ws("/", F.lit("x"), "sweep", "state", F.concat(F.lit("r"), F.col("size").cast("string")), "name").alias("path"))
+    return checkpoint_paths(paths)
+
+
+@query("SELECT conv_id, CASE WHEN sum(w) > 0 THEN sum(e) / CAST(sum(w) AS DOUBLE) ELSE 0.0 END AS rate FROM (SELECT conv_id, length(text) * CAST(turn % 2 AS BIGINT) AS w, length(text) % 5 * CAST(turn % 2 AS BIGINT) AS e FROM conversations) GROUP BY conv_id")
+def met_11_session_rates(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", (F.length("text") * (F.col("turn") % 2)).alias("w"), (F.length("text") % 5 * (F.col("turn") % 2)).alias("e"))
+    sums = c.groupBy("conv_id").agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
+    return sums.select("conv_id", an.session_rate(F.col("e"), F.nullif("w", F.lit(0))).alias("rate"))
+
+
+@query()
+def srt_10_seeded_choice(spark, sf_dir):
+    variants = F.array(*[F.lit(v) for v in ("SER", "SR", "ER", "R")])
+    return runs(spark, sf_dir).select("name", F.element_at(variants, (F.pmod(F.xxhash64("name", F.lit(42)), F.lit(4)) + 1).cast("int")).alias("variant"))
