@@ -82,3 +82,11 @@ def test_outdoor_components(spark):
     none = F.lit(None).cast("array<double>")
     parts = {"speaker2": arr(0.25), "scene": arr(0.2), "event": arr(0.3), "speaker1_reverb": none, "speaker2_reverb": none, "event_reverb": none}
     assert one(spark, ar.without_components(arr(0.9), "C", "SB", parts))[0] == pytest.approx(0.4)
+
+
+def test_numbers(spark):
+    from colloquy.functions.numbers_pl import in_words, spell_numbers
+
+    cases = {"0": "zero", "007": "siedem", "12": "dwanaście", "21": "dwadzieścia jeden", "100": "sto", "1000": "tysiąc", "2022": "dwa tysiące dwadzieścia dwa", "5112": "pięć tysięcy sto dwanaście", "1000001": "milion jeden", "22000000": "dwadzieścia dwa miliony", "9" * 16: "9" * 16}
+    assert {k: in_words(k) for k in cases} == cases
+    assert one(spark, spell_numbers(F.array(F.lit("rok"), F.lit("12"), F.lit("a1")))) == ["rok", "dwanaście", "a1"]
