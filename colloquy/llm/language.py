@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import map_arrow, texts
 
 FEATURES = 1 << 15
 #: The bound of the training sample: documents of each language.
@@ -76,7 +76,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["feature", "n"])
 
-    rows = docs.select("text").mapInArrow(scan, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_arrow(docs.select("text"), scan, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(FEATURES + 1, np.int64)
     counts[rows["feature"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts[:-1], int(counts[-1])
@@ -99,7 +99,7 @@ def _sample(labelled: DataFrame, per_language: int) -> list:
                     out.append((language, used.astype("<u4").tobytes(), (counts / counts.sum()).astype("<f4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))], ["lang", "used", "share"])
 
-    rows = chosen.select("lang", "text").mapInArrow(scan, "lang string, used binary, share binary").collect()
+    rows = map_arrow(chosen.select("lang", "text"), scan, "lang string, used binary, share binary").collect()
     rows = sorted((r["lang"], bytes(r["used"]), bytes(r["share"])) for r in rows)
     return [(a, np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<f4").astype(np.float64)) for a, b, c in rows]
 
@@ -193,7 +193,7 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -205,4 +205,4 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             found = [sent.value.predict(t) for _, part in texts(batch) for t in part]
             yield batch.filter(pa.array([a != UNKNOWN and b >= least for a, b in found], pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_arrow(docs, scan, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import map_arrow, texts
 
 #: Phrases that name a license, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -190,4 +190,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 arrays = [batch.column(0).slice(at, len(part)), *(pa.array(c, t) for c, t in zip(columns, _TYPES[1:]))]
                 yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, SCHEMA)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import map_arrow, saved
 
 LENGTH = 4096
 BIN = 8
@@ -40,7 +40,7 @@ class WordEncoder:
     parts are encoded many at a time.  At most ``words`` words and ``parts`` parts are kept; beyond that it forgets those and goes on.
     """
 
-    def __init__(self, path: str, words: int = 300_000, parts: int = 600_000):
+    def __init__(self, path: str, words: int = 250_000, parts: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,7 +104,7 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _runs(column: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text."""
     total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
     at = 0
@@ -122,6 +122,7 @@ def _cut(path: str, length: int):
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             doc_ids = batch.column(0).to_pylist()
             for at, to in _runs(batch.column(1)):
                 rows = []
@@ -229,7 +230,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, width: int = B
     piece.  Repeated rows and null doc_ids are documents like others.  No row gives no row.  ``tokenizer`` is a path that every executor has.
     """
     spark = docs.sparkSession
-    pieces = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, length), PIECES))
+    pieces = saved(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _cut(tokenizer, length), PIECES))
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     whole = pieces.where(F.col("length") == length).withColumn("sequence_id", F.col("piece_id") + F.lit(WHOLE)).withColumn("offset", F.lit(0).cast("long"))
     bin_ = F.ceil(F.col("length") / width).cast("int")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import map_arrow, texts
 
 BASE = ("assign", "access", "hex")
 CHECKED = ("github", "npm", "jwt", "pem")
@@ -134,7 +134,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
                 spans = [[dict(zip(("start", "end", "kind"), s)) for s in find_secrets(t, automaton)] for t in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, f"doc_id long, {SPANS}")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, f"doc_id long, {SPANS}")
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -179,4 +179,4 @@ def redacted(docs: DataFrame) -> DataFrame:
             out = [redact(t, find_secrets(t, automaton)) for _, part in texts(batch) for t in part]
             yield batch.set_column(where, batch.schema.field(where), pa.array(out, batch.schema.field(where).type))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_arrow(docs, scan, docs.schema)

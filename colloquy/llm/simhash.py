@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labels, pairs, saved, texts, whole_groups
+from .common import labels, map_arrow, pairs, saved, texts, whole_groups
 from .components import components
 
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             values = np.fromiter((fingerprint(t, width) for _, part in texts(batch) for t in part), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fingerprint long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, "doc_id long, fingerprint long")
 
 
 def _grow(values: np.ndarray, distance: int) -> np.ndarray:
@@ -115,7 +115,7 @@ def near_fingerprints(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
         F.transform(ball, lambda m: other.bitwiseXOR(m).bitwiseOR(F.lit(1 << 32))),
     )
     filed = distinct.select(F.explode(probes).alias("key"), "fingerprint")
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(distance), "u long, v long").distinct()
+    return map_arrow(filed.repartition("key").sortWithinPartitions("key"), _links(distance), "u long, v long").distinct()
 
 
 def _grouped(docs: DataFrame, distance: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -163,4 +163,4 @@ def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
             values = np.fromiter((fingerprint(t, width) for _, part in texts(batch) for t in part), np.uint64, batch.num_rows)
             yield batch.append_column("fingerprint", pa.array(values.view(np.int64)))
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.LongType())]))
+    return map_arrow(docs, scan, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.LongType())]))
