@@ -146,7 +146,8 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -> D
     """
     prints, groups = _grouped(docs, distance, width)
     found = prints.where("doc_id is not null").join(groups, "fingerprint").where("doc_id = component_id")
-    kept = saved(found.groupBy("doc_id").agg(F.count("*").alias("n")))
+    # the ids grow with the documents: joined by sorting at every size, never by sending them to all executors
+    kept = saved(found.groupBy("doc_id").agg(F.count("*").alias("n"))).hint("merge")
     once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
     again = _first(docs.join(kept.where("n > 1"), "doc_id", "left_semi"), "doc_id")
     nameless = _with_fingerprint(docs.where("doc_id is null"), width).join(groups.where("component_id is null").drop("component_id"), "fingerprint")
