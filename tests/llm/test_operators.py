@@ -232,6 +232,10 @@ def test_nearest_codes(spark):
         best = sorted(((values[q] ^ v).bit_count(), i) for i, v in enumerate(values) if i != q)[:5]
         expected += [(q, n + 1, i, d) for n, (d, i) in enumerate(best)]
     assert found == sorted(expected, key=repr)
+    chosen = frame.where(F.col("id").isin(*queries))
+    assert rows(nearest_codes(frame, chosen, k=5, part=40, block=2)) == found
+    assert nearest_codes(frame.limit(0), chosen, k=5).count() == 0 and nearest_codes(frame, frame.limit(0), k=5).count() == 0
+    assert len(rows(nearest_codes(frame.where("id < 3"), chosen, k=5))) == 2 + 3 * 5
     code = spark.createDataFrame([([1.0, -1.0, None, 2.0, float("nan"), 0.0] + [1.0] * 60,)], "v array<float>").select(sign_code(F.col("v"))).first()[0]
     assert code % (1 << 64) == ((1 << 64) - 1) & ~0b110110
 
