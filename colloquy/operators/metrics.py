@@ -6,9 +6,9 @@ lists, and only a session's small cost matrix meets in one group.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
-from functools import lru_cache
-from itertools import permutations
+from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
@@ -179,25 +179,52 @@ def timed_errors(collar: float):
     return errors
 
 
+def _least_errors(a: Sequence, b: Sequence) -> int:
+    """What any pairing of ``a`` with ``b`` costs at least, in whatever order: tokens without an equal on the other side."""
+    return max(len(a), len(b)) - (Counter(a) & Counter(b)).total()
+
+
+def _relaxed(cost: np.ndarray, axis: int) -> np.ndarray:
+    """``cost`` where stream tokens along ``axis`` may be inserted for one error each."""
+    step = np.arange(cost.shape[axis]).reshape([-1 if k == axis else 1 for k in range(cost.ndim)])
+    return np.minimum.accumulate(cost - step, axis=axis) + step
+
+
 def best_streams(utterances: list[Sequence], streams: list[Sequence]) -> int:
-    """Least errors when each reference utterance goes, in order, to the stream that suits it best."""
-    ends = tuple(len(s) for s in streams)
-
-    @lru_cache(None)
-    def row(n: int) -> dict[tuple[int, ...], int]:
-        if n == 0:
-            return {tuple(0 for _ in streams): 0}
-        out: dict[tuple[int, ...], int] = {}
-        for at, cost in row(n - 1).items():
-            for s, stream in enumerate(streams):
-                for to in range(at[s], len(stream) + 1):
-                    now = cost + edit_distance(utterances[n - 1], stream[at[s] : to])
-                    key = (*at[:s], to, *at[s + 1 :])
-                    if now < out.get(key, 1 << 60):
-                        out[key] = now
-        return out
-
-    return min(cost + sum(e - p for e, p in zip(ends, at)) for at, cost in row(len(utterances)).items())
+    """Least errors when each reference utterance goes, in order, to the stream that suits it best.
+
+    Token by token over all places in all streams at once: the work is the product of the lengths of the streams and of the utterances.
+    """
+    cost = sum(np.ix_(*[np.arange(len(s) + 1) for s in streams]))
+    for utterance in utterances:
+        found = []
+        for axis, stream in enumerate(streams):
+            now = np.moveaxis(cost, axis, -1)
+            for token in utterance:
+                differs = np.array([t != token for t in stream], int)
+                skipped = now + 1
+                skipped[..., 1:] = np.minimum(skipped[..., 1:], now[..., :-1] + differs)
+                now = _relaxed(skipped, now.ndim - 1)
+            found.append(np.moveaxis(now, -1, axis))
+        cost = np.minimum.reduce(found)
+    return int(cost.flat[-1])
+
+
+def stream_errors(utterances: list[tuple], streams: list[Sequence]) -> int:
+    """:func:`best_streams` of (speaker, tokens) utterances.
+
+    Where giving each speaker a stream already costs no more than what any choice costs at least, that is the answer.
+    """
+    speakers = sorted({s for s, _ in utterances}, key=str)
+    least = _least_errors([t for _, u in utterances for t in u], [t for s in streams for t in s])
+    if len(streams) ** len(speakers) <= 64:
+        for chosen in product(range(len(streams)), repeat=len(speakers)):
+            of = dict(zip(speakers, chosen))
+            parts = [([t for s, u in utterances if of[s] == k for t in u], stream) for k, stream in enumerate(streams)]
+            # the distance is worked out only where its own lower bound leaves room
+            if sum(_least_errors(a, b) for a, b in parts) == least and sum(edit_distance(a, b) for a, b in parts) == least:
+                return least
+    return best_streams([u for _, u in utterances], streams)
 
 
 def best_interleaving(speakers: list[list[Sequence]], stream: Sequence) -> tuple[int, list]:
@@ -233,17 +260,31 @@ def _advance(row: np.ndarray, origin: np.ndarray, differs: np.ndarray) -> tuple[
     skip, take = row + 1, np.concatenate([[1 << 40], row[:-1] + differs])
     new = np.minimum(skip, take)
     came = np.where(take <= skip, np.concatenate([[0], origin[:-1]]), origin)
-    for j in range(1, len(new)):
-        if new[j - 1] + 1 < new[j]:
-            new[j], came[j] = new[j - 1] + 1, came[j - 1]
-    return new, came
+    # insertions: the least cost so far, and in the low digits where it was; of equals the last
+    place, base = np.arange(len(new)), len(new)
+    low = np.minimum.accumulate((new - place) * base - place)
+    at = -low % base
+    return (low + at) // base + place, came[at]
+
+
+def merged_errors(utterances: list[tuple], stream: Sequence) -> int:
+    """The errors of :func:`best_interleaving` of (speaker, tokens) utterances in time order.
+
+    Where that order already costs no more than what any merge costs at least, that is the answer.
+    """
+    whole = [t for _, u in utterances for t in u]
+    least = _least_errors(whole, stream)
+    if edit_distance(whole, stream) == least:
+        return least
+    return best_interleaving([[u for s, u in utterances if s == name] for name in sorted({s for s, _ in utterances}, key=str)], stream)[0]
 
 
 def interleaved_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], multi_stream: bool = False, characters_too: bool = False) -> DataFrame:
     """(keys, errors, length): (keys, speaker, order, tokens) utterances against (keys, stream, tokens).
 
     One stream: the best merge of the speakers that keeps each one's order.  With ``multi_stream`` utterances stay in time order and each goes to
-    its best stream; with ``characters_too`` the errors and length are those of characters under the best merge of words.  The cost is a product of lengths, so sessions are expected to be short; each is one group.
+    its best stream; with ``characters_too`` the errors and length are those of characters under the best merge of words.  Each session is one
+    group.  Unless the obvious choice proves best at once, the cost is a product of lengths.
     """
     keys = list(keys)
 
@@ -252,12 +293,13 @@ def interleaved_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequen
         key = (left if len(left) else right)[keys].iloc[0]
         streams = [list(t) for t in right.sort_values("stream")["tokens"]] or [[]]
         if multi_stream:
-            errors = best_streams([list(t) for t in left["tokens"]], streams)
+            errors = stream_errors([(s, list(t)) for s, t in zip(left["speaker"], left["tokens"])], streams)
+        elif not characters_too:
+            errors = merged_errors([(s, list(t)) for s, t in zip(left["speaker"], left["tokens"])], streams[0])
         else:
-            errors, merged = best_interleaving([[list(t) for t in g["tokens"]] for _, g in left.groupby("speaker", sort=True)], streams[0])
-            if characters_too:
-                a, b = "".join(merged), "".join(streams[0])
-                return pd.DataFrame([[*key, edit_distance(a, b), len(a)]], columns=[*keys, "errors", "length"])
+            _, merged = best_interleaving([[list(t) for t in g["tokens"]] for _, g in left.groupby("speaker", sort=True)], streams[0])
+            a, b = "".join(merged), "".join(streams[0])
+            return pd.DataFrame([[*key, edit_distance(a, b), len(a)]], columns=[*keys, "errors", "length"])
         return pd.DataFrame([[*key, errors, sum(map(len, left["tokens"]))]], columns=[*keys, "errors", "length"])
 
     types = ", ".join(f"`{k}` {reference.schema[k].dataType.simpleString()}" for k in keys)

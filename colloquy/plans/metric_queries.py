@@ -84,9 +84,10 @@ def met_07_characters(spark, sf_dir):
 
 @query()
 def met_05_06_short_sessions(spark, sf_dir):
+    """Whole sessions, whatever the name says: every utterance and token, against one stream in time order and against one stream a speaker."""
     ref, hyp = _tokens(spark, sf_dir)
-    short = ref.where("utt_no <= 2").select("rec", "speaker", F.col("utt_no").alias("order"), F.slice("tokens", 1, 6).alias("tokens"))
-    streams = hyp.where("utt_no <= 2").select("rec", F.col("utt_no").alias("stream"), F.slice("tokens", 1, 6).alias("tokens"))
-    one = streams.groupBy("rec").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("stream", "tokens"))), lambda s: s["tokens"])).alias("tokens")).withColumn("stream", F.lit(1))
-    merged = me.interleaved_errors(short, one, ["rec"]).withColumnRenamed("errors", "merged")
-    return merged.join(me.interleaved_errors(short, streams, ["rec"], multi_stream=True).select("rec", F.col("errors").alias("streams")), "rec")
+    spoken = ref.select("rec", "speaker", F.col("utt_no").alias("order"), "tokens")
+    streams = _by_speaker(hyp).select("rec", F.col("speaker").alias("stream"), "tokens")
+    one = _by_speaker(hyp.withColumn("speaker", F.lit("all"))).select("rec", F.col("speaker").alias("stream"), "tokens")
+    merged = me.interleaved_errors(spoken, one, ["rec"]).withColumnRenamed("errors", "merged")
+    return merged.join(me.interleaved_errors(spoken, streams, ["rec"], multi_stream=True).select("rec", F.col("errors").alias("streams")), "rec")

@@ -86,6 +86,37 @@ def test_interleaving_and_streams():
         assert errors == best == plain_distance(merged, stream)
 
 
+def plain_streams(utterances, streams):
+    if not utterances:
+        return sum(map(len, streams))
+    rest, u = utterances[:-1], utterances[-1]
+    return min(plain_streams(rest, [*streams[:k], s[:at], *streams[k + 1 :]]) + plain_distance(u, s[at:]) for k, s in enumerate(streams) for at in range(len(s) + 1))
+
+
+def test_streams_and_merges_of_whole_utterances():
+    rng = random.Random(2)
+    for n in range(120):
+        said = [(rng.choice("AB"), [rng.choice("abc") for _ in range(rng.randint(0, 4))]) for _ in range(rng.randint(0, 4))]
+        streams = [[rng.choice("abc") for _ in range(rng.randint(0, 4))] for _ in range(2)]
+        if n % 2:
+            streams = [[t for s, u in said if s == k for t in u if rng.random() < 0.8] for k in "BA"]
+        best = plain_streams([u for _, u in said], streams)
+        assert me.best_streams([u for _, u in said], streams) == me.stream_errors(said, streams) == best
+        own = [[u for s, u in said if s == k] for k in "AB"]
+        assert me.merged_errors(said, streams[0]) == me.best_interleaving(own, streams[0])[0]
+
+
+def test_sessions_are_scored_whole(spark, tmp_path):
+    from colloquy.plans.metric_queries import met_05_06_short_sessions
+
+    words = "ala ma kota i psa oraz dwie małe rybki w dużym akwarium".split()
+    rows = [(1, n, ("user", "assistant")[n % 2], " ".join(words[n:] + words[:n])) for n in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    dropped = sum((i + 1 + 1 + n + 1) % 7 == 0 for n in range(5) for i in range(len(words)))
+    found = met_05_06_short_sessions(spark, str(tmp_path)).first()
+    assert (found.length, found.merged, found.streams) == (5 * len(words), dropped, dropped)
+
+
 def test_timed_errors(spark):
     a = [("x", 0.0, 1.0), ("y", 1.0, 2.0)]
     assert me.timed_distance(a, a, 0.0) == 0 and me.timed_distance(a, [("x", 50.0, 51.0), ("y", 51.0, 52.0)], 5.0) == 4
