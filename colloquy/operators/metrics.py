@@ -21,8 +21,10 @@ from .intervals import meeting, merge
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
     """Substitutions, insertions and deletions between two token lists."""
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
+    short, rest = (a, iter(b)) if len(a) < len(b) else (b, iter(a))
+    if all(t in rest for t in short):
+        # one list has the other in it, in order: nothing costs less than the difference in length
+        return abs(len(a) - len(b))
     codes: dict = {}
     x = np.array([codes.setdefault(t, len(codes)) for t in a])
     y = np.array([codes.setdefault(t, len(codes)) for t in b])
