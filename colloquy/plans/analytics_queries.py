@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as an
 from .registry import Registry
-from .views import HISTORY, RUNS, SEGMENTS, UTTERANCES, history, runs, segments, table, utterances
+from .views import HISTORY, RUNS, SEGMENTS, TOTALS, UTTERANCES, history, runs, segments, table, totals, utterances
 
 _REGISTRY = Registry()
 QUERIES, ORACLE_SQL, query = _REGISTRY.queries, _REGISTRY.oracle, _REGISTRY.query
@@ -134,6 +134,48 @@ def jon_07_midpoint_join(spark, sf_dir):
     return edge.where("(a + b) / 2 between start and end").select("rec", "start", "speaker", F.col("a").alias("b_start"))
 
 
+# The same joins with cells up to the end of each recording; those above have 60 cells a recording, as their SQL says.
+
+_WHOLE_CELLS = 'cells AS (SELECT rec, k * 30000 AS "from", k * 30000 + 30000 AS "to" FROM (SELECT rec, unnest(range(0, total // 30000 + 1)) AS k FROM totals))'
+
+
+def _whole_cells(spark, sf_dir):
+    ends = totals(segments(spark, sf_dir))
+    return ends.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total"), F.lit(30_000).cast("long"))).alias("start")).withColumn("end", F.col("start") + 30_000)
+
+
+@query('SELECT c.rec, "from" AS "start", s.speaker, s."start" AS b_start, greatest("from", s."start") AS lo, least("to", s."end") AS hi FROM cells c JOIN segments s ON s.rec = c.rec AND s."start" < "to" AND "from" < s."end"', SEGMENTS, TOTALS, _WHOLE_CELLS)
+def jon_06_whole_overlap_join(spark, sf_dir):
+    from ..operators.intervals import meeting
+
+    return meeting(_whole_cells(spark, sf_dir), segments(spark, sf_dir), ["rec"], width=60_000).select("rec", "start", "speaker", "b_start", "lo", "hi")
+
+
+@query('SELECT c.rec, "from" AS "start", s.speaker, s."start" AS b_start FROM cells c JOIN segments s ON s.rec = c.rec AND (s."start" + s."end") / 2 BETWEEN "from" AND "to"', SEGMENTS, TOTALS, _WHOLE_CELLS)
+def jon_07_whole_midpoint_join(spark, sf_dir):
+    from ..operators.intervals import meeting
+
+    cells = _whole_cells(spark, sf_dir).withColumn("end", F.col("end") + 1)
+    edge = meeting(cells, segments(spark, sf_dir).withColumns({"a": F.col("start"), "b": F.col("end")}), ["rec"], width=60_000).withColumn("end", F.col("end") - 1)
+    return edge.where("(a + b) / 2 between start and end").select("rec", "start", "speaker", F.col("a").alias("b_start"))
+
+
+@query('SELECT w.rec, w."from" AS at, min(s."start") AS "start" FROM cells w JOIN segments s ON s.rec = w.rec AND w."from" BETWEEN s."start" AND s."end" GROUP BY 1, 2', SEGMENTS, TOTALS, _WHOLE_CELLS)
+def jon_16_whole_point_in_interval(spark, sf_dir):
+    from ..operators.intervals import first_containing
+
+    points = _whole_cells(spark, sf_dir).select("rec", F.col("start").alias("at"))
+    return first_containing(points, segments(spark, sf_dir).withColumn("n", F.col("start")), ["rec"], "at", "n").select("rec", "at", "start")
+
+
+@query("SELECT a.conv_id, a.turn, a.role, CASE WHEN a.text = b.text THEN 'untouched' WHEN a.text IS NULL OR b.text IS NULL THEN 'kept' ELSE 'corrected' END AS status FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2 AND b.role = a.role")
+def prj_21_whole_status(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    later = c.select("conv_id", "role", (F.col("turn") - 2).alias("turn"), F.col("text").alias("other"))
+    status = F.when(F.col("text") == F.col("other"), "untouched").when(F.col("text").isNull() | F.col("other").isNull(), "kept").otherwise("corrected")
+    return c.join(later, ["conv_id", "role", "turn"]).select("conv_id", "turn", "role", status.alias("status"))
+
+
 @query("SELECT a.sid AS a, b.sid AS b, CASE WHEN a.x + b.y >= a.y + b.x THEN 'straight' ELSE 'swapped' END AS choice FROM (SELECT vec_id AS sid, embedding[1] AS x, embedding[2] AS y FROM embeddings) a JOIN (SELECT vec_id AS sid, embedding[1] AS x, embedding[2] AS y FROM embeddings) b ON b.sid = a.sid + 1 WHERE a.sid % 2 = 0")
 def jon_11_two_by_two(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sid"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))

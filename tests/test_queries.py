@@ -44,3 +44,12 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_sql())))
 def test_query_without_sql_runs(spark, name):
     assert all_queries()[name](spark, DATA).columns
+
+
+def test_every_turn_of_a_recording_meets_a_cell(spark):
+    from colloquy.plans.views import segments
+
+    turns = {(r.rec, r.speaker, r.start) for r in segments(spark, DATA).collect()}
+    for name in ("jon_06_whole_overlap_join", "jon_07_whole_midpoint_join"):
+        assert {(r.rec, r.speaker, r.b_start) for r in all_queries()[name](spark, DATA).collect()} == turns
+    assert all_queries()["prj_21_whole_status"](spark, DATA).where("turn > 0").count()
