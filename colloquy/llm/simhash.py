@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .common import labels, map_arrow, pairs, saved, texts, whole_groups
 from .components import components
+from .jaccard import joined
 
 SEED = 42
 DISTANCE = 4
@@ -118,12 +119,19 @@ def near_fingerprints(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     return map_arrow(filed.repartition("key").sortWithinPartitions("key"), _links(distance), "u long, v long").distinct()
 
 
-def _grouped(docs: DataFrame, distance: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fingerprint) of every row, and (fingerprint, root, component_id) of every fingerprint; root names the group, whatever its ids."""
+def _grouped(docs: DataFrame, distance: int, width: int, similar: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fingerprint) of every row, and (fingerprint, root, component_id) of every fingerprint; root names the group, whatever its ids.
+
+    With ``similar`` groups are joined further by the similarity of their texts; see :func:`jaccard.joined`.
+    """
     prints = saved(fingerprints(docs, width))
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     found = components(near_fingerprints(distinct.select("fingerprint"), distance))
     rooted = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    if similar is not None:
+        roots = saved(rooted.select(F.col("fingerprint").alias("node"), "root"))
+        wider = joined(_with_fingerprint(docs.select("text"), width).withColumnRenamed("fingerprint", "node"), roots, similar)
+        rooted = distinct.join(wider.withColumnRenamed("node", "fingerprint"), "fingerprint")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints, saved(rooted.join(named, "root").select("fingerprint", "root", "component_id"))
 
@@ -139,12 +147,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -
     return prints.join(groups, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicated(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, distance: int = DISTANCE, width: int = 4, similar: float | None = None) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one whose doc_id names the group; of repeated rows with that id, one.
 
-    Of a group all of whose ids are null one row stays, the one with the smallest text.
+    Of a group all of whose ids are null one row stays, the one with the smallest text.  With ``similar`` texts whose sets of five-word shingles
+    have that Jaccard similarity or more are near-duplicates too.
     """
-    prints, groups = _grouped(docs, distance, width)
+    prints, groups = _grouped(docs, distance, width, similar)
     found = prints.where("doc_id is not null").join(groups, "fingerprint").where("doc_id = component_id")
     # the ids grow with the documents: joined by sorting at every size, never by sending them to all executors
     kept = saved(found.groupBy("doc_id").agg(F.count("*").alias("n"))).hint("merge")

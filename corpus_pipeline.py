@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import language, mixing, packing, secrets, simhash
+from colloquy.llm import jaccard, language, mixing, packing, secrets, simhash
 from colloquy.llm.common import saved
 
 
@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one with the smallest doc_id."""
-    return simhash.deduplicated(docs)
+    """Keeps one document of each group, the one with the smallest doc_id: fingerprints near by op2, or five-word similarity of 0.8 or more."""
+    return simhash.deduplicated(docs, similar=jaccard.SIMILAR)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

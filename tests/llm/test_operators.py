@@ -139,6 +139,35 @@ def test_deduplicated_keeps_columns_and_clean_rows(docs):
     assert len(ids) == len(set(ids)) and set(ids) == {r.component_id for r in near_duplicates(docs).collect()}
 
 
+def test_stage_removes_copies_of_similarity_of_four_fifths(spark):
+    import corpus_pipeline
+    from colloquy.llm.simhash import fingerprint
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    rng = random.Random(21)
+    texts = []
+    for base in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for changed in (1, 3, 4, 5, 6, 9):
+            copy = list(words)
+            for i in range(changed):
+                copy[(i * 21 + base) % 200] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets, prints = [shingles(t) for t in texts], [fingerprint(t) for t in texts]
+
+    def near(a, b):
+        return (prints[a] ^ prints[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    assert any((prints[a] ^ prints[a + 3]).bit_count() > 4 and near(a, a + 3) for a in range(0, len(texts), 7))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    left = {r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, frame, "").collect()}
+    assert left == set(plain_components(len(texts), near))
+
+
 def test_components_of_a_path_and_a_star(spark):
     from colloquy.llm.components import components
 
