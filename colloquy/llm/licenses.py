@@ -1,7 +1,7 @@
 """License scans by template markup: templates with optional and replaceable regions, compiled to automata over words.
 
 Markup, after the public license-matching guidelines: ``<<beginOptional>>...<<endOptional>>`` may be missing, ``<<var:N>>`` stands for up to N
-words.  A text has the license if the template's mandatory wording stands in it exactly, word for word; words are lower-cased (A-Z) runs of
+words, ``<<number:N>>`` for up to N words of digits.  A text has the license if the template's mandatory wording stands in it exactly, word for word; words are lower-cased (A-Z) runs of
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``, so punctuation and line breaks never matter.  Short phrases that name a license are the base labels.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,45 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
-    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+    "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+    "OR OTHER DEALINGS IN THE SOFTWARE."
 )
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_NAMES = (
+    "<<beginOptional>>3.<<endOptional>> Neither the name of <<var:12>> nor the names of <<var:6>> contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY <<var:12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var:12>> BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+    "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE."
+)
+#: The elements of Creative Commons licenses after attribution, in the spellings in use.
+_CC = {"nc": ("NonCommercial", "Non Commercial"), "nd": ("NoDerivatives", "NoDerivs", "No Derivatives"), "sa": ("ShareAlike", "Share Alike")}
+
+
+def _cc_templates() -> list[tuple[str, str]]:
+    return [
+        (
+            "-".join(("cc-by", *elements)),
+            "This work is licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons "
+            f"{' '.join(('Attribution', *spelt))} <<number:2>> <<beginOptional>>International<<endOptional>> "
+            "<<beginOptional>>Unported<<endOptional>> <<beginOptional>>Generic<<endOptional>> License",
+        )
+        for elements in ((), ("nc",), ("nd",), ("sa",), ("nc", "sa"), ("nc", "nd"))
+        for spelt in product(*map(_CC.get, elements))
+    ]
+
 
 #: Fixed texts: the public wording of licenses and of their notices, in template markup.
 TEMPLATES = [
@@ -40,30 +78,32 @@ TEMPLATES = [
     (
         "apache-2",
         "Licensed under the Apache License, Version 2.0 (the <<beginOptional>>\"<<endOptional>>License); you may not use <<var:4>> except in "
-        "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
-    ),
-    (
-        "bsd",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer."
+        "compliance with the License. You may obtain a copy of the License at <<beginOptional>>http<<endOptional>> "
+        "<<beginOptional>>https<<endOptional>> www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express '
+        "or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
+    ("bsd-2", _BSD_CONDITIONS + _BSD_DISCLAIMER),
+    ("bsd-3", _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER),
     (
         "isc",
         "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee "
-        "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+        "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
+        '"AS IS" AND <<var:8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+        "FITNESS. IN NO EVENT SHALL <<var:8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
+        "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
     (
         "gpl",
         "This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU "
-        "General Public License as published by the Free Software Foundation<<beginOptional>>, either version <<var:2>> of the License, or (at "
-        "your option) any later version<<endOptional>>."
-    ),
-    (
-        "cc-by",
-        "This work is licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution "
-        "<<var:3>> <<beginOptional>>International<<endOptional>> License"
+        "General Public License as published by the Free Software Foundation<<beginOptional>>, <<beginOptional>>either<<endOptional>> version "
+        "<<number:2>> of the License<<endOptional>><<beginOptional>>, or (at your option) any later version<<endOptional>>. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU "
+        "General Public License along with this program. If not"
     ),
+    *_cc_templates(),
     ("mit", "released under the <<beginOptional>>terms of the<<endOptional>> MIT license"),
 ]
 
@@ -83,14 +123,14 @@ class Automaton:
     def __init__(self, template: str):
         self.items: list[tuple[str, object]] = []
         opened: list[int] = []
-        for tag, size, plain in re.findall(r"<<(beginOptional|endOptional|var)(?::(\d+))?>>|((?:(?!<<).)+)", template, re.S):
+        for tag, size, plain in re.findall(r"<<(beginOptional|endOptional|var|number)(?::(\d+))?>>|((?:(?!<<).)+)", template, re.S):
             if tag == "beginOptional":
                 opened.append(len(self.items))
                 self.items.append(("skip", None))
             elif tag == "endOptional":
                 self.items[opened.pop()] = ("skip", len(self.items))
-            elif tag == "var":
-                self.items += [("any", None)] * int(size)
+            elif tag in ("var", "number"):
+                self.items += [("any", tag == "number")] * int(size)
             else:
                 self.items += [("word", w) for w in words(plain)]
         first = next(i for i, item in enumerate(self.items) if item[0] == "word")
@@ -119,6 +159,10 @@ class Automaton:
                     todo.append(s + 1)
         return out
 
+    @staticmethod
+    def _reads(kind: str, item: object, word: bytes) -> bool:
+        return (word.isdigit() or not item) if kind == "any" else kind == "word" and item == word
+
     def accepts(self, following: Iterator[bytes]) -> bool:
         """Whether the words from here begin with a text of this template."""
         states = self._closure({0})
@@ -126,7 +170,7 @@ class Automaton:
             word = next(following, None)
             if word is None:
                 return False
-            step = {s + 1 for s in states if s < len(self.items) and (self.items[s][0] == "any" or self.items[s] == ("word", word))}
+            step = {s + 1 for s in states if s < len(self.items) and self._reads(*self.items[s], word)}
             if not step:
                 return False
             states = self._closure(step)

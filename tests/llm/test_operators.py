@@ -428,6 +428,22 @@ def test_licenses(spark, docs):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_need_their_last_clause_and_their_own_elements():
+    from colloquy.llm.licenses import TEMPLATES, scan_text
+
+    for label, template in TEMPLATES:
+        full = re.sub(r"<<(?:var|number):[0-9]+>>", " 4 ", re.sub(r"<<(?:begin|end)Optional>>", " ", template))
+        assert label in scan_text("Notice. " + full)[5].split(","), label
+        if len(full) > 400:
+            tail = full.split()
+            # a phrase that names the license may stand in it, which scores less than its wording
+            assert scan_text(" ".join(tail[:-1]))[6] < 1 and scan_text(" ".join([*tail[:-2], "otherwise", *tail[-2:]]))[6] < 1
+    cases = {"": "cc-by", "-NonCommercial": "cc-by-nc", "-NoDerivatives": "cc-by-nd", "-ShareAlike": "cc-by-sa", "-NonCommercial-ShareAlike": "cc-by-nc-sa", "-NonCommercial-NoDerivatives": "cc-by-nc-nd"}
+    for name, label in cases.items():
+        for version in (" 4.0 International", " 3.0 Unported", ""):
+            assert scan_text(f"This work is licensed under a Creative Commons Attribution{name}{version} License.")[5:] == (label, 1.0)
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
