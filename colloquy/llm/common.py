@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,14 +25,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, where there is such a column, of the text as it is now; a null text keeps what it had."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that every executor can read.
 
-    It is the session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``; only where none is set and the session runs on one machine a temporary folder takes its place.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(named)
     return named

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import map_arrow, recounted, texts
 
 BASE = ("assign", "access", "hex")
 CHECKED = ("github", "npm", "jwt", "pem")
@@ -32,8 +32,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CHECKSUMMED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s([A-Za-z0-9+/=\s]+)-----END \1-----")
+_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]+")
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s([A-Za-z0-9+/=\s]++)-----END \1-----")
 
 #: Keyword in lower case -> the expression to try where it begins.
 _KEYWORDS = {k: "assign" for k in ("password", "passwd", "secret", "token", "apikey", "api_key")}
@@ -87,7 +88,8 @@ def _at(kind: str, text: str, start: int) -> tuple[int, bool] | None:
         return m and (m.end(), m.end() - start >= 20)
     if kind == "jwt":
         m = _JWT.match(text, start)
-        return m and (m.end(), _json_object(m[1]) and _json_object(m[2]))
+        # where a run is no first part from here, it is none from any later place in it
+        return (m.end(), _json_object(m[1]) and _json_object(m[2])) if m else (_JWT_RUN.match(text, start).end(), False)
     if kind == "pem":
         m = _PEM.match(text, start)
         return m and (m.end(), _der_length(m[2]))
@@ -170,7 +172,11 @@ def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced; every row, column and clean text stays as it is."""
+    """``docs`` with secrets in ``text`` replaced; every row, column and clean text stays as it is.
+
+    ``n_chars``, where there is such a column, counts the new text.  Null and empty texts and null ids stay, repeated rows stay repeated, no row gives
+    no row.
+    """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
@@ -179,4 +185,4 @@ def redacted(docs: DataFrame) -> DataFrame:
             out = [redact(t, find_secrets(t, automaton)) for _, part in texts(batch) for t in part]
             yield batch.set_column(where, batch.schema.field(where), pa.array(out, batch.schema.field(where).type))
 
-    return map_arrow(docs, scan, docs.schema)
+    return recounted(map_arrow(docs, scan, docs.schema))
