@@ -1,9 +1,9 @@
 """Language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are character 1- to 3-grams of the lower-cased text, hashed to ``FEATURES`` columns, as relative frequencies times inverse document
-frequencies.  The document frequencies are counted over all documents.  The weights are trained by follow-the-regularised-leader (FTRL-proximal)
-with elastic-net penalties on a bounded sample of labelled documents, ``per_language`` of each language; a temperature fitted on a part of the
-sample that the weights have not seen calibrates the scores.
+frequencies.  The document frequencies are counted over all documents that may be learned from.  The weights are trained by
+follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a bounded sample of labelled documents, ``per_language`` of each language; a
+temperature fitted on a part of the sample that the weights have not seen calibrates the scores.
 """
 
 from __future__ import annotations
@@ -21,19 +21,27 @@ from .common import map_arrow, texts
 FEATURES = 1 << 15
 #: The bound of the training sample: documents of each language.
 PER_LANGUAGE = 500
+CHUNK = 1 << 16
 UNKNOWN = "und"
 
 
-def grams(text: str) -> np.ndarray:
-    """The feature of each 1-, 2- and 3-gram of ``text``."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
-    one = points * np.uint32(0x9E3779B1)
-    two = (one[:-1] ^ np.uint32(0x5BD1E995)) * np.uint32(31) + one[1:]
-    three = (two[:-1] ^ np.uint32(0x27D4EB2F)) * np.uint32(31) + one[2:]
-    mixed = np.concatenate([one, two, three])
-    mixed ^= mixed >> np.uint32(15)
-    mixed *= np.uint32(0x85EBCA6B)
-    return (mixed >> np.uint32(32 - FEATURES.bit_length() + 1)).astype(np.int64)
+def _mixed(points: np.ndarray) -> np.ndarray:
+    points ^= points >> np.uint32(15)
+    points *= np.uint32(0x85EBCA6B)
+    return points >> np.uint32(32 - FEATURES.bit_length() + 1)
+
+
+def gram_counts(text: str) -> np.ndarray:
+    """How often each feature occurs among the 1-, 2- and 3-grams of ``text``, which is gone through in pieces of ``CHUNK`` characters."""
+    text = text.lower()
+    counts = np.zeros(FEATURES, np.int64)
+    for at in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[at : at + CHUNK + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+        one = points * np.uint32(0x9E3779B1)
+        two = (one[:-1] ^ np.uint32(0x5BD1E995)) * np.uint32(31) + one[1:]
+        three = (two[:-1] ^ np.uint32(0x27D4EB2F)) * np.uint32(31) + one[2:]
+        counts += np.bincount(_mixed(np.concatenate([one[:CHUNK], two[:CHUNK], three[:CHUNK]])), minlength=FEATURES)
+    return counts
 
 
 def has_letter(text: str | None) -> bool:
@@ -52,8 +60,8 @@ class Model:
         """The language and its probability; ``und`` with score 0 where there is no letter, or nothing was learned."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
-        found = grams(text)
-        logits = self.bias + np.bincount(found, minlength=FEATURES).astype(np.float32) @ self.weights / len(found)
+        counts = gram_counts(text)
+        logits = self.bias + counts.astype(np.float32) @ self.weights / counts.sum()
         odds = np.exp(logits - logits.max())
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
@@ -68,9 +76,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for _, part in texts(batch):
                 for text in part:
                     if text:
-                        mark = np.zeros(FEATURES, bool)
-                        mark[grams(text)] = True
-                        seen[:-1] += mark
+                        seen[:-1] += gram_counts(text) > 0
                     total += 1
         seen[-1] = total
         used = np.flatnonzero(seen)
@@ -85,7 +91,10 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def _sample(labelled: DataFrame, per_language: int) -> list:
     """(language, features, frequencies) of up to ``per_language`` documents of each language, those with the smallest hashes; a repeated row counts once."""
     keyed = labelled.withColumn("key", F.xxhash64("doc_id", "text"))
-    ranked = keyed.select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    # four times the wanted share of the hashes holds the smallest ones but for a chance that never happens, and is all that is put in order
+    share = keyed.groupBy("lang").agg((4 * per_language / F.approx_count_distinct("key")).alias("share"))  # a row a language
+    least = keyed.select("lang", "key").join(F.broadcast(share), "lang").where(F.col("key") / 2.0**64 + 0.5 <= F.col("share"))
+    ranked = least.select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
     keys = ranked.where(F.col("rank") <= per_language).select("lang", "key")  # per_language rows of each language: broadcast within that bound
     chosen = keyed.join(F.broadcast(keys), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
 
@@ -95,8 +104,9 @@ def _sample(labelled: DataFrame, per_language: int) -> list:
             for at, part in texts(batch):
                 out = []
                 for language, text in zip(languages[at:], part):
-                    used, counts = np.unique(grams(text), return_counts=True)
-                    out.append((language, used.astype("<u4").tobytes(), (counts / counts.sum()).astype("<f4").tobytes()))
+                    counts = gram_counts(text)
+                    used = np.flatnonzero(counts)
+                    out.append((language, used.astype("<u4").tobytes(), (counts[used] / counts.sum()).astype("<f4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))], ["lang", "used", "share"])
 
     rows = map_arrow(chosen.select("lang", "text"), scan, "lang string, used binary, share binary").collect()
@@ -147,13 +157,14 @@ def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """A model learned from the text and non-null lang of the rows of ``docs`` that are not ``held_out``; document frequencies are of all rows.
+    """A model learned from the text and non-null lang of the rows of ``docs`` that are not ``held_out``, and from nothing else.
 
-    Rows without a letter teach nothing; with no labelled row the model knows no language.
+    Document frequencies are of all those rows, a repeated row counted each time.  Rows without a letter teach nothing; with no labelled row the
+    model knows no language.
     """
-    counts, total = _document_frequencies(docs)
-    idf = np.log((1 + total) / (1 + counts)) + 1
     teach = docs.where(F.col("lang").isNotNull() & ~held_out & F.col("text").rlike(r"\p{L}"))
+    counts, total = _document_frequencies(teach)
+    idf = np.log((1 + total) / (1 + counts)) + 1
     rows = _sample(teach.select("doc_id", "lang", "text"), per_language)
     languages = tuple(sorted({r[0] for r in rows}))
     weighed = []
@@ -197,7 +208,10 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is known with a score of ``least`` or more."""
+    """The rows of ``docs``, unchanged, whose language is known with a score of ``least`` or more.
+
+    Null, empty and letterless texts have no language and go; null ids and other columns are kept, repeated rows stay repeated, no row gives no row.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
