@@ -3,8 +3,9 @@
 A source's target in words is met by complete epochs of its documents first; the fraction of an epoch that remains goes to the documents with
 the smallest keys ``-ln(u) / quality`` (u uniform, a hash of the document), taken until their prefix sum of words reaches it.
 
-No source is sorted in one task.  Keys are monotonically mapped to cells; the words of each (source, cell) are summed with map-side
-aggregation, the few sums are prefix-summed, and only the one cell in which a source's budget ends is put in order.
+No source is sorted in one task.  The keys of a source fall into cells; the words of each cell are summed with map-side aggregation and
+prefix-summed, and the one cell in which the budget ends is divided into cells again until it is small.  What is put in order is that cell's
+(key, id, size), without texts.  The document at which the budget ends then settles every other one where it is read.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, recounted, saved
 
 SHARE = 1.5
 WEIGHTS = (3.0, 1.0, 2.0)
 MOST = 2.0
 CELLS = 4096
+#: Rows of a cell that are put in order by one task.
+SMALL = 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -25,9 +28,10 @@ def word_count(text: Column) -> Column:
 
 
 def text_quality(text: Column, words: Column) -> Column:
-    """A weight from 0.25 to 1: low for words of unusual mean length, which junk, markup and tables have."""
+    """A weight from 0.1 to 1 that falls with the distance of the mean word length from 5.5 letters and is halved below five words."""
     mean = (F.length(text) - words + 1) / words
-    return F.when(words == 0, 0.25).when((mean >= 3) & (mean <= 12), 1.0).otherwise(0.25)
+    graded = F.greatest(F.lit(0.1), 1 - F.abs(mean - 5.5) / 8)
+    return F.when(words == 0, 0.1).when(words < 5, graded / 2).otherwise(graded)
 
 
 def uniform(*key: Column) -> Column:
@@ -57,52 +61,89 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple[float,
     return levelled.select("source", "source_size", target.alias("target"))
 
 
-def mixed(docs: DataFrame, quality: Column | None = None, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 42, id_column: str = "doc_id") -> DataFrame:
-    """``docs`` with size__, source_size__, target__ and taken__: the words the mix takes of each row, repeats counted.
+def _sized(docs: DataFrame, quality: Column | None, seed: int, id_column: str) -> DataFrame:
+    """``docs`` with size__ and key__.  The words are counted once: what a generator makes is not computed again by those who use it."""
+    counted = docs.withColumn("size__", F.explode(F.array(word_count(F.col("text")))))
+    weight = quality if quality is not None else text_quality(F.col("text"), F.col("size__"))
+    weight = F.greatest(F.coalesce(weight, F.lit(0.001)), F.lit(0.001))
+    return counted.withColumn("key__", -F.log(uniform(F.lit(seed), F.col(id_column))) / weight)
 
-    Sizes are words of the whole text (null: 0); empty documents are taken 0 times.  The document in which a source's budget ends is taken in
-    part, so a source's taken words differ from its target by less than one.  ``quality`` is a weight above 0 (null or less: 0.001); without
-    one it is judged from the text.  The same rows give the same result; repeated rows share a key and are told apart only by their order.
-    Null ids and sources are values like others.  An empty table gives an empty one.
+
+def _plan(slim: DataFrame, id_column: str, share: float, weights: tuple[float, ...], most: float, small: int) -> DataFrame:
+    """A row per source: its size and target, its epochs, and the (key, id, size) at which its budget ends with the words that rows there get.
+
+    ``slim`` has source, id, size__, key__.  Of a source whose budget ends with no row the end is null.
     """
-    words = word_count(F.col("text"))
-    weight = F.greatest(F.coalesce(quality if quality is not None else text_quality(F.col("text"), F.col("size__")), F.lit(0.001)), F.lit(0.001))
-    sized = docs.withColumn("size__", words).withColumn("key__", -F.log(uniform(F.lit(seed), F.col(id_column))) / weight)
-    sized = sized.withColumn("cell__", F.floor(F.lit(CELLS) * (1 - F.exp(-F.col("key__")))).cast("int"))
-    slim = sized.select(F.col("source").alias("source__"), id_column, "size__", "key__", "cell__")
-    cells = slim.groupBy("source__", "cell__").agg(F.sum("size__").alias("words"))
-    targets = source_targets(cells.select(F.col("source__").alias("source"), F.col("words").alias("size")), share, weights, most)
+    source = F.col("source")
+    totals = slim.groupBy("source").agg(F.sum("size__").alias("size"))
+    targets = source_targets(totals, share, weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    budgets = targets.withColumn("epochs__", epochs).withColumn("part__", F.floor(F.col("target")).cast("long") - F.col("epochs__") * F.col("source_size"))
-    budgets = budgets.select(F.col("source").alias("s"), F.col("source_size").alias("source_size__"), F.col("target").alias("target__"), "epochs__", "part__")
-    upto = Window.partitionBy("source__").orderBy("cell__").rowsBetween(Window.unboundedPreceding, -1)
-    ends = cells.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(budgets, F.col("source__").eqNullSafe(F.col("s")))
-    ends = ends.where((F.col("before") <= F.col("part__")) & (F.col("part__") < F.col("before") + F.col("words")))
-    ends = ends.select(F.col("s").alias("e"), F.col("cell__").alias("end__"), "before")
-    known = saved(budgets.join(ends, F.col("s").eqNullSafe(F.col("e")), "left").drop("e"))  # a row a source: small on disk, so joined without moving documents
-    with_plan = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # only rows of the cell in which the budget ends are put in order; the others are settled where they are read
-    at_end = F.col("cell__") == F.col("end__")
-    inside = with_plan.where(at_end)
-    order = Window.partitionBy("source").orderBy("key__", F.col(id_column), "size__").rowsBetween(Window.unboundedPreceding, -1)
-    sums = F.col("before") + F.coalesce(F.sum("size__").over(order), F.lit(0))
-    inside = inside.withColumn("share__", F.greatest(F.lit(0), F.least(F.col("size__"), F.col("part__") - sums)))
-    outside = with_plan.where(~F.coalesce(at_end, F.lit(False))).withColumn("share__", F.when(F.col("cell__") < F.col("end__"), F.col("size__")).otherwise(0))
-    both = inside.unionByName(outside)
-    taken = F.col("epochs__") * F.col("size__") + F.col("share__")
-    return both.withColumn("taken__", taken.cast("long")).drop("key__", "cell__", "end__", "before", "epochs__", "part__", "share__")
-
-
-def mixture(docs: DataFrame, **options) -> DataFrame:
+    budgets = targets.withColumn("epochs", epochs).withColumn("part", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
+    budgets = saved(budgets)
+    # low to high are the keys among which a source's budget ends, before the words of those with smaller keys
+    bounds = budgets.select(F.col("source").alias("s"), "part", F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("before"))
+    rows = slim
+    while True:
+        within = rows.join(bounds, source.eqNullSafe(F.col("s"))).where(F.col("key__").between(F.col("low"), F.col("high")))
+        first = F.col("high") == float("inf")
+        place = F.when(first, 1 - F.exp(-F.col("key__"))).otherwise((F.col("key__") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
+        cell = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * CELLS), F.lit(CELLS - 1)).cast("int")
+        cells = within.groupBy("s", "part", cell.alias("cell"), F.col("before").alias("base")).agg(
+            F.sum("size__").alias("words"), F.count("*").alias("n"), F.min("key__").alias("low"), F.max("key__").alias("high")
+        )
+        upto = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        ends = cells.withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        ends = ends.where((F.col("before") <= F.col("part")) & (F.col("part") < F.col("before") + F.col("words")))
+        bounds = saved(ends.select("s", "part", "low", "high", "before", "n"))
+        if not bounds.where((F.col("n") > small) & (F.col("low") < F.col("high"))).limit(1).count():
+            break
+        bounds = bounds.drop("n")
+    last = slim.join(bounds.drop("n"), source.eqNullSafe(F.col("s"))).where(F.col("key__").between(F.col("low"), F.col("high")))
+    same = last.groupBy("s", "part", "before", F.struct("key__", id_column, "size__").alias("end")).agg(F.count("*").alias("n"), F.sum("size__").alias("words"))
+    order = Window.partitionBy("s").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("part") - F.col("before") - F.coalesce(F.sum("words").over(order), F.lit(0))
+    cut = same.withColumn("rest", rest).where((F.col("rest") >= 0) & (F.col("rest") < F.col("words")))
+    cut = cut.select(F.col("s").alias("e"), "end", F.floor(F.col("rest") / F.col("n")).alias("each"))
+    known = budgets.join(cut, source.eqNullSafe(F.col("e")), "left")
+    return saved(known.select(source.alias("s"), F.col("source_size").alias("source_size__"), F.col("target").alias("target__"), "epochs", "end", "each"))
+
+
+def _taken(rows: DataFrame, plan: DataFrame, id_column: str) -> DataFrame:
+    """``rows`` with source_size__, target__ and taken__ by what the plan says of their source; a row a source, so Spark may send it to all."""
+    here = F.struct("key__", id_column, "size__")
+    part = F.when(F.col("end").isNull() | (here > F.col("end")), 0).when(here == F.col("end"), F.col("each")).otherwise(F.col("size__"))
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    return joined.withColumn("taken__", (F.col("epochs") * F.col("size__") + part).cast("long")).drop("s", "epochs", "end", "each")
+
+
+def mixed(
+    docs: DataFrame, quality: Column | None = None, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 42, id_column: str = "doc_id", small: int = SMALL
+) -> DataFrame:
+    """(id, source, size__, source_size__, target__, taken__) of every row of ``docs``: the words the mix takes of each row, repeats counted.
+
+    Sizes are words of the whole text (null: 0); empty documents are taken 0 times.  The document in which a source's budget ends is taken in
+    part, so a source's taken words differ from its target by less than one.  Where rows of one id and size are repeated at that end, they share
+    what is left evenly, and the difference is less than their number.  ``quality`` is a weight above 0 (null or less: 0.001); without one it is
+    judged from the text.  The same rows give the same result.  Null ids and sources are values like others.  An empty table gives an empty one.
+    """
+    slim = saved(_sized(docs, quality, seed, id_column).select(id_column, "source", "size__", "key__"))
+    return _taken(slim, _plan(slim, id_column, share, weights, most, small), id_column).drop("key__")
+
+
+def mixture(docs: DataFrame, quality: Column | None = None, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 42, id_column: str = "doc_id", small: int = SMALL) -> DataFrame:
     """The mixed documents themselves: each row as often as it is taken whole, and the one cut at a source's budget once more up to the cut.
 
-    The columns are those of ``docs``; the text of a cut document is its first words, space-joined.
+    The columns are those of ``docs``; the text of a cut document is its first words, space-joined, and ``n_chars``, where there is such a column,
+    counts it.  Nulls, repeats and ties are as in :func:`mixed`; texts without a word are left out; an empty table gives an empty one.
     """
-    taken = mixed(docs, **options).where("taken__ > 0")
+    sized = _sized(docs, quality, seed, id_column)
+    slim = saved(sized.select(id_column, "source", "size__", "key__"))
+    taken = _taken(sized, _plan(slim, id_column, share, weights, most, small), id_column).where("taken__ > 0")
     copies = F.concat(
         F.when(F.col("taken__") >= F.col("size__"), F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken__") / F.col("size__")).cast("int"))).otherwise(F.array().cast("array<long>")),
         F.when(F.col("taken__") % F.col("size__") > 0, F.array(F.col("taken__") % F.col("size__"))).otherwise(F.array().cast("array<long>")),
     )
     rows = taken.withColumn("cut__", F.explode(copies))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("cut__").cast("int")), " ")
-    return rows.withColumn("text", F.when(F.col("cut__") > 0, first).otherwise(F.col("text"))).select(docs.columns)
+    cut = F.when(F.col("cut__") > 0, first).otherwise(F.col("text"))
+    return recounted(rows.withColumn("text", cut).select(docs.columns))

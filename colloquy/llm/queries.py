@@ -121,7 +121,7 @@ t AS (SELECT source, total, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f
 p AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor(target / total) AS BIGINT) ELSE 0 END AS epochs FROM t),
 k AS (SELECT d.*, p.total, p.target, p.epochs, CAST(floor(p.target) AS BIGINT) - p.epochs * p.total AS part,
   -ln((CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
-    / CASE WHEN size = 0 THEN 0.25 WHEN (length(text) - size + 1) / size BETWEEN 3 AND 12 THEN 1.0 ELSE 0.25 END AS key
+    / CASE WHEN size = 0 THEN 0.1::DOUBLE ELSE greatest(0.1::DOUBLE, 1 - abs((length(text) - size + 1) / CAST(size AS DOUBLE) - 5.5::DOUBLE) / 8) / CASE WHEN size < 5 THEN 2 ELSE 1 END END AS key
   FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source),
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
 SELECT doc_id, size, total AS source_size, target, CAST(epochs * size + greatest(0, least(size, part - before)) AS BIGINT) AS taken FROM c""",
