@@ -2,12 +2,15 @@
 
 Patterns find e-mail and IP addresses, card and telephone numbers.  Sanitisation then follows information theory (Sanchez and Batet,
 "C-sanitized", 2016): over the corpus, a term's pointwise mutual information with a protected entity, as a share of the entity's information
-content, estimates how much of the entity a reader learns from the term.  Terms near an entity that reach ``generalise`` are replaced by their
-shape, those that reach ``remove`` are taken out.
+content, estimates how much of the entity a reader learns from the term.  The chance of the entity given the term is estimated from below, with one
+document more that has the term and not the entity, so entities and terms of few documents count as well.  Terms near an entity that reach
+``generalise`` are replaced by their shape, those that reach ``remove`` are taken out, wherever they stand in the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,10 @@ _EXPRESSIONS = {
 
 #: Code points on either side of an entity that count as its context.
 CONTEXT = 60
-#: Least number of documents in which a term must stand near an entity.
-SUPPORT = 3
+#: Documents that are taken to have a term without its entity, beside those that do.
+PRIOR = 1
+#: Spans of a text are placed in runs of so many, which are then shifted; code points to a cell of a text.
+RUN, CELL = 512, 64
 GENERALISE, REMOVE = 0.8, 0.95
 _TERM = r"[\p{L}]{3,}"
 
@@ -62,7 +67,23 @@ def _found(text: Column, expression: str) -> Column:
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
     pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))), lambda p: p["hit"].isNotNull())
-    return F.aggregate(pairs, begin, step, lambda s: s["spans"])
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("bases"))
+
+    # a state that grows is copied at every step, so it is kept short: runs of pairs are placed from 0 and then moved
+    def runs(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda i: F.aggregate(F.slice(pairs, i * RUN + 1, RUN), begin, step))
+
+    def moved(runs: Column) -> Column:
+        bases = F.aggregate(runs, none, lambda s, r: F.struct((s["at"] + r["at"]).alias("at"), F.concat(s["bases"], F.array(s["at"])).alias("bases")), lambda s: s["bases"])
+        shift = F.zip_with(runs, bases, lambda r, b: F.transform(r["spans"], lambda s: F.struct((s["start"] + b).alias("start"), (s["end"] + b).alias("end"), s["value"].alias("value"))))
+        return F.flatten(shift)
+
+    return _with(pairs, lambda p: F.when(F.size(p) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(_with(runs(p), moved)))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _of_kind(kind: str, spans: Column) -> Column:
@@ -88,57 +109,75 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _near(text: Column, span: Column, spans: Column, context: int) -> Column:
-    """The words of three letters or more within ``context`` code points of ``span`` that lie whole in there and in no entity."""
-    first = F.greatest(span["start"] - context, F.lit(0).cast("long"))
-    window = F.substring(text, (first + 1).cast("int"), (span["end"] - first + context).cast("int"))
-    whole = F.filter(_found(window, _TERM), lambda t: ((t["start"] > 0) | (first == 0)) & ((t["end"] < F.length(window)) | (first + t["end"] == F.length(text))))
-    placed = F.transform(whole, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + first).alias("start"), (t["end"] + first).alias("end")))
-    return F.filter(placed, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, row_key, base, words): one pass over the texts for entities and, where there are any, for all words of three letters or more.
+
+    ``row`` numbers the rows, of which some may be equal.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("base", F.explode(F.array(base_spans(F.col("text")))))
+    words = F.when(F.size("base") > 0, _found(F.col("text"), _TERM)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return saved(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "row_key", "base", words.alias("words")))
+
 
+def _cells(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(F.greatest(start, F.lit(0)) / CELL), F.floor(F.greatest(end - 1, start, F.lit(0)) / CELL)))
 
-def _scanned(docs: DataFrame, context: int) -> DataFrame:
-    """(doc_id, row_key, base, near): one pass over the texts for entities and the words around them."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), text.alias("text"), base_spans(F.col("text")).alias("base"))
-    near = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _near(F.col("text"), s, F.col("base"), context).alias("terms")))
-    none = F.array().cast("array<struct<entity:string,terms:array<struct<term:string,start:long,end:long>>>>")
-    return saved(rows.select("doc_id", "row_key", "base", F.when(F.size("base") > 0, near).otherwise(none).alias("near")))
 
+def _placed(scanned: DataFrame, context: int) -> tuple[DataFrame, DataFrame]:
+    """(row, term, start, end) of the words outside all entities, and (row, entity, term) of those that lie whole within ``context`` of the entity.
+
+    Words and entities meet by the cells of the text that they lie in, so a text full of both costs no more than its length.
+    """
+    words = scanned.select("row", F.explode("words").alias("w")).select("row", F.lower("w.value").alias("term"), "w.start", "w.end").withColumn("cell", _cells(F.col("start"), F.col("end")))
+    entities = scanned.select("row", F.explode("base").alias("b")).select("row", _entity(F.col("b")).alias("entity"), F.col("b.start").alias("from"), F.col("b.end").alias("to"))
+    covered = entities.select("row", "from", "to", _cells(F.col("from"), F.col("to")).alias("cell"))
+    within = words.join(covered, ["row", "cell"]).where("start < to and from < end").select("row", "start").distinct()
+    free = words.drop("cell").distinct().join(within, ["row", "start"], "left_anti")
+    free = saved(free)
+    wide = entities.select("*", _cells(F.col("from") - context, F.col("to") + context).alias("cell"))
+    near = free.withColumn("cell", _cells(F.col("start"), F.col("end"))).join(wide, ["row", "cell"]).where((F.col("start") >= F.col("from") - context) & (F.col("end") <= F.col("to") + context))
+    return free, saved(near.select("row", "entity", "term").distinct())
 
-def _disclosing(scanned: DataFrame, docs: DataFrame, support: int, least: float) -> DataFrame:
-    """(row_key, start, end, share) of the terms near an entity that give away ``least`` or more of its information."""
-    met = scanned.select("row_key", F.explode("near").alias("n")).select("row_key", "n.entity", F.explode_outer("n.terms").alias("t")).select("row_key", "entity", "t.*")
+
+def _disclosing(scanned: DataFrame, docs: DataFrame, context: int, prior: float, least: float) -> DataFrame:
+    """(row, start, end, share) of every occurrence, in its row, of a term near an entity that gives away ``least`` or more of its information.
+
+    All counts are of rows.
+    """
+    free, near = _placed(scanned, context)
     total = scanned.count()
-    entities = met.select("entity", "row_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = met.where("term is not null").select("entity", "term", "row_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = saved(both.where(F.col("n_both") >= support))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    entities = scanned.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    plain = F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0))
+    # the small letter of U+0130 ends in a mark, at which a word of the lower-cased text would end
+    exact = F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower)
+    words = docs.select(F.explode(F.array_distinct(F.when(F.contains("text", F.lit("\u0130")), exact).otherwise(plain))).alias("term"))
     # an inner join stays above the aggregation, so what is joined is a row a term and not a row an occurrence
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(both.select("term").distinct(), "term")
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(near.select("term").distinct(), "term")
     information = F.log(total / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
+    mutual = F.log(F.col("n_both") * total / ((F.greatest("n_term", "n_both") + prior) * F.col("n_entity")))
     share = F.when(information > 0, mutual / information)
     told = both.join(terms, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= least)
-    told = saved(told.select("entity", "term", "share"))
-    return met.join(told, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("share").alias("share"))
+    flagged = near.join(told.select("entity", "term", "share"), ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    return free.join(flagged, ["row", "term"]).select("row", "start", "end", "share")
 
 
-def personal_data(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def personal_data(docs: DataFrame, context: int = CONTEXT, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, row_key, spans) for every row of ``docs`` (doc_id, text, any other columns).
 
     ``spans`` is an array of (kind, start, end, action) in code points: the kinds of personal data first, in their order, then ``term`` for
     words that give an entity away, by start.  Null text is empty; texts without an entity have no span whatever their words; null ids are
-    kept; repeated rows stay repeated, count each once as a document for totals and once together for co-occurrence; no row gives no row.
-    ``row_key`` is a hash of doc_id and text.
+    kept; repeated rows stay repeated and each counts as a document; ties of information between entities change nothing, a term has the largest
+    share; no row gives no row.  ``row_key`` is a hash of doc_id and text.
     """
-    scanned = _scanned(docs, context)
-    told = _disclosing(scanned, docs, support, generalise)
+    scanned = _scanned(docs)
+    told = _disclosing(scanned, docs, context, prior, generalise)
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    terms = told.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", action.alias("action")))).alias("terms"))
+    terms = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", action.alias("action")))).alias("terms"))
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("mask").alias("action")))
     none = F.array().cast("array<struct<kind:string,start:long,end:long,action:string>>")
-    return scanned.join(terms, "row_key", "left").select("doc_id", "row_key", F.concat(base, F.coalesce("terms", none)).alias("spans"))
+    return scanned.drop("words").join(terms, "row", "left").select("doc_id", "row_key", F.concat(base, F.coalesce("terms", none)).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
