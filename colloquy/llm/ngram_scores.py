@@ -118,7 +118,8 @@ def _score(order: int, cutoff: int, backoff: float, size: int):
             has = place >= n - 1
             seen = has & (counts[n - 1] >= cutoff)
             context = np.concatenate([[1.0], counts[n - 2][:-1]])[: len(place)]
-            value = np.where(seen, counts[n - 1] / context, np.where(has, backoff * value, value))
+            full = np.divide(counts[n - 1], context, out=np.zeros(len(place)), where=seen)
+            value = np.where(seen, full, np.where(has, backoff * value, value))
             level[seen] = n
         micro = np.rint(np.log(value) * 1e6).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(words)])
@@ -145,7 +146,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, ba
     total = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
     blocks = max(1, math.ceil((total[0] or 0) / BLOCK_BYTES))
     bits = max(6, math.ceil(math.log2(blocks)))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    # a row repeated very often is dealt out by where it is read
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)))
     asked = dealt.groupBy("block").applyInArrow(_ask(order, bits), "block long, part long, hashes binary, counts binary")
     answers = asked.groupBy("part").applyInArrow(_answer, "block long, part long, totals binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, cutoff, backoff, total[1] or 1), SCORES)
