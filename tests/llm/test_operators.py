@@ -211,13 +211,72 @@ def test_personal_data(spark, docs):
         expected = plain_personal(t or "")
         assert [s for s in found[i].spans.split(",") if s and not s.startswith("term")] == expected, t
         assert found[i].base_sha256 == hashlib.sha256(",".join(expected).encode()).hexdigest()
-        assert (found[i].n_email, found[i].n_ip) == (sum(e.startswith("email") for e in expected), sum(e.startswith("ip") for e in expected))
-    near = [(i, f"Text {i}: agent Zebulon Quark writes from zq@spy.example.org today") for i in range(4)] + [(i, f"other words today number {i} writes text agent from") for i in range(4, 40)]
+        assert (found[i].n_email, found[i].n_ip, found[i].n_card, found[i].n_phone) == tuple(sum(e.startswith(k) for e in expected) for k in ("email", "ip", "card", "phone"))
+    near = [(i, f"Text {i}: agent Zebulon Quark writes from zq@spy.example.org today") for i in range(4)] + [(i, f"other words today number {i} writes text agent from") for i in range(4, 400)]
     frame = spark.createDataFrame([(*r, "k") for r in near], "doc_id long, text string, kind string")
     spans = {r.doc_id: r.spans for r in digest(personal_data(frame)).collect()}
-    assert spans[0] == "email:40:58,term:14:21,term:22:27" and all(not spans[i] for i in range(4, 40))
+    assert spans[0] == "email:40:58,term:14:21,term:22:27" and all(not spans[i] for i in range(4, 400))
     texts = {r.doc_id: r.text for r in sanitised(frame).collect()}
     assert texts[1] == "Text 1: agent   writes from [EMAIL] today" and texts[9] == near[9][1]
+    assert digest(personal_data(docs.limit(0))).count() == 0
+
+
+TERM = re.compile(r"[^\W\d_]{3,}")
+
+
+def plain_terms(texts, context, prior, least):
+    """The terms that give an entity away, place by place, from counts of rows."""
+    base = [[tuple(s.split(":")) for s in plain_personal(t)] for t in texts]
+    base = [[(k, int(a), int(b)) for k, a, b in spans] for spans in base]
+
+    def entity(t, k, a, b):
+        return k, t[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", t[a:b])
+
+    free = [[(m.start(), m.end(), m[0].lower()) for m in TERM.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in spans)] for t, spans in zip(texts, base)]
+    met = [{(entity(t, k, a, b), w) for k, a, b in spans for x, y, w in words if x >= a - context and y <= b + context} for t, spans, words in zip(texts, base, free)]
+    n_both = Counter(p for pairs in met for p in pairs)
+    n_entity = Counter(e for t, spans in zip(texts, base) for e in {entity(t, *s) for s in spans})
+    n_term = Counter(w for t in texts for w in {m[0].lower() for m in TERM.finditer(t)})
+    out = []
+    for words, pairs in zip(free, met):
+        told = {w for e, w in pairs if n_entity[e] < len(texts) and math.log(n_both[e, w] * len(texts) / ((n_term[w] + prior) * n_entity[e])) / math.log(len(texts) / n_entity[e]) >= least}
+        out.append([f"term:{a}:{b}" for a, b, w in words if w in told])
+    return out
+
+
+def test_telling_terms(spark):
+    from colloquy.llm.pii import digest, personal_data
+
+    rng = random.Random(31)
+    names = ["Zebulon", "Quark", "Ostrava", "Ünal"]
+    texts = []
+    for i in range(150):
+        words = prose(rng, rng.randint(1, 30)).split() + [rng.choice(names)] * rng.randint(0, 2)
+        rng.shuffle(words)
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["a@b.cd", "éjoe@mail.example.com,", "10.0.0.1", "+1 555 123 4567"]))
+            words += ["far"] * rng.randint(0, 30) + rng.sample(names, 1)
+        if i % 10 == 0:  # a rare word near a rare address, and again far from it
+            rare = "Xu" + "abcdefghijklmno"[i // 10] * 3
+            words = [rare, *words, *["far"] * 30, f"u{i}@b.cd", rare.upper()]
+        texts.append(" ".join(words))
+    texts += [texts[0], texts[0], "", "a@b.cd", "x" * 200 + "@b.cd Quark"]
+    frame = spark.createDataFrame([(None if i == 5 else i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, row int").repartition(3)
+    expected = Counter(",".join(plain_personal(t) + terms) for t, terms in zip(texts, plain_terms(texts, 60, 1, 0.8)))
+    assert sum("term" in e for e in expected) > 5
+    assert Counter(r.spans for r in digest(personal_data(frame)).collect()) == expected
+
+
+def test_personal_data_in_a_text_full_of_it(spark):
+    import time
+
+    from colloquy.llm.pii import digest, personal_data
+
+    text = "mail joe@example.com or 10.0.0.1 now " * 12_000
+    began = time.perf_counter()
+    found = digest(personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (found.n_email, found.n_ip) == (12_000, 12_000) and found.base_sha256 == hashlib.sha256(",".join(plain_personal(text)).encode()).hexdigest()
+    assert time.perf_counter() - began < 60
 
 
 def test_near_vectors(spark):
@@ -269,10 +328,11 @@ def test_nearest_codes(spark):
     assert code % (1 << 64) == ((1 << 64) - 1) & ~0b110110
 
 
-def test_mixed(spark, docs):
+@pytest.mark.parametrize("small", [65_536, 1])
+def test_mixed(spark, docs, small):
     from colloquy.llm.mixing import mixed, mixture
 
-    found = mixed(docs).select("doc_id", "source", F.col("size__").alias("size"), F.col("source_size__").alias("total"), F.col("target__").alias("target"), F.col("taken__").alias("taken")).collect()
+    found = mixed(docs, small=small).select("doc_id", "source", F.col("size__").alias("size"), F.col("source_size__").alias("total"), F.col("target__").alias("target"), F.col("taken__").alias("taken")).collect()
     data = table()
     assert Counter((r.doc_id, r.source, r.size) for r in found) == Counter((r[0], r[3], len(words(r[1]))) for r in data)
     sizes = Counter()
@@ -295,31 +355,49 @@ def test_mixed(spark, docs):
         taken[r.source] += r.taken
     for s in order:
         assert target[s] - 1 < taken[s] <= target[s]
-    again = mixture(docs)
+    again = mixture(docs, small=small)
     assert again.columns == docs.columns
     assert Counter(w for r in again.collect() for w in [r.source] * len(words(r.text))) == taken
-    assert mixed(docs.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("limit", [None, 3, 0])
-def test_packed(spark, docs, limit):
-    public = pytest.importorskip("public_tokenizers")
+    assert all(r.n_chars == len(r.text) for r in again.collect())
+    assert mixed(docs.limit(0)).count() == 0 and mixture(docs.limit(0)).count() == 0
+
+
+def test_mixed_takes_the_smallest_keys_and_shares_repeats(spark):
+    from colloquy.llm.mixing import mixed
+
+    data = [(i, "word " * (i % 7 + 1), "ab"[i % 2]) for i in range(400)] + [(1000, "one two three", "c")] * 50 + [(1001, "junkjunkjunkjunkjunk " * 9, "c")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    for small in (65_536, 3):
+        found = mixed(frame, quality=F.when(F.col("source") == "a", 0.001).otherwise(F.col("doc_id") % 3 + 1), small=small).collect()
+        for source, repeats in (("a", 1), ("b", 1), ("c", 50)):
+            rows, target = [r for r in found if r.source == source], [r.target__ for r in found if r.source == source][0]
+            total = rows[0].source_size__
+            assert total == sum(r.size__ for r in rows) and target - repeats < sum(r.taken__ for r in rows) <= target
+            quality = {r.doc_id: 0.001 if source == "a" else r.doc_id % 3 + 1 for r in rows}
+            key = {r.doc_id: -math.log((int(hashlib.md5(f"42|{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / quality[r.doc_id] for r in rows}
+            left, epochs = math.floor(target) - int(target / total) * total, int(target / total)
+            if repeats == 1:
+                for r in sorted(rows, key=lambda r: key[r.doc_id]):
+                    part = min(left, r.size__)
+                    assert r.taken__ == epochs * r.size__ + part
+                    left -= part
+
+
+def check_packed(data, found, path):
+    """Every id in exactly one piece, sequences without gaps; the padding as a share of all ids, and what filled sequences hold."""
     from tokenizers import Tokenizer
 
-    from colloquy.llm.packing import packed
-
-    path = public.path("word_bpe_49k.json")
-    data = table() if limit is None else table()[:limit]
-    data = [(*d[:1], (d[1] or "") + (" <|endoftext|>x İstanbul É́   a b" if d[0] == 5 else "") if d[1] is not None else None, *d[2:]) for d in data]
-    found = packed(spark.createDataFrame(data, DOCS).repartition(3), path).collect()
     tokenizer = Tokenizer.from_file(path)
     ids = [(d[0], tokenizer.encode(d[1] or "", add_special_tokens=False).ids + [2]) for d in data]
+    by_id = defaultdict(list)
+    for d, i in ids:
+        by_id[d].append(i)
     pieces = Counter()
     for doc, i in ids:
         pieces[doc, len(i)] += len(i)
     for r in found:
         pieces[r.doc_id, r.doc_tokens] -= r.length
-        assert any(zlib.crc32(np.array(i[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for d, i in ids if d == r.doc_id and len(i) == r.doc_tokens)
+        assert any(zlib.crc32(np.array(i[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for i in by_id[r.doc_id] if len(i) == r.doc_tokens)
     assert not any(pieces.values())
     sequences = defaultdict(list)
     for r in found:
@@ -332,7 +410,47 @@ def test_packed(spark, docs, limit):
             at += length
         assert at <= 4096
         padded += 0 if at & (at - 1) == 0 else 4096 - at
-    assert padded <= 0.02 * sum(len(i) for _, i in ids)
+    return padded / max(1, sum(len(i) for _, i in ids)), sum(r.length for r in found if r.sequence_id < 1 << 61)
+
+
+@pytest.mark.parametrize("limit", [None, 3, 0])
+def test_packed(spark, docs, limit):
+    public = pytest.importorskip("public_tokenizers")
+    from colloquy.llm.packing import packed
+
+    path = public.path("word_bpe_49k.json")
+    data = table() if limit is None else table()[:limit]
+    data = [(*d[:1], (d[1] or "") + (" <|endoftext|>x İstanbul É́   a b" if d[0] == 5 else "") if d[1] is not None else None, *d[2:]) for d in data]
+    data += [(300, "river seven " * 40_000, None, None, 0, "x", "y")] if limit is None else []
+    padding, _ = check_packed(data, packed(spark.createDataFrame(data, DOCS).repartition(3), path).collect(), path)
+    assert padding <= 0.02
+
+
+@pytest.mark.parametrize("most", [12, 60, 600])
+def test_packed_by_patterns(spark, most):
+    public = pytest.importorskip("public_tokenizers")
+    from colloquy.llm.packing import packed
+
+    rng = random.Random(most)
+    data = [(i, prose(rng, rng.randint(most // 3, most))) for i in range(150_000 // most)] + [(1_000_000 + i, None) for i in range(2000)]
+    found = packed(spark.createDataFrame(data, "doc_id long, text string").repartition(4), public.path("word_bpe_49k.json")).collect()
+    padding, filled = check_packed(data, found, public.path("word_bpe_49k.json"))
+    assert padding <= 0.02 and (most == 600 or filled > 0)
+
+
+def test_word_encoder_cuts_where_the_tokenizer_cuts():
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from colloquy.llm.packing import WordEncoder
+
+    rng = random.Random(1)
+    bits = ["don't", "a'S", "-'s", "'tis", "5's", "a5b", "T̈", "ẗ", "J̌", "É", "é", "İ", "<|endoftext|>", "<|", "“'s", "’s", "≠", "1́", "½", "…", "a…b", "A-b", "中文", "\xa0", "\n", " ", "K", "1,000", "!!a", "we'LL", "Ⅷ", "\x00", "\U0001f600"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", ""]) for _ in range(rng.randint(1, 15))) for _ in range(3000)]
+    encoder = WordEncoder(public.path("word_bpe_49k.json"), most=2000)
+    for at in range(0, 3000, 500):
+        found = encoder.encode(pa.array(texts[at : at + 500]))
+        assert [i.tolist() for i in found] == [e.ids for e in encoder.tokenizer.encode_batch(texts[at : at + 500], add_special_tokens=False)]
 
 
 def test_patterns_reach_the_bound():
@@ -378,6 +496,34 @@ def test_secrets(spark, docs):
     assert secret_spans(docs.limit(0)).count() == 0
 
 
+def test_secrets_with_checksums_and_long_runs(spark):
+    import base64
+    import json
+    import time
+
+    from colloquy.llm.secrets import checksum, digest, find_secrets, redacted, secret_spans
+
+    def part(value):
+        return base64.urlsafe_b64encode(json.dumps(value).encode()).decode().rstrip("=")
+
+    body = "a1B2" * 7 + "xY"
+    jwt = f"{part({'alg': 'HS256'})}.{part({'sub': 'me'})}.c2ln"
+    der = base64.b64encode(b"\x30\x06" + b"abcdef").decode()
+    short = base64.b64encode(b"\x30\x07" + b"abcdef").decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{der}\n-----END RSA PRIVATE KEY-----"
+    cases = [(f"npm_{body}{checksum(body)}", "npm"), (f"npm_{body}000000", None), (jwt, "jwt"), (jwt.replace(".", "..", 1), None), ("eyJxx." + jwt, None), ("eyJxx " + jwt, "jwt"), (pem, "pem"), (pem.replace(der, short), None), (pem.replace("END RSA", "END"), None)]
+    for text, kind in cases:
+        found = [k for _, _, k in find_secrets(f"see {text} there") if k not in ("assign", "access", "hex")]
+        assert found == ([kind] if kind else []), text
+    began = time.perf_counter()
+    for text in ("eyJ" * 300_000, "eyJ." * 200_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "token" * 150_000, "password= " * 100_000, "AKIA" * 200_000, "f" * 1_000_000):
+        find_secrets(text)
+    assert time.perf_counter() - began < 30
+    frame = spark.createDataFrame([(1, "token=abcdefgh", 14), (1, "token=abcdefgh", 14), (None, None, 0), (2, "", 0)], "doc_id long, text string, n_chars int")
+    assert sorted(r.n_assign for r in digest(secret_spans(frame)).collect()) == [0, 0, 1, 1]
+    assert sorted((r.text or "", r.n_chars) for r in redacted(frame).collect()) == [("", 0), ("", 0), ("[ASSIGN]", 8), ("[ASSIGN]", 8)]
+
+
 def test_language(spark):
     from colloquy.llm.language import accepted, held_out, predictions, train
 
@@ -402,6 +548,50 @@ def test_language(spark):
     assert [tuple(r)[1:] for r in predictions(frame.limit(1), empty).collect()] == [("und", 0.0)]
 
 
+def plain_counts(text):
+    """The features of every 1-, 2- and 3-gram, one at a time."""
+    points, mask, counts = list(map(ord, text.lower())), 0xFFFFFFFF, Counter()
+    one = [p * 0x9E3779B1 & mask for p in points]
+    for i in range(len(one)):
+        two = three = None
+        if i + 1 < len(one):
+            two = ((one[i] ^ 0x5BD1E995) * 31 + one[i + 1]) & mask
+        if i + 2 < len(one):
+            three = ((two ^ 0x27D4EB2F) * 31 + one[i + 2]) & mask
+        for value in (one[i], two, three):
+            if value is not None:
+                value = (value ^ value >> 15) * 0x85EBCA6B & mask
+                counts[value >> 17] += 1
+    return counts
+
+
+def test_language_learns_from_no_held_out_row_and_scores_whole_texts(spark, monkeypatch):
+    from colloquy.llm import language
+
+    rng = random.Random(12)
+    parts = {"en": "the th ing and er".split(), "de": "der sch ung ein ß".split()}
+    data = [(i, " ".join(rng.choice(parts[l]) for _ in range(rng.randint(5, 40))), l, "x") for i in range(120) for l in [rng.choice(["en", "de"])]]
+    data += [data[5]] * 40 + [(None, "the and", "en", "x"), (500, None, "de", "x"), (501, "der ein", None, "x")]
+    schema = "doc_id long, text string, lang string, key string"
+    learned = language.train(spark.createDataFrame(data, schema).repartition(3), language.held_out(F.col("doc_id")))
+    changed = [(d, "zzz qqq " * 50, "xx", k) if d is not None and zlib.crc32(str(d).encode()) % 3 == 1 else (d, t, l, k) for d, t, l, k in data]
+    again = language.train(spark.createDataFrame(changed, schema).repartition(5), language.held_out(F.col("doc_id")))
+    assert learned.languages == again.languages == ("de", "en")
+    assert np.array_equal(learned.weights, again.weights) and np.array_equal(learned.bias, again.bias)
+    long = "the ing und sch " * 9000 + "İ ß"
+    for chunk in (7, 1 << 16):
+        monkeypatch.setattr(language, "CHUNK", chunk)
+        for text in ("a", "ab", "The thing, ßen", long[:2000] if chunk == 7 else long):
+            counts = plain_counts(text)
+            assert {i: n for i, n in enumerate(language.gram_counts(text).tolist()) if n} == counts
+            logits = [learned.bias[k] + sum(n * float(learned.weights[i, k]) for i, n in counts.items()) / sum(counts.values()) for k in range(2)]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            lang, score = learned.predict(text)
+            assert lang == learned.languages[logits.index(max(logits))] and score == pytest.approx(max(odds) / sum(odds), rel=1e-4)
+    tied = language.Model(("de", "en"), np.zeros((language.FEATURES, 2), np.float32), np.zeros(2))
+    assert tied.predict("abc") == ("de", 0.5)  # ties go to the language that sorts first
+
+
 def test_licenses(spark, docs):
     from colloquy.llm.licenses import PHRASES, TEMPLATES, license_scan
 
