@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -173,3 +175,87 @@ def without_components(mix: Column, variant: str, task: str, parts: dict[str, Co
         if part is not None:
             out = F.when(part.isNull(), out).otherwise(minus(out, part))
     return out
+
+
+def clean_target(first: Column, second: Column, task: str) -> Column:
+    """What a task has to give back: ``EB`` both speakers' sum, ``ES`` the first, ``SB`` both apart (an array of two signals)."""
+    if task == "EB":
+        return add(first, second)
+    if task == "ES":
+        return first
+    if task == "SB":
+        return F.array(first, second)
+    raise ValueError(f"unknown task {task}")
+
+
+def better_pairing(straight: tuple[Column, Column], crossed: tuple[Column, Column], base: tuple[Column, Column]) -> Column:
+    """The pairing of two streams with two sources whose scores add up to more, a tie straight: a struct of average, first, second, crossed and the
+    baselines of the sources that the streams were paired with."""
+    takes = straight[0] + straight[1] >= crossed[0] + crossed[1]
+
+    def pick(a: Column, b: Column) -> Column:
+        return F.when(takes, a).otherwise(b)
+
+    one, two = pick(straight[0], crossed[0]), pick(straight[1], crossed[1])
+    return F.struct(((one + two) / 2).alias("average"), one.alias("first"), two.alias("second"), (~takes).alias("crossed"), pick(*base).alias("base_first"), pick(base[1], base[0]).alias("base_second"))
+
+
+def common_length(x: Column, y: Column) -> tuple[Column, Column]:
+    """Both signals cut to the shorter one."""
+    n = F.least(F.size(x), F.size(y))
+    return F.slice(x, 1, n), F.slice(y, 1, n)
+
+
+def or_nan_if_silent(value: Column, target: Column, level: float, least: float = 0.01) -> Column:
+    """NaN where less than ``least`` of the target's samples are louder than ``level``."""
+    return F.when(activity(target, level) < least, F.lit(float("nan"))).otherwise(value)
+
+
+def skippable(x: Column, shortest: int, peak: float = 1e-4) -> Column:
+    """Whether a stream is shorter than ``shortest`` samples or never reaches ``peak``."""
+    return (F.size(x) < shortest) | (F.coalesce(F.array_max(F.transform(x, F.abs)), F.lit(0.0)) < peak)
+
+
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _frames(x: Column, at: Callable[[Column], Column]) -> Column:
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.size(x) - 1), at))
+
+
+def _dilated(mask: Column, width: int) -> Column:
+    """On wherever one of the ``width`` frames around is on; the window of an even width is one longer to the right."""
+    before = width - width // 2 - 1
+
+    def spread(m: Column) -> Column:
+        return _frames(m, lambda i: F.array_max(F.slice(m, F.greatest(i - before, F.lit(0)) + 1, width + F.least(i - before, F.lit(0)))))
+
+    return with_value(mask, spread)
+
+
+def _eroded(mask: Column, width: int) -> Column:
+    """On only where all of the ``width`` frames around are on, frames outside being off; the window of an even width is one longer to the left."""
+    before, after = width // 2, width - width // 2 - 1
+
+    def shrink(m: Column) -> Column:
+        return _frames(m, lambda i: (i >= before) & (i + after < F.size(m)) & F.array_min(F.slice(m, F.greatest(i - before, F.lit(0)) + 1, width)))
+
+    return with_value(mask, shrink)
+
+
+def energy_mask(x: Column, frame: int, close: int, open: int, relative: float = 0.07, floor: float = 1e-4) -> Column:
+    """Where the moving RMS of ``frame`` samples is above ``relative`` of its peak: an array of booleans, gaps below ``close`` samples closed first,
+    then runs below ``open`` opened; null for an empty signal.  Samples outside the signal are zero and no activity."""
+    before, after = frame // 2, frame - frame // 2 - 1
+
+    def envelope(square: Column) -> Column:
+        def at(i: Column) -> Column:
+            low, high = F.greatest(i - before, F.lit(0)), F.least(i + after, F.size(square) - 1)
+            return F.sqrt(F.aggregate(F.slice(square, low + 1, high - low + 1), F.lit(0.0), lambda a, v: a + v) / frame)
+
+        return _frames(square, at)
+
+    loud = with_value(with_value(F.transform(x, lambda v: v * v), envelope), lambda e: F.transform(e, lambda v: v > F.greatest(F.array_max(e) * relative, F.lit(floor))))
+    return _dilated(_eroded(_eroded(_dilated(loud, close), close), open), open)

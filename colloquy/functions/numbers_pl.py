@@ -1,10 +1,9 @@
-"""Polish cardinal numbers in words."""
+"""Polish cardinal numbers in words, as column expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # The Polish words for numbers.
 _UNITS = "zero jeden dwa trzy cztery pięć sześć siedem osiem dziewięć dziesięć jedenaście dwanaście trzynaście czternaście piętnaście szesnaście siedemnaście osiemnaście dziewiętnaście".split()
@@ -13,49 +12,65 @@ _HUNDREDS = "sto dwieście trzysta czterysta pięćset sześćset siedemset osie
 _GROUPS = [("tysiąc", "tysiące", "tysięcy"), ("milion", "miliony", "milionów"), ("miliard", "miliardy", "miliardów"), ("bilion", "biliony", "bilionów")]
 
 
-def _below_thousand(n: int) -> list[str]:
-    out = [_HUNDREDS[n // 100 - 1]] if n >= 100 else []
-    n %= 100
-    if n >= 20:
-        out += [_TENS[n // 10 - 2]] + ([_UNITS[n % 10]] if n % 10 else [])
-    elif n:
-        out.append(_UNITS[n])
-    return out
+#: Longer runs of digits stay as they are.
+DIGITS = 15
 
 
-def _form(n: int, forms: tuple[str, str, str]) -> str:
-    if n == 1:
-        return forms[0]
-    return forms[1] if n % 10 in (2, 3, 4) and n % 100 not in (12, 13, 14) else forms[2]
+def _word(words: list[str], index: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), index.cast("int"))
 
 
-def in_words(digits: str) -> str:
-    """``digits`` as words; unchanged beyond fifteen digits.  Leading zeros do not count."""
-    n = int(digits)
-    if n >= 10**15:
-        return digits
-    if n == 0:
-        return _UNITS[0]
-    out: list[str] = []
+def _below_thousand(n: Column) -> list[Column]:
+    """The words of a number from 0 to 999; null where there is none."""
+    rest = n % 100
+    return [
+        F.when(n >= 100, _word(_HUNDREDS, F.floor(n / 100))),
+        F.when(rest >= 20, _word(_TENS, F.floor(rest / 10) - 1)),
+        F.when((rest >= 20) & (rest % 10 > 0), _word(_UNITS, rest % 10 + 1)).when((rest > 0) & (rest < 20), _word(_UNITS, rest + 1)),
+    ]
+
+
+def in_words(digits: Column) -> Column:
+    """A run of ASCII digits as words; unchanged beyond fifteen digits.  Leading zeros do not count."""
+    n = digits.try_cast("long")
+    parts = []
     for k in range(4, -1, -1):
-        part = n // 1000**k % 1000
-        if part and k:
-            out += ([] if part == 1 else _below_thousand(part)) + [_form(part, _GROUPS[k - 1])]
-        elif part:
-            out += _below_thousand(part)
-    return " ".join(out)
+        part = F.call_function("div", n, F.lit(1000**k)) % 1000
+        if k:
+            few = (part % 10).isin(2, 3, 4) & ~(part % 100).isin(12, 13, 14)
+            form = F.when(part == 1, _GROUPS[k - 1][0]).when(few, _GROUPS[k - 1][1]).otherwise(_GROUPS[k - 1][2])
+            parts += [F.when(part > 1, w) for w in _below_thousand(part)] + [F.when(part > 0, form)]
+        else:
+            parts += _below_thousand(part)
+    long = F.length(F.regexp_replace(digits, "^0+(?=.)", "")) > DIGITS
+    return F.when(long, digits).when(n == 0, _UNITS[0]).otherwise(F.concat_ws(" ", *parts))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def spell_numbers(tokens: pd.Series) -> pd.Series:
+def spell_numbers(tokens: Column) -> Column:
     """Token lists with runs of ASCII digits replaced by their words."""
-    known: dict[str, list[str]] = {}
+    return F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), F.split(in_words(t), " ")).otherwise(F.array(t))))
+
 
-    def words(t: str) -> list[str]:
-        if not (t.isascii() and t.isdigit()):
-            return [t]
-        if t not in known:
-            known[t] = in_words(t).split()
-        return known[t]
+def in_words_sql(t: str) -> str:
+    """The same as a DuckDB expression over the text expression ``t``."""
 
-    return tokens.map(lambda ts: None if ts is None else [w for t in ts for w in words(t)])
+    def pick(words: list[str], at: str) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + f"][{at}]"
+
+    def below(p: str) -> list[str]:
+        return [
+            f"CASE WHEN {p} >= 100 THEN {pick(_HUNDREDS, f'{p} // 100')} END",
+            f"CASE WHEN {p} % 100 >= 20 THEN {pick(_TENS, f'{p} % 100 // 10 - 1')} END",
+            f"CASE WHEN {p} % 100 >= 20 AND {p} % 10 > 0 THEN {pick(_UNITS, f'{p} % 10 + 1')} WHEN {p} % 100 BETWEEN 1 AND 19 THEN {pick(_UNITS, f'{p} % 100 + 1')} END",
+        ]
+
+    n, parts = f"TRY_CAST({t} AS BIGINT)", []
+    for k in range(4, -1, -1):
+        p = f"({n} // {1000**k} % 1000)"
+        if k:
+            one, few, many = _GROUPS[k - 1]
+            form = f"CASE WHEN {p} = 1 THEN '{one}' WHEN {p} % 10 IN (2, 3, 4) AND {p} % 100 NOT IN (12, 13, 14) THEN '{few}' WHEN {p} > 0 THEN '{many}' END"
+            parts += [f"CASE WHEN {p} > 1 THEN {w} END" for w in below(p)] + [form]
+        else:
+            parts += below(p)
+    return f"CASE WHEN length(ltrim({t}, '0')) > {DIGITS} THEN {t} WHEN {n} = 0 THEN '{_UNITS[0]}' ELSE concat_ws(' ', {', '.join(parts)}) END"

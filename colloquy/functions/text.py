@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers_pl import spell_numbers
+
 #: Whole tokens that carry no words, and spellings that count as one.
 FILLER = r"^(?:y{2,}|e{2,}|m{2,}|hm+|mhm+|yhy)$"
 CANONICAL = {"okej": "ok"}
@@ -16,11 +18,11 @@ def finite_time(x: Column) -> Column:
 
 
 def normalised_tokens(text: Column) -> Column:
-    """Lower-cased words of ``text`` without markup in angle or square brackets, punctuation and fillers."""
+    """Lower-cased words of ``text`` without markup in angle or square brackets, punctuation and fillers; numbers in Polish words."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), "<[^>]*>", " "), r"\[[^\]]*\]", " ")
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s]+", " "), r"\s+", " ")), " ")
     kept = F.filter(words, lambda t: (t != "") & ~t.rlike(FILLER))
-    return F.transform(kept, lambda t: F.coalesce(F.create_map(*[F.lit(x) for kv in CANONICAL.items() for x in kv])[t], t))
+    return spell_numbers(F.transform(kept, lambda t: F.coalesce(F.create_map(*[F.lit(x) for kv in CANONICAL.items() for x in kv])[t], t)))
 
 
 def normalise(text: Column) -> Column:

@@ -78,28 +78,44 @@ def sticky(history: DataFrame, keys: Sequence[str], order: str, starts: Column)
 def as_of(rows: DataFrame, schedule: DataFrame, at: str, since: str, value: str) -> DataFrame:
     """The ``value`` of the last ``schedule`` entry at or before each row's ``at``, null before the first.
 
-    A schedule is a short list made by hand; it becomes a constant, so that the rows are not moved at all.
+    A schedule is a short list made by hand; it becomes a constant, so that the rows are not moved at all.  More than ``SHORT_LIST`` entries are
+    refused.
     """
-    entries = sorted((r[0], r[1]) for r in schedule.select(since, value).collect())
+    entries = sorted((r[0], r[1]) for r in _short(schedule.select(since, value)))
     known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v")) for t, v in entries])
     return rows.withColumn(value, F.get(F.reverse(F.filter(known, lambda e: e["t"] <= F.col(at))), F.lit(0))["v"] if entries else F.lit(None).cast(schedule.schema[value].dataType))
 
 
-def quota_select(candidates: DataFrame, cells: Sequence[tuple[str, int]], quota: int, cell: str = "cell", group: str = "rec", score: str = "score", key: str = "key") -> DataFrame:
-    """Cells in declared order each take their best rows, a ``group`` at most ``quota`` over all cells together.
+#: Rows of a list made by hand.
+SHORT_LIST = 1000
+
+
+def _short(rows: DataFrame) -> list:
+    found = rows.limit(SHORT_LIST + 1).collect()
+    if len(found) > SHORT_LIST:
+        raise ValueError(f"more than {SHORT_LIST} rows: this is no list made by hand")
+    return found
+
+
+def quota_select(candidates: DataFrame, cells: Sequence[tuple[str, int]], quota: int | dict[str, int], cell: str = "cell", group: str = "rec", score: str = "score", key: str = "key") -> DataFrame:
+    """Cells in declared order each take their best rows while their ``group`` has less than ``quota`` over all cells together.
 
     What a cell may take depends on the cells before it, so the choice itself is made in turn, on the driver, over rows whose number the
     targets bound: of a cell, ``quota`` rows a group, and of those the best ``target`` plus ``quota`` for every row that earlier cells can have
     taken, since only groups with such rows can be blocked.  That pruning is one distributed pass.  Ties go to the smaller ``key``.
     """
     spark, earlier, bounds = candidates.sparkSession, 0, []
+    quotas = quota if isinstance(quota, dict) else dict.fromkeys((name for name, _ in cells), quota)
     for name, target in cells:
-        bounds.append((name, target + quota * earlier))
+        bounds.append((name, target + quotas[name] * earlier, quotas[name]))
         earlier += target
     best = (F.desc(score), F.col(key))
     within = F.row_number().over(Window.partitionBy(cell, group).orderBy(*best))
-    limited = candidates.join(F.broadcast(spark.createDataFrame(bounds, f"{cell} string, most__ long")), cell).withColumn("n__", within).where(F.col("n__") <= quota)
-    ranked = limited.withColumn("n__", F.row_number().over(Window.partitionBy(cell).orderBy(*best))).where("n__ <= most__")
+    limited = candidates.join(F.broadcast(spark.createDataFrame(bounds, f"{cell} string, most__ long, quota__ long")), cell).withColumn("n__", within).where("n__ <= quota__")
+    # a cell's best are picked in 64 parts first, so that no cell is ranked whole in one task
+    for part in (F.pmod(F.xxhash64(group), F.lit(64)), F.lit(0)):
+        limited = limited.withColumn("n__", F.row_number().over(Window.partitionBy(cell, part).orderBy(*best))).where("n__ <= most__")
+    ranked = limited
     used: dict = {}
     chosen, by_cell = [], {}
     for row in ranked.orderBy(cell, "n__").select(candidates.columns).collect():
@@ -107,13 +123,18 @@ def quota_select(candidates: DataFrame, cells: Sequence[tuple[str, int]], quota:
     for name, target in cells:
         left = target
         for row in by_cell.get(name, []):
-            if left and used.get(row[group], 0) < quota:
+            if left and used.get(row[group], 0) < quotas[name]:
                 used[row[group]] = used.get(row[group], 0) + 1
                 chosen.append(row)
                 left -= 1
     return spark.createDataFrame(chosen, candidates.schema)
 
 
+def projected_days(seconds: Column, samples: Column, target: int, epochs: int) -> Column:
+    """Days that ``epochs`` epochs of ``target`` samples take, in proportion to the seconds of an epoch of ``samples``."""
+    return seconds / samples * target * epochs / 86400
+
+
 def audit(candidates: DataFrame, chosen: DataFrame, cell: str = "cell", group: str = "rec") -> DataFrame:
     """Per cell how many rows there were, how many were taken, and from how many groups."""
     had = candidates.groupBy(cell).agg(F.count("*").alias("available"))
@@ -124,7 +145,7 @@ def audit(candidates: DataFrame, chosen: DataFrame, cell: str = "cell", group: s
 def distance_to_chosen(runs: DataFrame, chosen: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """``runs`` with the least Euclidean distance of their z-scores (by mean and deviation of all runs) to those of the ``chosen`` few.
 
-    The chosen runs are a short list made by hand or by a limit and are broadcast.
+    The chosen runs are a short list made by hand or by a limit and become a constant; more than ``SHORT_LIST`` are refused.
     """
     stats = runs.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
 
@@ -132,6 +153,6 @@ def distance_to_chosen(runs: DataFrame, chosen: DataFrame, columns: Sequence[str
         z = [((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)) for c in columns]
         return frame.withColumn(name, F.array(*z))
 
-    picks = [r["z"] for r in scored(chosen, "z").select("z").collect()]
+    picks = [r["z"] for r in _short(scored(chosen, "z").select("z"))]
     apart = F.array_min(F.transform(F.array(*[F.array(*map(F.lit, p)) for p in picks]), lambda p: F.sqrt(F.aggregate(F.zip_with(p, F.col("z__"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v))))
     return scored(runs, "z__").withColumn("distance", apart).drop("z__")

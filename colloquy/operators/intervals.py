@@ -49,17 +49,29 @@ def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], width=None) -> Data
 def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], least=0, width=None) -> DataFrame:
     """What of each interval of ``a`` no interval of ``b`` covers, in pieces longer than ``least``: (columns of a with start and end cut).
 
-    The pieces of ``a`` are not merged with each other.
+    The pieces of ``a`` are not merged with each other; repeated rows stay repeated.  Null keys meet null keys, and nulls in other columns are
+    values like others.  One join to the merged ``b`` and one window: a cut gives the piece before it, the last one the piece after it as well.
     """
     columns = a.columns
-    numbered = a.withColumn("piece__", F.struct(*columns))
-    cuts = meeting(numbered, merge(b, keys, touching=True), keys, width).select(*keys, "piece__", "lo", "hi").distinct()
-    order = Window.partitionBy("piece__").orderBy("lo")
-    inner = cuts.withColumn("from__", F.coalesce(F.lag("hi").over(order), F.col("piece__.start"))).select("piece__", F.col("from__").alias("start"), F.col("lo").alias("end"))
-    tail = cuts.groupBy("piece__").agg(F.max("hi").alias("start")).select("piece__", "start", F.col("piece__.end").alias("end"))
-    whole = a.join(cuts.select(*[F.col(f"piece__.{c}").alias(c) for c in columns]).distinct(), columns, "left_anti")
-    cut = inner.union(tail).select(*[F.col(f"piece__.{c}").alias(c) if c not in ("start", "end") else F.col(c) for c in columns])
-    return cut.unionByName(whole.select(columns)).where(F.col("end") - F.col("start") > least)
+    cuts = merge(b, keys, touching=True).select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("start").alias("from__"), F.col("end").alias("to__"))
+    numbered = a.withColumn("row__", F.monotonically_increasing_id())
+    on = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
+    if width is not None:
+        numbered = numbered.withColumn("a_bucket__", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+        cuts = cuts.withColumn("b_bucket__", F.explode(F.sequence(F.floor(F.col("from__") / width), F.floor(F.col("to__") / width))))
+        # a cut counts in the one bucket in which the shared time begins
+        on += [F.col("a_bucket__") == F.col("b_bucket__"), F.col("a_bucket__") == F.floor(F.greatest("start", "from__") / width)]
+    met = numbered.join(cuts, [*on, F.col("start") < F.col("to__"), F.col("from__") < F.col("end")], "left")
+    row = Window.partitionBy("row__")
+    order = row.orderBy(F.col("from__").asc_nulls_last())
+    ranked = met.withColumn("n__", F.count("from__").over(row)).withColumn("i__", F.row_number().over(order)).withColumn("reached__", F.coalesce(F.lag("to__").over(order), "start"))
+    # rows without a cut of a bucketed interval that has cuts in other buckets, or none at all, say nothing more
+    ranked = ranked.where((F.col("i__") <= F.col("n__")) | ((F.col("n__") == 0) & (F.col("i__") == 1)))
+    before = F.struct(F.col("reached__").alias("start"), F.coalesce("from__", F.col("end")).alias("end"))
+    after = F.struct(F.coalesce("to__", F.col("end")).alias("start"), F.col("end").alias("end"))
+    pieces = ranked.withColumn("piece__", F.explode(F.when(F.col("i__") >= F.col("n__"), F.array(before, after)).otherwise(F.array(before))))
+    out = pieces.select(*[F.col(f"piece__.{c}").alias(c) if c in ("start", "end") else F.col(c) for c in columns])
+    return out.where(F.col("end") - F.col("start") > least)
 
 
 def overlaps(turns: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", least: int = 2) -> DataFrame:

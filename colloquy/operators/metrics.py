@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .intervals import meeting, merge
+from .intervals import meeting, merge, overlaps, subtract
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
@@ -41,7 +41,7 @@ def token_errors(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def assign(cost: np.ndarray) -> tuple[int, ...]:
-    """For each row of a square matrix the column that makes the sum least: all orders up to 8, else by augmenting paths."""
+    """For each row of a square matrix the column that makes the sum least: all orders up to 6, else by augmenting paths."""
     n = len(cost)
     if n <= 6:
         return min(permutations(range(n)), key=lambda p: (sum(cost[i, j] for i, j in enumerate(p)), p))
@@ -70,12 +70,41 @@ def assign(cost: np.ndarray) -> tuple[int, ...]:
     return tuple(out.tolist())
 
 
-def diarization_error(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker") -> DataFrame:
-    """(keys, miss, false_alarm, confusion, total, der) per recording, without a collar.
+def scored_time(reference: DataFrame, totals: DataFrame, keys: Sequence[str], speaker: str = "speaker", collar=0, skip_overlap: bool = False) -> DataFrame:
+    """(keys, start, end) of the time that is scored: [0, total] less half a ``collar`` on either side of every reference boundary and, with
+    ``skip_overlap``, less the time in which two or more reference speakers talk."""
+    span = totals.select(*keys, F.lit(0).cast(totals.schema["total"].dataType).alias("start"), F.col("total").alias("end"))
+    out = []
+    if collar:
+        edges = merge(reference, [*keys, speaker], touching=True).select(*keys, F.explode(F.array("start", "end")).alias("t"))
+        out.append(edges.select(*keys, (F.col("t") - collar / 2).alias("start"), (F.col("t") + collar / 2).alias("end")))
+    if skip_overlap:
+        out.append(overlaps(reference, keys, speaker))
+    for less in out:
+        span = subtract(span, less, keys)
+    return span
+
+
+def within(turns: DataFrame, scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``turns`` cut to the ``scored`` time."""
+    columns = [F.col("lo").alias(c) if c == "start" else F.col("hi").alias(c) if c == "end" else F.col(c) for c in turns.columns]
+    return meeting(turns, scored.select(*keys, "start", "end"), keys).select(*columns)
+
+
+def diarization_error(
+    reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", totals: DataFrame | None = None, collar=0, skip_overlap: bool = False
+) -> DataFrame:
+    """(keys, miss, false_alarm, confusion, total, der) per recording.
 
     A speaker's own turns are merged first.  Hypothesis speakers are mapped one to one onto reference speakers so that most time agrees; what
-    both sides hold at once but not under that mapping is confusion.  ``total`` sums speech per reference speaker.
+    both sides hold at once but not under that mapping is confusion.  ``total`` sums speech per reference speaker.  With ``totals`` (keys, total)
+    only :func:`scored_time` counts, for the mapping as well; ``collar`` and ``skip_overlap`` need it.
     """
+    if totals is not None:
+        scored = scored_time(reference, totals, keys, speaker, collar, skip_overlap)
+        reference, hypothesis = (within(t, scored, keys) for t in (reference, hypothesis))
+    elif collar or skip_overlap:
+        raise ValueError("a collar and the skipping of overlaps need the recordings' totals")
     keys = list(keys)
     ref, hyp = merge(reference, [*keys, speaker], touching=True), merge(hypothesis, [*keys, speaker], touching=True)
 
@@ -115,10 +144,11 @@ def speaker_tokens(utterances: DataFrame, tokens: Column, keys: Sequence[str], s
     return parts.select(*keys, speaker, F.flatten(F.transform("parts", lambda p: p["t"])).alias("tokens"))
 
 
-def assigned_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], speaker: str = "speaker", errors_of=token_errors) -> DataFrame:
-    """(keys, errors, length): token errors of (keys, speaker, tokens) tables under the best one-to-one assignment of speakers.
+def assignment(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], speaker: str = "speaker", errors_of=token_errors) -> DataFrame:
+    """(keys, speaker, other, errors, length): which hypothesis speaker each reference speaker is given, one to one, for the fewest token errors.
 
-    A speaker without a partner counts as all deleted or all inserted.  ``errors_of`` compares two lists; see :func:`timed_errors`.
+    A reference speaker without a partner (other is null) is all deleted, a hypothesis speaker without one (speaker is null) all inserted.  The
+    tables are (keys, speaker, tokens); ``errors_of`` compares two lists; see :func:`timed_errors`.
     """
     keys = list(keys)
     ref = reference.select(*keys, F.col(speaker).alias("r"), F.col("tokens").alias("a"))
@@ -137,11 +167,33 @@ def assigned_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[
         at_r, at_h = {k: i for i, k in enumerate(refs.index)}, {k: i for i, k in enumerate(hyps.index)}
         for r, h, c in rows[rows["r"].notna() & rows["h"].notna()][["r", "h", "cost"]].itertuples(index=False):
             cost[at_r[r], at_h[h]] = c
-        errors = sum(cost[i, j] for i, j in enumerate(assign(cost)))
-        return pd.DataFrame([[*rows[keys].iloc[0], int(errors), int(refs.sum())]], columns=[*keys, "errors", "length"])
+        names = [*refs.index, *[None] * (n - len(refs))], [*hyps.index, *[None] * (n - len(hyps))]
+        sizes = [*refs.tolist(), *[0] * (n - len(refs))]
+        key = rows[keys].iloc[0].tolist()
+        return pd.DataFrame([[*key, names[0][i], names[1][j], int(cost[i, j]), sizes[i]] for i, j in enumerate(assign(cost))], columns=[*keys, "speaker", "other", "errors", "length"])
 
     types = ", ".join(f"`{k}` {reference.schema[k].dataType.simpleString()}" for k in keys)
-    return pairs.unionByName(alone).unionByName(extra).groupBy(*keys).applyInPandas(best, f"{types}, errors long, length long")
+    return pairs.unionByName(alone).unionByName(extra).groupBy(*keys).applyInPandas(best, f"{types}, speaker string, other string, errors long, length long")
+
+
+def assigned_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], speaker: str = "speaker", errors_of=token_errors) -> DataFrame:
+    """(keys, errors, length): token errors under the best one-to-one assignment of speakers; see :func:`assignment`."""
+    return assignment(reference, hypothesis, keys, speaker, errors_of).groupBy(*keys).agg(F.sum("errors").alias("errors"), F.sum("length").alias("length"))
+
+
+def characters_between(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, errors, length): character errors between token lists a and b, joined by spaces, added up over the rows of a key."""
+    a, b = (F.coalesce(F.array_join(c, " "), F.lit("")) for c in ("a", "b"))
+    return texts.groupBy(*keys).agg(F.sum(F.levenshtein(a, b)).cast("long").alias("errors"), F.sum(F.length(a)).cast("long").alias("length"))
+
+
+def assigned_characters(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str], speaker: str = "speaker") -> DataFrame:
+    """(keys, errors, length): character errors under the assignment of speakers that has the fewest word errors."""
+    keys = list(keys)
+    pairs = assignment(reference, hypothesis, keys, speaker).select(*keys, "speaker", "other")
+    ref = reference.select(*keys, F.col(speaker).alias("speaker"), F.col("tokens").alias("a"))
+    hyp = hypothesis.select(*keys, F.col(speaker).alias("other"), F.col("tokens").alias("b"))
+    return characters_between(pairs.join(ref, [*keys, "speaker"], "left").join(hyp, [*keys, "other"], "left"), keys)
 
 
 def single_stream_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -152,14 +204,12 @@ def single_stream_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequ
 
 def timed_distance(a: list[tuple], b: list[tuple], collar: float) -> int:
     """Edit distance of (token, start, end) lists in which tokens pair up only where they are less than ``collar`` apart in time."""
-    row = list(range(len(b) + 1))
-    for i, (x, s, e) in enumerate(a, 1):
-        new = [i]
-        for j, (y, t, u) in enumerate(b, 1):
-            pair = row[j - 1] + (x != y) if s < u + collar and t < e + collar else 1 << 40
-            new.append(min(row[j] + 1, new[-1] + 1, pair))
-        row = new
-    return row[-1]
+    tokens, starts, ends = (np.array([t[k] for t in b], object if k == 0 else float) for k in range(3))
+    row = step = np.arange(len(b) + 1)
+    for i, (token, start, end) in enumerate(a, 1):
+        pair = np.where((start < ends + collar) & (starts < end + collar), row[:-1] + (tokens != token), 1 << 40)
+        row = np.minimum.accumulate(np.concatenate([[i], np.minimum(row[1:] + 1, pair)]) - step) + step
+    return int(row[-1])
 
 
 def spread_in_time(tokens: Column, start: Column, end: Column) -> Column:
@@ -299,8 +349,10 @@ def interleaved_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequen
         elif not characters_too:
             errors = merged_errors([(s, list(t)) for s, t in zip(left["speaker"], left["tokens"])], streams[0])
         else:
-            _, merged = best_interleaving([[list(t) for t in g["tokens"]] for _, g in left.groupby("speaker", sort=True)], streams[0])
-            a, b = "".join(merged), "".join(streams[0])
+            merged = [t for ts in left["tokens"] for t in ts]
+            if edit_distance(merged, streams[0]) > _least_errors(merged, streams[0]):
+                _, merged = best_interleaving([[list(t) for t in g["tokens"]] for _, g in left.groupby("speaker", sort=True)], streams[0])
+            a, b = " ".join(merged), " ".join(streams[0])
             return pd.DataFrame([[*key, edit_distance(a, b), len(a)]], columns=[*keys, "errors", "length"])
         return pd.DataFrame([[*key, errors, sum(map(len, left["tokens"]))]], columns=[*keys, "errors", "length"])
 

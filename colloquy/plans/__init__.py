@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, each with DuckDB SQL where SQL can say it."""
 
-from . import analytics_queries, array_queries, interval_queries, metric_queries, text_queries
+from . import analytics_queries, array_queries, evaluation_queries, interval_queries, metric_queries, text_queries
 
-_MODULES = (interval_queries, analytics_queries, array_queries, text_queries, metric_queries)
+_MODULES = (interval_queries, analytics_queries, array_queries, text_queries, metric_queries, evaluation_queries)
 
 
 def all_queries() -> dict:

@@ -1,10 +1,11 @@
-"""Queries of speech metrics; the hypothesis is the reference with every seventh word dropped and other speaker names."""
+"""Queries of speech metrics; the hypothesis is the reference with every seventh word dropped, replaced or added to and other speaker names."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised_tokens
+from ..operators import evaluation as ev
 from ..operators import metrics as me
 from .registry import Registry
 from .text_queries import TOKENS
@@ -39,24 +40,50 @@ def met_01_diarization_error(spark, sf_dir):
     return me.diarization_error(segments(spark, sf_dir), _hypothesis(spark, sf_dir))
 
 
+#: Recordings take turns: words are dropped, replaced or added to; every fifth has a speaker more, of three words, that the reference has not.
+_HIT = "(i + rec + utt_no) % 7 = 0"
 _DROPPED = f"""tok AS (SELECT rec, utt_no, speaker, {TOKENS} AS tokens FROM utterances),
-    drops AS (SELECT rec, speaker, CAST(len(tokens) AS BIGINT) AS n, CAST(len(list_filter(range(1, len(tokens) + 1), lambda i: (i + rec + utt_no) % 7 = 0)) AS BIGINT) AS d FROM tok)"""
+    drops AS (SELECT rec, speaker, tokens, CAST(len(tokens) AS BIGINT) AS n, CAST(len(list_filter(range(1, len(tokens) + 1), lambda i: {_HIT})) AS BIGINT) AS d FROM tok)"""
 
 
 def _tokens(spark, sf_dir):
     ref = utterances(spark, sf_dir).select("rec", "utt_no", "speaker", normalised_tokens(F.col("text")).alias("tokens"))
-    kept = F.filter(F.col("tokens"), lambda t, i: (i + 1 + F.col("rec") + F.col("utt_no")) % 7 != 0)
-    return ref, ref.select("rec", "utt_no", F.concat(F.lit("h"), "speaker").alias("speaker"), kept.alias("tokens"))
+
+    def changed(t, i):
+        hit = (i + 1 + F.col("rec") + F.col("utt_no")) % 7 == 0
+        kind = F.col("rec") % 3
+        return F.when(~hit, F.array(t)).when(kind == 0, F.array().cast("array<string>")).when(kind == 1, F.array(F.lit("#"))).otherwise(F.array(F.lit("#"), t))
+
+    return ref, ref.select("rec", "utt_no", F.concat(F.lit("h"), "speaker").alias("speaker"), F.flatten(F.transform("tokens", changed)).alias("tokens"))
+
+
+def _with_stranger(hyp):
+    extra = hyp.where("rec % 5 = 0").select("rec").distinct()
+    return hyp.unionByName(extra.select("rec", F.lit(0).cast("long").alias("utt_no"), F.lit("other").alias("speaker"), F.array(*[F.lit("#")] * 3).alias("tokens")))
 
 
 def _by_speaker(rows):
     return me.speaker_tokens(rows, F.col("tokens"), ["rec"], "speaker", "utt_no")
 
 
-@query("SELECT rec, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS length FROM drops GROUP BY rec", UTTERANCES, _DROPPED)
+@query("SELECT rec, CAST(sum(d) + CASE WHEN rec % 5 = 0 THEN 3 ELSE 0 END AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS length FROM drops GROUP BY rec", UTTERANCES, _DROPPED)
 def met_02_cp_word_errors(spark, sf_dir):
     ref, hyp = _tokens(spark, sf_dir)
-    return me.assigned_errors(_by_speaker(ref), _by_speaker(hyp), ["rec"])
+    return me.assigned_errors(_by_speaker(ref), _by_speaker(_with_stranger(hyp)), ["rec"])
+
+
+@query("SELECT rec, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS length FROM drops GROUP BY rec", UTTERANCES, _DROPPED)
+def met_03_time_constrained_errors(spark, sf_dir):
+    """A collar wider than any shift: the errors are those without times."""
+    times = utterances(spark, sf_dir).select("rec", "utt_no", "start", "end")
+    ref, hyp = (t.join(times, ["rec", "utt_no"]).withColumn("tokens", me.spread_in_time(F.col("tokens"), F.col("start"), F.col("end"))) for t in _tokens(spark, sf_dir))
+    return me.assigned_errors(_by_speaker(ref), _by_speaker(hyp), ["rec"], errors_of=me.timed_errors(3_600_000.0))
+
+
+@query("SELECT rec, speaker, 'h' || speaker AS other, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS length FROM drops GROUP BY rec, speaker", UTTERANCES, _DROPPED)
+def met_02_assignment(spark, sf_dir):
+    ref, hyp = _tokens(spark, sf_dir)
+    return me.assignment(_by_speaker(ref), _by_speaker(hyp), ["rec"])
 
 
 @query("SELECT rec, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS length FROM drops GROUP BY rec", UTTERANCES, _DROPPED)
@@ -66,7 +93,7 @@ def met_04_time_ordered_errors(spark, sf_dir):
 
 
 @query(
-    "SELECT CASE WHEN sum(n) > 0 THEN 100.0 * sum(d) / sum(n) ELSE 'nan'::DOUBLE END AS rate, count(*) AS sessions FROM (SELECT rec, sum(d) AS d, sum(n) AS n FROM drops GROUP BY rec)", UTTERANCES, _DROPPED
+    "SELECT CASE WHEN sum(n) > 0 THEN 100.0 * sum(d) / sum(n) ELSE 'nan'::DOUBLE END AS rate, count(*) AS sessions FROM (SELECT rec, sum(d) + CASE WHEN rec % 5 = 0 THEN 3 ELSE 0 END AS d, sum(n) AS n FROM drops GROUP BY rec)", UTTERANCES, _DROPPED
 )
 def met_10_15_summary(spark, sf_dir):
     from ..operators.analytics import micro_rate
@@ -74,12 +101,43 @@ def met_10_15_summary(spark, sf_dir):
     return met_02_cp_word_errors(spark, sf_dir).agg(micro_rate(F.col("errors"), F.col("length")).alias("rate"), F.count("*").alias("sessions"))
 
 
-@query("SELECT rec, speaker, CAST(sum(len(array_to_string(list_filter(tokens, lambda t, i: (i + rec + utt_no) % 7 = 0), ''))) AS BIGINT) AS errors FROM tok GROUP BY rec, speaker", UTTERANCES, _DROPPED)
+#: Of recordings in which words are dropped the character errors are the difference in length.
+_KEPT = f"list_filter(tokens, lambda t, i: NOT ({_HIT}))"
+_CHARACTERS = f"""kept AS (SELECT rec, utt_no, speaker, tokens, {_KEPT} AS kept FROM tok WHERE rec % 3 = 0),
+    lengths AS (SELECT rec, speaker, greatest(sum(length(array_to_string(tokens, ' ')) + CASE WHEN len(tokens) > 0 THEN 1 ELSE 0 END) - 1, 0) AS a, greatest(sum(length(array_to_string(kept, ' ')) + CASE WHEN len(kept) > 0 THEN 1 ELSE 0 END) - 1, 0) AS b FROM kept GROUP BY rec, speaker),
+    whole AS (SELECT rec, greatest(sum(length(array_to_string(tokens, ' ')) + CASE WHEN len(tokens) > 0 THEN 1 ELSE 0 END) - 1, 0) AS a, greatest(sum(length(array_to_string(kept, ' ')) + CASE WHEN len(kept) > 0 THEN 1 ELSE 0 END) - 1, 0) AS b FROM kept GROUP BY rec)"""
+
+
+def _only_dropped(tables):
+    return tuple(t.where("rec % 3 = 0") for t in tables)
+
+
+@query("SELECT rec, CAST(sum(a - b) AS BIGINT) AS errors, CAST(sum(a) AS BIGINT) AS length FROM lengths GROUP BY rec", UTTERANCES, _DROPPED, _CHARACTERS)
 def met_07_characters(spark, sf_dir):
-    ref, hyp = _tokens(spark, sf_dir)
-    a = _by_speaker(ref).select("rec", "speaker", F.array_join("tokens", "").alias("a"))
-    b = _by_speaker(hyp).select("rec", F.substring("speaker", 2, 99).alias("speaker"), F.array_join("tokens", "").alias("b"))
-    return a.join(b, ["rec", "speaker"], "left").select("rec", "speaker", F.levenshtein("a", F.coalesce("b", F.lit(""))).cast("long").alias("errors"))
+    ref, hyp = _only_dropped(_tokens(spark, sf_dir))
+    return me.assigned_characters(_by_speaker(ref), _by_speaker(hyp), ["rec"])
+
+
+@query("SELECT rec, CAST(a - b AS BIGINT) AS errors, CAST(a AS BIGINT) AS length FROM whole", UTTERANCES, _DROPPED, _CHARACTERS)
+def met_08_merged_characters(spark, sf_dir):
+    ref, hyp = _only_dropped(_tokens(spark, sf_dir))
+    one = _by_speaker(hyp.withColumn("speaker", F.lit("all"))).select("rec", F.col("speaker").alias("stream"), "tokens")
+    return me.interleaved_errors(ref.select("rec", "speaker", F.col("utt_no").alias("order"), "tokens"), one, ["rec"], characters_too=True)
+
+
+@query("SELECT rec, CAST(a - b AS BIGINT) AS errors, CAST(a AS BIGINT) AS length FROM whole", UTTERANCES, _DROPPED, _CHARACTERS)
+def met_09_time_ordered_characters(spark, sf_dir):
+    ref, hyp = (t.withColumnRenamed("utt_no", "order") for t in _only_dropped(_tokens(spark, sf_dir)))
+    return ev.time_ordered_characters(ref, hyp, ["rec"])
+
+
+@query("SELECT rec, CASE WHEN rec % 5 = 0 THEN 300.0::DOUBLE / sum(n) ELSE 0.0::DOUBLE END AS gap FROM drops GROUP BY rec HAVING sum(n) > 0", UTTERANCES, _DROPPED)
+def met_10_attribution_gap(spark, sf_dir):
+    """The stranger's three words are charged only where words are attributed."""
+    rate = 100.0 * F.col("errors") / F.col("length")
+    cp = met_02_cp_word_errors(spark, sf_dir).where("length > 0").select("rec", rate.alias("cp"), "length")
+    orc = met_04_time_ordered_errors(spark, sf_dir).where("length > 0").select("rec", rate.alias("orc"))
+    return cp.join(orc, "rec").select("rec", F.round(ev.attribution_gap(F.col("cp"), F.col("orc")) * F.col("length")).alias("g"), "length").select("rec", (F.col("g") / F.col("length")).alias("gap"))
 
 
 @query()

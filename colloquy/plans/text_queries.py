@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.numbers_pl import in_words, in_words_sql
 from ..sinks import lines as out
 from ..sources import annotations as src
 from .registry import Registry
@@ -14,16 +15,26 @@ from .views import SEGMENTS, UTTERANCES, segments, table, utterances
 _REGISTRY = Registry()
 QUERIES, ORACLE_SQL, query = _REGISTRY.queries, _REGISTRY.oracle, _REGISTRY.query
 
-#: The normalised words of ``text``.
-TOKENS = (
+#: The normalised words of ``text``, and before numbers are spelt.
+_PLAIN_TOKENS = (
     r"list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]*>', ' ', 'g'), '\[[^\]]*\]', ' ', 'g'), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')), ' '), "
     r"lambda t: t <> '' AND NOT regexp_matches(t, '^(?:y{2,}|e{2,}|m{2,}|hm+|mhm+|yhy)$')), lambda t: CASE WHEN t = 'okej' THEN 'ok' ELSE t END)"
 )
+TOKENS = f"flatten(list_transform({_PLAIN_TOKENS}, lambda t: CASE WHEN regexp_matches(t, '^[0-9]+$') THEN string_split({in_words_sql('t')}, ' ') ELSE [t] END))"
+#: Conversations name few numbers, so every third utterance gets one.
+_NUMBERED = "(text || CASE utt_no % 3 WHEN 0 THEN ' Mam ' || CAST(utt_no * rec * 7919 AS VARCHAR) || ' i 007 okej' ELSE '' END)"
 
 
-@query(f"SELECT rec, utt_no, array_to_string({TOKENS}, ' ') AS norm FROM utterances", UTTERANCES)
+@query(f"SELECT rec, utt_no, array_to_string({TOKENS}, ' ') AS norm FROM (SELECT rec, utt_no, {_NUMBERED} AS text FROM utterances)", UTTERANCES)
 def str_01_to_07_normalise(spark, sf_dir):
-    return utterances(spark, sf_dir).select("rec", "utt_no", tx.normalise(F.col("text")).alias("norm"))
+    number = F.concat(F.lit(" Mam "), (F.col("utt_no") * F.col("rec") * 7919).cast("string"), F.lit(" i 007 okej"))
+    text = F.concat("text", F.when(F.col("utt_no") % 3 == 0, number).otherwise(""))
+    return utterances(spark, sf_dir).select("rec", "utt_no", tx.normalise(text).alias("norm"))
+
+
+@query(f"SELECT event_id, {in_words_sql('CAST(event_id * 997 AS VARCHAR)')} AS words FROM events")
+def str_06_numbers_in_words(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", in_words((F.col("event_id") * 997).cast("string")).alias("words"))
 
 
 @query(r"SELECT p_partkey, regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9._-]', '_', 'g') AS safe, replace(p_name, 'a', '') AS without, regexp_extract(p_brand, '([0-9]+)', 1) AS number FROM part")

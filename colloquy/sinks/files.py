@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
     spark = rows.sparkSession
     try:
         fresh = rows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         fresh = rows
     fresh = fresh.persist()
@@ -51,3 +52,22 @@ def redacted(config: DataFrame, column: str, fields: list[str], mark: str = "***
 def holds_secret(text: DataFrame, column: str = "value") -> DataFrame:
     """Rows of generated text that show an access token, which must not be published."""
     return text.where(F.col(column).rlike("hf_[A-Za-z0-9]{20,}"))
+
+
+def clips(chosen: DataFrame, audio: DataFrame, key: str, rate: int, samples: str = "x") -> DataFrame:
+    """``chosen`` (key, start, end in seconds, ..) with the ``clip`` of its recording's ``samples``; a recording without audio gives none."""
+    low, high = ((F.col(c) * rate).cast("int") for c in ("start", "end"))
+    cut = F.slice(samples, low + 1, F.greatest(high - low, F.lit(0)))
+    return chosen.join(audio.select(key, samples), key).withColumn("clip", cut).drop(samples)
+
+
+def not_written(rows: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` are not among those ``written`` already."""
+    return rows.join(written.select(*keys).distinct(), keys, "left_anti")
+
+
+def write_table(rows: DataFrame, path: str, columns: list[str], optional: tuple[str, ...] = (), order: list | None = None) -> None:
+    """One CSV with a header: ``columns``, and those ``optional`` ones that the rows have; ranked by ``order``, for a table that fits one file."""
+    kept = rows.select(*columns, *[c for c in optional if c in rows.columns])
+    kept = kept.orderBy(*order).coalesce(1) if order else kept.coalesce(1)
+    kept.write.mode("overwrite").csv(path, header=True)

@@ -89,3 +89,15 @@ def joined(rows: DataFrame, key: str, order: str, line: str) -> DataFrame:
 def write_lines(lines: DataFrame, path: str, key: str = "rec") -> None:
     """One folder of text per ``key``, lines in order."""
     lines.repartition(key).sortWithinPartitions(key, "line_no").select(key, "value").write.partitionBy(key).mode("overwrite").text(path)
+
+
+def snippet(columns: list[str]) -> Column:
+    """The columns as ``name: value`` lines."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns])
+
+
+def payload(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, value): a JSON document per key with its rows in order, for a page that shows them."""
+    others = [c for c in rows.columns if c not in (key, order)]
+    nested = F.sort_array(F.collect_list(F.struct(order, *others))).alias("rows")
+    return rows.groupBy(key).agg(nested).select(key, F.to_json(F.struct(key, "rows")).alias("value"))

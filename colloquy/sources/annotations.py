@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The line formats.
 _ARROW = r"\s*(?:→|->|—)\s*"
-_HMS = r"^\s*\[\s*(\d+):(\d{2}):(\d{2}\.\d+)" + _ARROW + r"(\d+):(\d{2}):(\d{2}\.\d+)\s*\]\s*(.*)$"
+_HMS = r"^\s*\[\s*(\d+):(\d+):(\d+\.\d+)" + _ARROW + r"(\d+):(\d+):(\d+\.\d+)\s*\]\s*(.*)$"
 _SECONDS = r"^\s*\[\s*(\d+(?:\.\d+)?)" + _ARROW + r"(\d+(?:\.\d+)?)\s*\]\s*(.*)$"
 
 
@@ -112,3 +113,17 @@ def checkpoint_paths(paths: DataFrame) -> DataFrame:
     """(path, model, task, run) from the levels of ``.../model/task/run/file``."""
     p = F.split("path", "/")
     return paths.where(F.size(p) >= 4).select("path", F.element_at(p, -4).alias("model"), F.element_at(p, -3).alias("task"), F.element_at(p, -2).alias("run"))
+
+
+def transcripts(lines: DataFrame) -> DataFrame:
+    """(rec, mode, speaker, line_no, start, end, text) of ``(rec, mode, file, line_no, value)`` lines of ``transcript_A.txt`` and ``transcript_B.txt``.
+
+    Whichever of the two there is is read; a mode with neither has no rows.
+    """
+    speaker = F.regexp_extract("file", r"^transcript_([AB])\.txt$", 1)
+    return timed_text(lines.withColumn("speaker", speaker).where("speaker <> ''")).drop("file")
+
+
+def mixtures(lines: DataFrame) -> DataFrame:
+    """(rec, mode, line_no, start, end, text) of the lines of ``transcript_mixture.txt``."""
+    return timed_text(lines.where("file = 'transcript_mixture.txt'")).drop("file")

@@ -1,6 +1,8 @@
 """A corpus cleaned and packed for training: five stages, each a table of documents in and a table out.
 
-``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir).  All but the last return the columns of ``documents``.
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir).  All but the last return the columns of ``documents``; where a stage changes
+texts, ``n_chars`` counts the new ones.  In every stage an empty table gives an empty one, null ids are kept, repeated rows are rows like others and
+columns more than those of ``documents`` are carried along; null and empty texts end with the first stage.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import jaccard, language, mixing, packing, secrets, simhash
-from colloquy.llm.common import saved
+from colloquy.llm.common import forget, saved
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table ``documents`` of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        last, docs = docs, saved(stage(spark, docs, sf_dir))
+        forget(last)  # what a stage has read is not needed once it is written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,9 +37,9 @@ def test_rttm_keeps_speaker_rows(spark):
 
 
 def test_timed_text_grammars(spark):
-    values = ["[00:01:01.20 → 00:01:03.45] hello", "[4.00 -> 5.50]  a b", "[6.00 → 7.00]   ", "# note", "[broken"]
+    values = ["[00:01:01.20 → 00:01:03.45] hello", "[0:1:2.5 → 0:1:4.0] short fields", "[4.00 -> 5.50]  a b", "[6.00 → 7.00]   ", "# note", "[broken"]
     lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "file string, line_no long, value string")
-    assert [tuple(r) for r in src.timed_text(lines).select("start", "end", "text").collect()] == [(61200, 63450, "hello"), (4000, 5500, "a b")]
+    assert [tuple(r) for r in src.timed_text(lines).select("start", "end", "text").collect()] == [(61200, 63450, "hello"), (62500, 64000, "short fields"), (4000, 5500, "a b")]
     assert [r.value for r in src.malformed(lines).collect()] == ["[broken"]
 
 
@@ -88,5 +88,7 @@ def test_numbers(spark):
     from colloquy.functions.numbers_pl import in_words, spell_numbers
 
     cases = {"0": "zero", "007": "siedem", "12": "dwanaście", "21": "dwadzieścia jeden", "100": "sto", "1000": "tysiąc", "2022": "dwa tysiące dwadzieścia dwa", "5112": "pięć tysięcy sto dwanaście", "1000001": "milion jeden", "22000000": "dwadzieścia dwa miliony", "9" * 16: "9" * 16}
-    assert {k: in_words(k) for k in cases} == cases
+    found = spark.createDataFrame([(k,) for k in cases], "n string").select("n", in_words(F.col("n")).alias("w")).collect()
+    assert {r.n: r.w for r in found} == cases
+    assert one(spark, tx.normalise(F.lit("mam 2 koty, 007 i 1a"))) == "mam dwa koty siedem i 1a"
     assert one(spark, spell_numbers(F.array(F.lit("rok"), F.lit("12"), F.lit("a1")))) == ["rok", "dwanaście", "a1"]

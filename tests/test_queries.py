@@ -43,7 +43,10 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert all_queries()[name](spark, DATA).columns
+    frame = all_queries()[name](spark, DATA)
+    rows = frame.collect()
+    assert frame.columns and all(len(r) == len(frame.columns) for r in rows)
+    assert sorted(map(repr, rows)) == sorted(map(repr, all_queries()[name](spark, DATA).collect()))
 
 
 def test_every_turn_of_a_recording_meets_a_cell(spark):
