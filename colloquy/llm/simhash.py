@@ -27,6 +27,8 @@ SEED = 42
 DISTANCE = 4
 #: Groups above this size are searched by growing a component instead of by listing pairs.
 DENSE = 512
+#: Table keys with more fingerprints than this are dealt out as pairs of blocks of half as many.
+HOT = 1 << 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -104,7 +106,7 @@ def _links(distance: int):
 def near_fingerprints(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (u, v) between distinct fingerprints whose closure joins exactly those connected by steps of ``distance`` bits or fewer.
 
-    Each table bucket yields a forest of its matches, not all their pairs.
+    Each table bucket yields a forest of its matches, not all their pairs; one of more than ``HOT`` fingerprints is searched in several tasks.
     """
     if distance > 5:
         raise ValueError("two segments with radius 1 on either side cover up to 5 differing bits")
@@ -116,9 +118,24 @@ def near_fingerprints(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
         F.transform(ball, lambda m: other.bitwiseXOR(m).bitwiseOR(F.lit(1 << 32))),
     )
     filed = distinct.select(F.explode(probes).alias("key"), "fingerprint")
+    halves = distinct.select(F.explode(F.array(half, other.bitwiseOR(F.lit(1 << 32)))).alias("half")).groupBy("half").agg(F.count("*").alias("n"))
+    # a key's bucket is made of 33 halves, so where it is large one of them is
+    large = saved(halves.where(F.col("n") > HOT / 33).select("half"))
+    if large.limit(1).count():
+        filed = _split(filed, large.select(F.explode(F.transform(ball, lambda m: F.col("half").bitwiseXOR(m))).alias("key")).distinct())
     return map_arrow(filed.repartition("key").sortWithinPartitions("key"), _links(distance), "u long, v long").distinct()
 
 
+def _split(filed: DataFrame, suspects: DataFrame) -> DataFrame:
+    """``filed`` (key, fingerprint) in which each pair of blocks of a hot key has a key of its own; only ``suspects`` can be hot."""
+    sizes = filed.join(suspects, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    blocks = F.coalesce(F.ceil(F.col("n") / (HOT / 2)), F.lit(1))
+    dealt = filed.join(saved(sizes), "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fingerprint"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(cell).alias("key"), "fingerprint")
+
+
 def _grouped(docs: DataFrame, distance: int, width: int, similar: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fingerprint) of every row, and (fingerprint, root, component_id) of every fingerprint; root names the group, whatever its ids.
 
@@ -148,19 +165,21 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 4) -
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE, width: int = 4, similar: float | None = None) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one whose doc_id names the group; of repeated rows with that id, one.
+    """``docs`` with one document of each near-duplicate group: the one whose doc_id names the group; of rows with that id, one of each group.
 
-    Of a group all of whose ids are null one row stays, the one with the smallest text.  With ``similar`` texts whose sets of five-word shingles
+    Of a group all of whose ids are null one row stays, the one with the smallest text.  Null and empty texts are one group.  No row gives no row.  With ``similar`` texts whose sets of five-word shingles
     have that Jaccard similarity or more are near-duplicates too.
     """
     prints, groups = _grouped(docs, distance, width, similar)
-    found = prints.where("doc_id is not null").join(groups, "fingerprint").where("doc_id = component_id")
+    found = saved(prints.where("doc_id is not null").join(groups, "fingerprint").where("doc_id = component_id").select("doc_id", "fingerprint", "root").distinct())
+    rows = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
     # the ids grow with the documents: joined by sorting at every size, never by sending them to all executors
-    kept = saved(found.groupBy("doc_id").agg(F.count("*").alias("n"))).hint("merge")
+    kept = saved(found.select("doc_id").distinct().join(rows.hint("merge"), "doc_id")).hint("merge")
     once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
-    again = _first(docs.join(kept.where("n > 1"), "doc_id", "left_semi"), "doc_id")
+    # where an id is repeated its rows may be of several groups
+    again = _with_fingerprint(docs.join(kept.where("n > 1"), "doc_id", "left_semi"), width).join(found, ["doc_id", "fingerprint"])
     nameless = _with_fingerprint(docs.where("doc_id is null"), width).join(groups.where("component_id is null").drop("component_id"), "fingerprint")
-    return once.unionByName(again).unionByName(_first(nameless, "root").select(docs.columns)).select(docs.columns)
+    return once.unionByName(_first(again, "root").select(docs.columns)).unionByName(_first(nameless, "root").select(docs.columns)).select(docs.columns)
 
 
 def _first(rows: DataFrame, key: str) -> DataFrame:
