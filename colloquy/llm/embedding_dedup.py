@@ -90,8 +90,14 @@ def _verified(unit: np.ndarray, keys: np.ndarray, block: np.ndarray, cross: np.n
         end = start + sizes[start]
         for i in range(start, end, 1024):
             for j in range(i, end, 1024):
-                a, b = np.nonzero(unit[i : min(i + 1024, end)] @ unit[j : min(j + 1024, end)].T >= threshold)
+                product = unit[i : min(i + 1024, end)] @ unit[j : min(j + 1024, end)].T
+                a, b = np.nonzero(product >= threshold - 1e-9)
+                value = product[a, b]
                 a, b = a + i, b + j
+                # close to the threshold the same sum decides as in small buckets
+                close = np.flatnonzero(np.abs(value - threshold) <= 1e-9)
+                value[close] = np.einsum("ij,ij->i", unit[a[close]], unit[b[close]])
+                a, b = a[value >= threshold], b[value >= threshold]
                 keep = (a < b) & (~cross[a] | (block[a] != block[b]))
                 yield a[keep], b[keep]
 
