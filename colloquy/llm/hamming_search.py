@@ -23,14 +23,15 @@ SEGMENTS = 4
 WIDTH = 16
 #: Distinct codes of a part and queries of a block: 16 bytes each, in one task.
 PART = 1 << 21
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 #: Fewer queries than this are not divided for the sake of more tasks.
 LEAST = 64
 
 
 def sign_code(vector: Column, bits: int = SEGMENTS * WIDTH) -> Column:
-    """A 64-bit code: bit i is set where component i is above zero.  Missing, null and NaN components and those beyond ``bits`` set none."""
-    doubles = F.slice(F.transform(vector, lambda x: x.cast("double")), 1, bits)
+    """A 64-bit code: bit i is set where component i is above zero.  Missing, null and NaN components set none; more than ``bits`` are refused."""
+    fits = F.when(F.size(vector) > bits, F.raise_error(F.lit(f"a vector of more than {bits} components")).cast("array<double>"))
+    doubles = fits.otherwise(F.transform(vector, lambda x: x.cast("double")))
     powers = F.transform(doubles, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(powers, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
