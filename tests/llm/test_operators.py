@@ -104,12 +104,13 @@ def test_near_duplicates(docs):
     assert rows(near_duplicates(docs)) == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("dense", [2, 512])
-def test_near_fingerprints_on_random_balls(spark, monkeypatch, dense):
+@pytest.mark.parametrize("dense, hot", [(2, 1 << 16), (512, 1 << 16), (512, 6)])
+def test_near_fingerprints_on_random_balls(spark, monkeypatch, dense, hot):
     from colloquy.llm import simhash
     from colloquy.llm.components import components
 
     monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(1)
     values = set()
     for _ in range(12):
@@ -139,6 +140,18 @@ def test_deduplicated_keeps_columns_and_clean_rows(docs):
     assert len(ids) == len(set(ids)) and set(ids) == {r.component_id for r in near_duplicates(docs).collect()}
 
 
+def test_deduplicated_with_an_id_of_several_groups(spark):
+    from colloquy.llm.simhash import deduplicated, near_duplicates
+
+    rng = random.Random(4)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, three), (2, three), (None, one), (None, "alone in here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = Counter((r.doc_id, r.text) for r in deduplicated(frame).collect())
+    assert left == Counter([(1, one), (1, two), (2, three), (None, "alone in here")])
+    assert deduplicated(frame.limit(0)).count() == 0 and near_duplicates(frame.limit(0)).count() == 0
+
+
 def test_stage_removes_copies_of_similarity_of_four_fifths(spark):
     import corpus_pipeline
     from colloquy.llm.simhash import fingerprint
@@ -306,6 +319,26 @@ def test_near_vectors(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_near_vectors_recall_at_dimension_64(spark):
+    from colloquy.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(17)
+    centres = rng.standard_normal((500, 64))
+    vectors = np.concatenate([centres, *[centres + rng.standard_normal((500, 64)) * s for s in (0.2, 0.27, 0.29)]]).astype(np.float32).astype(float)
+    vectors = np.concatenate([vectors, vectors[:1] + rng.standard_normal((600, 64)) * 0.02])  # one large bucket
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    links = near.sum(1) - 1
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(4)
+    found = {r.vec_id: r.n_links for r in near_vectors(frame, bucket=256).collect()}
+    counted = np.array([found[i] for i in range(len(vectors))])
+    assert (counted <= links).all() and links.sum() > 2000
+    # of pairs beside the large bucket, which are the hard ones
+    assert counted[1:2000].sum() >= 0.995 * links[1:2000].sum() and counted[2000:].sum() >= 0.999 * links[2000:].sum()
+    repeated = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert rows(near_vectors(repeated)) == sorted([(1, 1, 1, True)] * 3 + [(2, 1, 1, False)], key=repr)
+
+
 def test_nearest_codes(spark):
     from colloquy.llm.hamming_search import nearest_codes, sign_code
 
@@ -324,8 +357,10 @@ def test_nearest_codes(spark):
     assert rows(nearest_codes(frame, chosen, k=5, part=40, block=2)) == found
     assert nearest_codes(frame.limit(0), chosen, k=5).count() == 0 and nearest_codes(frame, frame.limit(0), k=5).count() == 0
     assert len(rows(nearest_codes(frame.where("id < 3"), chosen, k=5))) == 2 + 3 * 5
-    code = spark.createDataFrame([([1.0, -1.0, None, 2.0, float("nan"), 0.0] + [1.0] * 60,)], "v array<float>").select(sign_code(F.col("v"))).first()[0]
+    code = spark.createDataFrame([([1.0, -1.0, None, 2.0, float("nan"), 0.0] + [1.0] * 58,)], "v array<float>").select(sign_code(F.col("v"))).first()[0]
     assert code % (1 << 64) == ((1 << 64) - 1) & ~0b110110
+    with pytest.raises(Exception, match="more than 64"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<float>").select(sign_code(F.col("v"))).collect()
 
 
 @pytest.mark.parametrize("small", [65_536, 1])
