@@ -45,7 +45,7 @@ def fragment_windows(turns: DataFrame, totals: DataFrame, keys: Sequence[str], s
     """
     keys = list(keys)
     talked = turns.join(overlaps(turns, keys, speaker).select(*keys).distinct(), keys, "left_semi")
-    found = measure(snapped_windows(talked, totals, keys, rule), talked, keys, speaker)
+    found = measure(snapped_windows(talked, totals, keys, rule), talked, keys, speaker, rule.target)
     times = F.map_values("by_speaker")
     found = found.withColumn("balance", F.array_min(times) / F.aggregate(times, F.lit(0.0), lambda a, x: a + x)).withColumn("density", F.col("speech") / (F.col("end") - F.col("start")))
     return found.where((F.col("overlap") >= rule.overlap) & (F.col("balance") >= rule.balance) & (F.col("density") >= rule.density))

@@ -102,26 +102,37 @@ def sliding(totals: DataFrame, target, stride) -> DataFrame:
     return totals.where(F.col("total") >= target).withColumn("k__", at).withColumn("start", F.col("k__") * stride).withColumn("end", F.col("k__") * stride + target).drop("k__")
 
 
-def measure(windows: DataFrame, turns: DataFrame, keys: Sequence[str], speaker: str = "speaker") -> DataFrame:
+def measure(windows: DataFrame, turns: DataFrame, keys: Sequence[str], speaker: str = "speaker", width=None) -> DataFrame:
     """Per window (keys, start, end): overlap, overlap events, longest event, speech, and the speaking time of each speaker as a map.
 
-    A speaker's overlapping turns count twice in the map; overlap and speech are of merged time.
+    A speaker's overlapping turns count twice in the map; overlap and speech are of merged time.  Windows meet overlaps, speech and turns in one
+    join, by stretches of ``width`` if that is given.
     """
-    own = [*keys, "start", "end"]
-    shared = meeting(windows, overlaps(turns, keys, speaker), keys).withColumn("w", F.col("hi") - F.col("lo"))
-    shared = shared.groupBy(*own).agg(F.sum("w").alias("overlap"), F.count("*").alias("events"), F.max("w").alias("longest"))
-    speech = meeting(windows, merge(turns, keys, touching=True), keys).groupBy(*own).agg(F.sum(F.col("hi") - F.col("lo")).alias("speech"))
-    spoken = meeting(windows, turns.select(*keys, speaker, "start", "end"), keys).groupBy(*own, speaker).agg(F.sum(F.col("hi") - F.col("lo")).alias("w"))
-    by_speaker = spoken.groupBy(*own).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(speaker), F.col("w"))))).alias("by_speaker"))
-    joined = windows.join(shared, own, "left").join(speech, own, "left").join(by_speaker, own, "left")
-    return joined.fillna(0, ["overlap", "events", "longest", "speech"])
+    own, nobody = [*keys, "start", "end"], F.lit(None).cast(turns.schema[speaker].dataType).alias("who__")
+    parts = overlaps(turns, keys, speaker).select(*own, nobody, F.lit("overlap").alias("kind__"))
+    parts = parts.unionByName(merge(turns, keys, touching=True).select(*own, nobody, F.lit("speech").alias("kind__")))
+    parts = parts.unionByName(turns.select(*own, F.col(speaker).alias("who__"), F.lit("turn").alias("kind__")))
+    shared = meeting(windows.select(*own), parts, keys, width).withColumn("w__", F.col("hi") - F.col("lo"))
+    shared = shared.groupBy(*own, "kind__", "who__").agg(F.sum("w__").alias("w__"), F.count("*").alias("n__"), F.max("w__").alias("most__"))
+
+    def of(kind: str, value: str) -> Column:
+        return F.max(F.when(F.col("kind__") == kind, F.col(value)))
+
+    spoken = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind__") == "turn", F.struct(F.col("who__").alias(speaker), F.col("w__").alias("w"))))))
+    found = shared.groupBy(*own).agg(of("overlap", "w__").alias("overlap"), of("overlap", "n__").alias("events"), of("overlap", "most__").alias("longest"), of("speech", "w__").alias("speech"), spoken.alias("by_speaker"))
+    return windows.join(found, own, "left").fillna(0, ["overlap", "events", "longest", "speech"])
 
 
 def snap(points: DataFrame, silences: DataFrame, keys: Sequence[str], at: str, radius, outward: int) -> DataFrame:
-    """``points`` with ``at`` moved to the nearest silence midpoint within ``radius`` on its outer side (-1: earlier, +1: later); first wins a tie."""
-    mids = silences.select(*keys, ((F.col("start") + F.col("end")) / 2).alias("mid__"))
+    """``points`` with ``at`` moved to the nearest silence midpoint within ``radius`` on its outer side (-1: earlier, +1: later); first wins a tie.
+
+    Points and midpoints meet in the stretch of ``radius`` that holds the midpoint, which is the point's own or the next one outward.
+    """
+    mids = silences.select(*keys, ((F.col("start") + F.col("end")) / 2).alias("mid__")).withColumn(_BUCKET, F.floor(F.col("mid__") / radius))
+    own = F.floor(F.col(at) / radius)
+    asked = points.select(*keys, at).distinct().withColumn(_BUCKET, F.explode(F.array(own, own + outward)))
     away = (F.col("mid__") - F.col(at)) * outward
-    near = points.join(mids, list(keys)).where((away >= 0) & (away <= radius))
+    near = asked.join(mids, [*keys, _BUCKET]).where((away >= 0) & (away <= radius))
     best = near.groupBy(*keys, at).agg(F.min_by("mid__", F.struct(away.alias("d"), F.col("mid__"))).alias("mid__"))
     return points.join(best, [*keys, at], "left").withColumn(at, F.coalesce("mid__", F.col(at).cast("double"))).drop("mid__")
 
@@ -259,8 +270,15 @@ def repeated_runs(turns: DataFrame, keys: Sequence[str], text: str = "text", lea
     return runs.withColumn("nth__", nth).where(F.col("nth__") == least).drop("nth__", "run__")
 
 
-def first_containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, order: str) -> DataFrame:
-    """Each point with the first span, by ``order``, that holds it, both ends included; points in none are left out."""
-    own = points.columns
-    met = points.join(spans, list(keys)).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")))
+def first_containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, order: str, width=None) -> DataFrame:
+    """Each point with the first span, by ``order``, that holds it, both ends included; points in none are left out.
+
+    With ``width`` spans are filed under the stretches of that width they touch.
+    """
+    own, on = points.columns, list(keys)
+    if width is not None:
+        points = points.withColumn(_BUCKET, F.floor(F.col(at) / width))
+        spans = spans.withColumn(_BUCKET, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+        on.append(_BUCKET)
+    met = points.join(spans, on).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")))
     return met.groupBy(*own).agg(F.min(F.struct(order, "start", "end")).alias("s")).select(*own, "s.*")

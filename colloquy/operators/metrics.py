@@ -20,19 +20,24 @@ from .intervals import meeting, merge, overlaps, subtract
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Substitutions, insertions and deletions between two token lists."""
-    short, rest = (a, iter(b)) if len(a) < len(b) else (b, iter(a))
-    if all(t in rest for t in short):
-        # one list has the other in it, in order: nothing costs less than the difference in length
-        return abs(len(a) - len(b))
-    codes: dict = {}
-    x = np.array([codes.setdefault(t, len(codes)) for t in a])
-    y = np.array([codes.setdefault(t, len(codes)) for t in b])
-    row, step = np.arange(len(y) + 1), np.arange(len(y) + 1)
-    for i, token in enumerate(x, 1):
-        kept = np.minimum(row[1:] + 1, row[:-1] + (y != token))
-        row = np.minimum.accumulate(np.concatenate([[i], kept]) - step) + step
-    return int(row[-1])
+    """Substitutions, insertions and deletions between two token lists, by Myers' bit-parallel column steps (1999) on integers as long as ``a``."""
+    n = len(a)
+    if not n:
+        return len(b)
+    places: dict = {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | 1 << i
+    every, last, distance = (1 << n) - 1, 1 << n - 1, n
+    rises, falls = every, 0  # where a column goes up or down by one
+    for token in b:
+        equal = places.get(token, 0)
+        free = (((equal & rises) + rises) ^ rises) | equal
+        right, left = falls | (~(free | rises) & every), rises & free
+        distance += 1 if right & last else -1 if left & last else 0
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        equal |= falls
+        rises, falls = left | (~(equal | right) & every), right & equal
+    return distance
 
 
 @F.pandas_udf(LongType())

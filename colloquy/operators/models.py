@@ -32,13 +32,18 @@ def loader(name: str) -> Callable:
 
 
 def apply_model(rows: DataFrame, column: str, load: Callable[[], Callable[[pd.Series], pd.Series]], signature: str, into: str, kind: str) -> DataFrame:
-    """``rows`` with ``into`` computed from ``column`` by a model that each worker loads once per ``signature``."""
+    """``rows`` with ``into`` computed from ``column`` by a model that each worker loads once per ``signature``.
+
+    A model that gives way to another is told by its ``unload``, if it has one.
+    """
     schema = StructType([*rows.schema.fields]).add(into, _parse_datatype_string(kind))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _LOADED.get(signature)
         if model is None:
-            _LOADED.clear()  # one model at a time stays in memory
+            for old in _LOADED.values():  # one model at a time stays in memory
+                getattr(old, "unload", lambda: None)()
+            _LOADED.clear()
             model = _LOADED[signature] = load()
         for batch in batches:
             yield batch.assign(**{into: model(batch[column])})

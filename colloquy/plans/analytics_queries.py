@@ -131,7 +131,7 @@ def jon_06_overlap_join(spark, sf_dir):
 def jon_07_midpoint_join(spark, sf_dir):
     from ..operators.intervals import meeting
 
-    edge = meeting(_cells(spark, sf_dir).withColumn("end", F.col("end") + 1), segments(spark, sf_dir).withColumns({"a": F.col("start"), "b": F.col("end")}), ["rec"]).withColumn("end", F.col("end") - 1)
+    edge = meeting(_cells(spark, sf_dir).withColumn("end", F.col("end") + 1), segments(spark, sf_dir).withColumns({"a": F.col("start"), "b": F.col("end")}), ["rec"], width=60_000).withColumn("end", F.col("end") - 1)
     return edge.where("(a + b) / 2 between start and end").select("rec", "start", "speaker", F.col("a").alias("b_start"))
 
 
@@ -166,7 +166,7 @@ def jon_16_whole_point_in_interval(spark, sf_dir):
     from ..operators.intervals import first_containing
 
     points = _whole_cells(spark, sf_dir).select("rec", F.col("start").alias("at"))
-    return first_containing(points, segments(spark, sf_dir).withColumn("n", F.col("start")), ["rec"], "at", "n").select("rec", "at", "start")
+    return first_containing(points, segments(spark, sf_dir).withColumn("n", F.col("start")), ["rec"], "at", "n", width=60_000).select("rec", "at", "start")
 
 
 @query("SELECT a.conv_id, a.turn, a.role, CASE WHEN a.text = b.text THEN 'untouched' WHEN a.text IS NULL OR b.text IS NULL THEN 'kept' ELSE 'corrected' END AS status FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2 AND b.role = a.role")
@@ -446,7 +446,7 @@ def jon_16_point_in_interval(spark, sf_dir):
 
     points = _cells(spark, sf_dir).select("rec", F.col("start").alias("at"))
     spans = segments(spark, sf_dir).withColumn("n", F.col("start"))
-    return first_containing(points, spans, ["rec"], "at", "n").select("rec", "at", "start")
+    return first_containing(points, spans, ["rec"], "at", "n", width=60_000).select("rec", "at", "start")
 
 
 @query("SELECT a.sid, a.x, b.y FROM (SELECT vec_id AS sid, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) a JOIN (SELECT vec_id AS sid, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) b ON b.sid = a.sid")

@@ -92,7 +92,7 @@ _MEASURED = f"""measured AS (SELECT w.rec, w."start", w."end", coalesce(o.overla
 
 def _measured(spark, sf_dir):
     turns = segments(spark, sf_dir)
-    found = iv.measure(iv.sliding(totals(turns), 90_000, 60_000).drop("total"), turns, ["rec"])
+    found = iv.measure(iv.sliding(totals(turns), 90_000, 60_000).drop("total"), turns, ["rec"], width=90_000)
     spoken = {f"s{i}": F.coalesce(F.col("by_speaker").getItem(f"S{i}"), F.lit(0)) for i in (0, 1)}
     return found.withColumns(spoken).drop("by_speaker")
 
@@ -226,12 +226,15 @@ def int_24_run_lengths(spark, sf_dir):
 
 
 @query(
-    """SELECT rec, speaker, "start", "end", f AS finding FROM (SELECT rec, speaker, "start", "end", unnest([CASE WHEN "end" - "start" > 800 THEN 'too_long' END, CASE WHEN p - "start" > 50 THEN 'same_speaker_overlap' END]) AS f FROM (
-        SELECT *, lag("end") OVER (PARTITION BY rec, speaker ORDER BY "start", "end") AS p FROM segments)) WHERE f IS NOT NULL""",
+    """SELECT rec, speaker, "start", "end", f AS finding FROM (SELECT rec, speaker, "start", "end", unnest([CASE WHEN "start" % 11 = 0 OR "start" % 13 = 0 THEN 'empty' END, CASE WHEN "end" <= "start" THEN 'not_positive' END,
+            CASE WHEN "end" - "start" > 800 THEN 'too_long' END, CASE WHEN p - "start" > 50 THEN 'same_speaker_overlap' END]) AS f FROM (
+        SELECT *, lag("end") OVER (PARTITION BY rec, speaker ORDER BY "start", "end") AS p FROM (SELECT rec, speaker, "start", CASE WHEN "start" % 17 = 0 THEN "start" ELSE "end" END AS "end" FROM segments))) WHERE f IS NOT NULL""",
     SEGMENTS,
 )
 def int_25_lint(spark, sf_dir):
-    return iv.lint(segments(spark, sf_dir).withColumn("text", F.lit("x")), ["rec"], longest=800).drop("text")
+    text = F.when(F.col("start") % 11 == 0, " ").when(F.col("start") % 13 != 0, "x")
+    turns = segments(spark, sf_dir).withColumn("text", text).withColumn("end", F.when(F.col("start") % 17 == 0, F.col("start")).otherwise(F.col("end")))
+    return iv.lint(turns, ["rec"], longest=800).drop("text")
 
 
 @query(

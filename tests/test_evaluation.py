@@ -213,3 +213,20 @@ def test_clips_and_tables(spark, tmp_path):
     fs.write_table(chosen, str(tmp_path / "t"), ["frag_id", "rec"], ("start", "pesq"), [F.desc("start")])
     back = tables.metadata(spark, str(tmp_path / "t"), "frag_id string, rec string, start double")
     assert [tuple(r) for r in back.collect()] == [("f1", "r", 4.0), ("f0", "r", 0.5), ("f2", "q", 0.0)]
+
+
+def test_signals_through_a_model_in_chunks(spark):
+    from colloquy.operators.audio import in_chunks, process_in_chunks
+
+    rng = np.random.default_rng(2)
+    data = {f"s{n}": rng.standard_normal(n).tolist() for n in (3, 8, 9, 30)}
+    signals = spark.createDataFrame(list(data.items()), "sig string, x array<double>")
+    assert {(r.sig, r.offset, len(r.x)) for r in in_chunks(signals, ["sig"], 8).collect()} == {("s3", 0, 3), ("s8", 0, 8), ("s9", 0, 8), ("s9", 4, 5), *(("s30", k, min(8, 30 - k)) for k in range(0, 25, 4))}
+    found = {}
+    for r in process_in_chunks(signals, ["sig"], 8, lambda: lambda xs: xs.map(lambda x: [2 * v for v in x] + [9.0]), "twice").collect():
+        found.setdefault(r.sig, {})[r.t] = r.y
+    for name, x in data.items():
+        y = found[name]
+        assert sorted(y) == list(range(len(x)))
+        # the first sample of several chunks has no weight
+        assert [y[t] for t in range(len(x) > 8, len(x))] == pytest.approx([2 * v for v in x[len(x) > 8 :]])
