@@ -259,3 +259,48 @@ def energy_mask(x: Column, frame: int, close: int, open: int, relative: float =
 
     loud = with_value(with_value(F.transform(x, lambda v: v * v), envelope), lambda e: F.transform(e, lambda v: v > F.greatest(F.array_max(e) * relative, F.lit(floor))))
     return _dilated(_eroded(_eroded(_dilated(loud, close), close), open), open)
+
+
+def peaks(x: Column, buckets: int) -> Column:
+    """The loudest sample of each of ``buckets`` stretches in percent of the loudest of all, whole, halves to the even; 0 for a stretch without any."""
+
+    def scaled(loud: Column) -> Column:
+        def at(i: Column) -> Column:
+            low, high = (F.floor(k * F.size(loud) / buckets).cast("int") for k in (i, i + 1))
+            most = F.coalesce(F.array_max(F.slice(loud, low + 1, high - low)), F.lit(0.0))
+            return F.bround(most / F.coalesce(F.nullif(F.array_max(loud), F.lit(0.0)), F.lit(1.0)) * 100).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), at)
+
+    return with_value(F.transform(x, F.abs), scaled)
+
+
+def middle(values: Column) -> Column:
+    """The median of an array, NaN of an empty one."""
+    n, ordered = F.size(values), F.array_sort(values)
+    return F.when(n == 0, F.lit(float("nan"))).otherwise((F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, F.floor(n / 2 + 1).cast("int"))) / 2)
+
+
+def chunk_median(estimate: Column, target: Column, width: int, least: int, level: float, active: float, score: Callable[[Column, Column], Column]) -> Column:
+    """The median ``score`` of chunks of ``width`` samples: a struct of it, how many were scored, and how many were not.
+
+    A target chunk of fewer than ``least`` samples is short, else one of which less than ``active`` is louder than ``level`` is silent; a null score is
+    an error.
+    """
+    starts = F.when(F.size(target) > 0, F.sequence(F.lit(1), F.size(target), F.lit(width))).otherwise(F.array().cast("array<int>"))
+
+    def judged(i: Column) -> Column:
+        e, r = F.slice(estimate, i, width), F.slice(target, i, width)
+        kind = F.when(F.size(r) < least, "short").when(activity(r, level) < active, "silent").otherwise("scored")
+        return F.struct(kind.alias("kind"), F.when(kind == "scored", score(e, r)).alias("score"))
+
+    def summed(chunks: Column) -> Column:
+        def count(kind: str, missing: bool = False) -> Column:
+            return F.size(F.filter(chunks, lambda c: (c["kind"] == kind) & (c["score"].isNull() == missing)))
+
+        scores = F.transform(F.filter(chunks, lambda c: c["score"].isNotNull()), lambda c: c["score"])
+        return F.struct(
+            middle(scores).alias("median"), count("scored").alias("n_scored"), count("silent", True).alias("n_skipped_silent"), count("short", True).alias("n_skipped_short"), count("scored", True).alias("n_errored")
+        )
+
+    return with_value(F.transform(starts, judged), summed)

@@ -129,6 +129,12 @@ def arr_20_si_sdr(spark, sf_dir):
     return _pairs(spark, sf_dir).select("sig", _r(ar.si_sdr(F.col("x"), F.col("y")), "si_sdr", 4))
 
 
+@query(f"SELECT CAST(sig % 3 AS BIGINT) AS variant, count(*) AS n, CAST(sum(CAST(round(si_sdr * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM ({ORACLE_SQL['arr_20_si_sdr']}) GROUP BY 1")
+def met_17_by_variant(spark, sf_dir):
+    hundredths = F.round(F.col("si_sdr") * 100).cast("long")
+    return arr_20_si_sdr(spark, sf_dir).groupBy((F.col("sig") % 3).cast("long").alias("variant")).agg(F.count("*").alias("n"), F.sum(hundredths).alias("hundredths"))
+
+
 @query("SELECT sig, count(*) FILTER (a >= 0.3) AS active FROM (SELECT sig, c, avg(CASE WHEN abs(v) > 0.1 THEN 1.0 ELSE 0.0 END) AS a FROM (SELECT sig, unnest(x) AS v, (generate_subscripts(x, 1) - 1) // 16 AS c FROM signals) GROUP BY sig, c) GROUP BY sig", SIGNALS)
 def arr_22_23_active_chunks(spark, sf_dir):
     active = F.filter(ar.chunks(F.col("x"), 16, 1), lambda c: ar.activity(c, 0.1) >= 0.3)

@@ -12,6 +12,7 @@ from ..operators import fragments as fr
 from ..operators import metrics as me
 from ..sinks import files as fs
 from ..sinks import lines as out
+from ..sources import annotations as an_
 from ..sources import tables as src
 from .metric_queries import _DROPPED, _HYP, _by_speaker, _hypothesis, _merged, _tokens
 from .registry import Registry
@@ -305,6 +306,32 @@ def arr_26_energy_mask(spark, sf_dir):
     return signals(spark, sf_dir).where(F.size("x") == 64).select("sig", ar.energy_mask(F.col("x"), 4, 6, 3, relative=0.6).alias("mask"))
 
 
+@query(
+    """SELECT sig, list_transform(range(0, 7), lambda i: CAST(round_even(coalesce(list_max(list_transform(x[i * 64 // 7 + 1:(i + 1) * 64 // 7], lambda v: abs(v))), 0.0) / list_max(list_transform(x, lambda v: abs(v))) * 100, 0) AS INTEGER)) AS peaks
+        FROM signals WHERE len(x) = 64 AND list_max(list_transform(x, lambda v: abs(v))) > 0""",
+    SIGNALS,
+)
+def agg_17_percent_of_peak(spark, sf_dir):
+    rows = signals(spark, sf_dir).where(F.size("x") == 64).where(F.array_max(F.transform("x", F.abs)) > 0)
+    return rows.select("sig", ar.peaks(F.col("x"), 7).alias("peaks"))
+
+
+@query(
+    """SELECT sig, CASE WHEN len(v) = 0 THEN 'nan'::DOUBLE ELSE (list_sort(v)[(len(v) + 1) // 2] + list_sort(v)[len(v) // 2 + 1]) / 2 END AS median, len(v) AS n_scored, CAST(len(list_filter(k, lambda c: c = 'silent')) AS BIGINT) AS silent,
+        CAST(len(list_filter(k, lambda c: c = 'short')) AS BIGINT) AS short, CAST(len(list_filter(k, lambda c: c = 'scored')) - len(v) AS BIGINT) AS errors FROM (
+        SELECT sig, list_transform(c, lambda r: CASE WHEN len(r) < 4 THEN 'short' WHEN len(list_filter(r, lambda v: abs(v) > 0.1)) / CAST(len(r) AS DOUBLE) < 0.4 THEN 'silent' ELSE 'scored' END) AS k,
+            list_transform(list_filter(c, lambda r: len(r) >= 4 AND len(list_filter(r, lambda v: abs(v) > 0.1)) / CAST(len(r) AS DOUBLE) >= 0.4 AND r[1] > -0.2), lambda r: r[2]) AS v FROM (
+            SELECT sig, [x[1:10], x[11:20], x[21:30], x[31:40], x[41:50], x[51:60], x[61:62 + sig % 3]] AS c FROM signals WHERE len(x) = 64))""",
+    SIGNALS,
+)
+def agg_10_chunk_median(spark, sf_dir):
+    target = F.slice("x", F.lit(1), (62 + F.col("sig") % 3).cast("int"))
+    found = ar.chunk_median(target, target, 10, 4, 0.1, 0.4, lambda e, r: F.when(F.element_at(r, 1) > -0.2, F.element_at(e, 2)))
+    rows = signals(spark, sf_dir).where(F.size("x") == 64).select("sig", found.alias("f"))
+    counts = {"n_scored": "n_scored", "silent": "n_skipped_silent", "short": "n_skipped_short", "errors": "n_errored"}
+    return rows.select("sig", "f.median", *[F.col(f"f.{v}").cast("long").alias(k) for k, v in counts.items()])
+
+
 @query("SELECT sig, len(x) < 40 OR list_max(list_transform(x, lambda v: abs(v))) < 0.3 AS skip FROM signals WHERE len(x) > 0", SIGNALS)
 def prj_23_skippable(spark, sf_dir):
     return signals(spark, sf_dir).where(F.size("x") > 0).select("sig", ar.skippable(F.col("x"), 40, 0.3).alias("skip"))
@@ -322,6 +349,19 @@ def sel_06_anchor_decision(spark, sf_dir):
     return signals(spark, sf_dir).where(F.size("x") == 64).select("sig", choice.alias("c")).select("sig", "c.pairing", "c.swap")
 
 
+@query(
+    """SELECT rec AS file, CASE WHEN speaker = 'S0' THEN 'A' ELSE speaker END AS label, "start", "end", 'enh=off · sep=on · bwe=none · asr=w x' AS backends, CASE WHEN CAST(substr(rec, 2) AS BIGINT) % 2 = 0 THEN 2 ELSE 0 END AS n_overlaps FROM segments""",
+    SEGMENTS,
+)
+def src_22_run_of_three(spark, sf_dir):
+    turns = segments(spark, sf_dir)
+    recs = turns.select(F.col("rec").alias("file")).distinct()
+    meta = """{"spk_to_label": {"S0": "A"}, "config": {"enhancement": {"enabled": false, "backend": "e"}, "separation": {"enabled": true}, "post_separation_processing": {"backend": "none"}, "transcription": {"backend": "w", "model_name": "x"}}}"""
+    even = F.substring("file", 2, 9).cast("long") % 2 == 0
+    routing = recs.where(even).select("file", F.lit('{"overlap_regions": [{"start": 0.0, "end": 1.0}, {"start": 2.0, "end": 3.0}]}').alias("json"))
+    return an_.run_of(recs.select("file", F.lit(meta).alias("json")), out.diarization_json(turns).select(F.col("rec").alias("file"), F.col("value").alias("json")), routing)
+
+
 # joins and sinks
 
 

@@ -127,3 +127,27 @@ def transcripts(lines: DataFrame) -> DataFrame:
 def mixtures(lines: DataFrame) -> DataFrame:
     """(rec, mode, line_no, start, end, text) of the lines of ``transcript_mixture.txt``."""
     return timed_text(lines.where("file = 'transcript_mixture.txt'")).drop("file")
+
+
+def run_of(metadata: DataFrame, diarization: DataFrame, routing: DataFrame) -> DataFrame:
+    """(file, label, start, end, backends, n_overlaps) of one row a turn, from a run's three documents (file, json); any but the first may be missing.
+
+    Speakers get the labels that the metadata gives them, or keep their names.
+    """
+    part = "struct<enabled:boolean,backend:string,model_name:string>"
+    form = f"spk_to_label map<string,string>, config struct<enhancement:{part},separation:{part},post_separation_processing:{part},transcription:{part}>"
+    meta = metadata.select("file", F.from_json("json", form).alias("m"))
+
+    def backend(stage: str) -> Column:
+        return F.coalesce(F.col(f"m.config.{stage}.backend"), F.lit("?"))
+
+    def on(stage: str, yes: Column | str) -> Column:
+        return F.when(F.coalesce(F.col(f"m.config.{stage}.enabled"), F.lit(False)), yes).otherwise("off")
+
+    asr = F.trim(F.concat_ws(" ", backend("transcription"), F.coalesce("m.config.transcription.model_name", F.lit(""))))
+    parts = {"enh": on("enhancement", backend("enhancement")), "sep": on("separation", F.lit("on")), "bwe": backend("post_separation_processing"), "asr": asr}
+    meta = meta.select("file", F.col("m.spk_to_label").alias("names"), F.concat_ws(" · ", *[F.concat(F.lit(f"{k}="), v) for k, v in parts.items()]).alias("backends"))
+    regions = routing.select("file", F.size(F.from_json("json", "overlap_regions array<struct<start:double,end:double>>")["overlap_regions"]).alias("n_overlaps"))
+    turns = diarization_json(diarization).select("file", "speaker", "start", "end")
+    joined = meta.join(turns, "file", "left").join(regions, "file", "left")
+    return joined.select("file", F.coalesce(F.col("names")[F.col("speaker")], F.col("speaker")).alias("label"), "start", "end", "backends", F.coalesce("n_overlaps", F.lit(0)).alias("n_overlaps"))

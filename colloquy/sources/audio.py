@@ -25,10 +25,22 @@ def decode(raw: bytes) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, channels).mean(1)
 
 
-def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation; a stand-in for a better resampler, which may be passed to :func:`read_wav`."""
+def resample(x: np.ndarray, rate: int, to: int, crossings: int = 32) -> np.ndarray:
+    """Windowed-sinc interpolation, low-passed at the lower of the two Nyquist rates; another resampler may be passed to :func:`read_wav`."""
     n = round(len(x) * to / rate)
-    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x) if len(x) else x
+    if not len(x) or rate == to:
+        return x[:n]
+    band = min(1.0, to / rate)
+    reach = int(np.ceil(crossings / band))
+    padded, out = np.pad(x, reach), np.empty(n)
+    for at in range(0, n, 16_384):
+        t = np.arange(at, min(at + 16_384, n)) * rate / to
+        first = np.floor(t).astype(np.int64) - reach + 1
+        taps = first[:, None] + np.arange(2 * reach)
+        away = t[:, None] - taps
+        weight = band * np.sinc(band * away) * np.cos(np.pi / 2 * np.clip(away / reach, -1, 1)) ** 2
+        out[at : at + len(t)] = (padded[np.minimum(taps + reach, len(padded) - 1)] * weight).sum(1)
+    return out
 
 
 def read_wav(spark: SparkSession, path: str, rate: int | None = None, on_mismatch: str = "resample", chunk_s: float = 30.0, resampler=resample) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,28 @@ MEETING = "start_s double, end_s double, speaker string, utterance_id string, te
 RUNS = "Name string, State string, best_val_sisdr double, lr double, weight_decay double, grad_clip_norm double, lr_factor double, lr_patience double, epoch long, early_stopped boolean, train_si_sdr double, train_lr double, Runtime double"
 
 
+_SOURCES: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register_source(name: str) -> Callable:
+    """Register a function that reads a table, by name."""
+
+    def add(read: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        if name in _SOURCES:
+            raise ValueError(f"{name} is registered already")
+        _SOURCES[name] = read
+        return read
+
+    return add
+
+
+def source(name: str) -> Callable[..., DataFrame]:
+    if name not in _SOURCES:
+        raise KeyError(f"no source {name}; there are {sorted(_SOURCES)}")
+    return _SOURCES[name]
+
+
+@register_source("corpus")
 def corpus_manifest(spark: SparkSession, folder: str, root: str, subset: str) -> DataFrame:
     return spark.read.schema(CORPUS).csv(f"{folder}/corpus_{root}_{subset}_final.csv", header=True)
 
@@ -30,10 +54,12 @@ def semicolon_paths(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim("path").alias("path")).where("path <> ''")
 
 
+@register_source("meeting")
 def meeting_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MEETING).csv(path, sep="\t", header=True)
 
 
+@register_source("segments")
 def segment_transcript(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated turns of speakers A and B; lines that begin with # are left out."""
     return spark.read.schema("start_s double, end_s double, speaker string, utterance_id string, text string").csv(path, sep="\t", comment="#").where(F.col("speaker").isin("A", "B"))

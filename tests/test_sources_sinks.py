@@ -124,3 +124,26 @@ def test_stream_of_sessions(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.user_id, r.n) for r in spark.table("found").collect()) == [(1, 1), (1, 3), (2, 1), (2, 3)]
+
+
+def test_resampling_keeps_what_the_lower_rate_holds_and_nothing_else():
+    from colloquy.sources.audio import resample
+
+    t = np.arange(4800) / 48_000
+    for rate, to in ((48_000, 16_000), (48_000, 44_100), (16_000, 48_000)):
+        time, wanted = np.arange(rate // 5) / rate, np.arange(to // 5) / to
+        low = resample(np.sin(2 * np.pi * 440 * time), rate, to)
+        assert len(low) == to // 5 and np.abs(low - np.sin(2 * np.pi * 440 * wanted))[400:-400].max() < 1e-3
+    high = resample(np.sin(2 * np.pi * 11_000 * t), 48_000, 16_000)  # above what 16,000 samples a second can hold
+    assert np.abs(high[200:-200]).max() < 1e-2
+    assert len(resample(np.zeros(0), 8000, 16_000)) == 0
+
+
+def test_sources_by_name():
+    from colloquy.sources import tables
+
+    assert tables.source("corpus") is tables.corpus_manifest
+    with pytest.raises(KeyError):
+        tables.source("none")
+    with pytest.raises(ValueError):
+        tables.register_source("corpus")(lambda: None)
