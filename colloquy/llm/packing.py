@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, saved
+from .common import map_arrow, release, saved
 
 LENGTH = 4096
 UNIT = 8
@@ -51,7 +51,7 @@ class WordEncoder:
     once since the last time are forgotten.  A text that spells a special token is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -133,7 +133,7 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _runs(column: pa.Array, most: int = 12 << 20) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text."""
     total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
     at = 0
@@ -151,7 +151,7 @@ def _cut(path: str, length: int):
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            pa.default_memory_pool().release_unused()
+            release()
             doc_ids = batch.column(0).to_pylist()
             for at, to in _runs(batch.column(1)):
                 rows = []
