@@ -37,10 +37,8 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 def bands(shingles: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4_096):
-        part = shingles[at : at + 4_096]
-        for i, m in enumerate(_MULTIPLIERS):
-            least[i] = min(least[i], (part * m).min())
+    for at in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[at : at + 256, None] * _MULTIPLIERS).min(0), out=least)
     rows = least.reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(rows)], np.uint64).view(np.int64)
 
