@@ -25,6 +25,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that no column added beside it can clash with them; ``select("row__.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__")
+
+
 def recounted(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_chars``, where there is such a column, of the text as it is now; a null text keeps what it had."""
     if "n_chars" not in docs.columns:

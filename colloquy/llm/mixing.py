@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, recounted, saved
+from .common import WORD, recounted, saved, whole
 
 SHARE = 1.5
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -126,7 +126,9 @@ def mixed(
     what is left evenly, and the difference is less than their number.  ``quality`` is a weight above 0 (null or less: 0.001); without one it is
     judged from the text.  The same rows give the same result.  Null ids and sources are values like others.  An empty table gives an empty one.
     """
-    slim = saved(_sized(docs, quality, seed, id_column).select(id_column, "source", "size__", "key__"))
+    extra = [] if quality is None else [quality.alias("quality__")]
+    rows = docs.select(id_column, "source", "text", *extra)
+    slim = saved(_sized(rows, F.col("quality__") if extra else None, seed, id_column).select(id_column, "source", "size__", "key__"))
     return _taken(slim, _plan(slim, id_column, share, weights, most, small), id_column).drop("key__")
 
 
@@ -136,14 +138,16 @@ def mixture(docs: DataFrame, quality: Column | None = None, share: float = SHARE
     The columns are those of ``docs``; the text of a cut document is its first words, space-joined, and ``n_chars``, where there is such a column,
     counts it.  Nulls, repeats and ties are as in :func:`mixed`; texts without a word are left out; an empty table gives an empty one.
     """
-    sized = _sized(docs, quality, seed, id_column)
+    extra = [] if quality is None else [quality.alias("quality__")]
+    rows = docs.select(id_column, "source", "text", whole(docs), *extra)
+    sized = _sized(rows, F.col("quality__") if extra else None, seed, id_column)
     slim = saved(sized.select(id_column, "source", "size__", "key__"))
-    taken = _taken(sized, _plan(slim, id_column, share, weights, most, small), id_column).where("taken__ > 0")
+    taken = _taken(sized.drop("text"), _plan(slim, id_column, share, weights, most, small), id_column).where("taken__ > 0")
     copies = F.concat(
         F.when(F.col("taken__") >= F.col("size__"), F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken__") / F.col("size__")).cast("int"))).otherwise(F.array().cast("array<long>")),
         F.when(F.col("taken__") % F.col("size__") > 0, F.array(F.col("taken__") % F.col("size__"))).otherwise(F.array().cast("array<long>")),
     )
     rows = taken.withColumn("cut__", F.explode(copies))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("cut__").cast("int")), " ")
-    cut = F.when(F.col("cut__") > 0, first).otherwise(F.col("text"))
-    return recounted(rows.withColumn("text", cut).select(docs.columns))
+    first = F.array_join(F.slice(F.regexp_extract_all("row__.text", F.lit(WORD), F.lit(0)), 1, F.col("cut__").cast("int")), " ")
+    cut = F.when(F.col("cut__") > 0, first).otherwise(F.col("row__.text"))
+    return recounted(rows.select(F.col("row__").withField("text", cut).alias("row__")).select("row__.*"))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, whole
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -199,7 +199,7 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     Where spans overlap, the one that begins first is replaced and those within it go with it.
     """
     found = personal_data(docs, **options).where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(found, "row_key", "left")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", whole(docs)).join(found, "row_key", "left")
     by_start = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(b["end"] - a["end"])).cast("int"))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -212,4 +212,5 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
         return F.when(s["start"] < state["at"], state).otherwise(taken)
 
     text = F.aggregate(by_start, begin, step, lambda s: F.concat(s["out"], F.substring("text", (s["at"] + 1).cast("int"), F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+    changed = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
+    return rows.select(F.col("row__").withField("text", changed).alias("row__")).select("row__.*")

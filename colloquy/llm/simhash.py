@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labels, map_arrow, pairs, saved, texts, whole_groups
+from .common import labels, map_arrow, pairs, saved, texts, whole, whole_groups
 from .components import components
 from .jaccard import joined
 
@@ -175,15 +175,18 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE, width: int = 4, simi
     rows = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
     # the ids grow with the documents: joined by sorting at every size, never by sending them to all executors
     kept = saved(found.select("doc_id").distinct().join(rows.hint("merge"), "doc_id")).hint("merge")
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
+    kept_rows = docs.select("doc_id", whole(docs))
+    once = kept_rows.join(kept.where("n = 1"), "doc_id", "left_semi").select("row__.*")
     # where an id is repeated its rows may be of several groups
-    again = _with_fingerprint(docs.join(kept.where("n > 1"), "doc_id", "left_semi"), width).join(found, ["doc_id", "fingerprint"])
-    nameless = _with_fingerprint(docs.where("doc_id is null"), width).join(groups.where("component_id is null").drop("component_id"), "fingerprint")
-    return once.unionByName(_first(again, "root").select(docs.columns)).unionByName(_first(nameless, "root").select(docs.columns)).select(docs.columns)
+    again = kept_rows.join(kept.where("n > 1"), "doc_id", "left_semi").withColumn("text", F.col("row__.text"))
+    again = _first(_with_fingerprint(again, width).join(found, ["doc_id", "fingerprint"]), "root")
+    nameless = docs.where("doc_id is null").select("doc_id", "text", whole(docs))
+    nameless = _first(_with_fingerprint(nameless, width).join(groups.where("component_id is null").drop("component_id"), "fingerprint"), "root")
+    return once.unionByName(again).unionByName(nameless)
 
 
 def _first(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("rank__", F.row_number().over(Window.partitionBy(key).orderBy("text"))).where("rank__ = 1").drop("rank__")
+    return rows.withColumn("rank__", F.row_number().over(Window.partitionBy(key).orderBy("text"))).where("rank__ = 1").select("row__.*")
 
 
 def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
