@@ -708,3 +708,37 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed if r.start == 0).keys() == {r.doc_id for r in seen["mixing"]}
     assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in seen["mixing"])
+
+
+def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, rank__ string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "empty/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    rng = random.Random(2)
+    odd = [(None, None, None, None), (None, prose(rng, 40), "en", None), (None, prose(rng, 40), "en", "a"), (5, prose(rng, 50), "en", "a"), (5, "", "en", None), (7, " ", None, "b")]
+    odd += [odd[3]] * 3 + [(9, prose(rng, 4000), "en", "b")]
+    spark.createDataFrame([(*r, 0, "x") for r in odd], schema).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "odd/documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, docs, str(tmp_path)).collect()
+        assert [f.name for f in spark.createDataFrame(kept, docs.schema).schema] == docs.columns
+        docs = spark.createDataFrame(kept, docs.schema)
+        if name == "near_duplicates":
+            assert Counter(r.doc_id for r in kept) == Counter([None, None, 5, 9])
+        if name == "mixing":
+            assert all(r.n_chars == len(r.text) for r in kept)
+
+
+def test_backoff_scores_of_an_empty_table_and_of_one_row_repeated(spark):
+    from colloquy.llm.ngram_scores import backoff_scores
+
+    frame = spark.createDataFrame([(None, "a b c a")] * 50 + [(1, "")], "doc_id long, text string").repartition(3)
+    found = rows(backoff_scores(frame))
+    assert len(found) == 51 and len(set(found)) == 2 and (1, 0, 0, 0, 0) in found
+    a, b = math.log(100 / 200), math.log(50 / 100)  # a; a b
+    expected = round(a * 1e6) + round(b * 1e6) + 2 * round(math.log(1.0) * 1e6)
+    assert [r for r in found if r[0] is None][0][1:] == (4, 2, 0, expected)
+    assert backoff_scores(frame.limit(0)).count() == 0
