@@ -206,6 +206,35 @@ def str_10_ids(spark, sf_dir):
     return rows.select(src.renamed_prefix(src.audio_path(F.col("path"))["conv"], "EDACC-", "EAEC-").alias("conv"), src.audio_path(F.col("path"))["idx"].alias("idx"), src.speaker_id(F.col("speaker"))["label"].alias("label"))
 
 
+def _hms(ms):
+    seconds = F.concat((F.floor(ms / 1000) % 60).cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    return F.concat_ws(":", F.floor(ms / 3_600_000).cast("string"), (F.floor(ms / 60_000) % 60).cast("string"), seconds)
+
+
+@query("SELECT rec, \"start\", \"end\", trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM utterances WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''", UTTERANCES)
+def src_08_hours_first(spark, sf_dir):
+    """Lines that begin with hours, minutes and seconds of any width."""
+    u = utterances(spark, sf_dir)
+    line = F.concat(F.lit("[ "), _hms(F.col("start")), F.lit(" → "), _hms(F.col("end")), F.lit(" ]  "), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return an_.timed_text(u.select(F.col("rec").alias("file"), F.col("utt_no").alias("line_no"), line.alias("value"))).select(F.col("file").alias("rec"), "start", "end", "text")
+
+
+@query("SELECT c_custkey AS mix FROM customer WHERE c_nationkey % 2 = 0")
+def prj_01_indoor(spark, sf_dir):
+    manifest = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mix"), F.when(F.col("c_nationkey") % 2 == 0, "r").alias("reverbForSpeaker1"))
+    return src.indoor_filter(manifest, ["SER", "R"]).select("mix")
+
+
+@query(
+    "SELECT CAST(user_id % 5 AS BIGINT) AS config, " + ", ".join(f"CASE WHEN sum(l) FILTER (m = {k}) > 0 THEN 100.0::DOUBLE * sum(e) FILTER (m = {k}) / sum(l) FILTER (m = {k}) ELSE 'nan'::DOUBLE END AS m{k}" for k in range(3))
+    + " FROM (SELECT user_id, event_id % 3 AS m, event_id % 7 AS e, event_id % 11 AS l FROM events) GROUP BY user_id % 5"
+)
+def agg_01_by_metric(spark, sf_dir):
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("long").alias("config"), F.concat(F.lit("m"), (e % 3).cast("string")).alias("metric"), (e % 7).alias("errors"), (e % 11).alias("length"))
+    return an.micro_averages(rows, ["config"], ["m0", "m1", "m2"])
+
+
 # fragments
 
 RULE = fr.FragmentRule(target=3000, shortest=1500, longest=6000, stride=500, silence=100, radius=800, overlap=200, balance=0.15, density=0.1)
