@@ -1,7 +1,9 @@
 """Pairs of texts whose sets of word shingles are alike, by MinHash bands and exact verification.
 
 A text is filed under ``BANDS`` keys, each of ``ROWS`` minima over its set of shingles, so a pair at Jaccard similarity s shares a key with
-probability 1 - (1 - s^ROWS)^BANDS: at 0.8 three pairs in a million are missed, above it fewer.  What shares a key is verified on the whole sets.
+probability 1 - (1 - s^ROWS)^BANDS: at 0.8 three pairs in a million are missed, above it fewer.  All pairs of a key that lie in different groups
+are compared, first by how many of all minima they have in common, which rules out pairs far below the threshold (it misses one in a million at
+it), then, in the first key that they share, on the whole sets.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, saved, texts
+from .common import forget, map_arrow, saved, texts, whole_groups
 from .components import components
 
 BANDS, ROWS = 32, 5
 SIMILAR, WIDTH = 0.8, 5
-ROUNDS = 2
 SEED = 43
+#: Keys with more texts than this are dealt out as pairs of blocks of half as many.
+HOT = 4096
+#: Shingles of the texts that are verified together, but for the last text: 32 MB.
+TOGETHER = 1 << 22
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -36,12 +41,15 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :].tolist())), np.uint64))
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 256):
         np.minimum(least, (shingles[at : at + 256, None] * _MULTIPLIERS).min(0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(rows)], np.uint64).view(np.int64)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -49,29 +57,46 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
+def _content(sets: list[np.ndarray]) -> pa.Array:
+    """Names sets of shingles, so that equal ones are filed once."""
+    return pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
+
+
 def _filed(rows: DataFrame) -> DataFrame:
-    """(node, content, key) of (node, text): a row a band; ``content`` names the set of shingles, so equal ones are filed once."""
+    """(node, content, n, keys, sketch) of (node, text): the number of shingles, a key a band and a byte of each minimum."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in texts(batch):
                 sets = [shingle_set(t) for t in part]
-                content = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
-                keys = pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), content, keys], ["node", "content", "keys"])
+                least = [minima(s) for s in sets]
+                columns = [
+                    batch.column(0).slice(at, len(part)),
+                    _content(sets),
+                    pa.array(map(len, sets), pa.int64()),
+                    pa.array([bands(m) if len(s) else [] for s, m in zip(sets, least)], pa.list_(pa.int64())),
+                    pa.array([m.astype(np.uint8).tobytes() for m in least], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "content", "n", "keys", "sketch"])
 
-    return saved(map_arrow(rows.select("node", "text"), scan, "node long, content long, keys array<long>").dropDuplicates(["node", "content"]))
+    return saved(map_arrow(rows.select("node", "text"), scan, "node long, content long, n long, keys array<long>, sketch binary").dropDuplicates(["node", "content"]))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
-    """(u, v) nodes of those (node, content, other, other_content) whose sets are ``similar`` or more."""
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, content, shingles) of the rows whose node is ``wanted``."""
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in texts(batch):
                 sets = [shingle_set(t) for t in part]
-                content = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), content, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "content", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), _content(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "content", "shingles"])
+
+    wanted = wanted.select("node").distinct().hint("merge")
+    return saved(map_arrow(rows.join(wanted, "node", "left_semi").select("node", "text"), named, "node long, content long, shingles array<long>").dropDuplicates(["node", "content"]))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
+    """(u, v) nodes of those (node, content, other, other_content) whose sets are ``similar`` or more."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,29 +105,151 @@ def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     pairs = saved(pairs)
-    wanted = pairs.select("node").union(pairs.select("other")).distinct().hint("merge")
-    sets = saved(map_arrow(rows.join(wanted, "node", "left_semi").select("node", "text"), named, "node long, content long, shingles array<long>").dropDuplicates(["node", "content"]))
+    sets = _sets(rows, pairs.select("node").union(pairs.select("other")))
     theirs = sets.select(F.col("node").alias("other"), F.col("content").alias("other_content"), F.col("shingles").alias("b"))
     both = pairs.join(sets.withColumnRenamed("shingles", "a"), ["node", "content"]).join(theirs, ["other", "other_content"])
-    return saved(map_arrow(both.select(F.col("node").alias("u"), F.col("other").alias("v"), "a", "b"), scan, "u long, v long").distinct())
+    edges = saved(map_arrow(both.select(F.col("node").alias("u"), F.col("other").alias("v"), "a", "b"), scan, "u long, v long").distinct())
+    forget(pairs, sets)
+    return edges
+
+
+def _grown(roots: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
+    grown = components(edges.union(found.select("node", "root")))
+    return saved(roots.select("node").join(grown, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+
+def _keyed(filed: DataFrame, found: DataFrame) -> DataFrame:
+    return filed.join(found, "node").select("node", "content", "root", F.posexplode("keys").alias("band", "key"))
+
+
+def _with_the_first(filed: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, content, other, other_content): each text of a key that holds several groups beside the key's least, so a key of m texts gives m pairs."""
+    keyed = _keyed(filed, found)
+    mixed = keyed.groupBy("key").agg(F.min(F.struct("node", "content", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    near = keyed.join(mixed.select("key", "first"), "key").where("root <> first.root")
+    return near.select("node", "content", F.col("first.node").alias("other"), F.col("first.content").alias("other_content")).distinct()
+
+
+def _cells(filed: DataFrame, found: DataFrame) -> DataFrame:
+    """(cell, bulk, band, node, content, root, n, keys, sketch): the texts of each key that holds several groups, so that every two of them in
+    different groups share a cell.
+
+    A key of more than ``HOT`` texts is dealt out in blocks: those of its largest group (``bulk``), which need not meet each other, meet each block
+    of the rest, and the blocks of the rest meet in pairs.
+    """
+    keyed = _keyed(filed, found)
+    groups = keyed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    hot = F.col("all") > HOT
+    large = F.when(hot, F.ceil(F.col("most.n") / (HOT / 2))).otherwise(0)
+    small = F.when(hot, F.ceil((F.col("all") - F.col("most.n")) / (HOT / 2))).otherwise(1)
+    sizes = sizes.select("key", hot.alias("hot"), large.alias("large"), small.alias("small"), F.col("most.root").alias("bulk_root"))
+    bulk = F.col("hot") & (F.col("root") == F.col("bulk_root"))
+    dealt = keyed.join(sizes, "key").withColumn("bulk", bulk).withColumn("block", F.pmod(F.xxhash64("node", "content"), F.when(F.col("bulk"), F.col("large")).otherwise(F.col("small"))))
+    rest = F.sequence(F.lit(0).cast("long"), F.col("small") - 1)
+    with_bulk = F.transform(F.sequence(F.lit(1).cast("long"), F.col("large")), lambda b: F.struct((-b).alias("a"), F.col("block").alias("b")))
+    with_rest = F.transform(rest, lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))
+    of_bulk = F.transform(rest, lambda k: F.struct((-F.col("block") - 1).alias("a"), k.alias("b")))
+    places = F.when(F.col("bulk"), of_bulk).when(F.col("hot"), F.concat(with_bulk, with_rest)).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))))
+    placed = dealt.select("node", "content", "root", "band", "bulk", "key", F.explode(places).alias("at"))
+    named = placed.select("node", "content", "root", "band", "bulk", F.xxhash64("key", "at.a", "at.b").alias("cell"))
+    return named.join(filed, ["node", "content"])
+
+
+def _table(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _candidates(cell: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text of a cell with those of other groups that share ``least`` minima or more with it and no key of an earlier band."""
+    sketch, keys = _table(cell["sketch"], np.uint8), np.stack(cell["keys"].to_pylist()).astype(np.int64)
+    root, band, bulk = (cell[c].to_numpy() for c in ("root", "band", "bulk"))
+    large = np.flatnonzero(bulk)
+    for i in np.flatnonzero(~bulk):
+        others = large if len(large) else np.arange(i + 1, len(root))
+        others = others[(root[others] != root[i]) & (band[others] == band[i])]
+        others = others[(sketch[others] == sketch[i]).sum(1) >= least]
+        if len(others):
+            yield i, others[(keys[others] == keys[i]).argmax(1) == band[i]]
+
+
+def _to_verify(least: int):
+    """(cell, at, node, content, root, partners) of the candidates of cells, in cells of ``TOGETHER`` shingles; partners are places of the same cell."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell", 20_000):
+            name = table["cell"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            for a, b in zip(starts, np.r_[starts[1:], len(name)]):
+                cell = table.slice(a, b - a)
+                found = [(i, others) for i, others in _candidates(cell, least) if len(others)]
+                if not found:
+                    continue
+                block = np.cumsum(cell["n"].to_numpy()) // (TOGETHER // 2)
+                left = np.repeat([i for i, _ in found], [len(o) for _, o in found])
+                right = np.concatenate([o for _, o in found])
+                low, high = np.minimum(block[left], block[right]), np.maximum(block[left], block[right])
+                for p, q in np.unique(np.stack([low, high], 1), axis=0).tolist():
+                    here = (low == p) & (high == q)
+                    order = np.argsort(left[here], kind="stable")
+                    l, r = left[here][order], right[here][order]
+                    at = np.union1d(l, r)
+                    ends = np.searchsorted(l, at, "right")
+                    partners = [r[x:y] for x, y in zip(np.searchsorted(l, at, "left"), ends)]
+                    sub = xxhash.xxh64_intdigest(b"%d %d %d" % (name[a], p, q))
+                    rows = cell.select(["node", "content", "root"]).take(pa.array(at)).combine_chunks()
+                    columns = [pa.array(np.full(len(at), sub, np.uint64).view(np.int64)), pa.array(at.astype(np.int32)), *(c.combine_chunks() for c in rows.columns), pa.array(partners, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["cell", "at", "node", "content", "root", "partners"])
+
+    return scan
+
+
+def _linked(similar: float):
+    """(u, v) of pairs that are ``similar`` or more on their whole sets, as many as connect what such pairs connect."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "cell", 1_000):
+            name, at, node, root = (table[c].to_numpy() for c in ("cell", "at", "node", "root"))
+            shingles, partners = table["shingles"].combine_chunks(), table["partners"].combine_chunks()
+            place = {pair: i for i, pair in enumerate(zip(name.tolist(), at.tolist()))}
+            groups: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def group(of: tuple[int, int]) -> tuple[int, int]:
+                while groups.get(of, of) != of:
+                    groups[of] = of = groups.get(groups[of], groups[of])
+                return of
+
+            edges = []
+            for i in range(len(node)):
+                for other in partners[i].values.to_pylist():
+                    j = place[name[i], other]
+                    a, b = group((name[i], root[i])), group((name[i], root[j]))
+                    if a != b and similarity(shingles[i].values.to_numpy(), shingles[j].values.to_numpy()) >= similar:
+                        groups[a] = b
+                        edges.append((node[i], node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
+
+    return scan
 
 
 def joined(rows: DataFrame, roots: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, root): the groups of ``roots`` (node, root), joined wherever texts of theirs are ``similar`` or more; ``rows`` has (node, text).
 
-    In each of ``ROUNDS`` each text of a key that holds several groups is compared with one of them, in the first round the least and then the least by
-    another hash, so that a key of m texts costs m comparisons and never m * m.  A pair that is alike shares about ten keys and is found unless in
-    every one of them and every round a third text, alike to neither, comes first.
+    First each text of a key that holds several groups is compared with one of them, which joins most of a group of copies for one comparison a
+    text.  Then every two texts of a key that still lie in different groups are: in cells of at most ``HOT`` texts by their minima, and what is near
+    by these on whole sets.  No pair of a key is left out.
     """
     filed = _filed(rows)
-    found = roots
-    for turn in range(ROUNDS):
-        keyed = filed.join(found, "node").select("node", "content", "root", F.explode("keys").alias("key"))
-        order = F.struct(F.xxhash64("node", "content", F.lit(turn)) if turn else F.lit(0).cast("long"), "node", "content", "root")
-        mixed = keyed.groupBy("key").agg(F.min(order).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        near = keyed.join(mixed.select("key", "first"), "key").where("root <> first.root")
-        pairs = near.select("node", "content", F.col("first.node").alias("other"), F.col("first.content").alias("other_content"))
-        edges = _verified(pairs.distinct(), rows, similar)
-        grown = components(edges.union(found.select("node", "root")))
-        found = saved(roots.select("node").join(grown, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    return found
+    edges = _verified(_with_the_first(filed, roots), rows, similar)
+    found = _grown(roots, roots, edges)
+    forget(edges)
+    minima_in_common = int(BANDS * ROWS * similar - 5 * (BANDS * ROWS * similar * (1 - similar)) ** 0.5)
+    schema = "cell long, at int, node long, content long, root long, partners array<int>"
+    near = saved(map_arrow(_cells(filed, found).repartition("cell").sortWithinPartitions("cell"), _to_verify(minima_in_common), schema))
+    forget(filed)
+    sets = _sets(rows, near)
+    edges = saved(map_arrow(near.join(sets, ["node", "content"]).repartition("cell").sortWithinPartitions("cell"), _linked(similar), "u long, v long").distinct())
+    forget(near, sets)
+    out = _grown(roots, found, edges)
+    forget(found, edges)
+    return out

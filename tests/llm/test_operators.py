@@ -181,6 +181,43 @@ def test_stage_removes_copies_of_similarity_of_four_fifths(spark):
     assert left == set(plain_components(len(texts), near))
 
 
+@pytest.mark.parametrize("hot, together, unlike", [(4096, 1 << 22, 5000), (300, 5_000, 1500)])
+def test_joined_finds_every_pair_amid_texts_that_share_a_passage(spark, monkeypatch, hot, together, unlike):
+    from colloquy.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    rng = random.Random(8)
+
+    def own(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage, texts, alike = own(104), [], []
+    for _ in range(10):
+        base = own(40)
+        near = [*base]
+        near[15:18] = own(3)
+        alike.append((len(texts), len(texts) + 1))
+        texts += [passage + base, passage + near]
+    # a group of one root, far larger than the rest, and one text near it
+    large = [passage + own(3) for _ in range(unlike // 2)]
+    alike.append((len(texts), len(texts) + 1))
+    texts += large + [passage + own(40) for _ in range(unlike)]
+    rng.shuffle(order := list(range(len(texts))))
+    place = {at: i for i, at in enumerate(order)}
+    root = [at if not 20 <= at < 20 + len(large) - 1 else 20 for at in range(len(texts))]
+    rows = spark.createDataFrame([(place[at], " ".join(t)) for at, t in enumerate(texts)], "node long, text string").repartition(5)
+    roots = spark.createDataFrame([(place[at], place[root[at]]) for at in range(len(texts))], "node long, root long")
+    found = {r.node: r.root for r in jaccard.joined(rows, roots).collect()}
+    assert len(found) == len(texts)
+    sets = [set(zip(*(t[i:] for i in range(5)))) for t in texts]
+    for a, b in alike:
+        assert len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and found[place[a]] == found[place[b]]
+    assert len({found[place[at]] for at in range(20, 20 + len(large))}) == 1
+    # texts that only share the passage stay apart
+    assert len(set(found.values())) == 10 + 1 + unlike
+
+
 def test_components_of_a_path_and_a_star(spark):
     from colloquy.llm.components import components
 
