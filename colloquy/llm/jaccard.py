@@ -57,46 +57,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def _content(sets: list[np.ndarray]) -> pa.Array:
-    """Names sets of shingles, so that equal ones are filed once."""
-    return pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
+def content(shingles: np.ndarray) -> int:
+    """Names a set of shingles, so that equal ones are filed and fetched once."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def _filed(rows: DataFrame) -> DataFrame:
-    """(node, content, n, keys, sketch) of (node, text): the number of shingles, a key a band and a byte of each minimum."""
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, part in texts(batch):
-                sets = [shingle_set(t) for t in part]
-                least = [minima(s) for s in sets]
-                columns = [
-                    batch.column(0).slice(at, len(part)),
-                    _content(sets),
-                    pa.array(map(len, sets), pa.int64()),
-                    pa.array([bands(m) if len(s) else [] for s, m in zip(sets, least)], pa.list_(pa.int64())),
-                    pa.array([m.astype(np.uint8).tobytes() for m in least], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "content", "n", "keys", "sketch"])
-
-    return saved(map_arrow(rows.select("node", "text"), scan, "node long, content long, n long, keys array<long>, sketch binary").dropDuplicates(["node", "content"]))
-
-
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, content, shingles) of the rows whose node is ``wanted``."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(content, shingles) of the documents whose doc_id is ``wanted``, each set once."""
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in texts(batch):
+            for _, part in texts(batch):
                 sets = [shingle_set(t) for t in part]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), _content(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "content", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(content, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["content", "shingles"])
 
-    wanted = wanted.select("node").distinct().hint("merge")
-    return saved(map_arrow(rows.join(wanted, "node", "left_semi").select("node", "text"), named, "node long, content long, shingles array<long>").dropDuplicates(["node", "content"]))
+    ids = wanted.select(F.col("doc_id").alias("wanted__")).distinct().hint("merge")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted__")), "left_semi")
+    return saved(map_arrow(found.select("text"), named, "content long, shingles array<long>").dropDuplicates(["content"]))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
-    """(u, v) nodes of those (node, content, other, other_content) whose sets are ``similar`` or more."""
+def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
+    """(u, v) nodes of those (node, content, doc_id, other, other_content, other_id) whose sets are ``similar`` or more."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,12 +85,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
             alike = [similarity(left[i].values.to_numpy(), right[i].values.to_numpy()) >= similar for i in range(batch.num_rows)]
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    pairs = saved(pairs)
-    sets = _sets(rows, pairs.select("node").union(pairs.select("other")))
-    theirs = sets.select(F.col("node").alias("other"), F.col("content").alias("other_content"), F.col("shingles").alias("b"))
-    both = pairs.join(sets.withColumnRenamed("shingles", "a"), ["node", "content"]).join(theirs, ["other", "other_content"])
+    sets = _sets(docs, pairs.select("doc_id").union(pairs.select("other_id")))
+    theirs = sets.select(F.col("content").alias("other_content"), F.col("shingles").alias("b"))
+    both = pairs.join(sets.withColumnRenamed("shingles", "a"), "content").join(theirs, "other_content")
     edges = saved(map_arrow(both.select(F.col("node").alias("u"), F.col("other").alias("v"), "a", "b"), scan, "u long, v long").distinct())
-    forget(pairs, sets)
+    forget(sets)
     return edges
 
 
@@ -119,19 +99,20 @@ def _grown(roots: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _keyed(filed: DataFrame, found: DataFrame) -> DataFrame:
-    return filed.join(found, "node").select("node", "content", "root", F.posexplode("keys").alias("band", "key"))
+    return filed.join(found, "node").select("node", "content", "doc_id", "root", F.posexplode("keys").alias("band", "key"))
 
 
 def _with_the_first(filed: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, content, other, other_content): each text of a key that holds several groups beside the key's least, so a key of m texts gives m pairs."""
+    """(node, content, doc_id, other, other_content, other_id): each text of a key of more than ``HOT`` texts beside the key's least, where these
+    are in different groups, so a key of m texts gives m pairs."""
     keyed = _keyed(filed, found)
-    mixed = keyed.groupBy("key").agg(F.min(F.struct("node", "content", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    near = keyed.join(mixed.select("key", "first"), "key").where("root <> first.root")
-    return near.select("node", "content", F.col("first.node").alias("other"), F.col("first.content").alias("other_content")).distinct()
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "content", "root", "doc_id")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > HOT) & (F.col("low") != F.col("high")))
+    near = keyed.join(hot.select("key", "first"), "key").where("root <> first.root")
+    return near.select("node", "content", "doc_id", F.col("first.node").alias("other"), F.col("first.content").alias("other_content"), F.col("first.doc_id").alias("other_id")).distinct()
 
 
 def _cells(filed: DataFrame, found: DataFrame) -> DataFrame:
-    """(cell, bulk, band, node, content, root, n, keys, sketch): the texts of each key that holds several groups, so that every two of them in
+    """(cell, bulk, band, node, content, root, doc_id, n, keys, sketch): the texts of each key that holds several groups, so that every two of them in
     different groups share a cell.
 
     A key of more than ``HOT`` texts is dealt out in blocks: those of its largest group (``bulk``), which need not meet each other, meet each block
@@ -174,7 +155,7 @@ def _candidates(cell: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _to_verify(least: int):
-    """(cell, at, node, content, root, partners) of the candidates of cells, in cells of ``TOGETHER`` shingles; partners are places of the same cell."""
+    """(cell, at, node, content, root, doc_id, partners) of the candidates of cells, in cells of ``TOGETHER`` shingles; partners are places of the same cell."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell", 20_000):
@@ -197,9 +178,9 @@ def _to_verify(least: int):
                     ends = np.searchsorted(l, at, "right")
                     partners = [r[x:y] for x, y in zip(np.searchsorted(l, at, "left"), ends)]
                     sub = xxhash.xxh64_intdigest(b"%d %d %d" % (name[a], p, q))
-                    rows = cell.select(["node", "content", "root"]).take(pa.array(at)).combine_chunks()
+                    rows = cell.select(["node", "content", "root", "doc_id"]).take(pa.array(at)).combine_chunks()
                     columns = [pa.array(np.full(len(at), sub, np.uint64).view(np.int64)), pa.array(at.astype(np.int32)), *(c.combine_chunks() for c in rows.columns), pa.array(partners, pa.list_(pa.int32()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["cell", "at", "node", "content", "root", "partners"])
+                    yield pa.RecordBatch.from_arrays(columns, ["cell", "at", "node", "content", "root", "doc_id", "partners"])
 
     return scan
 
@@ -232,24 +213,29 @@ def _linked(similar: float):
     return scan
 
 
-def joined(rows: DataFrame, roots: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(node, root): the groups of ``roots`` (node, root), joined wherever texts of theirs are ``similar`` or more; ``rows`` has (node, text).
+def joined(filed: DataFrame, docs: DataFrame, roots: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(node, root): the groups of ``roots`` (node, root), joined wherever texts of theirs are ``similar`` or more.
+
+    ``filed`` has (node, content, doc_id, n, keys, sketch): a row for each node and set of shingles, with the id of a document of ``docs``
+    that has it, the number of its shingles, the keys of its bands and a byte of each of its minima.
 
-    First each text of a key that holds several groups is compared with one of them, which joins most of a group of copies for one comparison a
-    text.  Then every two texts of a key that still lie in different groups are: in cells of at most ``HOT`` texts by their minima, and what is near
-    by these on whole sets.  No pair of a key is left out.
+    Every two texts of a key that lie in different groups are compared: in cells of at most ``HOT`` texts by their minima, and what is near by these
+    on whole sets.  In larger keys each text is compared with one of them before, which joins most of a group of copies for one comparison a
+    text; what still lies apart then meets in blocks.  No pair of a key is left out.
     """
-    filed = _filed(rows)
-    edges = _verified(_with_the_first(filed, roots), rows, similar)
-    found = _grown(roots, roots, edges)
-    forget(edges)
+    found = roots
+    first = saved(_with_the_first(filed, roots))
+    if first.limit(1).count():
+        edges = _verified(first, docs, similar)
+        found = _grown(roots, roots, edges)
+        forget(edges)
+    forget(first)
     minima_in_common = int(BANDS * ROWS * similar - 5 * (BANDS * ROWS * similar * (1 - similar)) ** 0.5)
-    schema = "cell long, at int, node long, content long, root long, partners array<int>"
+    schema = "cell long, at int, node long, content long, root long, doc_id long, partners array<int>"
     near = saved(map_arrow(_cells(filed, found).repartition("cell").sortWithinPartitions("cell"), _to_verify(minima_in_common), schema))
-    forget(filed)
-    sets = _sets(rows, near)
-    edges = saved(map_arrow(near.join(sets, ["node", "content"]).repartition("cell").sortWithinPartitions("cell"), _linked(similar), "u long, v long").distinct())
+    sets = _sets(docs, near)
+    edges = saved(map_arrow(near.join(sets, "content").repartition("cell").sortWithinPartitions("cell"), _linked(similar), "u long, v long").distinct())
     forget(near, sets)
     out = _grown(roots, found, edges)
-    forget(found, edges)
+    forget(edges, *([found] if found is not roots else []))
     return out

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labels, map_arrow, pairs, saved, texts, whole, whole_groups
+from .common import forget, labels, map_arrow, pairs, saved, texts, whole, whole_groups
 from .components import components
-from .jaccard import joined
+from .jaccard import bands, content, joined, minima, shingle_set
 
 SEED = 42
 DISTANCE = 4
@@ -136,18 +136,41 @@ def _split(filed: DataFrame, suspects: DataFrame) -> DataFrame:
     return dealt.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(cell).alias("key"), "fingerprint")
 
 
+def _profiles(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fingerprint, content, n, keys, sketch) for every row of ``docs``: what :func:`jaccard.joined` files texts by, beside the fingerprint."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in texts(batch):
+                sets = [shingle_set(t) for t in part]
+                least = [minima(s) for s in sets]
+                columns = [
+                    batch.column(0).slice(at, len(part)),
+                    pa.array(np.fromiter((fingerprint(t, width) for t in part), np.uint64, len(part)).view(np.int64)),
+                    pa.array(map(content, sets), pa.int64()),
+                    pa.array(map(len, sets), pa.int64()),
+                    pa.array([bands(m) if len(s) else [] for s, m in zip(sets, least)], pa.list_(pa.int64())),
+                    pa.array([m.astype(np.uint8).tobytes() for m in least], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "content", "n", "keys", "sketch"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, "doc_id long, fingerprint long, content long, n long, keys array<long>, sketch binary")
+
+
 def _grouped(docs: DataFrame, distance: int, width: int, similar: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fingerprint) of every row, and (fingerprint, root, component_id) of every fingerprint; root names the group, whatever its ids.
 
     With ``similar`` groups are joined further by the similarity of their texts; see :func:`jaccard.joined`.
     """
-    prints = saved(fingerprints(docs, width))
+    prints = saved(fingerprints(docs, width) if similar is None else _profiles(docs, width))
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     found = components(near_fingerprints(distinct.select("fingerprint"), distance))
     rooted = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     if similar is not None:
         roots = saved(rooted.select(F.col("fingerprint").alias("node"), "root"))
-        wider = joined(_with_fingerprint(docs.select("text"), width).withColumnRenamed("fingerprint", "node"), roots, similar)
+        filed = saved(prints.withColumnRenamed("fingerprint", "node").dropDuplicates(["node", "content"]))
+        wider = joined(filed, docs, roots, similar)
+        forget(filed, roots)
         rooted = distinct.join(wider.withColumnRenamed("node", "fingerprint"), "fingerprint")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints, saved(rooted.join(named, "root").select("fingerprint", "root", "component_id"))

@@ -183,7 +183,7 @@ def test_stage_removes_copies_of_similarity_of_four_fifths(spark):
 
 @pytest.mark.parametrize("hot, together, unlike", [(4096, 1 << 22, 5000), (300, 5_000, 1500)])
 def test_joined_finds_every_pair_amid_texts_that_share_a_passage(spark, monkeypatch, hot, together, unlike):
-    from colloquy.llm import jaccard
+    from colloquy.llm import jaccard, simhash
 
     monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "TOGETHER", together)
@@ -206,9 +206,10 @@ def test_joined_finds_every_pair_amid_texts_that_share_a_passage(spark, monkeypa
     rng.shuffle(order := list(range(len(texts))))
     place = {at: i for i, at in enumerate(order)}
     root = [at if not 20 <= at < 20 + len(large) - 1 else 20 for at in range(len(texts))]
-    rows = spark.createDataFrame([(place[at], " ".join(t)) for at, t in enumerate(texts)], "node long, text string").repartition(5)
+    docs = spark.createDataFrame([(place[at], " ".join(t)) for at, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    filed = simhash._profiles(docs, 4).withColumn("node", F.col("doc_id")).drop("fingerprint").persist()
     roots = spark.createDataFrame([(place[at], place[root[at]]) for at in range(len(texts))], "node long, root long")
-    found = {r.node: r.root for r in jaccard.joined(rows, roots).collect()}
+    found = {r.node: r.root for r in jaccard.joined(filed, docs, roots).collect()}
     assert len(found) == len(texts)
     sets = [set(zip(*(t[i:] for i in range(5)))) for t in texts]
     for a, b in alike:
