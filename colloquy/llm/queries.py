@@ -83,11 +83,62 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digest, formatted
+
+    turns = _table(spark, sf_dir, "conversations")
+    marked = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
+    return digest(*formatted(turns.select("conv_id", "turn", "role", "text").unionByName(added)))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compressed
+
+    return compressed(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_backoff_scores, op2_simhash, op3_pii, op4_embedding_dedup, op5_mixing, op6_hamming_search, op7_packing, op8_secrets, op9_language, op10_licenses)
-}
+    f.__name__: f
+    for f in (
+        op1_backoff_scores, op2_simhash, op3_pii, op4_embedding_dedup, op5_mixing, op6_hamming_search, op7_packing, op8_secrets, op9_language, op10_licenses,
+        op11_chat_formatting, op12_source_divergence, op13_vector_codes,
+    )
+}
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+def _vector_codes(parts: int = 4, rounds: int = 4) -> str:
+    """SQL of product codes: a block of common table expressions for each round.  ``dots`` of whole doubles are exact."""
+    steps = [
+        "x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda e: floor(1024 * e)) AS v FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0)",
+        f"p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS v FROM x, range({parts}) t(part))",
+        "b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v FROM p WHERE r <= 256)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT r, part, min(apart) AS apart, arg_min(entry, (apart, entry)) AS entry FROM"
+            f" (SELECT p.r, p.part, b.entry, list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, b.v) + list_dot_product(b.v, b.v) AS apart FROM p JOIN b{i} b ON b.part = p.part) GROUP BY r, part)"
+        )
+        if i < rounds:
+            steps.append(
+                f"b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN (SELECT part, entry, list(v ORDER BY pos) AS v FROM"
+                f" (SELECT a.part, a.entry, pos, floor(sum(p.v[pos]) / count(*)) AS v FROM a{i} a JOIN p ON p.r = a.r AND p.part = a.part, range(1, len(p.v) + 1) t(pos) GROUP BY a.part, a.entry, pos) GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)"
+            )
+    return f"""
+WITH {', '.join(steps)},
+c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(apart) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(v[pos] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds}, range(1, len(v) + 1) t(pos))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM x JOIN c ON c.r = x.r, h"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_backoff_scores": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -129,4 +180,27 @@ SELECT doc_id, size, total AS source_size, target, CAST(epochs * size + greatest
 WITH c AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0 AND NOT isnan(embedding[i]), false)) AS code FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
 h AS (SELECT q.id AS query_id, c.id AS match_id, CAST(len(list_filter(range(1, 65), lambda i: q.code[i] <> c.code[i])) AS INTEGER) AS distance FROM c q JOIN c ON c.id <> q.id WHERE q.id % 100 = 0)
 SELECT query_id, CAST(n AS INTEGER) AS rank, match_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, match_id) AS n FROM h) WHERE n <= 10""",
+    "op11_chat_formatting": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+e AS (SELECT *, 2 * length(text) - length(regexp_replace(text, '[\\<\[]', '', 'g')) AS shown, 2 * length(role) - length(regexp_replace(role, '[\\<\[]', '', 'g')) AS named FROM t)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(7 + sum(shown + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 17 ELSE 19 + named END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS n FROM k GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term),
+s AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY lang, source),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + v.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (v.n + v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 200""",
+    "op13_vector_codes": _vector_codes(),
 }
