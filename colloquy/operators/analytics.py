@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running, settled
+
 NAN = float("nan")
 
 
@@ -75,15 +77,25 @@ def sticky(history: DataFrame, keys: Sequence[str], order: str, starts: Column)
     return history.withColumn("on", F.coalesce(F.bool_or(starts).over(along), F.lit(False)))
 
 
-def as_of(rows: DataFrame, schedule: DataFrame, at: str, since: str, value: str) -> DataFrame:
-    """The ``value`` of the last ``schedule`` entry at or before each row's ``at``, null before the first.
+def as_of(rows: DataFrame, schedule: DataFrame, at: str, since: str, value: str, keys: Sequence[str] = (), width=None, salts: int = 16) -> DataFrame:
+    """``rows`` with the ``value`` of the last ``schedule`` entry of the same ``keys`` at or before each row's ``at``; null before the first.
 
-    A schedule is a short list made by hand; it becomes a constant, so that the rows are not moved at all.  More than ``SHORT_LIST`` entries are
-    refused.
+    Both tables are put into one order of time and the last value is carried along, by stretches of ``width`` of a key if that is given.  Of entries
+    at one time the one with the largest value counts; an entry may have a null value.  Without ``keys`` the schedule is repeated for ``salts``
+    shares of the rows, so that they do not end up in one task.  Rows without a time get null; null keys meet null keys.
     """
-    entries = sorted((r[0], r[1]) for r in _short(schedule.select(since, value)))
-    known = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v")) for t, v in entries])
-    return rows.withColumn(value, F.get(F.reverse(F.filter(known, lambda e: e["t"] <= F.col(at))), F.lit(0))["v"] if entries else F.lit(None).cast(schedule.schema[value].dataType))
+    by = list(keys) or ["salt__"]
+    known = schedule.where(F.col(since).isNotNull()).groupBy(*keys, F.col(since).alias("at__")).agg(F.max(value).alias("value__"))
+    known = known.withColumn("seen__", F.struct("value__")).drop("value__").withColumn("rank__", F.lit(0))
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row__")
+    asked = rows.select(*keys, row, F.col(at).alias("at__"), F.lit(1).alias("rank__"))
+    if not keys:
+        known = known.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        asked = asked.withColumn("salt__", F.pmod(F.xxhash64("row__"), F.lit(salts)).cast("int"))
+    segment = None if width is None else F.floor(F.col("at__") / width)
+    found = running(known.unionByName(asked, allowMissingColumns=True), by, ["at__", "rank__"], segment, {"last__": ("last", F.col("seen__"))}).where("rank__ = 1")
+    kept = [F.col(f"row__.`{c}`").alias(c) for c in rows.columns if c != value]
+    return found.select(*kept, F.when(F.col("at__").isNotNull(), F.col("last__.value__")).alias(value))
 
 
 #: Rows of a list made by hand.
@@ -97,37 +109,41 @@ def _short(rows: DataFrame) -> list:
     return found
 
 
+#: Rows up to which a cell's best are kept in memory while they are looked for.
+FEW = 10_000
+
+
+def best_rows(rows: DataFrame, target: int, score: str, key: str) -> DataFrame:
+    """The ``target`` rows of the highest ``score``, ties by the smaller ``key``; null scores come last.
+
+    A large target is counted off along the order in stretches of the score between 65 of its quantiles, not in one task.
+    """
+    if target <= FEW:
+        return rows.orderBy(F.col(score).desc_nulls_last(), F.col(key)).limit(target)
+    edges = rows.agg(F.percentile_approx(score, [i / 64 for i in range(65)], 10_000)).first()[0] or []
+    segment = F.when(F.col(score).isNull(), len(edges) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col(score)))) if edges else F.lit(0)
+    ordered = rows.withColumn("missing__", F.col(score).isNull()).withColumn("down__", -F.col(score))
+    ranked = running(ordered, [], ["missing__", "down__", key], segment, {"nth__": ("sum", F.lit(1))})
+    return ranked.where(F.col("nth__") <= target).drop("missing__", "down__", "nth__")
+
+
 def quota_select(candidates: DataFrame, cells: Sequence[tuple[str, int]], quota: int | dict[str, int], cell: str = "cell", group: str = "rec", score: str = "score", key: str = "key") -> DataFrame:
     """Cells in declared order each take their best rows while their ``group`` has less than ``quota`` over all cells together.
 
-    What a cell may take depends on the cells before it, so the choice itself is made in turn, on the driver, over rows whose number the
-    targets bound: of a cell, ``quota`` rows a group, and of those the best ``target`` plus ``quota`` for every row that earlier cells can have
-    taken, since only groups with such rows can be blocked.  That pruning is one distributed pass.  Ties go to the smaller ``key``.
+    One pass a cell, of which there are as many as are declared by hand: a group offers its best rows up to what earlier cells have left of its quota,
+    and the cell takes the best ``target`` of all that is offered, which is what taking them in turn comes to.  Ties go to the smaller ``key``.
+    Rows stay where they are: the driver sees none.  Rows of no group count as one group.
     """
-    spark, earlier, bounds = candidates.sparkSession, 0, []
     quotas = quota if isinstance(quota, dict) else dict.fromkeys((name for name, _ in cells), quota)
+    rows = settled(candidates)
+    own = Window.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), F.col(key))
+    chosen = rows.limit(0)
     for name, target in cells:
-        bounds.append((name, target + quotas[name] * earlier, quotas[name]))
-        earlier += target
-    best = (F.desc(score), F.col(key))
-    within = F.row_number().over(Window.partitionBy(cell, group).orderBy(*best))
-    limited = candidates.join(F.broadcast(spark.createDataFrame(bounds, f"{cell} string, most__ long, quota__ long")), cell).withColumn("n__", within).where("n__ <= quota__")
-    # a cell's best are picked in 64 parts first, so that no cell is ranked whole in one task
-    for part in (F.pmod(F.xxhash64(group), F.lit(64)), F.lit(0)):
-        limited = limited.withColumn("n__", F.row_number().over(Window.partitionBy(cell, part).orderBy(*best))).where("n__ <= most__")
-    ranked = limited
-    used: dict = {}
-    chosen, by_cell = [], {}
-    for row in ranked.orderBy(cell, "n__").select(candidates.columns).collect():
-        by_cell.setdefault(row[cell], []).append(row)
-    for name, target in cells:
-        left = target
-        for row in by_cell.get(name, []):
-            if left and used.get(row[group], 0) < quotas[name]:
-                used[row[group]] = used.get(row[group], 0) + 1
-                chosen.append(row)
-                left -= 1
-    return spark.createDataFrame(chosen, candidates.schema)
+        offered = rows.where(F.col(cell) == name).withColumn("nth__", F.row_number().over(own)).where(F.col("nth__") <= quotas[name])
+        used = chosen.groupBy(F.col(group).alias("group__")).agg(F.count("*").alias("used__"))
+        offered = offered.join(used, F.col(group).eqNullSafe(F.col("group__")), "left").where(F.col("nth__") + F.coalesce("used__", F.lit(0)) <= quotas[name])
+        chosen = chosen.unionByName(settled(best_rows(offered.select(rows.columns), target, score, key)))
+    return chosen
 
 
 def projected_days(seconds: Column, samples: Column, target: int, epochs: int) -> Column:

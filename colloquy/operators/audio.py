@@ -11,12 +11,12 @@ from .models import apply_model
 
 
 def overlap_add(chunks: DataFrame, keys: Sequence[str], width: int, floor: float = 1e-8) -> DataFrame:
-    """(keys, t, y): chunks (keys, offset, x) of ``width`` samples under Hann weights, summed where they overlap and divided by their weight.
+    """(keys, t, y): chunks (keys, offset, x) of ``width`` samples under symmetric Hann weights (0 at both ends), summed where they overlap and divided by their weight.
 
     One row per sample, so that no signal is ever one row; the sums are pre-aggregated where the chunks are.
     """
     samples = chunks.select(*keys, "offset", F.posexplode("x").alias("i", "v"))
-    weight = 0.5 - 0.5 * F.cos(2 * 3.141592653589793 * F.col("i") / width)
+    weight = 0.5 - 0.5 * F.cos(2 * 3.141592653589793 * F.col("i") / max(width - 1, 1))
     rows = samples.select(*keys, (F.col("offset") + F.col("i")).alias("t"), (F.col("v") * weight).alias("vw"), weight.alias("w"))
     return rows.groupBy(*keys, "t").agg((F.sum("vw") / F.greatest(F.sum("w"), F.lit(floor))).alias("y"))
 

@@ -1,33 +1,75 @@
 """Interval algebra over (keys..., start, end) rows: merging, subtracting, sweeping, clipping, padding and windowing.
 
-Intervals are half-open with end > start.  Every operator keys its windows and joins by ``keys`` (a recording, or a recording and a speaker),
-so recordings are the unit that Spark spreads.  Times may be integers (milliseconds) or doubles (seconds).
+Intervals are half-open with end > start.  Every operator keys its windows and joins by ``keys`` (a recording, or a recording and a speaker);
+those with a ``width`` cut keys into stretches of that width, so that one very long recording spreads over all executors as well.  Times may be integers (milliseconds) or doubles (seconds).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import settled
+
 #: A pair of intervals meets in this bucket of time only, so a bucketed join needs no distinct.
 _BUCKET = "bucket__"
 
 
-def merge(turns: DataFrame, keys: Sequence[str], touching: bool = False, gap=None) -> DataFrame:
+_STRETCH = "stretch__"
+
+
+def _clipped(spans: DataFrame, width) -> DataFrame:
+    """``spans`` cut at the ends of stretches of ``width``, with the number of the stretch and whether a piece goes on from the stretch before
+    (``resumed__``); without a width all are in stretch 0."""
+    if width is None:
+        return spans.withColumn(_STRETCH, F.lit(0).cast("long")).withColumn("resumed__", F.lit(False))
+    first = F.floor(F.col("start") / width)
+    cut = spans.withColumn(_STRETCH, F.explode(F.sequence(first, F.greatest(F.ceil(F.col("end") / width) - 1, first))))
+    lo, hi = F.col(_STRETCH) * width, (F.col(_STRETCH) + 1) * width
+    types = {c: spans.schema[c].dataType for c in ("start", "end")}
+    return cut.withColumn("resumed__", F.col("start") < lo).withColumns({"start": F.greatest("start", lo).cast(types["start"]), "end": F.least("end", hi).cast(types["end"])})
+
+
+def _islands(pieces: DataFrame, keys: Sequence[str], touching: bool, gap=None) -> DataFrame:
+    """(keys, stretch__, start, end, resumed__) of the pieces of each stretch, merged."""
+    order = Window.partitionBy(*keys, _STRETCH).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = pieces.withColumn("opens__", F.when(reached.isNull() | _apart(F.col("start"), reached, touching, gap), 1).otherwise(0))
+    rows = rows.withColumn("n__", F.sum("opens__").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, _STRETCH, "n__").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("resumed__").alias("resumed__"))
+
+
+def _apart(start: Column, reached: Column, touching: bool, gap) -> Column:
+    return start - reached >= gap if gap is not None else start > reached if touching else start >= reached
+
+
+def _joined(islands: DataFrame, keys: Sequence[str], touching: bool, gap=None) -> DataFrame:
+    """(keys, start, end): the islands of stretches, joined where they go on in the next one.
+
+    Only the first and the last island of a stretch can; these alone are looked at along a whole key, two a stretch at most.
+    """
+    within = Window.partitionBy(*keys, _STRETCH)
+    marked = islands.withColumn("edge__", (F.col("n__") == F.min("n__").over(within)) | (F.col("n__") == F.max("n__").over(within)))
+    order = Window.partitionBy(*keys).orderBy(_STRETCH, "n__")
+    before, stretch = F.lag("end").over(order), F.lag(_STRETCH).over(order)
+    opens = before.isNull() | (stretch == F.col(_STRETCH)) | (_apart(F.col("start"), before, touching, gap) & ~F.col("resumed__"))
+    edges = marked.where("edge__").withColumn("opens__", opens.cast("int"))
+    edges = edges.withColumn("island__", F.sum("opens__").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = edges.groupBy(*keys, "island__").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return marked.where("not edge__").select(*keys, "start", "end").unionByName(edges.select(*keys, "start", "end"))
+
+
+def merge(turns: DataFrame, keys: Sequence[str], touching: bool = False, gap=None, width=None) -> DataFrame:
     """Maximal spans of ``turns`` per ``keys``: (keys, start, end).
 
     With ``gap`` spans merge where the next start is less than ``gap`` after the end; otherwise where it lies before the end, or, with
-    ``touching``, at it.  One window over the key: a span opens where the start is beyond the largest end so far.
+    ``touching``, at it.  A span opens where the start is beyond the largest end so far.  With ``width`` turns are cut at stretches of that width, each
+    stretch is merged for itself and what goes on across their ends is joined again, so that a long key is many tasks.
     """
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start") - reached >= gap if gap is not None else F.col("start") > reached if touching else F.col("start") >= reached
-    opens = F.when(reached.isNull() | apart, 1).otherwise(0)
-    island = turns.withColumn("opens__", opens).withColumn("island__", F.sum("opens__").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "island__").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island__")
+    islands = _islands(_clipped(turns.select(*keys, "start", "end"), width), keys, touching, gap)
+    return islands.select(*keys, "start", "end") if width is None else _joined(islands, keys, touching, gap)
 
 
 def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], width=None) -> DataFrame:
@@ -46,53 +88,60 @@ def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], width=None) -> Data
     return met.where(F.col(_BUCKET) == F.floor(F.col("lo") / width)).drop(_BUCKET) if width is not None else met
 
 
+def between(spans: DataFrame, keys: Sequence[str], width=None) -> DataFrame:
+    """(keys, start, end) of the time between each of the merged ``spans`` and the next; with ``width`` by stretches, see :func:`merge`."""
+    begun = spans.select(*keys, "start", "end").withColumn(_STRETCH, F.lit(0).cast("long") if width is None else F.floor(F.col("start") / width))
+    inside = Window.partitionBy(*keys, _STRETCH).orderBy("start", "end")
+    found = begun.select(*keys, F.lag("end").over(inside).alias("from__"), F.col("start").alias("to__"))
+    if width is not None:
+        along = Window.partitionBy(*keys).orderBy(_STRETCH)
+        stretches = begun.groupBy(*keys, _STRETCH).agg(F.min("start").alias("to__"), F.max("end").alias("end"))
+        found = found.unionByName(stretches.select(*keys, F.lag("end").over(along).alias("from__"), "to__"))
+    return found.where("from__ < to__").select(*keys, F.col("from__").alias("start"), F.col("to__").alias("end"))
+
+
 def subtract(a: DataFrame, b: DataFrame, keys: Sequence[str], least=0, width=None) -> DataFrame:
     """What of each interval of ``a`` no interval of ``b`` covers, in pieces longer than ``least``: (columns of a with start and end cut).
 
     The pieces of ``a`` are not merged with each other; repeated rows stay repeated.  Null keys meet null keys, and nulls in other columns are
-    values like others.  One join to the merged ``b`` and one window: a cut gives the piece before it, the last one the piece after it as well.
+    values like others.  The pieces are what ``a`` shares with the time between the merged ``b``, so one join gives them, by stretches of ``width`` if
+    that is given; an interval with very many cuts is not one task.
     """
     columns = a.columns
-    cuts = merge(b, keys, touching=True).select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("start").alias("from__"), F.col("end").alias("to__"))
-    numbered = a.withColumn("row__", F.monotonically_increasing_id())
+    # the time a spans is bounded by an empty cut at either end, so that there is free time where b has nothing
+    bounds = a.groupBy(*keys).agg(F.min("start").alias("lo"), F.max("end").alias("hi")).select(*keys, F.explode(F.array("lo", "hi")).alias("start")).withColumn("end", F.col("start"))
+    free = between(merge(b.select(*keys, "start", "end").unionByName(bounds), keys, touching=True, width=width), keys, width)
+    free = free.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("start").alias("from__"), F.col("end").alias("to__"))
     on = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
     if width is not None:
-        numbered = numbered.withColumn("a_bucket__", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-        cuts = cuts.withColumn("b_bucket__", F.explode(F.sequence(F.floor(F.col("from__") / width), F.floor(F.col("to__") / width))))
-        # a cut counts in the one bucket in which the shared time begins
+        a = a.withColumn("a_bucket__", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+        free = free.withColumn("b_bucket__", F.explode(F.sequence(F.floor(F.col("from__") / width), F.floor(F.col("to__") / width))))
+        # a piece counts in the one stretch in which it begins
         on += [F.col("a_bucket__") == F.col("b_bucket__"), F.col("a_bucket__") == F.floor(F.greatest("start", "from__") / width)]
-    met = numbered.join(cuts, [*on, F.col("start") < F.col("to__"), F.col("from__") < F.col("end")], "left")
-    row = Window.partitionBy("row__")
-    order = row.orderBy(F.col("from__").asc_nulls_last())
-    ranked = met.withColumn("n__", F.count("from__").over(row)).withColumn("i__", F.row_number().over(order)).withColumn("reached__", F.coalesce(F.lag("to__").over(order), "start"))
-    # rows without a cut of a bucketed interval that has cuts in other buckets, or none at all, say nothing more
-    ranked = ranked.where((F.col("i__") <= F.col("n__")) | ((F.col("n__") == 0) & (F.col("i__") == 1)))
-    before = F.struct(F.col("reached__").alias("start"), F.coalesce("from__", F.col("end")).alias("end"))
-    after = F.struct(F.coalesce("to__", F.col("end")).alias("start"), F.col("end").alias("end"))
-    pieces = ranked.withColumn("piece__", F.explode(F.when(F.col("i__") >= F.col("n__"), F.array(before, after)).otherwise(F.array(before))))
-    out = pieces.select(*[F.col(f"piece__.{c}").alias(c) if c in ("start", "end") else F.col(c) for c in columns])
-    return out.where(F.col("end") - F.col("start") > least)
-
-
-def overlaps(turns: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", least: int = 2) -> DataFrame:
-    """Maximal spans in which ``least`` or more distinct speakers talk: (keys, start, end)."""
-    per_speaker = merge(turns, [*keys, speaker], touching=True)
-    steps = per_speaker.select(*keys, F.col("start").alias("t"), F.lit(1).alias("d")).union(per_speaker.select(*keys, F.col("end").alias("t"), F.lit(-1).alias("d")))
-    steps = steps.groupBy(*keys, "t").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("t")
+    met = a.join(free, [*on, F.col("start") < F.col("to__"), F.col("from__") < F.col("end")])
+    cut = {"start": F.greatest("start", "from__"), "end": F.least("end", "to__")}
+    return met.select(*[cut[c].alias(c) if c in cut else F.col(c) for c in columns]).where(F.col("end") - F.col("start") > least)
+
+
+def overlaps(turns: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", least: int = 2, width=None) -> DataFrame:
+    """Maximal spans in which ``least`` or more distinct speakers talk: (keys, start, end).  ``width``: see :func:`merge`."""
+    # cut at stretches, a speaker's spans need not be joined again: at an end of a stretch one ends and one begins
+    per_speaker = _islands(_clipped(turns.select(*keys, speaker, "start", "end"), width), [*keys, speaker], True)
+    ends = F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))
+    steps = per_speaker.select(*keys, _STRETCH, F.explode(ends).alias("step")).groupBy(*keys, _STRETCH, F.col("step.t").alias("t")).agg(F.sum("step.d").alias("d"))
+    order = Window.partitionBy(*keys, _STRETCH).orderBy("t")
     level = steps.withColumn("n", F.sum("d").over(order)).withColumn("until", F.lead("t").over(order))
-    runs = level.withColumn("run", F.sum(F.when(F.col("n") < least, 1).otherwise(0)).over(order)).where(F.col("n") >= least)
-    return runs.groupBy(*keys, "run").agg(F.min("t").alias("start"), F.max("until").alias("end")).drop("run")
+    runs = level.withColumn("n__", F.sum(F.when(F.col("n") < least, 1).otherwise(0)).over(order)).where(F.col("n") >= least)
+    islands = runs.groupBy(*keys, _STRETCH, "n__").agg(F.min("t").alias("start"), F.max("until").alias("end")).withColumn("resumed__", F.lit(False))
+    return islands.select(*keys, "start", "end") if width is None else _joined(islands, keys, True)
 
 
-def gaps(speech: DataFrame, totals: DataFrame, keys: Sequence[str], least) -> DataFrame:
-    """Silences of ``least`` or more between merged ``speech`` spans, before the first and up to ``total`` after the last."""
-    order = Window.partitionBy(*keys).orderBy("start")
-    between = speech.select(*keys, F.coalesce(F.lag("end").over(order), F.lit(0)).alias("a"), F.col("start").alias("b"))
-    ends = speech.groupBy(*keys).agg(F.max("end").alias("last"))
-    tail = totals.join(ends, list(keys), "left").select(*keys, F.coalesce("last", F.lit(0)).alias("a"), F.col("total").alias("b"))
-    both = between.union(tail).where(F.col("b") - F.col("a") >= least)
-    return both.select(*keys, F.col("a").alias("start"), F.col("b").alias("end"))
+def gaps(speech: DataFrame, totals: DataFrame, keys: Sequence[str], least, width=None) -> DataFrame:
+    """Silences of ``least`` or more between merged ``speech`` spans, before the first and up to ``total`` after the last.  ``width``: see :func:`merge`."""
+    ends = speech.groupBy(*keys).agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    head = ends.select(*keys, F.lit(0).cast(speech.schema["start"].dataType).alias("start"), F.col("first").alias("end"))
+    tail = totals.join(ends, list(keys), "left").select(*keys, F.coalesce("last", F.lit(0)).alias("start"), F.col("total").alias("end"))
+    return between(speech, keys, width).union(head).union(tail).where(F.col("end") - F.col("start") >= least)
 
 
 def sliding(totals: DataFrame, target, stride) -> DataFrame:
@@ -102,24 +151,58 @@ def sliding(totals: DataFrame, target, stride) -> DataFrame:
     return totals.where(F.col("total") >= target).withColumn("k__", at).withColumn("start", F.col("k__") * stride).withColumn("end", F.col("k__") * stride + target).drop("k__")
 
 
+def covered(windows: DataFrame, spans: DataFrame, keys: Sequence[str], by: Sequence[str] = (), width=None) -> DataFrame:
+    """How much of each distinct window (keys, start, end) the ``spans`` cover, for each value of their columns ``by``, and how many of them meet it:
+    (keys, by, start, end, shared, n), for n > 0.  Spans that overlap count twice.
+
+    Covered time up to t is a running sum over the starts and ends of spans up to t, so a window asks twice for its place in that order and never
+    meets the spans themselves; the work is linear in windows and spans.  With ``width`` both are cut at stretches of that width and added up.
+    """
+    own, every = [*keys, "start", "end"], [*keys, *by]
+    ends = F.array(*[F.struct(F.col(c).alias("t__"), F.lit(rank).alias("rank__"), F.lit(sign).alias("sign__")) for c, rank, sign in (("end", 0, -1), ("start", 2, 1))])
+    marks = _clipped(spans.select(*every, "start", "end").where("end > start"), width).select(*every, _STRETCH, (F.col("resumed__")).cast("int").alias("resumed__"), F.explode(ends).alias("e")).select(*every, _STRETCH, "resumed__", "e.*")
+    asked = windows.select(*own).distinct().where("end > start").withColumns({"from__": F.col("start"), "to__": F.col("end")})
+    asked = _clipped(asked, width)
+    asked = asked.join(spans.select(*every).distinct(), list(keys)) if by else asked
+    sides = F.array(F.struct(F.col("start").alias("t__"), F.lit(-1).alias("side__")), F.struct(F.col("end").alias("t__"), F.lit(1).alias("side__")))
+    asked = asked.select(*every, _STRETCH, "from__", "to__", F.col("resumed__").alias("later__"), F.explode(sides).alias("s")).select(*every, _STRETCH, "from__", "to__", "later__", "s.*").withColumn("rank__", F.lit(1))
+    # at one time ends come first, then windows, then starts: what only touches a window does not meet it
+    so_far = Window.partitionBy(*every, _STRETCH).orderBy("t__", "rank__").rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value).over(so_far), F.lit(0))
+
+    starts = F.col("sign__") > 0
+    seen = marks.unionByName(asked, allowMissingColumns=True).select(
+        *every, "from__", "to__", "side__",
+        (total(F.col("sign__")) * F.col("t__") - total(F.col("sign__") * F.col("t__"))).alias("time__"),
+        # a span that goes on from the stretch before has met the window there if that goes on as well
+        F.when(F.col("side__") > 0, total(starts.cast("long")) - F.when(F.col("later__"), total((starts & (F.col("resumed__") == 1)).cast("long"))).otherwise(0)).otherwise(-total((~starts).cast("long"))).alias("met__"),
+    ).where("side__ is not null")
+    found = seen.groupBy(*every, F.col("from__").alias("start"), F.col("to__").alias("end")).agg(F.sum(F.col("side__") * F.col("time__")).alias("shared"), F.sum("met__").alias("n"))
+    return found.where("n > 0")
+
+
 def measure(windows: DataFrame, turns: DataFrame, keys: Sequence[str], speaker: str = "speaker", width=None) -> DataFrame:
     """Per window (keys, start, end): overlap, overlap events, longest event, speech, and the speaking time of each speaker as a map.
 
-    A speaker's overlapping turns count twice in the map; overlap and speech are of merged time.  Windows meet overlaps, speech and turns in one
-    join, by stretches of ``width`` if that is given.
+    A speaker's overlapping turns count twice in the map; overlap and speech are of merged time.  All but the longest event, for which windows meet
+    the overlaps, is :func:`covered` time.  ``width``: see :func:`merge`.
     """
     own, nobody = [*keys, "start", "end"], F.lit(None).cast(turns.schema[speaker].dataType).alias("who__")
-    parts = overlaps(turns, keys, speaker).select(*own, nobody, F.lit("overlap").alias("kind__"))
-    parts = parts.unionByName(merge(turns, keys, touching=True).select(*own, nobody, F.lit("speech").alias("kind__")))
+    both = overlaps(turns, keys, speaker, width=width)
+    parts = both.select(*own, nobody, F.lit("overlap").alias("kind__"))
+    parts = parts.unionByName(merge(turns, keys, touching=True, width=width).select(*own, nobody, F.lit("speech").alias("kind__")))
     parts = parts.unionByName(turns.select(*own, F.col(speaker).alias("who__"), F.lit("turn").alias("kind__")))
-    shared = meeting(windows.select(*own), parts, keys, width).withColumn("w__", F.col("hi") - F.col("lo"))
-    shared = shared.groupBy(*own, "kind__", "who__").agg(F.sum("w__").alias("w__"), F.count("*").alias("n__"), F.max("w__").alias("most__"))
+    shared = covered(windows, parts, keys, ["kind__", "who__"], width)
 
     def of(kind: str, value: str) -> Column:
         return F.max(F.when(F.col("kind__") == kind, F.col(value)))
 
-    spoken = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind__") == "turn", F.struct(F.col("who__").alias(speaker), F.col("w__").alias("w"))))))
-    found = shared.groupBy(*own).agg(of("overlap", "w__").alias("overlap"), of("overlap", "n__").alias("events"), of("overlap", "most__").alias("longest"), of("speech", "w__").alias("speech"), spoken.alias("by_speaker"))
+    spoken = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind__") == "turn", F.struct(F.col("who__").alias(speaker), F.col("shared").alias("w"))))))
+    found = shared.groupBy(*own).agg(of("overlap", "shared").alias("overlap"), of("overlap", "n").alias("events"), of("speech", "shared").alias("speech"), spoken.alias("by_speaker"))
+    longest = meeting(windows.select(*own).distinct(), both, keys, width).groupBy(*own).agg(F.max(F.col("hi") - F.col("lo")).alias("longest"))
+    found = found.join(longest, own, "left").select(*own, "overlap", "events", "longest", "speech", "by_speaker")
     return windows.join(found, own, "left").fillna(0, ["overlap", "events", "longest", "speech"])
 
 
@@ -144,21 +227,32 @@ def hull_iou(start: Column, end: Column, other_start: Column, other_end: Column)
     return F.when(hull > 0, shared / hull).otherwise(F.lit(0.0))
 
 
-def suppress(candidates: DataFrame, keys: Sequence[str], score: str, most: float) -> DataFrame:
-    """Greedy non-maximum suppression: by ``score`` downwards (then start), keep what has a hull IoU of ``most`` or less with all kept so far.
+def suppress(candidates: DataFrame, keys: Sequence[str], score: str, most: float, width=None) -> DataFrame:
+    """Greedy non-maximum suppression: by ``score`` downwards (then start, then end), keep what has a hull IoU of ``most`` or less with all kept so far.
 
-    Sequential within a key by definition; a key's candidates are the windows of one recording.
+    In rounds instead of in turn: what comes before all its undecided neighbours is kept, for nothing else can stop it, and its neighbours go.
+    Neighbours are found once, by stretches of ``width`` if that is given.  Of rows equal in score, start and end one is kept; null scores come last.
     """
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, "start", "end"], ascending=[False, True, True], kind="stable")
-        kept: list[tuple[int, float, float]] = []
-        for i, a, b in zip(range(len(rows)), rows["start"], rows["end"]):
-            if all(max(min(b, d) - max(a, c), 0) <= most * (max(b, d) - min(a, c)) for _, c, d in kept):
-                kept.append((i, a, b))
-        return rows.iloc[[i for i, _, _ in kept]].sort_values("start", kind="stable")
-
-    return candidates.groupBy(*keys).applyInPandas(keep, candidates.schema)
+    order = Window.partitionBy(*keys, "start", "end").orderBy(F.col(score).desc_nulls_last())
+    # of equal windows the best one stands for all, as it suppresses the others (unless nothing is suppressed)
+    rows = candidates.withColumn("nth__", F.row_number().over(order)).where(F.col("nth__") == 1).drop("nth__") if most < 1 else candidates
+    rows = settled(rows.withColumn("id__", F.monotonically_increasing_id()))
+    first = F.struct(F.col(score).isNull().alias("a"), (-F.col(score)).alias("b"), F.col("start").alias("c"), F.col("end").alias("d"), F.col("id__").alias("e"))
+    windows = rows.select(*keys, "start", "end", "id__", first.alias("place__"))
+    met = meeting(windows, windows.select(*keys, "start", "end", F.col("id__").alias("other__"), F.col("place__").alias("other_place__")), keys, width)
+    hull = F.greatest("end", "b_end") - F.least("start", "b_start")
+    near = met.where("place__ < other_place__").where(F.col("hi") - F.col("lo") > most * hull)
+    before = settled(near.select(F.col("id__").alias("u"), F.col("other__").alias("v")))  # u comes before v, and may suppress it
+    undecided, kept = rows.select("id__"), None
+    while True:
+        free = settled(undecided.join(before.select(F.col("v").alias("id__")), "id__", "left_anti"))
+        kept = free if kept is None else kept.union(free)
+        gone = before.join(free.select(F.col("id__").alias("u")), "u", "left_semi").select(F.col("v").alias("id__")).distinct()
+        undecided = settled(undecided.join(free, "id__", "left_anti").join(gone, "id__", "left_anti"))
+        if not undecided.limit(1).count():
+            return rows.join(kept, "id__", "left_semi").drop("id__")
+        alive = undecided.select("id__")
+        before = settled(before.join(alive.withColumnRenamed("id__", "u"), "u", "left_semi").join(alive.withColumnRenamed("id__", "v"), "v", "left_semi"))
 
 
 def solo(turns: DataFrame, blocked: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", least=0) -> DataFrame:
@@ -232,9 +326,9 @@ def fill_regions(regions: DataFrame, speakers: DataFrame, totals: DataFrame, key
     return filled.join(speakers, list(keys))
 
 
-def best_window(totals: DataFrame, spans: DataFrame, keys: Sequence[str], length, stride) -> DataFrame:
-    """Per key the window of ``length`` that shares most time with ``spans``; the first of equals."""
-    shared = meeting(sliding(totals, length, stride).drop("total"), spans, keys).groupBy(*keys, "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("shared"))
+def best_window(totals: DataFrame, spans: DataFrame, keys: Sequence[str], length, stride, width=None) -> DataFrame:
+    """Per key the window of ``length`` that shares most time with ``spans``; the first of equals.  ``width``: see :func:`merge`."""
+    shared = covered(sliding(totals, length, stride), spans, keys, width=width)
     return shared.groupBy(*keys).agg(F.max(F.struct("shared", (-F.col("start")).alias("back"))).alias("best")).select(*keys, (-F.col("best.back")).alias("start"), F.col("best.shared").alias("shared"))
 
 

@@ -208,13 +208,31 @@ def single_stream_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequ
 
 
 def timed_distance(a: list[tuple], b: list[tuple], collar: float) -> int:
-    """Edit distance of (token, start, end) lists in which tokens pair up only where they are less than ``collar`` apart in time."""
-    tokens, starts, ends = (np.array([t[k] for t in b], object if k == 0 else float) for k in range(3))
-    row = step = np.arange(len(b) + 1)
-    for i, (token, start, end) in enumerate(a, 1):
-        pair = np.where((start < ends + collar) & (starts < end + collar), row[:-1] + (tokens != token), 1 << 40)
-        row = np.minimum.accumulate(np.concatenate([[i], np.minimum(row[1:] + 1, pair)]) - step) + step
-    return int(row[-1])
+    """Edit distance of (token, start, end) lists in which tokens pair up only where they are less than ``collar`` apart in time.
+
+    All tokens cost one each, but a pair saves one, of equals two.  What can be saved grows only where a token may pair, so each token of ``a`` visits
+    the band of tokens of ``b`` that lie within the collar (or between such); before a band nothing changes any more, after it nothing has yet.
+    """
+    if not a or not b:
+        return len(a) + len(b)
+    codes: dict = {}
+    known = [np.array([codes.setdefault(t[0], len(codes)) for t in side]) for side in (a, b)]
+    (from_a, to_a), (from_b, to_b) = ([np.array([t[k] for t in side], float) for k in (1, 2)] for side in (a, b))
+    # bands hold all tokens that may pair, whatever the order of times, and neither end of them ever goes back
+    low = np.searchsorted(np.maximum.accumulate(to_b), from_a - collar, "right")
+    high = np.searchsorted(np.minimum.accumulate(from_b[::-1])[::-1], to_a + collar, "left")
+    low, high = np.minimum.accumulate(low[::-1])[::-1], np.maximum.accumulate(high)
+    saved, reached = np.zeros(len(b) + 1, np.int64), 0
+    for i, (x, y) in enumerate(zip(low.tolist(), high.tolist())):
+        if x >= y:
+            continue
+        if y > reached:
+            saved[reached + 1 : y + 1] = saved[reached]
+            reached = y
+        may = (from_a[i] < to_b[x:y] + collar) & (from_b[x:y] < to_a[i] + collar)
+        pair = saved[x:y] + np.where(may, 1 + (known[1][x:y] == known[0][i]), 0)
+        np.maximum.accumulate(np.maximum(saved[x + 1 : y + 1], pair), out=saved[x + 1 : y + 1])
+    return len(a) + len(b) - int(saved[reached])
 
 
 def spread_in_time(tokens: Column, start: Column, end: Column) -> Column:
@@ -241,30 +259,95 @@ def _least_errors(a: Sequence, b: Sequence) -> int:
     return max(len(a), len(b)) - (Counter(a) & Counter(b)).total()
 
 
-def _relaxed(cost: np.ndarray, axis: int) -> np.ndarray:
-    """``cost`` where stream tokens along ``axis`` may be inserted for one error each."""
-    step = np.arange(cost.shape[axis]).reshape([-1 if k == axis else 1 for k in range(cost.ndim)])
-    return np.minimum.accumulate(cost - step, axis=axis) + step
+def _counts(tokens: Sequence, codes: dict) -> np.ndarray:
+    """How often each token of ``codes`` is among the first i tokens, for every i."""
+    out = np.zeros((len(tokens) + 1, max(len(codes), 1)), np.int32)
+    for i, t in enumerate(tokens, 1):
+        out[i] = out[i - 1]
+        if t in codes:
+            out[i, codes[t]] += 1
+    return out
+
+
+def _deepened(least: int, search) -> int:
+    """The answer of ``search(most)``, which finds the least errors if they are at most ``most`` (else something larger): the bound grows from ``least``
+    by steps that double, so the last search does most of the work."""
+    slack = 1
+    while (found := search(least + slack)) > least + slack:
+        slack *= 2
+    return found
+
+
+_FAR = 1 << 40
+
+
+def _advanced(rows: np.ndarray, token: int, stream: np.ndarray) -> np.ndarray:
+    """Costs at each place of a stream, a line a state, after one more reference token; ``stream`` holds the tokens between the places."""
+    new = rows + 1
+    np.minimum(new[:, 1:], rows[:, :-1] + (stream != token), out=new[:, 1:])
+    step = np.arange(new.shape[1])
+    return np.minimum.accumulate(new - step, axis=1) + step
 
 
 def best_streams(utterances: list[Sequence], streams: list[Sequence]) -> int:
     """Least errors when each reference utterance goes, in order, to the stream that suits it best.
 
-    Token by token over all places in all streams at once: the work is the product of the lengths of the streams and of the utterances.
+    A state is a place in every stream after some utterances.  Only states are kept whose errors, and what the tokens still to come cost at least in
+    whatever order, stay within a bound; it grows until it holds the answer.  So the work follows from how far the answer is from that estimate and not
+    from the product of the lengths of the streams.
     """
-    cost = sum(np.ix_(*[np.arange(len(s) + 1) for s in streams]))
-    for utterance in utterances:
-        found = []
-        for axis, stream in enumerate(streams):
-            now = np.moveaxis(cost, axis, -1)
-            for token in utterance:
-                differs = np.array([t != token for t in stream], int)
-                skipped = now + 1
-                skipped[..., 1:] = np.minimum(skipped[..., 1:], now[..., :-1] + differs)
-                now = _relaxed(skipped, now.ndim - 1)
-            found.append(np.moveaxis(now, -1, axis))
-        cost = np.minimum.reduce(found)
-    return int(cost.flat[-1])
+    codes: dict = {}
+    for u in utterances:
+        for t in u:
+            codes.setdefault(t, len(codes))
+    coded = [np.array([codes.get(t, -1) for t in s], np.int64) for s in streams]
+    within = [_counts(s, codes) for s in streams]
+    ends = np.array([len(s) for s in streams])
+    to_come = _counts([t for u in utterances for t in u], codes)
+    to_come = to_come[-1] - to_come[np.concatenate([[0], np.cumsum([len(u) for u in utterances])]).astype(int)]
+
+    def estimate(done: int, places: np.ndarray) -> np.ndarray:
+        """What the rest costs at least: tokens without an equal on the other side."""
+        out = np.empty(len(places), np.int64)
+        for at in range(0, len(places), 4096):
+            here = places[at : at + 4096]
+            rest = sum(w[-1] - w[here[:, k]] for k, w in enumerate(within))
+            out[at : at + 4096] = np.maximum(to_come[done].sum(), (ends - here).sum(1)) - np.minimum(rest, to_come[done]).sum(1)
+        return out
+
+    def search(most: int) -> int:
+        places, cost = np.zeros((1, len(streams)), np.int64), np.zeros(1, np.int64)
+        for done, utterance in enumerate(utterances, 1):
+            tokens = [codes[t] for t in utterance]
+            found = []
+            for k in range(len(streams)):
+                # states that differ in this stream's place only share a line of costs
+                others = np.delete(places, k, axis=1)
+                lines, line = np.unique(others, axis=0, return_inverse=True) if others.shape[1] else (others[:1], np.zeros(len(others), int))
+                line, start = line.ravel(), int(places[:, k].min())
+                stop = min(int(places[:, k].max()) + len(tokens) + most - int(cost.min()), len(streams[k]))
+                rows = np.full((len(lines), stop - start + 1), _FAR)
+                np.minimum.at(rows, (line, places[:, k] - start), cost)
+                step = np.arange(rows.shape[1])
+                rows = np.minimum.accumulate(rows - step, axis=1) + step
+                for token in tokens:
+                    rows = _advanced(rows, token, coded[k][start:stop])
+                left = to_come[done].sum() - (ends.sum() - lines.sum(1)[:, None] - start - step)
+                at, place = np.nonzero(rows + np.abs(left) <= most)
+                found.append((np.insert(lines[at], k, place + start, axis=1), rows[at, place]))
+            places, cost = (np.concatenate(x) for x in zip(*found))
+            if not len(places):
+                return _FAR
+            places, state = np.unique(places, axis=0, return_inverse=True)
+            least = np.full(len(places), _FAR)
+            np.minimum.at(least, state.ravel(), cost)
+            kept = least + estimate(done, places) <= most
+            places, cost = places[kept], least[kept]
+            if not len(places):
+                return _FAR
+        return int((cost + (ends - places).sum(1)).min())
+
+    return _deepened(int(estimate(0, np.zeros((1, len(streams)), np.int64))[0]), search)
 
 
 def stream_errors(utterances: list[tuple], streams: list[Sequence]) -> int:
@@ -285,36 +368,76 @@ def stream_errors(utterances: list[tuple], streams: list[Sequence]) -> int:
 
 
 def best_interleaving(speakers: list[list[Sequence]], stream: Sequence) -> tuple[int, list]:
-    """Least errors of any merge of the speakers' utterances that keeps each speaker's own order, against one stream, and that merge."""
-    start = np.arange(len(stream) + 1)
-    rows: dict[tuple[int, ...], np.ndarray] = {tuple(0 for _ in speakers): start}
-    froms: dict[tuple[int, ...], np.ndarray] = {}
-    for total in range(sum(map(len, speakers))):
-        for at in [k for k in rows if sum(k) == total]:
-            for s, own in enumerate(speakers):
-                if at[s] < len(own):
-                    row, origin = rows[at], start.copy()
+    """Least errors of any merge of the speakers' utterances that keeps each speaker's own order, against one stream, and that merge.
+
+    As in :func:`best_streams` a state, here how many utterances of each speaker are done and a place in the stream, is kept only while its errors
+    and the least cost of the rest stay within a growing bound; only such places have their way back in memory.
+    """
+    codes: dict = {}
+    for own in speakers:
+        for u in own:
+            for t in u:
+                codes.setdefault(t, len(codes))
+    coded = np.array([codes.get(t, -1) for t in stream], np.int64)
+    counted = _counts(stream, codes)
+    rest_of_stream, places = counted[-1] - counted, np.arange(len(stream) + 1)
+    own_counts = [[np.bincount([codes[t] for t in u], minlength=max(len(codes), 1)) for u in own] for own in speakers]
+    every = sum((c for own in own_counts for c in own), np.zeros(max(len(codes), 1), np.int64))
+    best: list = []
+
+    def search(most: int) -> int:
+        best.clear()
+        # a node: the first place that is kept, costs from there on, what is still to come, and for each place the speaker and the place before
+        first = (0,) * len(speakers)
+        level = {first: (0, places + 0, every)}
+        froms: dict[tuple[int, ...], tuple[int, np.ndarray]] = {}
+        for _ in range(sum(map(len, speakers))):
+            found: dict[tuple[int, ...], list] = {}
+            for at, (start, row, to_come) in level.items():
+                for s, own in enumerate(speakers):
+                    if at[s] == len(own):
+                        continue
+                    stop = min(start + len(row) - 1 + len(own[at[s]]) + most - int(row.min()), len(stream))
+                    now = np.concatenate([row, row[-1] + np.arange(1, stop - start - len(row) + 2)])
+                    origin = np.minimum(np.arange(len(now)), len(row) - 1)
                     for token in own[at[s]]:
-                        row, origin = _advance(row, origin, np.array([t != token for t in stream], int))
-                    key = (*at[:s], at[s] + 1, *at[s + 1 :])
-                    if key not in rows:
-                        rows[key], froms[key] = row, np.stack([np.full(len(row), s), origin])
-                    else:
-                        better = row < rows[key]
-                        rows[key] = np.where(better, row, rows[key])
-                        froms[key] = np.where(better, np.stack([np.full(len(row), s), origin]), froms[key])
-    at, place, order = tuple(map(len, speakers)), len(stream), []
-    errors = int(rows[at][-1])
-    while any(at):
-        s, place = froms[at][:, place].tolist()
-        at = (*at[:s], at[s] - 1, *at[s + 1 :])
-        order.append((s, at[s]))
-    return errors, [t for s, i in reversed(order) for t in speakers[s][i]]
+                        now, origin = _advance(now, origin, (coded[start:stop] != codes[token]).astype(int))
+                    left = to_come - own_counts[s][at[s]]
+                    spare = np.maximum(left.sum(), len(stream) - places[start : stop + 1]) - np.minimum(rest_of_stream[start : stop + 1], left).sum(1)
+                    kept = np.flatnonzero(now + spare <= most)
+                    if len(kept):
+                        span = slice(kept[0], kept[-1] + 1)
+                        found.setdefault((*at[:s], at[s] + 1, *at[s + 1 :]), []).append((start + int(kept[0]), now[span], s, origin[span] + start, left))
+            level = {}
+            for key, ways in found.items():
+                start, stop = min(w[0] for w in ways), max(w[0] + len(w[1]) for w in ways)
+                row, back = np.full(stop - start, _FAR), np.zeros((2, stop - start), np.int64)
+                for begin, now, s, origin, _ in ways:
+                    span = slice(begin - start, begin - start + len(now))
+                    better = now < row[span]
+                    row[span] = np.where(better, now, row[span])
+                    back[:, span] = np.where(better, np.stack([np.full(len(now), s), origin]), back[:, span])
+                level[key], froms[key] = (start, row, ways[0][4]), (start, back)
+        last = tuple(map(len, speakers))
+        if last not in level or level[last][0] + len(level[last][1]) <= len(stream):
+            return _FAR
+        at, place, order = last, len(stream), []
+        while any(at):
+            start, back = froms[at]
+            s, place = back[:, place - start].tolist()
+            at = (*at[:s], at[s] - 1, *at[s + 1 :])
+            order.append((s, at[s]))
+        best.extend(t for s, i in reversed(order) for t in speakers[s][i])
+        return int(level[last][1][len(stream) - level[last][0]])
+
+    spare = max(int(every.sum()), len(stream)) - int(np.minimum(rest_of_stream[0], every).sum())
+    errors = _deepened(spare, search)
+    return errors, list(best)
 
 
 def _advance(row: np.ndarray, origin: np.ndarray, differs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One more reference token: the new costs, and for each place the stream place at which the utterance began on the best way there."""
-    skip, take = row + 1, np.concatenate([[1 << 40], row[:-1] + differs])
+    skip, take = row + 1, np.concatenate([[_FAR], row[:-1] + differs])
     new = np.minimum(skip, take)
     came = np.where(take <= skip, np.concatenate([[0], origin[:-1]]), origin)
     # insertions: the least cost so far, and in the low digits where it was; of equals the last
@@ -341,7 +464,7 @@ def interleaved_errors(reference: DataFrame, hypothesis: DataFrame, keys: Sequen
 
     One stream: the best merge of the speakers that keeps each one's order.  With ``multi_stream`` utterances stay in time order and each goes to
     its best stream; with ``characters_too`` the errors and length are those of characters under the best merge of words.  Each session is one
-    group.  Unless the obvious choice proves best at once, the cost is a product of lengths.
+    group, whose work grows with how far its errors are from what its words cost at least.
     """
     keys = list(keys)
 

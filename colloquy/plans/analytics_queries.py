@@ -81,12 +81,12 @@ def prj_18_20_paths(spark, sf_dir):
     return c.select("c_custkey", path.alias("path"), F.concat_ws(" · ", "c_mktsegment", F.when(F.col("c_nationkey") < 5, "low")).alias("descriptor"))
 
 
-@query("SELECT a.conv_id, CASE WHEN b.text IS NULL THEN 'kept' WHEN a.text = b.text THEN 'untouched' ELSE 'corrected' END AS status FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2 AND b.role = a.role WHERE a.turn = 0")
+@query("SELECT a.conv_id, a.turn, a.role, CASE WHEN a.text IS NULL OR b.text IS NULL THEN 'kept' WHEN a.text = b.text THEN 'untouched' ELSE 'corrected' END AS status FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2 AND b.role = a.role")
 def prj_21_status(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     later = c.select("conv_id", "role", (F.col("turn") - 2).alias("turn"), F.col("text").alias("other"))
-    status = F.when(F.col("other").isNull(), "kept").when(F.col("text") == F.col("other"), "untouched").otherwise("corrected")
-    return c.where("turn = 0").join(later, ["conv_id", "role", "turn"], "left").select("conv_id", status.alias("status"))
+    status = F.when(F.col("text").isNull() | F.col("other").isNull(), "kept").when(F.col("text") == F.col("other"), "untouched").otherwise("corrected")
+    return c.join(later, ["conv_id", "role", "turn"], "left").select("conv_id", "turn", "role", status.alias("status"))
 
 
 @query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%green%' OR lower(p_name) LIKE '%blue%'")
@@ -112,31 +112,6 @@ def jon_05_both_sides(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count_distinct("role").alias("n")).where("n = 2").select("conv_id")
 
 
-_CELLS = 'cells AS (SELECT rec, k * 30000 AS "from", k * 30000 + 30000 AS "to" FROM (SELECT DISTINCT rec FROM segments), range(0, 60) r(k))'
-
-
-def _cells(spark, sf_dir):
-    recs = segments(spark, sf_dir).select("rec").distinct()
-    return recs.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59 * 30_000).cast("long"), F.lit(30_000).cast("long")))).withColumn("end", F.col("start") + 30_000)
-
-
-@query('SELECT c.rec, "from" AS "start", s.speaker, s."start" AS b_start, greatest("from", s."start") AS lo, least("to", s."end") AS hi FROM cells c JOIN segments s ON s.rec = c.rec AND s."start" < "to" AND "from" < s."end"', SEGMENTS, _CELLS)
-def jon_06_overlap_join(spark, sf_dir):
-    from ..operators.intervals import meeting
-
-    return meeting(_cells(spark, sf_dir), segments(spark, sf_dir), ["rec"], width=60_000).select("rec", "start", "speaker", "b_start", "lo", "hi")
-
-
-@query('SELECT c.rec, "from" AS "start", s.speaker, s."start" AS b_start FROM cells c JOIN segments s ON s.rec = c.rec AND (s."start" + s."end") / 2 BETWEEN "from" AND "to"', SEGMENTS, _CELLS)
-def jon_07_midpoint_join(spark, sf_dir):
-    from ..operators.intervals import meeting
-
-    edge = meeting(_cells(spark, sf_dir).withColumn("end", F.col("end") + 1), segments(spark, sf_dir).withColumns({"a": F.col("start"), "b": F.col("end")}), ["rec"], width=60_000).withColumn("end", F.col("end") - 1)
-    return edge.where("(a + b) / 2 between start and end").select("rec", "start", "speaker", F.col("a").alias("b_start"))
-
-
-# The same joins with cells up to the end of each recording; those above have 60 cells a recording, as their SQL says.
-
 _WHOLE_CELLS = 'cells AS (SELECT rec, k * 30000 AS "from", k * 30000 + 30000 AS "to" FROM (SELECT rec, unnest(range(0, total // 30000 + 1)) AS k FROM totals))'
 
 
@@ -152,6 +127,11 @@ def jon_06_whole_overlap_join(spark, sf_dir):
     return meeting(_whole_cells(spark, sf_dir), segments(spark, sf_dir), ["rec"], width=60_000).select("rec", "start", "speaker", "b_start", "lo", "hi")
 
 
+@query('SELECT c.rec, "from" AS "start", s.speaker, s."start" AS b_start, greatest("from", s."start") AS lo, least("to", s."end") AS hi FROM cells c JOIN segments s ON s.rec = c.rec AND s."start" < "to" AND "from" < s."end"', SEGMENTS, TOTALS, _WHOLE_CELLS)
+def jon_06_overlap_join(spark, sf_dir):
+    return jon_06_whole_overlap_join(spark, sf_dir)
+
+
 @query('SELECT c.rec, "from" AS "start", s.speaker, s."start" AS b_start FROM cells c JOIN segments s ON s.rec = c.rec AND (s."start" + s."end") / 2 BETWEEN "from" AND "to"', SEGMENTS, TOTALS, _WHOLE_CELLS)
 def jon_07_whole_midpoint_join(spark, sf_dir):
     from ..operators.intervals import meeting
@@ -161,6 +141,11 @@ def jon_07_whole_midpoint_join(spark, sf_dir):
     return edge.where("(a + b) / 2 between start and end").select("rec", "start", "speaker", F.col("a").alias("b_start"))
 
 
+@query('SELECT c.rec, "from" AS "start", s.speaker, s."start" AS b_start FROM cells c JOIN segments s ON s.rec = c.rec AND (s."start" + s."end") / 2 BETWEEN "from" AND "to"', SEGMENTS, TOTALS, _WHOLE_CELLS)
+def jon_07_midpoint_join(spark, sf_dir):
+    return jon_07_whole_midpoint_join(spark, sf_dir)
+
+
 @query('SELECT w.rec, w."from" AS at, min(s."start") AS "start" FROM cells w JOIN segments s ON s.rec = w.rec AND w."from" BETWEEN s."start" AND s."end" GROUP BY 1, 2', SEGMENTS, TOTALS, _WHOLE_CELLS)
 def jon_16_whole_point_in_interval(spark, sf_dir):
     from ..operators.intervals import first_containing
@@ -169,6 +154,11 @@ def jon_16_whole_point_in_interval(spark, sf_dir):
     return first_containing(points, segments(spark, sf_dir).withColumn("n", F.col("start")), ["rec"], "at", "n", width=60_000).select("rec", "at", "start")
 
 
+@query('SELECT w.rec, w."from" AS at, min(s."start") AS "start" FROM cells w JOIN segments s ON s.rec = w.rec AND w."from" BETWEEN s."start" AND s."end" GROUP BY 1, 2', SEGMENTS, TOTALS, _WHOLE_CELLS)
+def jon_16_point_in_interval(spark, sf_dir):
+    return jon_16_whole_point_in_interval(spark, sf_dir)
+
+
 @query("SELECT a.conv_id, a.turn, a.role, CASE WHEN a.text = b.text THEN 'untouched' WHEN a.text IS NULL OR b.text IS NULL THEN 'kept' ELSE 'corrected' END AS status FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2 AND b.role = a.role")
 def prj_21_whole_status(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
@@ -440,15 +430,6 @@ def agg_16_distance_to_chosen(spark, sf_dir):
     return an.distance_to_chosen(r, r.where("name < 'run000004'"), ["score", "size"], "name").select("name", F.round("distance", 6).alias("distance"))
 
 
-@query('SELECT w.rec, w."from" AS at, min(s."start") AS "start" FROM cells w JOIN segments s ON s.rec = w.rec AND w."from" BETWEEN s."start" AND s."end" GROUP BY 1, 2', SEGMENTS, _CELLS)
-def jon_16_point_in_interval(spark, sf_dir):
-    from ..operators.intervals import first_containing
-
-    points = _cells(spark, sf_dir).select("rec", F.col("start").alias("at"))
-    spans = segments(spark, sf_dir).withColumn("n", F.col("start"))
-    return first_containing(points, spans, ["rec"], "at", "n", width=60_000).select("rec", "at", "start")
-
-
 @query("SELECT a.sid, a.x, b.y FROM (SELECT vec_id AS sid, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) a JOIN (SELECT vec_id AS sid, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) b ON b.sid = a.sid")
 def jon_04_same_name(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

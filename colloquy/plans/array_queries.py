@@ -90,7 +90,7 @@ def arr_11_16_cosine(spark, sf_dir):
 
 
 @query(
-    "SELECT g, t, round(sum(v * w) / greatest(sum(w), 1e-8), 8) AS y FROM (SELECT sig // 4 AS g, (sig % 4) * 32 + i AS t, v, 0.5 - 0.5 * cos(2 * pi() * i / 64) AS w FROM (SELECT sig, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM signals WHERE len(x) = 64)) GROUP BY g, t",
+    "SELECT g, t, round(sum(v * w) / greatest(sum(w), 1e-8), 8) AS y FROM (SELECT sig // 4 AS g, (sig % 4) * 32 + i AS t, v, 0.5 - 0.5 * cos(2 * pi() * i / 63) AS w FROM (SELECT sig, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM signals WHERE len(x) = 64)) GROUP BY g, t",
     SIGNALS,
 )
 def arr_12_overlap_add(spark, sf_dir):
@@ -100,6 +100,37 @@ def arr_12_overlap_add(spark, sf_dir):
     return overlap_add(chunks, ["g"], 64).select("g", "t", _r(F.col("y"), "y", 8))
 
 
+@query(
+    """SELECT sig, frame, k, round(sum(v * w * cos(2 * pi() * k * i / 16)), 6) + 0.0 AS re, round(0.0 - sum(v * w * sin(2 * pi() * k * i / 16)), 6) + 0.0 AS im FROM (
+        SELECT sig, frame, i, 0.5 - 0.5 * cos(2 * pi() * i / 16) AS w, CASE WHEN len(x) = 1 THEN x[1] ELSE x[1 + CASE WHEN m >= len(x) THEN 2 * (len(x) - 1) - m ELSE m END] END AS v FROM (
+            SELECT sig, x, frame, i, CASE WHEN len(x) = 1 THEN 0 ELSE abs(frame * 4 - 8 + i) % (2 * (len(x) - 1)) END AS m FROM signals, unnest(range(0, len(x) // 4 + 1)) f(frame), range(0, 16) t(i) WHERE len(x) > 0)), range(0, 9) c(k)
+    GROUP BY sig, frame, k""",
+    SIGNALS,
+)
+def arr_25_stft(spark, sf_dir):
+    from ..operators.spectrum import stft
+
+    pieces = signals(spark, sf_dir).select("sig", F.lit(0).cast("long").alias("offset"), "x")
+    found = stft(pieces, ["sig"], 16, 4).select("sig", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("k", "c"))
+    return found.select("sig", "frame", F.col("k").cast("long").alias("k"), (F.round("c.re", 6) + 0.0).alias("re"), (F.round("c.im", 6) + 0.0).alias("im"))
+
+
+@query("SELECT sig, i - 1 AS t, round(x[i], 6) AS y FROM signals, unnest(range(1, len(x) + 1)) u(i) WHERE len(x) > 0", SIGNALS)
+def arr_25_round_trip(spark, sf_dir):
+    """Signals cut into rows of 10 samples, to magnitudes raised to 0.3 and phases, and back."""
+    from ..operators.spectrum import from_polar, istft, stft, to_polar
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 10).cast("int")), lambda k: F.struct((k * 10).cast("long").alias("offset"), F.slice("x", k * 10 + 1, F.lit(10)).alias("x")))
+    whole = signals(spark, sf_dir).where("size(x) > 0")
+    pieces = whole.select("sig", F.explode(cut).alias("p")).select("sig", "p.*")
+    spectrum = stft(pieces, ["sig"], 16, 4, frames=5)
+    magnitude, phase = to_polar(F.col("re"), F.col("im"), 0.3)
+    polar = spectrum.select("sig", "frame", magnitude.alias("m"), phase.alias("p"))
+    re, im = from_polar(F.col("m"), F.col("p"), 0.3)
+    back = istft(polar.select("sig", "frame", re.alias("re"), im.alias("im")), ["sig"], 16, 4, whole.select("sig", F.size("x").cast("long").alias("length")), samples=20)
+    return back.select("sig", "offset", F.posexplode("x").alias("i", "v")).select("sig", (F.col("offset") + F.col("i")).alias("t"), _r(F.col("v"), "y", 6))
+
+
 @query("SELECT sig, len(x[11:11 + 19]) AS n, round(list_sum(x[11:30]), 8) AS s FROM signals", SIGNALS)
 def arr_14_cut(spark, sf_dir):
     part = ar.cut(F.col("x"), F.lit(10), F.lit(20))

@@ -14,7 +14,7 @@ from ..sinks import files as fs
 from ..sinks import lines as out
 from ..sources import annotations as an_
 from ..sources import tables as src
-from .metric_queries import _DROPPED, _HYP, _by_speaker, _hypothesis, _merged, _tokens
+from .metric_queries import _DROPPED, _HYP, COLLAR, _by_speaker, _hypothesis, _merged, _tokens, timed_tokens
 from .registry import Registry
 from .views import HISTORY, RUNS, SEGMENTS, SIGNALS, UTTERANCES, history, runs, segments, signals, table, totals, utterances
 
@@ -67,17 +67,12 @@ def met_15_layer_1_summary(spark, sf_dir):
 _MODES = """modes AS (SELECT * FROM (VALUES ('full', 1), ('no_sep', 2), ('no_enh', 3)) v(mode, every)),
     paired AS (SELECT rec FROM drops WHERE speaker IN ('user', 'assistant') GROUP BY rec HAVING count(DISTINCT speaker) = 2)"""
 _LAYER3 = """scores AS (
-    SELECT d.rec, m.mode, x.metric, CAST(sum(d.d) AS BIGINT) AS errors, CAST(sum(d.n) AS BIGINT) AS length FROM drops d JOIN paired b ON b.rec = d.rec JOIN modes m ON d.rec % m.every = 0, (VALUES ('cpwer'), ('tcpwer')) x(metric) GROUP BY d.rec, m.mode, x.metric
+    SELECT d.rec, m.mode, x.metric, CAST(sum(CASE x.metric WHEN 'tcpwer' THEN d.t ELSE d.d END) AS BIGINT) AS errors, CAST(sum(d.n) AS BIGINT) AS length FROM drops d JOIN paired b ON b.rec = d.rec JOIN modes m ON d.rec % m.every = 0, (VALUES ('cpwer'), ('tcpwer')) x(metric) GROUP BY d.rec, m.mode, x.metric
     UNION ALL SELECT d.rec, 'mixture', 'orc_wer', CAST(sum(d.d) AS BIGINT), CAST(sum(d.n) AS BIGINT) FROM drops d JOIN paired b ON b.rec = d.rec WHERE d.rec % 2 = 0 OR d.rec % 3 = 0 GROUP BY d.rec)"""
 
 
 def _layer3(spark, sf_dir):
-    times = utterances(spark, sf_dir).select("rec", "utt_no", "start", "end")
-
-    def prepared(t):
-        return t.join(times, ["rec", "utt_no"]).withColumn("timed", me.spread_in_time(F.col("tokens"), F.col("start"), F.col("end"))).withColumnRenamed("utt_no", "order").drop("start", "end")
-
-    ref, hyp = map(prepared, _tokens(spark, sf_dir))
+    ref, hyp = (t.withColumnRenamed("utt_no", "order") for t in timed_tokens(spark, sf_dir))
     hyps = mixtures = None
     for mode, every in (("full", 1), ("no_sep", 2), ("no_enh", 3)):
         rows = hyp.where(F.col("rec") % every == 0).withColumn("mode", F.lit(mode))
@@ -86,7 +81,7 @@ def _layer3(spark, sf_dir):
             # only the first mode's mixture is the recording's: the other one says something else
             mixed = rows.select("rec", "mode", "order", F.when(F.lit(mode) == "no_enh", F.when(F.col("rec") % 2 == 0, F.array(F.lit("#"))).otherwise(F.col("tokens"))).otherwise(F.col("tokens")).alias("tokens"))
             mixtures = mixed if mixtures is None else mixtures.unionByName(mixed)
-    return ev.layer3(ref, hyps, mixtures, collar=3_600_000.0, speakers=("user", "assistant"))
+    return ev.layer3(ref, hyps, mixtures, collar=COLLAR, speakers=("user", "assistant"))
 
 
 @query("SELECT rec, mode, metric, errors, length FROM scores", UTTERANCES, _DROPPED, _MODES, _LAYER3)
@@ -417,6 +412,56 @@ def jon_15_as_of(spark, sf_dir):
     return an.as_of(history(spark, sf_dir), schedule, "epoch", "since", "variants").select("variant", "epoch", "variants")
 
 
+@query(
+    """SELECT rec, speaker, "start", "end", 'annotated' AS origin FROM segments WHERE CAST(substr(rec, 2) AS BIGINT) % 3 = 0 AND "start" % 2 = 0
+    UNION ALL SELECT rec, speaker, "start", "end", 'text' FROM segments WHERE rec NOT IN (SELECT rec FROM segments WHERE CAST(substr(rec, 2) AS BIGINT) % 3 = 0 AND "start" % 2 = 0)""",
+    SEGMENTS,
+)
+def src_12_preferred_reference(spark, sf_dir):
+    """Annotated utterances where a recording has any, else those of its text."""
+    from ..sources.tree import preferred_reference
+
+    turns = segments(spark, sf_dir)
+    annotated = turns.where((F.substring("rec", 2, 9).cast("long") % 3 == 0) & (F.col("start") % 2 == 0))
+    return preferred_reference(annotated.withColumn("origin", F.lit("annotated")), turns.withColumn("origin", F.lit("text")), ["rec"])
+
+
+#: Shipments of a customer's orders by day, in whole cents; of those of one day the dearest counts.
+_SHIPPED = """shipped AS (SELECT o_custkey AS cust, epoch_ms(CAST(l_shipdate AS TIMESTAMP)) // 86400000 AS day, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS price FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)"""
+
+
+@query(
+    "SELECT o.o_orderkey, s.price FROM (SELECT o_orderkey, o_custkey, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) // 86400000 AS day FROM orders) o ASOF LEFT JOIN shipped s ON s.cust = o.o_custkey AND s.day <= o.day",
+    _SHIPPED,
+)
+def jon_15_last_shipment(spark, sf_dir):
+    """Each order with the dearest item on the last day, up to its own, on which something was shipped to its customer."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.unix_date(F.to_date("o_orderdate")).alias("day"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.unix_date(F.to_date("l_shipdate")).alias("since"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"))
+    shipped = items.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    return an.as_of(orders, shipped, "day", "since", "price", keys=["o_custkey"], width=365).select("o_orderkey", "price")
+
+
+_MATCHED = """pair AS (SELECT s_nationkey AS nation, s_suppkey AS supplier, c_custkey AS customer, abs(s_acctbal - c_acctbal) AS distance FROM supplier JOIN customer ON c_nationkey = s_nationkey),
+    taken AS (SELECT DISTINCT s_nationkey AS nation, 0 AS n, []::BIGINT[] AS suppliers, []::BIGINT[] AS customers, []::DOUBLE[] AS distances FROM supplier
+        UNION ALL SELECT nation, n + 1, list_append(suppliers, best.supplier), list_append(customers, best.customer), list_append(distances, best.distance) FROM (
+            SELECT t.*, (SELECT min({'distance': p.distance, 'supplier': CAST(p.supplier AS BIGINT), 'customer': CAST(p.customer AS BIGINT)}) FROM pair p WHERE p.nation = t.nation AND NOT list_contains(t.suppliers, p.supplier) AND NOT list_contains(t.customers, p.customer)) AS best FROM taken t) WHERE best IS NOT NULL)"""
+
+
+@query(
+    "SELECT nation, unnest(suppliers) AS supplier, unnest(customers) AS customer, round(unnest(distances), 6) AS distance FROM (SELECT nation, arg_max(suppliers, n) AS suppliers, arg_max(customers, n) AS customers, arg_max(distances, n) AS distances FROM taken GROUP BY nation)",
+    "RECURSIVE " + _MATCHED,
+)
+def jon_09_nearest_accounts(spark, sf_dir):
+    """Suppliers and customers of a nation, one to one, nearest balances first."""
+    from ..operators.matching import match_nearest
+
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), F.col("s_suppkey").cast("long").alias("supplier"), F.col("s_acctbal").cast("double").alias("at"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").cast("long").alias("customer"), F.col("c_acctbal").cast("double").alias("at"))
+    found = match_nearest(suppliers, customers, "nation", "supplier", "customer", "at", width=2000.0)
+    return found.select("nation", "supplier", "customer", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "SELECT 'sweep: ' || sweep || chr(10) || 'rank: ' || rank || chr(10) || 'size: ' || size AS snippet, sweep, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY sweep ORDER BY score DESC, name) AS INTEGER) AS rank FROM runs WHERE state = 'finished') WHERE rank <= 3", RUNS
 )

@@ -12,6 +12,9 @@ from .views import SEGMENTS, TOTALS, segments, table, totals
 _REGISTRY = Registry()
 QUERIES, ORACLE_SQL, query = _REGISTRY.queries, _REGISTRY.oracle, _REGISTRY.query
 
+#: Milliseconds of a recording that one task scans.
+STRETCH = 600_000
+
 
 def _merged(name: str, rule: str, source: str = "segments", keys: str = "rec, speaker") -> str:
     """A chain of common table expressions that merges ``source``; ``rule`` says when a span opens, given a, reached."""
@@ -30,17 +33,17 @@ _SPEECH = _merged("speech", "a > reached", keys="rec")
 
 @query('SELECT rec, speaker, "start", "end" FROM m', SEGMENTS, _merged("m", "a >= reached"))
 def int_01_merge_touching_apart(spark, sf_dir):
-    return iv.merge(segments(spark, sf_dir), ["rec", "speaker"])
+    return iv.merge(segments(spark, sf_dir), ["rec", "speaker"], width=STRETCH)
 
 
 @query('SELECT rec, speaker, "start", "end" FROM m', SEGMENTS, _merged("m", "a - reached >= 400"))
 def int_02_merge_close(spark, sf_dir):
-    return iv.merge(segments(spark, sf_dir), ["rec", "speaker"], gap=400)
+    return iv.merge(segments(spark, sf_dir), ["rec", "speaker"], gap=400, width=STRETCH)
 
 
 @query('SELECT rec, "start", "end" FROM speech', SEGMENTS, _SPEECH)
 def int_03_speech(spark, sf_dir):
-    return iv.merge(segments(spark, sf_dir), ["rec"], touching=True)
+    return iv.merge(segments(spark, sf_dir), ["rec"], touching=True, width=STRETCH)
 
 
 _LEFT = """SELECT rec, speaker, "start", "end" FROM (
@@ -55,12 +58,12 @@ _CUTS = """cuts AS (SELECT m.rec, m.speaker, m."start" AS s, m."end" AS e, great
 @query(_LEFT.format(1), SEGMENTS, _merged("m", "a >= reached"), _OVERLAPS, _CUTS)
 def int_04_subtract(spark, sf_dir):
     turns = segments(spark, sf_dir)
-    return iv.subtract(iv.merge(turns, ["rec", "speaker"]), iv.overlaps(turns), ["rec"], least=1)
+    return iv.subtract(iv.merge(turns, ["rec", "speaker"], width=STRETCH), iv.overlaps(turns, width=STRETCH), ["rec"], least=1, width=STRETCH)
 
 
 @query('SELECT rec, "start", "end" FROM crossed', SEGMENTS, _OVERLAPS)
 def int_05_overlaps(spark, sf_dir):
-    return iv.overlaps(segments(spark, sf_dir))
+    return iv.overlaps(segments(spark, sf_dir), width=STRETCH)
 
 
 _GAPS = """gaps AS (SELECT rec, a AS "start", b AS "end" FROM (
@@ -71,7 +74,7 @@ _GAPS = """gaps AS (SELECT rec, a AS "start", b AS "end" FROM (
 @query('SELECT * FROM gaps', SEGMENTS, TOTALS, _SPEECH, _GAPS)
 def int_06_silences(spark, sf_dir):
     turns = segments(spark, sf_dir)
-    return iv.gaps(iv.merge(turns, ["rec"], touching=True), totals(turns), ["rec"], 200)
+    return iv.gaps(iv.merge(turns, ["rec"], touching=True, width=STRETCH), totals(turns), ["rec"], 200, width=STRETCH)
 
 
 _WINDOWS = """win AS (SELECT rec, total, k * 60000 AS "start", k * 60000 + 90000 AS "end" FROM totals, unnest(range(0, CAST((total - 90000) // 60000 + 1 AS BIGINT))) AS u(k) WHERE total >= 90000)"""
@@ -92,7 +95,7 @@ _MEASURED = f"""measured AS (SELECT w.rec, w."start", w."end", coalesce(o.overla
 
 def _measured(spark, sf_dir):
     turns = segments(spark, sf_dir)
-    found = iv.measure(iv.sliding(totals(turns), 90_000, 60_000).drop("total"), turns, ["rec"], width=90_000)
+    found = iv.measure(iv.sliding(totals(turns), 90_000, 60_000).drop("total"), turns, ["rec"], width=STRETCH)
     spoken = {f"s{i}": F.coalesce(F.col("by_speaker").getItem(f"S{i}"), F.lit(0)) for i in (0, 1)}
     return found.withColumns(spoken).drop("by_speaker")
 
@@ -124,10 +127,19 @@ def int_10_hull_iou(spark, sf_dir):
     return after.select("rec", "start", "end", F.when(F.col("b").isNotNull(), iv.hull_iou(F.col("start"), F.col("end"), F.col("a"), F.col("b"))).alias("iou"))
 
 
-@query()
+_SUPPRESSED = """ranked AS (SELECT rec, "start" AS a, "end" AS b, overlap, row_number() OVER (PARTITION BY rec ORDER BY overlap DESC, "start", "end") AS n FROM measured WHERE overlap > 0),
+    taken AS (SELECT DISTINCT rec, 0::BIGINT AS n, []::STRUCT(a BIGINT, b BIGINT, overlap BIGINT)[] AS kept FROM ranked
+        UNION ALL SELECT t.rec, r.n, CASE WHEN len(list_filter(t.kept, lambda k: greatest(least(k.b, r.b) - greatest(k.a, r.a), 0) > 0.1 * (greatest(k.b, r.b) - least(k.a, r.a)))) = 0
+            THEN list_append(t.kept, {'a': CAST(r.a AS BIGINT), 'b': CAST(r.b AS BIGINT), 'overlap': CAST(r.overlap AS BIGINT)}) ELSE t.kept END FROM taken t JOIN ranked r ON r.rec = t.rec AND r.n = t.n + 1)"""
+
+
+@query(
+    """SELECT rec, k.a AS "start", k.b AS "end", k.overlap AS overlap FROM (SELECT rec, unnest(arg_max(kept, n)) AS k FROM taken GROUP BY rec)""",
+    "RECURSIVE " + SEGMENTS, TOTALS, _WINDOWS, _OVERLAPS, _SPEECH, _MEASURED, _SUPPRESSED,
+)
 def int_11_suppress(spark, sf_dir):
     found = _measured(spark, sf_dir).where("overlap > 0").select("rec", "start", "end", "overlap")
-    return iv.suppress(found, ["rec"], "overlap", 0.1)
+    return iv.suppress(found, ["rec"], "overlap", 0.1, width=90_000)
 
 
 _FILTERED = """SELECT rec, "start", "end", CAST(overlap AS BIGINT) AS overlap, least(s0, s1) / (s0 + s1) AS balance, speech / ("end" - "start") AS density FROM measured
@@ -214,7 +226,7 @@ def int_22_fill_regions(spark, sf_dir):
 @query('SELECT rec, "start", CAST(overlap AS BIGINT) AS shared FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY overlap DESC, "start") AS n FROM measured WHERE overlap > 0) WHERE n = 1', SEGMENTS, TOTALS, _WINDOWS, _OVERLAPS, _SPEECH, _MEASURED)
 def int_23_best_window(spark, sf_dir):
     turns = segments(spark, sf_dir)
-    return iv.best_window(totals(turns), iv.overlaps(turns), ["rec"], 90_000, 60_000)
+    return iv.best_window(totals(turns), iv.overlaps(turns, width=STRETCH), ["rec"], 90_000, 60_000, width=STRETCH)
 
 
 @query(

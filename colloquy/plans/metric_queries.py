@@ -40,21 +40,44 @@ def met_01_diarization_error(spark, sf_dir):
     return me.diarization_error(segments(spark, sf_dir), _hypothesis(spark, sf_dir))
 
 
-#: Recordings take turns: words are dropped, replaced or added to; every fifth has a speaker more, of three words, that the reference has not.
+#: Recordings take turns: words are dropped, replaced or added to; every fifth has a speaker more, of three words, that the reference has not.  Of d
+#: errors in a row of n words, t are counted where times matter: from the third utterance on every fourth recording is late by days.
 _HIT = "(i + rec + utt_no) % 7 = 0"
 _DROPPED = f"""tok AS (SELECT rec, utt_no, speaker, {TOKENS} AS tokens FROM utterances),
-    drops AS (SELECT rec, speaker, tokens, CAST(len(tokens) AS BIGINT) AS n, CAST(len(list_filter(range(1, len(tokens) + 1), lambda i: {_HIT})) AS BIGINT) AS d FROM tok)"""
+    hits AS (SELECT rec, utt_no, speaker, tokens, CAST(len(tokens) AS BIGINT) AS n, CAST(len(list_filter(range(1, len(tokens) + 1), lambda i: {_HIT})) AS BIGINT) AS d FROM tok),
+    drops AS (SELECT *, CASE WHEN rec % 4 = 2 AND utt_no > 2 THEN n + CASE rec % 3 WHEN 0 THEN n - d WHEN 1 THEN n ELSE n + d END ELSE d END AS t FROM hits)"""
 
 
-def _tokens(spark, sf_dir):
+def _tokens(spark, sf_dir, only_dropped=False):
     ref = utterances(spark, sf_dir).select("rec", "utt_no", "speaker", normalised_tokens(F.col("text")).alias("tokens"))
+    return ref, ref.select("rec", "utt_no", F.concat(F.lit("h"), "speaker").alias("speaker"), _changed("tokens", "array<string>", lambda t: F.lit("#"), only_dropped).alias("tokens"))
 
+
+def _changed(tokens, kind_of, other, only_dropped=False):
     def changed(t, i):
         hit = (i + 1 + F.col("rec") + F.col("utt_no")) % 7 == 0
-        kind = F.col("rec") % 3
-        return F.when(~hit, F.array(t)).when(kind == 0, F.array().cast("array<string>")).when(kind == 1, F.array(F.lit("#"))).otherwise(F.array(F.lit("#"), t))
+        kind = F.lit(0) if only_dropped else F.col("rec") % 3
+        return F.when(~hit, F.array(t)).when(kind == 0, F.array().cast(kind_of)).when(kind == 1, F.array(other(t))).otherwise(F.array(other(t), t))
+
+    return F.flatten(F.transform(tokens, changed))
+
 
-    return ref, ref.select("rec", "utt_no", F.concat(F.lit("h"), "speaker").alias("speaker"), F.flatten(F.transform("tokens", changed)).alias("tokens"))
+#: How far apart words may be in time, in milliseconds.
+COLLAR = 5000.0
+
+
+def timed_tokens(spark, sf_dir):
+    """The utterances of both sides with ``timed``, tokens and their times.  A hypothesis word has the time of the word that it comes from, but every fourth
+    recording is late by less than the collar, and another fourth by days from the third utterance on."""
+    times = utterances(spark, sf_dir).select("rec", "utt_no", "start", "end")
+    ref, hyp = (t.join(times, ["rec", "utt_no"]) for t in _tokens(spark, sf_dir))
+    spread = me.spread_in_time(F.col("tokens"), F.col("start"), F.col("end"))
+    ref = ref.withColumn("timed", spread)
+    late = F.when(F.col("rec") % 4 == 1, 3000.0).when((F.col("rec") % 4 == 2) & (F.col("utt_no") > 2), 1e9).otherwise(0.0)
+    moved = ref.select("rec", "utt_no", F.transform("timed", lambda t: F.struct(t["token"].alias("token"), (t["start"] + late).alias("start"), (t["end"] + late).alias("end"))).alias("late"))
+    changed = _changed("late", "array<struct<token:string,start:double,end:double>>", lambda t: F.struct(F.lit("#").alias("token"), t["start"].alias("start"), t["end"].alias("end")))
+    hyp = hyp.join(moved.select("rec", "utt_no", changed.alias("timed")), ["rec", "utt_no"])
+    return tuple(t.drop("start", "end") for t in (ref, hyp))
 
 
 def _with_stranger(hyp):
@@ -72,12 +95,11 @@ def met_02_cp_word_errors(spark, sf_dir):
     return me.assigned_errors(_by_speaker(ref), _by_speaker(_with_stranger(hyp)), ["rec"])
 
 
-@query("SELECT rec, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS length FROM drops GROUP BY rec", UTTERANCES, _DROPPED)
+@query("SELECT rec, CAST(sum(t) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS length FROM drops GROUP BY rec", UTTERANCES, _DROPPED)
 def met_03_time_constrained_errors(spark, sf_dir):
-    """A collar wider than any shift: the errors are those without times."""
-    times = utterances(spark, sf_dir).select("rec", "utt_no", "start", "end")
-    ref, hyp = (t.join(times, ["rec", "utt_no"]).withColumn("tokens", me.spread_in_time(F.col("tokens"), F.col("start"), F.col("end"))) for t in _tokens(spark, sf_dir))
-    return me.assigned_errors(_by_speaker(ref), _by_speaker(hyp), ["rec"], errors_of=me.timed_errors(3_600_000.0))
+    """Words that are late by less than the collar cost nothing; of those late by days each is an error on either side."""
+    ref, hyp = (t.withColumn("tokens", F.col("timed")).drop("timed") for t in timed_tokens(spark, sf_dir))
+    return me.assigned_errors(_by_speaker(ref), _by_speaker(hyp), ["rec"], errors_of=me.timed_errors(COLLAR))
 
 
 @query("SELECT rec, speaker, 'h' || speaker AS other, CAST(sum(d) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS length FROM drops GROUP BY rec, speaker", UTTERANCES, _DROPPED)
@@ -101,33 +123,29 @@ def met_10_15_summary(spark, sf_dir):
     return met_02_cp_word_errors(spark, sf_dir).agg(micro_rate(F.col("errors"), F.col("length")).alias("rate"), F.count("*").alias("sessions"))
 
 
-#: Of recordings in which words are dropped the character errors are the difference in length.
+#: Where words are only dropped the character errors are the difference in length.
 _KEPT = f"list_filter(tokens, lambda t, i: NOT ({_HIT}))"
-_CHARACTERS = f"""kept AS (SELECT rec, utt_no, speaker, tokens, {_KEPT} AS kept FROM tok WHERE rec % 3 = 0),
+_CHARACTERS = f"""kept AS (SELECT rec, utt_no, speaker, tokens, {_KEPT} AS kept FROM tok),
     lengths AS (SELECT rec, speaker, greatest(sum(length(array_to_string(tokens, ' ')) + CASE WHEN len(tokens) > 0 THEN 1 ELSE 0 END) - 1, 0) AS a, greatest(sum(length(array_to_string(kept, ' ')) + CASE WHEN len(kept) > 0 THEN 1 ELSE 0 END) - 1, 0) AS b FROM kept GROUP BY rec, speaker),
     whole AS (SELECT rec, greatest(sum(length(array_to_string(tokens, ' ')) + CASE WHEN len(tokens) > 0 THEN 1 ELSE 0 END) - 1, 0) AS a, greatest(sum(length(array_to_string(kept, ' ')) + CASE WHEN len(kept) > 0 THEN 1 ELSE 0 END) - 1, 0) AS b FROM kept GROUP BY rec)"""
 
 
-def _only_dropped(tables):
-    return tuple(t.where("rec % 3 = 0") for t in tables)
-
-
 @query("SELECT rec, CAST(sum(a - b) AS BIGINT) AS errors, CAST(sum(a) AS BIGINT) AS length FROM lengths GROUP BY rec", UTTERANCES, _DROPPED, _CHARACTERS)
 def met_07_characters(spark, sf_dir):
-    ref, hyp = _only_dropped(_tokens(spark, sf_dir))
+    ref, hyp = _tokens(spark, sf_dir, only_dropped=True)
     return me.assigned_characters(_by_speaker(ref), _by_speaker(hyp), ["rec"])
 
 
 @query("SELECT rec, CAST(a - b AS BIGINT) AS errors, CAST(a AS BIGINT) AS length FROM whole", UTTERANCES, _DROPPED, _CHARACTERS)
 def met_08_merged_characters(spark, sf_dir):
-    ref, hyp = _only_dropped(_tokens(spark, sf_dir))
+    ref, hyp = _tokens(spark, sf_dir, only_dropped=True)
     one = _by_speaker(hyp.withColumn("speaker", F.lit("all"))).select("rec", F.col("speaker").alias("stream"), "tokens")
     return me.interleaved_errors(ref.select("rec", "speaker", F.col("utt_no").alias("order"), "tokens"), one, ["rec"], characters_too=True)
 
 
 @query("SELECT rec, CAST(a - b AS BIGINT) AS errors, CAST(a AS BIGINT) AS length FROM whole", UTTERANCES, _DROPPED, _CHARACTERS)
 def met_09_time_ordered_characters(spark, sf_dir):
-    ref, hyp = (t.withColumnRenamed("utt_no", "order") for t in _only_dropped(_tokens(spark, sf_dir)))
+    ref, hyp = (t.withColumnRenamed("utt_no", "order") for t in _tokens(spark, sf_dir, only_dropped=True))
     return ev.time_ordered_characters(ref, hyp, ["rec"])
 
 
@@ -149,3 +167,18 @@ def met_05_06_short_sessions(spark, sf_dir):
     one = _by_speaker(hyp.withColumn("speaker", F.lit("all"))).select("rec", F.col("speaker").alias("stream"), "tokens")
     merged = me.interleaved_errors(spoken, one, ["rec"]).withColumnRenamed("errors", "merged")
     return merged.join(me.interleaved_errors(spoken, streams, ["rec"], multi_stream=True).select("rec", F.col("errors").alias("streams")), "rec")
+
+
+@query()
+def met_05_06_contending(spark, sf_dir):
+    """Utterances by turns in two streams, whoever speaks, and words replaced by earlier ones of the same utterance: no speaker has a stream, no order is
+    obvious, and what words cost at least is less than what they cost."""
+    ref = _tokens(spark, sf_dir)[0]
+    spoken = ref.select("rec", "speaker", F.col("utt_no").alias("order"), "tokens")
+    swapped = F.transform("tokens", lambda t, i: F.when((i + 1 + F.col("rec") + F.col("utt_no")) % 7 == 0, F.coalesce(F.get("tokens", i - 3), t)).otherwise(t))
+    hyp = ref.select("rec", "utt_no", (F.col("utt_no") % 2).cast("string").alias("speaker"), swapped.alias("tokens"))
+    streams = _by_speaker(hyp).select("rec", F.col("speaker").alias("stream"), "tokens")
+    # the order of neighbours is turned in the single stream
+    one = _by_speaker(hyp.withColumn("speaker", F.lit("all")).withColumn("utt_no", F.col("utt_no").bitwiseXOR(1))).select("rec", F.col("speaker").alias("stream"), "tokens")
+    merged = me.interleaved_errors(spoken, one, ["rec"]).withColumnRenamed("errors", "merged")
+    return merged.join(me.interleaved_errors(spoken, streams, ["rec"], multi_stream=True).select("rec", F.col("errors").alias("streams")), "rec")

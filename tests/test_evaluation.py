@@ -147,13 +147,6 @@ def test_select_fragments_in_two_passes(spark):
         assert [o[3] for o in own] == [f"{rec}__seg{i:02d}" for i in range(len(own))]
 
 
-def test_lists_made_by_hand_are_short(spark):
-    rows = spark.range(3).withColumnRenamed("id", "e")
-    assert [r.v for r in an.as_of(rows, spark.createDataFrame([(1, "x")], "s long, v string"), "e", "s", "v").orderBy("e").collect()] == [None, "x", "x"]
-    with pytest.raises(ValueError):
-        an.as_of(rows, spark.range(2000).selectExpr("id as s", "id as v"), "e", "s", "v")
-
-
 def test_first_mixture_and_missing_speaker(spark):
     token = "array<string>"
     ref = spark.createDataFrame([("r", "A", 1, ["a", "b"], None), ("r", "B", 2, ["c"], None), ("q", "A", 1, ["x"], None)], f"rec string, speaker string, order long, tokens {token}, timed array<struct<token:string,start:double,end:double>>")
@@ -230,3 +223,46 @@ def test_signals_through_a_model_in_chunks(spark):
         assert sorted(y) == list(range(len(x)))
         # the first sample of several chunks has no weight
         assert [y[t] for t in range(len(x) > 8, len(x))] == pytest.approx([2 * v for v in x[len(x) > 8 :]])
+
+
+@pytest.mark.parametrize("n, size, hop, width", [(1, 8, 2, None), (3, 8, 2, None), (7, 8, 3, 6), (50, 16, 4, None), (333, 16, 5, 12), (200, 32, 16, None)])
+def test_stft_against_numpy_and_back(spark, n, size, hop, width):
+    from colloquy.operators import spectrum as sp
+
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n)
+    whole = {}
+    place, cuts = 0, []
+    while place < n:
+        cuts.append((place, x[place : place + int(rng.integers(1, 40))].tolist()))
+        place += len(cuts[-1][1])
+    frame = spark.createDataFrame([("s", o, v) for o, v in cuts] + [("empty", 0, [])], "sig string, offset long, x array<double>")
+    padded = x[sp._reflected(np.arange(-(size // 2), n + size // 2), n)]
+    shape = sp.window(size, width)
+    for r in sp.stft(frame, ["sig"], size, hop, width, frames=3).collect():
+        whole[r.frame] = np.array(r.re) + 1j * np.array(r.im)
+    assert sorted(whole) == list(range(1 + n // hop))
+    for k, found in whole.items():
+        np.testing.assert_allclose(found, np.fft.rfft(padded[k * hop : k * hop + size] * shape), atol=1e-9)
+    if hop * 2 < (width or size):
+        lengths = spark.createDataFrame([("s", n)], "sig string, length long")
+        magnitude, phase = sp.to_polar(F.col("re"), F.col("im"), 0.3)
+        polar = sp.stft(frame, ["sig"], size, hop, width).select("sig", "frame", magnitude.alias("m"), phase.alias("p"))
+        re, im = sp.from_polar(F.col("m"), F.col("p"), 0.3)
+        pieces = sp.istft(polar.select("sig", "frame", re.alias("re"), im.alias("im")), ["sig"], size, hop, lengths, width, samples=17).orderBy("offset").collect()
+        np.testing.assert_allclose(np.concatenate([p.x for p in pieces]), x, atol=1e-6)
+
+
+def test_overlap_add_weighs_with_numpy_hanning(spark):
+    from colloquy.operators.audio import in_chunks, overlap_add
+
+    x = np.random.default_rng(1).normal(size=27)
+    frame = spark.createDataFrame([("s", x.tolist())], "sig string, x array<double>")
+    chunks = in_chunks(frame, ["sig"], 8).withColumn("x", F.transform("x", lambda v: v * F.col("offset")))
+    total, weight = np.zeros(27), np.zeros(27)
+    for r in chunks.collect():
+        w = np.hanning(8)[: len(r.x)]
+        total[r.offset : r.offset + len(r.x)] += w * np.array(r.x)
+        weight[r.offset : r.offset + len(r.x)] += w
+    found = [r.y for r in overlap_add(chunks, ["sig"], 8).orderBy("t").collect()]
+    np.testing.assert_allclose(found, total / np.maximum(weight, 1e-8), atol=1e-12)

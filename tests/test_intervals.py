@@ -1,10 +1,13 @@
 """Boundary rules of the interval algebra, by hand and against plain loops."""
 
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import intervals as iv
+from colloquy.operators.scan import running
 
 
 def spans(spark, rows, schema="rec string, speaker string, start long, end long"):
@@ -12,7 +15,7 @@ def spans(spark, rows, schema="rec string, speaker string, start long, end long"
 
 
 def got(frame, *columns):
-    return sorted(tuple(r) for r in frame.select(*(columns or ("start", "end"))).collect())
+    return sorted((tuple(r) for r in frame.select(*(columns or ("start", "end"))).collect()), key=repr)
 
 
 def test_three_merge_rules(spark):
@@ -81,3 +84,91 @@ def test_lint_and_runs(spark):
     turns = spark.createDataFrame(rows, "rec string, speaker string, start long, end long, text string")
     assert sorted(r.finding for r in iv.lint(turns, ["rec"], longest=7).collect()) == ["empty", "not_positive"] + ["too_long"] * 6
     assert got(iv.repeated_runs(turns.where("speaker = 'a'"), ["rec"], least=5, gap=4)) == [(40, 48)]
+
+
+def random_turns(rng, recs, n, longest, span):
+    rows = []
+    for rec in range(recs):
+        for _ in range(rng.randint(1, n)):
+            a = rng.randint(0, span)
+            rows.append((None if rec == 0 else f"r{rec}", rng.choice(["a", "b", None]), a, a + rng.randint(1, longest)))
+    return rows + rows[:5]
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 1000])
+def test_stretches_change_nothing(spark, width):
+    rng = random.Random(width)
+    turns = spans(spark, random_turns(rng, 12, 60, 40, 400)).persist()
+    totals = turns.groupBy("rec").agg((F.max("end") + 9).alias("total"))
+    for rule in ({}, {"touching": True}, {"gap": 6}):
+        for keys in (["rec"], ["rec", "speaker"]):
+            assert got(iv.merge(turns, keys, width=width, **rule), *keys, "start", "end") == got(iv.merge(turns, keys, **rule), *keys, "start", "end")
+    both = iv.overlaps(turns)
+    assert got(iv.overlaps(turns, width=width), "rec", "start", "end") == got(both, "rec", "start", "end")
+    speech = iv.merge(turns, ["rec"], touching=True)
+    assert got(iv.gaps(speech, totals, ["rec"], 2, width), "rec", "start", "end") == got(iv.gaps(speech, totals, ["rec"], 2), "rec", "start", "end")
+    cuts = spans(spark, random_turns(rng, 9, 20, 15, 400))
+    plain = Counter()
+    for rec, speaker, a, b in turns.collect():
+        free = sorted(covered([(a, b)]) - covered([(c, d) for r, _, c, d in cuts.collect() if r == rec])) + [10**9]
+        begun = None
+        for t, after in zip(free, free[1:]):
+            begun = t if begun is None else begun
+            if after != t + 1:
+                if t + 1 - begun > 2:
+                    plain[rec, speaker, begun, t + 1] += 1
+                begun = None
+    for w in (None, width):
+        assert Counter(tuple(r) for r in iv.subtract(turns, cuts, ["rec"], least=2, width=w).collect()) == plain
+
+
+@pytest.mark.parametrize("width", [None, 13])
+def test_measure_against_plain_sums(spark, width):
+    rng = random.Random(6)
+    turns = spans(spark, [r for r in random_turns(rng, 8, 30, 25, 150) if r[0] and r[1]]).persist()
+    totals = turns.groupBy("rec").agg(F.max("end").alias("total"))
+    windows = iv.sliding(totals, 30, 11).drop("total")
+    rows, overlaps = turns.collect(), iv.overlaps(turns).collect()
+    for r in iv.measure(windows, turns, ["rec"], width=width).collect():
+        def cut(spans):
+            return [min(x.end, r.end) - max(x.start, r.start) for x in spans if x.rec == r.rec and x.start < r.end and x.end > r.start]
+
+        shared = cut(overlaps)
+        assert (r.overlap, r.events, r.longest) == (sum(shared), len(shared), max(shared, default=0))
+        assert r.speech == len(covered([(x.start, x.end) for x in rows if x.rec == r.rec]) & set(range(r.start, r.end)))
+        assert (r.by_speaker or {}) == {s: sum(c) for s in ("a", "b") if (c := cut([x for x in rows if x.speaker == s]))}
+    best = {}
+    for r in windows.collect():
+        shared = sum(max(min(x.end, r.end) - max(x.start, r.start), 0) for x in overlaps if x.rec == r.rec)
+        best[r.rec] = max(best.get(r.rec, (0, 0)), (shared, -r.start))
+    assert {r.rec: (r.shared, -r.start) for r in iv.best_window(totals, iv.overlaps(turns), ["rec"], 30, 11, width).collect()} == {k: v for k, v in best.items() if v[0]}
+
+
+@pytest.mark.parametrize("width", [None, 9])
+def test_suppress_against_the_greedy_rule(spark, width):
+    rng = random.Random(2)
+    rows = []
+    for rec in range(6):
+        for _ in range(60):
+            a = rng.randint(0, 120)
+            rows.append((f"r{rec}", a, a + rng.randint(5, 30), rng.randint(0, 6)))
+    rows += rows[:9]
+    expected = []
+    for rec in range(6):
+        kept = []
+        for _, a, b, score in sorted((r for r in rows if r[0] == f"r{rec}"), key=lambda r: (-r[3], r[1], r[2])):
+            if all(max(min(b, d) - max(a, c), 0) <= 0.3 * (max(b, d) - min(a, c)) for c, d, _ in kept):
+                kept.append((a, b, score))
+        expected += [(f"r{rec}", *k) for k in kept]
+    frame = spark.createDataFrame(rows, "rec string, start long, end long, overlap long")
+    assert got(iv.suppress(frame, ["rec"], "overlap", 0.3, width), "rec", "start", "end", "overlap") == sorted(expected, key=repr)
+    assert iv.suppress(frame.limit(0), ["rec"], "overlap", 0.3).count() == 0
+
+
+def test_one_long_recording_is_many_tasks(spark):
+    turns = spark.range(200_000).selectExpr("'r' AS rec", "concat('s', id % 3) AS speaker", "id * 2000 AS start", "id * 2000 + 1000 + id % 1700 AS end")
+    merged = iv.merge(turns, ["rec"], touching=True, width=600_000)
+    assert merged.count() == iv.merge(turns, ["rec"], touching=True).count()
+    flagged = running(turns, ["rec"], ["start", "end"], F.floor(F.col("start") / 600_000), {"reached": ("max", F.col("end"))}, before=True)
+    tasks = [r.n for r in flagged.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 1 and max(tasks) < 100_000

@@ -129,3 +129,90 @@ def test_characters_under_the_merge(spark):
     ref = spark.createDataFrame([("r", "A", 1, ["kot"]), ("r", "B", 2, ["pies"])], "rec string, speaker string, order long, tokens array<string>")
     hyp = spark.createDataFrame([("r", 1, ["pies", "kos"])], "rec string, stream int, tokens array<string>")
     assert tuple(me.interleaved_errors(ref, hyp, ["rec"], characters_too=True).first()) == ("r", 1, 8)
+
+
+def full_timed_distance(a, b, collar):
+    row = list(range(len(b) + 1))
+    for i, (x, s, e) in enumerate(a, 1):
+        new = [i]
+        for j, (y, t, f) in enumerate(b, 1):
+            pair = row[j - 1] + (x != y) if s < f + collar and t < e + collar else 10**9
+            new.append(min(row[j] + 1, new[-1] + 1, pair))
+        row = new
+    return row[-1]
+
+
+def test_timed_distance_in_bands():
+    rng = random.Random(7)
+    for n in range(400):
+        def side():
+            times = [rng.randint(0, 40) for _ in range(rng.randint(0, 9))]
+            return [(rng.choice("abc"), float(t), t + rng.choice([0.0, 1.0, 5.0])) for t in (sorted(times) if n % 3 else times)]
+
+        a, b = side(), side()
+        for collar in (0.0, 3.0, 100.0):
+            assert me.timed_distance(a, b, collar) == full_timed_distance(a, b, collar)
+
+
+def test_ten_minutes_of_words_far_apart_in_time_are_scored_in_bands():
+    rng = random.Random(8)
+    a = [(rng.choice("abcdefgh"), i * 400.0, i * 400.0 + 380) for i in range(6000)]
+    b = [(t if rng.random() < 0.8 else "x", s + rng.uniform(-900, 900), e) for t, s, e in a if rng.random() < 0.9]
+    errors = me.timed_distance(a, b, 5000.0)
+    assert 600 < errors < 2500
+    late = [(t, s + 10**7, e + 10**7) for t, s, e in b]
+    assert me.timed_distance(a, late, 5000.0) == len(a) + len(b)
+
+
+def dense_streams(utterances, streams):
+    """All places in all streams, whole."""
+    cost = sum(np.ix_(*[np.arange(len(s) + 1) for s in streams]))
+
+    def relaxed(c, axis):
+        step = np.arange(c.shape[axis]).reshape([-1 if k == axis else 1 for k in range(c.ndim)])
+        return np.minimum.accumulate(c - step, axis=axis) + step
+
+    for u in utterances:
+        found = []
+        for axis, stream in enumerate(streams):
+            now = np.moveaxis(cost, axis, -1)
+            for token in u:
+                differs = np.array([t != token for t in stream], int)
+                skipped = now + 1
+                skipped[..., 1:] = np.minimum(skipped[..., 1:], now[..., :-1] + differs)
+                now = relaxed(skipped, now.ndim - 1)
+            found.append(np.moveaxis(now, -1, axis))
+        cost = np.minimum.reduce(found)
+    return int(cost.flat[-1])
+
+
+def test_streams_of_a_session_with_contending_words():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    for n, streams in ((12, 2), (9, 3), (8, 1)):
+        said = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 9))] for _ in range(n)]
+        heard = [[] for _ in range(streams)]
+        for u in said:
+            to = rng.randrange(streams)
+            for t in u:
+                if (luck := rng.random()) > 0.1:
+                    heard[to].append(t if luck > 0.25 else rng.choice(vocabulary))
+                if rng.random() < 0.1:
+                    heard[to].append(rng.choice(vocabulary))
+        assert me.best_streams(said, heard) == dense_streams(said, heard)
+
+
+def test_ten_minutes_in_three_contending_streams():
+    """Fifteen hundred words: whole, the places of three streams would be 10^8 cells a token."""
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(400)]
+    said = [[rng.choice(vocabulary) for _ in range(rng.randint(4, 16))] for _ in range(150)]
+    heard = [[], [], []]
+    for u in said:
+        to = rng.randrange(3)
+        heard[to] += [t if rng.random() > 0.03 else rng.choice(vocabulary) for t in u if rng.random() > 0.03]
+    errors = me.best_streams(said, heard)
+    assert 20 < errors < 150
+    own = [said[0::2], said[1::2]]
+    merged_errors, merged = me.best_interleaving(own, [t for u in said for t in u if rng.random() > 0.05])
+    assert 30 < merged_errors < 150 and len(merged) == sum(map(len, said))
