@@ -103,6 +103,68 @@ TEMPLATES = [
         "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU "
         "General Public License along with this program. If not"
     ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version <<number:2>> of the License, or (at your option) any later version. This "
+        "library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have "
+        "received a copy of the GNU Lesser General Public License along with this library; if not"
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version <<number:2>> of the License, or (at your option) any later version. This "
+        "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have "
+        "received a copy of the GNU Affero General Public License along with this program. If not"
+    ),
+    (
+        "mpl-2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> mozilla.org/MPL/2.0"
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest "
+        "in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs "
+        "and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+        "software under copyright law. " + _WARRANTY
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will <<var:8>> be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The "
+        "origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software "
+        "in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "<<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+        "original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution."
+    ),
+    (
+        "bsl-1",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and '
+        "to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+        "following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the "
+        "following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language "
+        'processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL <<var:12>> BE LIABLE FOR "
+        "ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+        "USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    (
+        "0bsd",
+        "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is "
+        'hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND <<var:8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    ("cc0", "To the extent possible under law, <<var:12>> waived all copyright and related or neighboring rights to <<var:12>> This work is published from"),
     *_cc_templates(),
     ("mit", "released under the <<beginOptional>>terms of the<<endOptional>> MIT license"),
 ]
@@ -203,7 +265,7 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
     phrases, automata = _compiled()
     places: list[int] = []
     base, more = set(), set()
-    if b"license" in raw or b"cc" in raw or b"ermission" in raw or b"distribut" in raw:
+    if any(hint in raw for hint in (b"license", b"cc", b"ermission", b"distribut", b"copyright")):
         for label, expression in phrases:
             at = [m.start() for m in expression.finditer(raw)]
             if at:
