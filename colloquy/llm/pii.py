@@ -1,10 +1,11 @@
 """Personal data, and the terms that give it away, in DataFrame operations only.
 
 Patterns find e-mail and IP addresses, card and telephone numbers.  Sanitisation then follows information theory (Sanchez and Batet,
-"C-sanitized", 2016): over the corpus, a term's pointwise mutual information with a protected entity, as a share of the entity's information
-content, estimates how much of the entity a reader learns from the term.  The chance of the entity given the term is estimated from below, with one
-document more that has the term and not the entity, so entities and terms of few documents count as well.  Terms near an entity that reach
-``generalise`` are replaced by their shape, those that reach ``remove`` are taken out, wherever they stand in the text.
+"C-sanitized", 2016): over the corpus, what a term reveals of a protected entity is their pointwise mutual information, the entity's information
+content less what a reader who knows the term still does not know, -log2 P(entity | term).  That rest, in bits, is what the thresholds bound; it
+follows from the rows that have the term and not from how many others there are, so a text is treated alike in a table of any size.  The chance
+is the lower end of Wilson's interval for the rows counted, so a single row proves little and many prove much.  Terms near an entity that leave
+``generalise`` bits or fewer are replaced by their shape, those that leave ``remove`` or fewer are taken out, wherever they stand in the text.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ _EXPRESSIONS = {
 
 #: Code points on either side of an entity that count as its context.
 CONTEXT = 60
-#: Documents that are taken to have a term without its entity, beside those that do.
-PRIOR = 1
+#: Standard deviations to the lower end of the interval: 95 of 100 chances lie above it.
+SURE = 1.645
 #: Spans of a text are placed in runs of so many, which are then shifted; code points to a cell of a text.
 RUN, CELL = 512, 64
-GENERALISE, REMOVE = 0.8, 0.95
+#: Bits of an entity that a term may leave unknown before it is generalised, and before it is removed: one sighting in one row, three of three.
+GENERALISE, REMOVE = 2.0, 1.0
 _TERM = r"[\p{L}]{3,}"
 
 SPAN = "struct<start:long,end:long,value:string>"
@@ -140,10 +142,16 @@ def _placed(scanned: DataFrame, context: int) -> tuple[DataFrame, DataFrame]:
     return free, saved(near.select("row", "entity", "term").distinct())
 
 
-def _disclosing(scanned: DataFrame, docs: DataFrame, context: int, prior: float, least: float) -> DataFrame:
-    """(row, start, end, share) of every occurrence, in its row, of a term near an entity that gives away ``least`` or more of its information.
+def lower_chance(hits: Column, of: Column, sure: float) -> Column:
+    """The lower end of Wilson's interval for a chance of which ``hits`` cases of ``of`` are known."""
+    p, z = hits / of, sure * sure / of
+    return (p + z / 2 - F.sqrt(z * p * (1 - p) + z * z / 4)) / (1 + z)
 
-    All counts are of rows.
+
+def _disclosing(scanned: DataFrame, docs: DataFrame, context: int, sure: float, most: float) -> DataFrame:
+    """(row, start, end, left) of every occurrence, in its row, of a term near an entity that leaves ``most`` bits of it or fewer unknown.
+
+    All counts are of rows.  What the rows hold anyway, an entity in as large a share of all of them, no term reveals.
     """
     free, near = _placed(scanned, context)
     total = scanned.count()
@@ -155,25 +163,23 @@ def _disclosing(scanned: DataFrame, docs: DataFrame, context: int, prior: float,
     words = docs.select(F.explode(F.array_distinct(F.when(F.contains("text", F.lit("\u0130")), exact).otherwise(plain))).alias("term"))
     # an inner join stays above the aggregation, so what is joined is a row a term and not a row an occurrence
     terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(near.select("term").distinct(), "term")
-    information = F.log(total / F.col("n_entity"))
-    mutual = F.log(F.col("n_both") * total / ((F.greatest("n_term", "n_both") + prior) * F.col("n_entity")))
-    share = F.when(information > 0, mutual / information)
-    told = both.join(terms, "term").join(entities, "entity").withColumn("share", share).where(F.col("share") >= least)
-    flagged = near.join(told.select("entity", "term", "share"), ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
-    return free.join(flagged, ["row", "term"]).select("row", "start", "end", "share")
+    left = -F.log2(lower_chance(F.col("n_both"), F.greatest("n_term", "n_both"), sure))
+    told = both.join(terms, "term").join(entities, "entity").withColumn("left", left).where((F.col("left") <= most) & (F.col("left") < F.log2(total / F.col("n_entity"))))
+    flagged = near.join(told.select("entity", "term", "left"), ["entity", "term"]).groupBy("row", "term").agg(F.min("left").alias("left"))
+    return free.join(flagged, ["row", "term"]).select("row", "start", "end", "left")
 
 
-def personal_data(docs: DataFrame, context: int = CONTEXT, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def personal_data(docs: DataFrame, context: int = CONTEXT, sure: float = SURE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, row_key, spans) for every row of ``docs`` (doc_id, text, any other columns).
 
     ``spans`` is an array of (kind, start, end, action) in code points: the kinds of personal data first, in their order, then ``term`` for
     words that give an entity away, by start.  Null text is empty; texts without an entity have no span whatever their words; null ids are
-    kept; repeated rows stay repeated and each counts as a document; ties of information between entities change nothing, a term has the largest
-    share; no row gives no row.  ``row_key`` is a hash of doc_id and text.
+    kept; repeated rows stay repeated and each counts as a document; a term near several entities is treated as for the one of which it leaves
+    least; no row gives no row.  ``row_key`` is a hash of doc_id and text.
     """
     scanned = _scanned(docs)
-    told = _disclosing(scanned, docs, context, prior, generalise)
-    action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
+    told = _disclosing(scanned, docs, context, sure, generalise)
+    action = F.when(F.col("left") <= remove, "remove").otherwise("generalise")
     terms = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", action.alias("action")))).alias("terms"))
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("mask").alias("action")))
     none = F.array().cast("array<struct<kind:string,start:long,end:long,action:string>>")
