@@ -146,8 +146,9 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, ba
     total = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
     blocks = max(1, math.ceil((total[0] or 0) / BLOCK_BYTES))
     bits = max(6, math.ceil(math.log2(blocks)))
-    # a row repeated very often is dealt out by where it is read
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)))
+    # a row repeated very often is dealt out by the place in a file at which it is read, which both readings below agree on
+    place = F.xxhash64("doc_id", "text", F.input_file_name(), F.input_file_block_start())
+    dealt = rows.withColumn("block", F.pmod(place, F.lit(blocks)))
     asked = dealt.groupBy("block").applyInArrow(_ask(order, bits), "block long, part long, hashes binary, counts binary")
     answers = asked.groupBy("part").applyInArrow(_answer, "block long, part long, totals binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, cutoff, backoff, total[1] or 1), SCORES)
