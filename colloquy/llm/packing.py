@@ -10,6 +10,7 @@ of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -42,13 +43,20 @@ WHOLE, LOOSE = 1 << 62, 1 << 61
 #: letter of U+0130 ends in a mark.)
 _EDGES = [(r"([^\PL\x{130}])([!-/:-@\[-`{-~])", r"\1 \2"), (r"([!-&(-/:-@\[-`{-~])(\pL)", r"\1 \2"), (r"[0-9]", r" \0 ")]
 _COMBINING = "[\u0300-\u036f]"
+#: The normaliser and pre-tokenizer of a file whose texts may be cut at ``_EDGES``; texts for any other file are encoded whole.
+_CUTS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 
 
 class WordEncoder:
-    """Token ids of texts from a tokenizer that cuts at white space and at ``_EDGES``, and lower-cases after composing characters.
-
-    Texts are cut there into parts in Arrow; each distinct part is encoded once, many at a time, and kept.  Beyond ``most`` parts those used only
-    once since the last time are forgotten.  A text that spells a special token is encoded whole.
+    """Token ids of texts.  For a tokenizer that cuts at white space and at ``_EDGES``, and lower-cases after composing characters, texts are cut there
+    into parts in Arrow; each distinct part is encoded once, many at a time, and kept.  Beyond ``most`` parts those used only once since the last
+    time are forgotten.  A text that spells a special token is encoded whole, as are all texts for another tokenizer.
     """
 
     def __init__(self, path: str, most: int = 250_000):
@@ -56,6 +64,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.cuts = (described.get("normalizer"), described.get("pre_tokenizer")) == _CUTS
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.slots: dict[str, int] = {}
         self.ids, self.starts, self.uses = np.empty(0, self.kind), np.zeros(1, np.int64), np.empty(0, np.int64)
@@ -109,6 +120,8 @@ class WordEncoder:
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null text is empty."""
         text = pc.fill_null(column, "").cast(pa.large_string())
+        if not self.cuts:
+            return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(text.to_pylist(), add_special_tokens=False)]
         special = pc.match_substring(text, "<|")
         cut = pc.if_else(special, "", text)
         # a capital with a mark need not compose where its small letter does, so such texts keep their case

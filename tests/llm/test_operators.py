@@ -275,7 +275,7 @@ def test_personal_data(spark, docs):
 TERM = re.compile(r"[^\W\d_]{3,}")
 
 
-def plain_terms(texts, context, prior, least):
+def plain_terms(texts, context, sure, most):
     """The terms that give an entity away, place by place, from counts of rows."""
     base = [[tuple(s.split(":")) for s in plain_personal(t)] for t in texts]
     base = [[(k, int(a), int(b)) for k, a, b in spans] for spans in base]
@@ -288,9 +288,14 @@ def plain_terms(texts, context, prior, least):
     n_both = Counter(p for pairs in met for p in pairs)
     n_entity = Counter(e for t, spans in zip(texts, base) for e in {entity(t, *s) for s in spans})
     n_term = Counter(w for t in texts for w in {m[0].lower() for m in TERM.finditer(t)})
+    def left(e, w):
+        n, z = max(n_term[w], n_both[e, w]), sure * sure
+        p = n_both[e, w] / n
+        return -math.log2((p + z / n / 2 - math.sqrt(z / n * p * (1 - p) + (z / n) ** 2 / 4)) / (1 + z / n))
+
     out = []
     for words, pairs in zip(free, met):
-        told = {w for e, w in pairs if n_entity[e] < len(texts) and math.log(n_both[e, w] * len(texts) / ((n_term[w] + prior) * n_entity[e])) / math.log(len(texts) / n_entity[e]) >= least}
+        told = {w for e, w in pairs if left(e, w) <= most and left(e, w) < math.log2(len(texts) / n_entity[e])}
         out.append([f"term:{a}:{b}" for a, b, w in words if w in told])
     return out
 
@@ -313,11 +318,27 @@ def test_telling_terms(spark):
         texts.append(" ".join(words))
     texts += [texts[0], texts[0], "", "a@b.cd", "x" * 200 + "@b.cd Quark"]
     frame = spark.createDataFrame([(None if i == 5 else i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, row int").repartition(3)
-    expected = Counter(",".join(plain_personal(t) + terms) for t, terms in zip(texts, plain_terms(texts, 60, 1, 0.8)))
+    expected = Counter(",".join(plain_personal(t) + terms) for t, terms in zip(texts, plain_terms(texts, 60, 1.645, 2.0)))
     assert sum("term" in e for e in expected) > 5
     assert Counter(r.spans for r in digest(personal_data(frame)).collect()) == expected
 
 
+def test_a_text_is_treated_alike_in_a_table_ten_times_as_large(spark):
+    from colloquy.llm.pii import personal_data
+
+    rng = random.Random(12)
+    said = [f"Zebulon {['', 'Quark '][i % 2]}{prose(rng, 5)} zq@spy.example.org {prose(rng, 9)}" for i in range(6)]
+    said += [f"{prose(rng, 4)} Halvard wrote hv@spy.example.org", f"{prose(rng, 4)} Halvard wrote nothing", f"{prose(rng, 4)} Halvard wrote nothing", f"Unica saw 10.1.2.3 {prose(rng, 3)}"]
+    other = [(100 + i, prose(rng, 20)) for i in range(900)]
+    found = []
+    for more in (90, 900):
+        frame = spark.createDataFrame([*enumerate(said), *other[:more]], "doc_id long, text string")
+        found.append({r.doc_id: [tuple(s) for s in r.spans] for r in personal_data(frame).where(f"doc_id < {len(said)}").collect()})
+    assert found[0] == found[1]
+    words = {(said[i][a:b], action) for i, spans in found[0].items() for kind, a, b, action in spans if kind == "term"}
+    assert ("Zebulon", "remove") in words and ("Unica", "generalise") in words and not any(w == "Halvard" for w, _ in words)
+
+
 def test_personal_data_in_a_text_full_of_it(spark):
     import time
 
@@ -526,6 +547,24 @@ def test_word_encoder_cuts_where_the_tokenizer_cuts():
         assert [i.tolist() for i in found] == [e.ids for e in encoder.tokenizer.encode_batch(texts[at : at + 500], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from colloquy.llm.packing import WordEncoder
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(6)
+    bits = ["The ", "don't", "  ", "\n\n", "É", "É", "42", "x_y", "…", "日本", "<|endoftext|>", "ing", "'LL", "\t", "😀"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(200)] + [None, ""]
+    plain = Tokenizer.from_file(tokenizers.path(name))
+    encoder = WordEncoder(tokenizers.path(name))
+    assert encoder.cuts == name.startswith("word")
+    found = encoder.encode(pa.array(texts, pa.string()))
+    assert [f.tolist() for f in found] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_patterns_reach_the_bound():
     from colloquy.llm.packing import patterns
 
