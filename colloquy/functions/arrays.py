@@ -51,26 +51,57 @@ def fade(x: Column, n_in: Column, n_out: Column) -> Column:
     return F.transform(x, lambda v, i: v * weight(i, F.least(n_in, half)) * weight(F.size(x) - 1 - i, F.least(n_out, half)))
 
 
+#: Elements that are scanned into one array, which is copied whenever it grows.
+RUN = 256
+
+
+def scanned(values: Column, begin: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The states after each of ``values``, of the type ``kind``, from ``begin`` by ``step``.
+
+    An aggregate that collects its states copies them at every element, so they are collected in runs of ``RUN`` and the runs are put together.
+    """
+
+    def collected(state: Column, run: Column) -> Column:
+        inner = F.struct(state["now"].alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def one(s: Column, v: Column) -> Column:
+            return with_value(step(s["now"], v).cast(kind), lambda n: F.struct(n.alias("now"), F.concat(s["out"], F.array(n)).alias("out")))
+
+        return with_value(F.aggregate(run, inner, one), lambda r: F.struct(r["now"].alias("now"), F.concat(state["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(begin.cast(kind).alias("now"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+
+    def whole(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda i: F.slice(v, i * RUN + 1, F.lit(RUN)))
+        return F.when(F.size(v) > 0, F.aggregate(runs, start, collected, lambda s: F.flatten(s["out"]))).when(F.size(v) == 0, F.array().cast(f"array<{kind}>"))
+
+    return with_value(values, whole)
+
+
+def _sum_between(sums: Column, low: Column, high: Column) -> Column:
+    """From running sums, the sum of the elements from place ``low`` to ``high``, both counted from 0 and within the array."""
+    return F.get(sums, high) - F.when(low > 0, F.get(sums, low - 1)).otherwise(0)
+
+
 def hysteresis(p: Column, upper: float, lower: float) -> Column:
     """1 where p > upper, and where p > lower in a run that reaches upper; with lower 0 or not below upper only the first."""
     if lower <= 0 or lower >= upper:
         return F.transform(p, lambda v: (v > upper).cast("int"))
 
     def sweep(values: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("on"), F.array().cast("array<int>").alias("out"))
-
-        def step(state: Column, v: Column) -> Column:
-            on = F.when(v > upper, 1).when((v > lower) & (state["on"] == 1), 1).otherwise(0)
-            return F.struct(on.alias("on"), F.concat(state["out"], F.array(on)).alias("out"))
-
-        return F.aggregate(values, begin, step, lambda s: s["out"])
+        return scanned(values, F.lit(0), "int", lambda on, v: F.when(v > upper, 1).when((v > lower) & (on == 1), 1).otherwise(0))
 
     return F.zip_with(sweep(p), F.reverse(sweep(F.reverse(p))), lambda a, b: F.greatest(a, b))
 
 
 def dilate(mask: Column, attack: int, release: int) -> Column:
     """On where the mask is on up to ``release`` frames before or ``attack`` frames after."""
-    return F.transform(mask, lambda v, i: F.array_max(F.slice(mask, F.greatest(i + 1 - release, F.lit(1)), F.least(i + 1, F.lit(release + 1)) + attack)))
+    sums = scanned(mask, F.lit(0), "long", lambda total, v: total + (v > 0).cast("long"))
+
+    def near(s: Column) -> Column:
+        return F.transform(s, lambda v, i: (_sum_between(s, F.greatest(i - release, F.lit(0)), F.least(i + attack, F.size(s) - 1)) > 0).cast("int"))
+
+    return with_value(sums, near)
 
 
 def spread(mask: Column, width: int, n: Column) -> Column:
@@ -225,24 +256,27 @@ def _frames(x: Column, at: Callable[[Column], Column]) -> Column:
     return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.size(x) - 1), at))
 
 
-def _dilated(mask: Column, width: int) -> Column:
-    """On wherever one of the ``width`` frames around is on; the window of an even width is one longer to the right."""
-    before = width - width // 2 - 1
+def _around(mask: Column, before: int, after: int, judge: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """For each frame ``judge`` of the number of frames that are on from ``before`` frames before to ``after`` after it, its place and the ends of that range."""
+
+    def counted(sums: Column) -> Column:
+        def at(i: Column) -> Column:
+            low, high = F.greatest(i - before, F.lit(0)), F.least(i + after, F.size(sums) - 1)
+            return judge(_sum_between(sums, low, high), i, low, high)
 
-    def spread(m: Column) -> Column:
-        return _frames(m, lambda i: F.array_max(F.slice(m, F.greatest(i - before, F.lit(0)) + 1, width + F.least(i - before, F.lit(0)))))
+        return _frames(sums, at)
 
-    return with_value(mask, spread)
+    return with_value(scanned(mask, F.lit(0), "long", lambda total, v: total + v.cast("long")), counted)
 
 
-def _eroded(mask: Column, width: int) -> Column:
-    """On only where all of the ``width`` frames around are on, frames outside being off; the window of an even width is one longer to the left."""
-    before, after = width // 2, width - width // 2 - 1
+def _dilated(mask: Column, width: int) -> Column:
+    """On wherever one of the ``width`` frames around is on; the window of an even width is one longer to the right."""
+    return _around(mask, width - width // 2 - 1, width // 2, lambda n, i, low, high: n > 0)
 
-    def shrink(m: Column) -> Column:
-        return _frames(m, lambda i: (i >= before) & (i + after < F.size(m)) & F.array_min(F.slice(m, F.greatest(i - before, F.lit(0)) + 1, width)))
 
-    return with_value(mask, shrink)
+def _eroded(mask: Column, width: int) -> Column:
+    """On only where all of the ``width`` frames around are on, frames outside being off; the window of an even width is one longer to the left."""
+    return _around(mask, width // 2, width - width // 2 - 1, lambda n, i, low, high: n == width)
 
 
 def energy_mask(x: Column, frame: int, close: int, open: int, relative: float = 0.07, floor: float = 1e-4) -> Column:

@@ -26,12 +26,14 @@ class FragmentRule:
     balance: float = 0.15
     density: float = 0.40
     iou: float = 0.30
+    #: What one task scans of a recording.
+    stretch: int = 600_000
 
 
 def snapped_windows(turns: DataFrame, totals: DataFrame, keys: Sequence[str], rule: FragmentRule = FragmentRule()) -> DataFrame:
     """Windows every stride, both ends moved outward to silences, cut to the recording, of a length that the rule allows; equal ones once."""
     keys = list(keys)
-    silences = gaps(merge(turns, keys, touching=True), totals, keys, rule.silence)
+    silences = gaps(merge(turns, keys, touching=True, width=rule.stretch), totals, keys, rule.silence, rule.stretch)
     windows = snap(sliding(totals, rule.target, rule.stride), silences, keys, "start", rule.radius, -1)
     windows = snap(windows, silences, keys, "end", rule.radius, 1)
     windows = windows.withColumn("start", F.greatest("start", F.lit(0.0))).withColumn("end", F.least("end", F.col("total").cast("double")))
@@ -44,8 +46,8 @@ def fragment_windows(turns: DataFrame, totals: DataFrame, keys: Sequence[str], s
     Recordings without an overlap have none.
     """
     keys = list(keys)
-    talked = turns.join(overlaps(turns, keys, speaker).select(*keys).distinct(), keys, "left_semi")
-    found = measure(snapped_windows(talked, totals, keys, rule), talked, keys, speaker, rule.target)
+    talked = turns.join(overlaps(turns, keys, speaker, width=rule.stretch).select(*keys).distinct(), keys, "left_semi")
+    found = measure(snapped_windows(talked, totals, keys, rule), talked, keys, speaker, rule.stretch)
     times = F.map_values("by_speaker")
     found = found.withColumn("balance", F.array_min(times) / F.aggregate(times, F.lit(0.0), lambda a, x: a + x)).withColumn("density", F.col("speech") / (F.col("end") - F.col("start")))
     return found.where((F.col("overlap") >= rule.overlap) & (F.col("balance") >= rule.balance) & (F.col("density") >= rule.density))
@@ -53,7 +55,7 @@ def fragment_windows(turns: DataFrame, totals: DataFrame, keys: Sequence[str], s
 
 def find_fragments(turns: DataFrame, totals: DataFrame, keys: Sequence[str], speaker: str = "speaker", rule: FragmentRule = FragmentRule()) -> DataFrame:
     """Fragments of each recording: :func:`fragment_windows`, of which the ones with most overlap suppress those that share too much with them."""
-    return suppress(fragment_windows(turns, totals, keys, speaker, rule), list(keys), "overlap", rule.iou)
+    return suppress(fragment_windows(turns, totals, keys, speaker, rule), list(keys), "overlap", rule.iou, rule.target)
 
 
 def overlap_bin(overlap: Column, light: float, heavy: float) -> Column:

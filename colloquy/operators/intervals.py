@@ -17,28 +17,29 @@ from .scan import settled
 _BUCKET = "bucket__"
 
 
-_STRETCH = "stretch__"
+#: The number of the stretch of a key that a piece lies in.
+STRETCH = "stretch__"
 
 
 def _clipped(spans: DataFrame, width) -> DataFrame:
     """``spans`` cut at the ends of stretches of ``width``, with the number of the stretch and whether a piece goes on from the stretch before
     (``resumed__``); without a width all are in stretch 0."""
     if width is None:
-        return spans.withColumn(_STRETCH, F.lit(0).cast("long")).withColumn("resumed__", F.lit(False))
+        return spans.withColumn(STRETCH, F.lit(0).cast("long")).withColumn("resumed__", F.lit(False))
     first = F.floor(F.col("start") / width)
-    cut = spans.withColumn(_STRETCH, F.explode(F.sequence(first, F.greatest(F.ceil(F.col("end") / width) - 1, first))))
-    lo, hi = F.col(_STRETCH) * width, (F.col(_STRETCH) + 1) * width
+    cut = spans.withColumn(STRETCH, F.explode(F.sequence(first, F.greatest(F.ceil(F.col("end") / width) - 1, first))))
+    lo, hi = F.col(STRETCH) * width, (F.col(STRETCH) + 1) * width
     types = {c: spans.schema[c].dataType for c in ("start", "end")}
     return cut.withColumn("resumed__", F.col("start") < lo).withColumns({"start": F.greatest("start", lo).cast(types["start"]), "end": F.least("end", hi).cast(types["end"])})
 
 
 def _islands(pieces: DataFrame, keys: Sequence[str], touching: bool, gap=None) -> DataFrame:
     """(keys, stretch__, start, end, resumed__) of the pieces of each stretch, merged."""
-    order = Window.partitionBy(*keys, _STRETCH).orderBy("start", "end")
+    order = Window.partitionBy(*keys, STRETCH).orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = pieces.withColumn("opens__", F.when(reached.isNull() | _apart(F.col("start"), reached, touching, gap), 1).otherwise(0))
     rows = rows.withColumn("n__", F.sum("opens__").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, _STRETCH, "n__").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("resumed__").alias("resumed__"))
+    return rows.groupBy(*keys, STRETCH, "n__").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("resumed__").alias("resumed__"))
 
 
 def _apart(start: Column, reached: Column, touching: bool, gap) -> Column:
@@ -50,17 +51,22 @@ def _joined(islands: DataFrame, keys: Sequence[str], touching: bool, gap=None) -
 
     Only the first and the last island of a stretch can; these alone are looked at along a whole key, two a stretch at most.
     """
-    within = Window.partitionBy(*keys, _STRETCH)
+    within = Window.partitionBy(*keys, STRETCH)
     marked = islands.withColumn("edge__", (F.col("n__") == F.min("n__").over(within)) | (F.col("n__") == F.max("n__").over(within)))
-    order = Window.partitionBy(*keys).orderBy(_STRETCH, "n__")
-    before, stretch = F.lag("end").over(order), F.lag(_STRETCH).over(order)
-    opens = before.isNull() | (stretch == F.col(_STRETCH)) | (_apart(F.col("start"), before, touching, gap) & ~F.col("resumed__"))
+    order = Window.partitionBy(*keys).orderBy(STRETCH, "n__")
+    before, stretch = F.lag("end").over(order), F.lag(STRETCH).over(order)
+    opens = before.isNull() | (stretch == F.col(STRETCH)) | (_apart(F.col("start"), before, touching, gap) & ~F.col("resumed__"))
     edges = marked.where("edge__").withColumn("opens__", opens.cast("int"))
     edges = edges.withColumn("island__", F.sum("opens__").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     edges = edges.groupBy(*keys, "island__").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return marked.where("not edge__").select(*keys, "start", "end").unionByName(edges.select(*keys, "start", "end"))
 
 
+def per_stretch(turns: DataFrame, keys: Sequence[str], width) -> DataFrame:
+    """(keys, STRETCH, start, end): ``turns`` cut at stretches of ``width`` and merged, touching ones too, within each; for what adds up over stretches."""
+    return _islands(_clipped(turns.select(*keys, "start", "end"), width), keys, True).select(*keys, STRETCH, "start", "end")
+
+
 def merge(turns: DataFrame, keys: Sequence[str], touching: bool = False, gap=None, width=None) -> DataFrame:
     """Maximal spans of ``turns`` per ``keys``: (keys, start, end).
 
@@ -90,12 +96,12 @@ def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], width=None) -> Data
 
 def between(spans: DataFrame, keys: Sequence[str], width=None) -> DataFrame:
     """(keys, start, end) of the time between each of the merged ``spans`` and the next; with ``width`` by stretches, see :func:`merge`."""
-    begun = spans.select(*keys, "start", "end").withColumn(_STRETCH, F.lit(0).cast("long") if width is None else F.floor(F.col("start") / width))
-    inside = Window.partitionBy(*keys, _STRETCH).orderBy("start", "end")
+    begun = spans.select(*keys, "start", "end").withColumn(STRETCH, F.lit(0).cast("long") if width is None else F.floor(F.col("start") / width))
+    inside = Window.partitionBy(*keys, STRETCH).orderBy("start", "end")
     found = begun.select(*keys, F.lag("end").over(inside).alias("from__"), F.col("start").alias("to__"))
     if width is not None:
-        along = Window.partitionBy(*keys).orderBy(_STRETCH)
-        stretches = begun.groupBy(*keys, _STRETCH).agg(F.min("start").alias("to__"), F.max("end").alias("end"))
+        along = Window.partitionBy(*keys).orderBy(STRETCH)
+        stretches = begun.groupBy(*keys, STRETCH).agg(F.min("start").alias("to__"), F.max("end").alias("end"))
         found = found.unionByName(stretches.select(*keys, F.lag("end").over(along).alias("from__"), "to__"))
     return found.where("from__ < to__").select(*keys, F.col("from__").alias("start"), F.col("to__").alias("end"))
 
@@ -128,11 +134,11 @@ def overlaps(turns: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "s
     # cut at stretches, a speaker's spans need not be joined again: at an end of a stretch one ends and one begins
     per_speaker = _islands(_clipped(turns.select(*keys, speaker, "start", "end"), width), [*keys, speaker], True)
     ends = F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))
-    steps = per_speaker.select(*keys, _STRETCH, F.explode(ends).alias("step")).groupBy(*keys, _STRETCH, F.col("step.t").alias("t")).agg(F.sum("step.d").alias("d"))
-    order = Window.partitionBy(*keys, _STRETCH).orderBy("t")
+    steps = per_speaker.select(*keys, STRETCH, F.explode(ends).alias("step")).groupBy(*keys, STRETCH, F.col("step.t").alias("t")).agg(F.sum("step.d").alias("d"))
+    order = Window.partitionBy(*keys, STRETCH).orderBy("t")
     level = steps.withColumn("n", F.sum("d").over(order)).withColumn("until", F.lead("t").over(order))
     runs = level.withColumn("n__", F.sum(F.when(F.col("n") < least, 1).otherwise(0)).over(order)).where(F.col("n") >= least)
-    islands = runs.groupBy(*keys, _STRETCH, "n__").agg(F.min("t").alias("start"), F.max("until").alias("end")).withColumn("resumed__", F.lit(False))
+    islands = runs.groupBy(*keys, STRETCH, "n__").agg(F.min("t").alias("start"), F.max("until").alias("end")).withColumn("resumed__", F.lit(False))
     return islands.select(*keys, "start", "end") if width is None else _joined(islands, keys, True)
 
 
@@ -160,14 +166,14 @@ def covered(windows: DataFrame, spans: DataFrame, keys: Sequence[str], by: Seque
     """
     own, every = [*keys, "start", "end"], [*keys, *by]
     ends = F.array(*[F.struct(F.col(c).alias("t__"), F.lit(rank).alias("rank__"), F.lit(sign).alias("sign__")) for c, rank, sign in (("end", 0, -1), ("start", 2, 1))])
-    marks = _clipped(spans.select(*every, "start", "end").where("end > start"), width).select(*every, _STRETCH, (F.col("resumed__")).cast("int").alias("resumed__"), F.explode(ends).alias("e")).select(*every, _STRETCH, "resumed__", "e.*")
+    marks = _clipped(spans.select(*every, "start", "end").where("end > start"), width).select(*every, STRETCH, (F.col("resumed__")).cast("int").alias("resumed__"), F.explode(ends).alias("e")).select(*every, STRETCH, "resumed__", "e.*")
     asked = windows.select(*own).distinct().where("end > start").withColumns({"from__": F.col("start"), "to__": F.col("end")})
     asked = _clipped(asked, width)
     asked = asked.join(spans.select(*every).distinct(), list(keys)) if by else asked
     sides = F.array(F.struct(F.col("start").alias("t__"), F.lit(-1).alias("side__")), F.struct(F.col("end").alias("t__"), F.lit(1).alias("side__")))
-    asked = asked.select(*every, _STRETCH, "from__", "to__", F.col("resumed__").alias("later__"), F.explode(sides).alias("s")).select(*every, _STRETCH, "from__", "to__", "later__", "s.*").withColumn("rank__", F.lit(1))
+    asked = asked.select(*every, STRETCH, "from__", "to__", F.col("resumed__").alias("later__"), F.explode(sides).alias("s")).select(*every, STRETCH, "from__", "to__", "later__", "s.*").withColumn("rank__", F.lit(1))
     # at one time ends come first, then windows, then starts: what only touches a window does not meet it
-    so_far = Window.partitionBy(*every, _STRETCH).orderBy("t__", "rank__").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*every, STRETCH).orderBy("t__", "rank__").rowsBetween(Window.unboundedPreceding, 0)
 
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(value).over(so_far), F.lit(0))
@@ -255,9 +261,9 @@ def suppress(candidates: DataFrame, keys: Sequence[str], score: str, most: float
         before = settled(before.join(alive.withColumnRenamed("id__", "u"), "u", "left_semi").join(alive.withColumnRenamed("id__", "v"), "v", "left_semi"))
 
 
-def solo(turns: DataFrame, blocked: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", least=0) -> DataFrame:
-    """Per speaker the merged turns less ``blocked`` time (keys, start, end)."""
-    return subtract(merge(turns, [*keys, speaker]), blocked, list(keys), least)
+def solo(turns: DataFrame, blocked: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", least=0, width=None) -> DataFrame:
+    """Per speaker the merged turns less ``blocked`` time (keys, start, end).  ``width``: see :func:`merge`."""
+    return subtract(merge(turns, [*keys, speaker], width=width), blocked, list(keys), least, width)
 
 
 def select_regions(regions: DataFrame, keys: Sequence[str], shortest, gap) -> DataFrame:
@@ -332,12 +338,26 @@ def best_window(totals: DataFrame, spans: DataFrame, keys: Sequence[str], length
     return shared.groupBy(*keys).agg(F.max(F.struct("shared", (-F.col("start")).alias("back"))).alias("best")).select(*keys, (-F.col("best.back")).alias("start"), F.col("best.shared").alias("shared"))
 
 
-def run_lengths(rows: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Maximal runs of equal ``value`` along ``order``: (keys, value, first, last, n)."""
-    along = Window.partitionBy(*keys).orderBy(order)
-    changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(along)) & F.lag(order).over(along).isNotNull(), 0).otherwise(1)
-    runs = rows.withColumn("changed__", changed).withColumn("run__", F.sum("changed__").over(along))
-    return runs.groupBy(*keys, "run__").agg(F.first(value).alias(value), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("run__")
+def run_lengths(rows: DataFrame, keys: Sequence[str], order: str, value: str, width=None) -> DataFrame:
+    """Maximal runs of equal ``value`` along ``order``: (keys, value, first, last, n).
+
+    With ``width`` each stretch of ``order`` is cut into runs for itself, and the first and the last of a stretch are joined to those beside it.
+    """
+    placed = rows.select(*keys, F.col(order).alias("at__"), F.col(value).alias("value__")).withColumn(STRETCH, F.lit(0).cast("long") if width is None else F.floor(F.col("at__") / width))
+    inside = Window.partitionBy(*keys, STRETCH).orderBy("at__")
+    changed = F.when(F.col("value__").eqNullSafe(F.lag("value__").over(inside)) & (F.row_number().over(inside) > 1), 0).otherwise(1)
+    runs = placed.withColumn("changed__", changed).withColumn("run__", F.sum("changed__").over(inside))
+    aggregates = F.first("value__").alias("value__"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
+    runs = runs.withColumns({"first": F.col("at__"), "last": F.col("at__"), "n": F.lit(1).cast("long")}).groupBy(*keys, STRETCH, "run__").agg(*aggregates)
+    columns = [*keys, F.col("value__").alias(value), "first", "last", "n"]
+    if width is None:
+        return runs.select(*columns)
+    within, along = Window.partitionBy(*keys, STRETCH), Window.partitionBy(*keys).orderBy(STRETCH, "run__")
+    marked = runs.withColumn("edge__", (F.col("run__") == 1) | (F.col("run__") == F.max("run__").over(within)))
+    goes_on = F.col("value__").eqNullSafe(F.lag("value__").over(along)) & (F.lag(STRETCH).over(along) < F.col(STRETCH))
+    edges = marked.where("edge__").withColumn("opens__", F.when(goes_on, 0).otherwise(1)).withColumn("run__", F.sum("opens__").over(along))
+    edges = edges.groupBy(*keys, "run__").agg(*aggregates)
+    return marked.where("not edge__").select(*columns).unionByName(edges.select(*columns))
 
 
 def lint(turns: DataFrame, keys: Sequence[str], speaker: str = "speaker", text: str = "text", longest=30_000, tolerated=50) -> DataFrame:
@@ -355,13 +375,34 @@ def lint(turns: DataFrame, keys: Sequence[str], speaker: str = "speaker", text:
     return turns.withColumn("before__", F.lag("end").over(order)).withColumn("finding", F.explode(findings)).drop("before__")
 
 
-def repeated_runs(turns: DataFrame, keys: Sequence[str], text: str = "text", least: int = 5, gap=500) -> DataFrame:
-    """The row at which a run of equal texts with pauses below ``gap`` reaches ``least``; once per run."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    goes_on = (F.col(text) == F.lag(text).over(order)) & (F.col("start") - F.lag("end").over(order) < gap)
-    runs = turns.withColumn("run__", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
-    nth = F.row_number().over(Window.partitionBy(*keys, "run__").orderBy("start", "end"))
-    return runs.withColumn("nth__", nth).where(F.col("nth__") == least).drop("nth__", "run__")
+def repeated_runs(turns: DataFrame, keys: Sequence[str], text: str = "text", least: int = 5, gap=500, width=None) -> DataFrame:
+    """The row at which a run of equal texts with pauses below ``gap`` reaches ``least``; once per run.
+
+    With ``width`` rows are counted within each stretch of time; what the run that a stretch begins with has counted before comes from a scan over
+    stretches.
+    """
+    placed = turns.withColumn(STRETCH, F.lit(0).cast("long") if width is None else F.floor(F.col("start") / width))
+    inside = Window.partitionBy(*keys, STRETCH).orderBy("start", "end")
+    goes_on = (F.col(text) == F.lag(text).over(inside)) & (F.col("start") - F.lag("end").over(inside) < gap)
+    runs = placed.withColumn("run__", F.sum(F.when(goes_on, 0).otherwise(1)).over(inside))
+    runs = runs.withColumn("nth__", F.row_number().over(Window.partitionBy(*keys, STRETCH, "run__").orderBy("start", "end")))
+    if width is None:
+        return runs.where(F.col("nth__") == least).drop("nth__", "run__", STRETCH)
+    # of each stretch the first and the last row, and how many rows its last run has
+    place = F.struct("start", "end", "run__", "nth__")
+    ends = runs.groupBy(*keys, STRETCH).agg(F.min_by(F.struct(text, "start"), place).alias("first"), F.max_by(F.struct(text, "end", "run__", "nth__"), place).alias("last"))
+    along = Window.partitionBy(*keys).orderBy(STRETCH)
+    before = F.lag("last").over(along)
+    links = ends.withColumn("on__", F.coalesce((F.col(f"first.{text}") == before[text]) & (F.col("first.start") - before["end"] < gap), F.lit(False)))
+    # a run goes through a stretch that is nothing else; where it does not, counting begins anew
+    links = links.withColumn("block__", F.sum(F.when(F.col("on__") & (F.col("last.run__") == 1), 0).otherwise(1)).over(along))
+    counted = F.sum("last.nth__").over(Window.partitionBy(*keys, "block__").orderBy(STRETCH))
+    links = links.withColumn("counted__", counted).withColumn("carried__", F.when(F.col("on__"), F.lag("counted__").over(along)).otherwise(0))
+    carried = links.select(*[F.col(k).alias(f"{k}__") for k in keys], F.col(STRETCH).alias("of__"), "carried__").where("carried__ > 0")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys]
+    nth = F.col("nth__") + F.when(F.col("run__") == 1, F.coalesce("carried__", F.lit(0))).otherwise(0)
+    found = runs.join(carried, [*same, F.col(STRETCH) == F.col("of__")], "left").where(nth == least)
+    return found.select(*turns.columns)
 
 
 def first_containing(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, order: str, width=None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import running, settled
@@ -44,3 +44,11 @@ def match_nearest(left: DataFrame, right: DataFrame, key: str, name_left: str, n
             return taken.select(key, F.col("l").alias(name_left), F.col("r").alias(name_right), "distance")
         rest_left = settled(rest_left.join(mutual.select(key, F.col("l").alias("name__")), [key, "name__"], "left_anti"))
         rest_right = settled(rest_right.join(mutual.select(key, F.col("r").alias("name__")), [key, "name__"], "left_anti"))
+
+
+def two_by_two(first_a: Column, second_b: Column, first_b: Column, second_a: Column) -> Column:
+    """Which of two pairings has the larger sum: ``straight`` (also at a tie), ``swapped``, or ``fixed`` where a sum is null or not finite, which decides
+    nothing."""
+    straight, swapped = first_a + second_b, first_b + second_a
+    known = F.coalesce((F.abs(straight) < float("inf")) & (F.abs(swapped) < float("inf")), F.lit(False))
+    return F.when(~known, "fixed").when(straight >= swapped, "straight").otherwise("swapped")

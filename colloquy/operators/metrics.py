@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .intervals import meeting, merge, overlaps, subtract
+from .intervals import STRETCH, meeting, merge, overlaps, per_stretch, subtract
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
@@ -75,50 +75,52 @@ def assign(cost: np.ndarray) -> tuple[int, ...]:
     return tuple(out.tolist())
 
 
-def scored_time(reference: DataFrame, totals: DataFrame, keys: Sequence[str], speaker: str = "speaker", collar=0, skip_overlap: bool = False) -> DataFrame:
+def scored_time(reference: DataFrame, totals: DataFrame, keys: Sequence[str], speaker: str = "speaker", collar=0, skip_overlap: bool = False, width=None) -> DataFrame:
     """(keys, start, end) of the time that is scored: [0, total] less half a ``collar`` on either side of every reference boundary and, with
     ``skip_overlap``, less the time in which two or more reference speakers talk."""
     span = totals.select(*keys, F.lit(0).cast(totals.schema["total"].dataType).alias("start"), F.col("total").alias("end"))
     out = []
     if collar:
-        edges = merge(reference, [*keys, speaker], touching=True).select(*keys, F.explode(F.array("start", "end")).alias("t"))
+        edges = merge(reference, [*keys, speaker], touching=True, width=width).select(*keys, F.explode(F.array("start", "end")).alias("t"))
         out.append(edges.select(*keys, (F.col("t") - collar / 2).alias("start"), (F.col("t") + collar / 2).alias("end")))
     if skip_overlap:
-        out.append(overlaps(reference, keys, speaker))
+        out.append(overlaps(reference, keys, speaker, width=width))
     for less in out:
-        span = subtract(span, less, keys)
+        span = subtract(span, less, keys, width=width)
     return span
 
 
-def within(turns: DataFrame, scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+def within(turns: DataFrame, scored: DataFrame, keys: Sequence[str], width=None) -> DataFrame:
     """``turns`` cut to the ``scored`` time."""
     columns = [F.col("lo").alias(c) if c == "start" else F.col("hi").alias(c) if c == "end" else F.col(c) for c in turns.columns]
-    return meeting(turns, scored.select(*keys, "start", "end"), keys).select(*columns)
+    return meeting(turns, scored.select(*keys, "start", "end"), keys, width).select(*columns)
 
 
 def diarization_error(
-    reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", totals: DataFrame | None = None, collar=0, skip_overlap: bool = False
+    reference: DataFrame, hypothesis: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", totals: DataFrame | None = None, collar=0, skip_overlap: bool = False, width=None
 ) -> DataFrame:
     """(keys, miss, false_alarm, confusion, total, der) per recording.
 
     A speaker's own turns are merged first.  Hypothesis speakers are mapped one to one onto reference speakers so that most time agrees; what
     both sides hold at once but not under that mapping is confusion.  ``total`` sums speech per reference speaker.  With ``totals`` (keys, total)
-    only :func:`scored_time` counts, for the mapping as well; ``collar`` and ``skip_overlap`` need it.
+    only :func:`scored_time` counts, for the mapping as well; ``collar`` and ``skip_overlap`` need it.  With ``width`` a recording is cut at stretches
+    of that width, each of which is swept for itself; all that is counted adds up.
     """
     if totals is not None:
-        scored = scored_time(reference, totals, keys, speaker, collar, skip_overlap)
-        reference, hypothesis = (within(t, scored, keys) for t in (reference, hypothesis))
+        scored = scored_time(reference, totals, keys, speaker, collar, skip_overlap, width)
+        reference, hypothesis = (within(t, scored, keys, width) for t in (reference, hypothesis))
     elif collar or skip_overlap:
         raise ValueError("a collar and the skipping of overlaps need the recordings' totals")
     keys = list(keys)
-    ref, hyp = merge(reference, [*keys, speaker], touching=True), merge(hypothesis, [*keys, speaker], touching=True)
+    ref, hyp = (per_stretch(side, [*keys, speaker], width) for side in (reference, hypothesis))
+    places = [*keys, STRETCH]
 
     def steps(turns: DataFrame, side: str) -> DataFrame:
-        ends = turns.select(*keys, F.col("start").alias("t"), F.lit(1).alias("d")).union(turns.select(*keys, F.col("end").alias("t"), F.lit(-1).alias("d")))
-        return ends.select(*keys, "t", *[(F.col("d") if s == side else F.lit(0)).alias(s) for s in ("r", "h")])
+        ends = turns.select(*places, F.col("start").alias("t"), F.lit(1).alias("d")).union(turns.select(*places, F.col("end").alias("t"), F.lit(-1).alias("d")))
+        return ends.select(*places, "t", *[(F.col("d") if s == side else F.lit(0)).alias(s) for s in ("r", "h")])
 
-    points = steps(ref, "r").union(steps(hyp, "h")).groupBy(*keys, "t").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
-    along = Window.partitionBy(*keys).orderBy("t")
+    points = steps(ref, "r").union(steps(hyp, "h")).groupBy(*places, "t").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
+    along = Window.partitionBy(*places).orderBy("t")
     level = points.select(*keys, F.sum("r").over(along).alias("r"), F.sum("h").over(along).alias("h"), (F.lead("t").over(along) - F.col("t")).alias("w"))
     sums = level.groupBy(*keys).agg(
         F.sum(F.greatest(F.col("r") - F.col("h"), F.lit(0)) * F.col("w")).alias("miss"),
@@ -126,7 +128,7 @@ def diarization_error(
         F.sum(F.least("r", "h") * F.col("w")).alias("both"),
         F.sum(F.col("r") * F.col("w")).alias("total"),
     )
-    shared = meeting(ref, hyp.withColumnRenamed(speaker, "other"), keys).groupBy(*keys, speaker, "other").agg(F.sum(F.col("hi") - F.col("lo")).alias("w"))
+    shared = meeting(ref, hyp.withColumnRenamed(speaker, "other"), places).groupBy(*keys, speaker, "other").agg(F.sum(F.col("hi") - F.col("lo")).alias("w"))
 
     def agreed(rows: pd.DataFrame) -> pd.DataFrame:
         table = rows.pivot(index=speaker, columns="other", values="w").fillna(0).to_numpy(float)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 _LOADED: dict[str, Any] = {}
@@ -49,3 +50,35 @@ def apply_model(rows: DataFrame, column: str, load: Callable[[], Callable[[pd.Se
             yield batch.assign(**{into: model(batch[column])})
 
     return rows.mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A named step from rows to rows.  Stages that are not enabled are passed over."""
+
+    name: str
+    run: Callable[[DataFrame], DataFrame]
+    enabled: bool = True
+
+
+def run_stages(rows: DataFrame, stages: Sequence[Stage], spill: str | None = None, resume: bool = False) -> DataFrame:
+    """``rows`` put through the stages.  With ``spill`` each stage's rows are written as Parquet under that folder and read again, which ends their
+    lineage; with ``resume`` a stage that was written to its end before is read and not run."""
+    spark = rows.sparkSession
+    for stage in stages:
+        if not stage.enabled:
+            continue
+        path = f"{spill}/{stage.name}"
+        if not (spill and resume and _written(spark, path)):
+            rows = stage.run(rows)
+            if spill:
+                rows.write.mode("overwrite").parquet(path)
+        if spill:
+            rows = spark.read.parquet(path)
+    return rows
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has come to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)

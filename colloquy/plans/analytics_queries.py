@@ -167,12 +167,22 @@ def prj_21_whole_status(spark, sf_dir):
     return c.join(later, ["conv_id", "role", "turn"]).select("conv_id", "turn", "role", status.alias("status"))
 
 
-@query("SELECT a.sid AS a, b.sid AS b, CASE WHEN a.x + b.y >= a.y + b.x THEN 'straight' ELSE 'swapped' END AS choice FROM (SELECT vec_id AS sid, embedding[1] AS x, embedding[2] AS y FROM embeddings) a JOIN (SELECT vec_id AS sid, embedding[1] AS x, embedding[2] AS y FROM embeddings) b ON b.sid = a.sid + 1 WHERE a.sid % 2 = 0")
+_SCORES = "(SELECT vec_id AS sid, CASE WHEN vec_id % 7 <> 0 THEN embedding[1] WHEN vec_id % 3 = 0 THEN 'nan'::FLOAT WHEN vec_id % 3 = 1 THEN 'inf'::FLOAT END AS x, embedding[2] AS y FROM embeddings)"
+
+
+@query(
+    f"""SELECT a.sid AS a, b.sid AS b, CASE WHEN coalesce(isfinite(a.x) AND isfinite(b.y) AND isfinite(a.y) AND isfinite(b.x), false) THEN CASE WHEN a.x + b.y >= a.y + b.x THEN 'straight' ELSE 'swapped' END ELSE 'fixed' END AS choice
+    FROM {_SCORES} a JOIN {_SCORES} b ON b.sid = a.sid + 1 WHERE a.sid % 2 = 0"""
+)
 def jon_11_two_by_two(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sid"), F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    """Two scores each; every seventh first score is not a number, infinite or missing."""
+    from ..operators.matching import two_by_two
+
+    odd = F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 3 == 1, F.lit(float("inf")))
+    x = F.when(F.col("vec_id") % 7 != 0, F.get("embedding", F.lit(0))).otherwise(odd.cast("float"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sid"), x.alias("x"), F.get("embedding", F.lit(1)).alias("y"))
     a, b = v.where("sid % 2 = 0").alias("a"), v.withColumn("key", F.col("sid") - 1).alias("b")
-    choice = F.when(F.col("a.x") + F.col("b.y") >= F.col("a.y") + F.col("b.x"), "straight").otherwise("swapped")
-    return a.join(b, F.col("a.sid") == F.col("b.key")).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), choice.alias("choice"))
+    return a.join(b, F.col("a.sid") == F.col("b.key")).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), two_by_two(F.col("a.x"), F.col("b.y"), F.col("a.y"), F.col("b.x")).alias("choice"))
 
 
 @query("SELECT s.s_suppkey, count(l.l_orderkey) AS lines, coalesce(sum(l.l_quantity), 0.0) AS quantity FROM supplier s LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey AND l.l_linenumber = 7 GROUP BY s.s_suppkey")

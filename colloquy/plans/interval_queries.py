@@ -157,7 +157,7 @@ def int_12_fragment_candidates(spark, sf_dir):
 @query(_LEFT.format(0), SEGMENTS, _merged("m", "a >= reached"), _OVERLAPS, _CUTS)
 def int_13_solo(spark, sf_dir):
     turns = segments(spark, sf_dir)
-    return iv.solo(turns, iv.overlaps(turns))
+    return iv.solo(turns, iv.overlaps(turns, width=STRETCH), width=STRETCH)
 
 
 @query('SELECT rec, "start", "end" FROM m', SEGMENTS, _OVERLAPS, 'longer AS (SELECT * FROM crossed WHERE "end" - "start" >= 100)', _merged("m", "a - reached >= 2000", "longer", "rec"))
@@ -234,7 +234,7 @@ def int_23_best_window(spark, sf_dir):
         SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, run, event_type"""
 )
 def int_24_run_lengths(spark, sf_dir):
-    return iv.run_lengths(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
+    return iv.run_lengths(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type", width=10_000)
 
 
 @query(
@@ -256,4 +256,4 @@ def int_25_lint(spark, sf_dir):
     SEGMENTS,
 )
 def int_26_repeated_runs(spark, sf_dir):
-    return iv.repeated_runs(segments(spark, sf_dir), ["rec"], "speaker", 3, 60_000)
+    return iv.repeated_runs(segments(spark, sf_dir), ["rec"], "speaker", 3, 60_000, width=STRETCH)

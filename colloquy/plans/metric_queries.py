@@ -37,7 +37,7 @@ def _merged(name, source):
     SEGMENTS, _HYP, _merged("rm", "segments"), _merged("hm", "hyp"),
 )
 def met_01_diarization_error(spark, sf_dir):
-    return me.diarization_error(segments(spark, sf_dir), _hypothesis(spark, sf_dir))
+    return me.diarization_error(segments(spark, sf_dir), _hypothesis(spark, sf_dir), width=600_000)
 
 
 #: Recordings take turns: words are dropped, replaced or added to; every fifth has a speaker more, of three words, that the reference has not.  Of d

@@ -37,6 +37,12 @@ def str_06_numbers_in_words(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", in_words((F.col("event_id") * 997).cast("string")).alias("words"))
 
 
+@query(f"SELECT event_id, {in_words_sql("repeat(CAST(event_id * 997 AS VARCHAR), CAST(event_id % 9 + 1 AS INTEGER))")} AS words FROM events")
+def str_06_long_numbers_in_words(spark, sf_dir):
+    digits = F.repeat((F.col("event_id") * 997).cast("string"), (F.col("event_id") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", in_words(digits).alias("words"))
+
+
 @query(r"SELECT p_partkey, regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9._-]', '_', 'g') AS safe, replace(p_name, 'a', '') AS without, regexp_extract(p_brand, '([0-9]+)', 1) AS number FROM part")
 def str_09_to_12_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")

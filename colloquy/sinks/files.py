@@ -6,9 +6,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import settled
+
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose ``keys`` the Parquet table at ``path`` lacks; how many there were."""
+    """Append the rows whose ``keys`` the Parquet table at ``path`` lacks; how many there were.
+
+    What is new is settled before the table is touched, and a call after one that failed looks again at what is there, so no row comes in twice.
+    """
     spark = rows.sparkSession
     try:
         fresh = rows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
@@ -16,14 +21,11 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         fresh = rows
-    fresh = fresh.persist()
-    try:
-        n = fresh.count()
-        if n:
-            fresh.write.mode("append").parquet(path)
-        return n
-    finally:
-        fresh.unpersist()
+    fresh = settled(fresh)
+    n = fresh.count()
+    if n:
+        fresh.write.mode("append").parquet(path)
+    return n
 
 
 def write_stages(stages: dict[str, DataFrame | None], root: str, key: str = "rec") -> list[str]:

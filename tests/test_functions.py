@@ -87,8 +87,57 @@ def test_outdoor_components(spark):
 def test_numbers(spark):
     from colloquy.functions.numbers_pl import in_words, spell_numbers
 
-    cases = {"0": "zero", "007": "siedem", "12": "dwanaście", "21": "dwadzieścia jeden", "100": "sto", "1000": "tysiąc", "2022": "dwa tysiące dwadzieścia dwa", "5112": "pięć tysięcy sto dwanaście", "1000001": "milion jeden", "22000000": "dwadzieścia dwa miliony", "9" * 16: "9" * 16}
+    cases = {"0": "zero", "007": "siedem", "12": "dwanaście", "21": "dwadzieścia jeden", "100": "sto", "1000": "tysiąc", "2022": "dwa tysiące dwadzieścia dwa", "5112": "pięć tysięcy sto dwanaście", "1000001": "milion jeden", "22000000": "dwadzieścia dwa miliony"}
     found = spark.createDataFrame([(k,) for k in cases], "n string").select("n", in_words(F.col("n")).alias("w")).collect()
     assert {r.n: r.w for r in found} == cases
     assert one(spark, tx.normalise(F.lit("mam 2 koty, 007 i 1a"))) == "mam dwa koty siedem i 1a"
     assert one(spark, spell_numbers(F.array(F.lit("rok"), F.lit("12"), F.lit("a1")))) == ["rok", "dwanaście", "a1"]
+
+
+def test_masks_of_long_signals_against_plain_loops(spark):
+    import random
+
+    from colloquy.functions import arrays as ar
+
+    rng = random.Random(1)
+    rows = []
+    for n in (0, 1, 255, 256, 257, 3000):
+        rows.append((n, [rng.choice([0.0, 0.3, 0.3, 0.3, 0.9]) if rng.random() < 0.99 else 0.0 for _ in range(n)]))
+    frame = spark.createDataFrame([*rows, (-1, None)], "n long, p array<double>")
+    found = {r.n: r for r in frame.select("n", ar.hysteresis(F.col("p"), 0.5, 0.2).alias("h"), ar.dilate(ar.hysteresis(F.col("p"), 0.5, 0.4), 3, 7).alias("d")).collect()}
+    for n, p in rows:
+        on = [0] * n
+        for i in range(n):
+            if p[i] > 0.5:
+                for step in (-1, 1):
+                    j = i
+                    while 0 <= j < n and p[j] > 0.2 and (j == i or not on[j] or p[j] <= 0.5):
+                        on[j] = 1
+                        j += step
+        assert found[n].h == on
+        strong = [int(v > 0.5) for v in p]
+        assert found[n].d == [int(any(strong[max(i - 7, 0) : i + 4])) for i in range(n)]
+    assert found[-1].h is None
+
+
+def test_a_long_signal_is_scanned_in_linear_time(spark):
+    import time
+
+    from colloquy.functions import arrays as ar
+
+    frame = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(299_999)), lambda i: F.when(i % 1000 < 600, 0.4).when(i % 1000 < 610, 0.9).otherwise(0.0)).alias("p"))
+    began = time.perf_counter()
+    assert frame.select(F.aggregate(ar.dilate(ar.hysteresis(F.col("p"), 0.5, 0.2), 5, 5), F.lit(0), lambda a, v: a + v).alias("n")).first().n == 300 * 620 - 5
+    assert time.perf_counter() - began < 60
+
+
+def test_numbers_of_any_length(spark):
+    from colloquy.functions.numbers_pl import in_words
+
+    cases = {
+        "1000000000000000": "biliard", "2000000000000000": "dwa biliardy", "5000000000000001": "pięć biliardów jeden", "1" + "0" * 18: "trylion", "22" + "0" * 21: "dwadzieścia dwa tryliardy",
+        "1" + "0" * 24: "kwadrylion", "3" + "0" * 27: "trzy kwadryliardy", "7" + "0" * 30: "siedem kwintylionów", "0" * 50 + "12": "dwanaście", "9" * 34: "9" * 34, "000": "zero", "12": "dwanaście",
+        "999999999999999999": "dziewięćset dziewięćdziesiąt dziewięć biliardów dziewięćset dziewięćdziesiąt dziewięć bilionów dziewięćset dziewięćdziesiąt dziewięć miliardów dziewięćset dziewięćdziesiąt dziewięć milionów dziewięćset dziewięćdziesiąt dziewięć tysięcy dziewięćset dziewięćdziesiąt dziewięć",
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.w for r in frame.select("t", in_words(F.col("t")).alias("w")).collect()} == cases

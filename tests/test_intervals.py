@@ -172,3 +172,20 @@ def test_one_long_recording_is_many_tasks(spark):
     flagged = running(turns, ["rec"], ["start", "end"], F.floor(F.col("start") / 600_000), {"reached": ("max", F.col("end"))}, before=True)
     tasks = [r.n for r in flagged.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(tasks) > 1 and max(tasks) < 100_000
+
+
+@pytest.mark.parametrize("width", [1, 5, 1000])
+def test_runs_by_stretches_equal_those_of_a_whole_key(spark, width):
+    rng = random.Random(width)
+    rows = [(rng.choice(["p", None]), i, i + rng.randint(0, 2), rng.choice(["x", "x", "x", None, "y"])) for i in rng.sample(range(200), 120)]
+    frame = spark.createDataFrame(rows, "rec string, start long, end long, text string").persist()
+    for keys in (["rec"], []):
+        whole, cut = (iv.run_lengths(frame, keys, "start", "text", w) for w in (None, width))
+        assert got(cut, *keys, "text", "first", "last", "n") == got(whole, *keys, "text", "first", "last", "n")
+    for least in (1, 2, 3, 5):
+        whole, cut = (iv.repeated_runs(frame, ["rec"], least=least, gap=3, width=w) for w in (None, width))
+        assert got(cut, "rec", "start", "end", "text") == got(whole, "rec", "start", "end", "text")
+    # one text throughout: a run over all stretches
+    same = spark.range(90).selectExpr("'r' AS rec", "id AS start", "id + 1 AS end", "'t' AS text")
+    assert got(iv.repeated_runs(same, ["rec"], least=80, width=width)) == [(79, 80)]
+    assert got(iv.run_lengths(same, ["rec"], "start", "text", width), "first", "last", "n") == [(0, 89, 90)]

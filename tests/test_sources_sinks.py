@@ -147,3 +147,19 @@ def test_sources_by_name():
         tables.source("none")
     with pytest.raises(ValueError):
         tables.register_source("corpus")(lambda: None)
+
+
+def test_stages_spill_and_resume(spark, tmp_path):
+    from colloquy.operators.models import Stage, run_stages
+
+    ran = []
+
+    def step(name, by):
+        return lambda rows: ran.append(name) or rows.selectExpr(f"id + {by} AS id")
+
+    stages = [Stage("one", step("one", 1)), Stage("off", step("off", 100), enabled=False), Stage("two", step("two", 10))]
+    assert [r.id for r in run_stages(spark.range(2), stages).orderBy("id").collect()] == [11, 12] and ran == ["one", "two"]
+    assert [r.id for r in run_stages(spark.range(2), stages, str(tmp_path)).orderBy("id").collect()] == [11, 12]
+    (tmp_path / "two" / "_SUCCESS").unlink()  # as if it had died
+    assert [r.id for r in run_stages(spark.range(2), stages, str(tmp_path), resume=True).orderBy("id").collect()] == [11, 12]
+    assert ran == ["one", "two"] * 2 + ["two"] and not (tmp_path / "off").exists()
