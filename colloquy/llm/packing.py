@@ -14,6 +14,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,36 +84,42 @@ class WordEncoder:
         self.ids = self.ids[np.repeat(begin - ends[:-1], lengths) + np.arange(ends[-1])]
         self.starts, self.uses = ends, np.ones(len(kept), np.int64)
 
-    def _encoded(self, parts: list[str]) -> list[bytes]:
-        """Ids of new parts: those of letters in runs of 200, joined by spaces and told apart by word number, the others one by one."""
-        found: dict[str, bytes] = {}
+    def _encoded(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """New parts in some order, their ids one after the other and how many each has.
+
+        Those of letters are encoded in runs of 200, joined by spaces and told apart by word number, the others one by one.
+        """
+        order: list[str] = []
+        ids, lengths = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
         alone = [p for p in parts if not p.isalpha()]
         letters = [p for p in parts if p.isalpha()]
         for at in range(0, len(letters), 200):
             run = letters[at : at + 200]
             result = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
             numbers = np.array(result.word_ids, np.int64) if None not in result.word_ids else np.empty(0, np.int64)
-            ends = np.append(np.flatnonzero(np.diff(numbers)) + 1, len(numbers)).tolist()
-            if len(ends) == len(run) and len(numbers):
-                raw, width = np.array(result.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
-                found.update(zip(run, (raw[a * width : b * width] for a, b in zip([0, *ends], ends))))
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            if len(cuts) + 1 == len(run) and len(numbers):
+                order += run
+                ids.append(np.array(result.ids, self.kind))
+                lengths.append(np.diff(cuts, prepend=0, append=len(numbers)))
             else:  # some letter becomes two words when lower-cased
                 alone += run
-        found.update(zip(alone, (np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))))
-        return [found[p] for p in parts]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        ids.append(np.fromiter(chain.from_iterable(found), self.kind))
+        lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return order + alone, np.concatenate(ids), np.concatenate(lengths)
 
     def _slots(self, parts: list[str], counts: np.ndarray) -> np.ndarray:
-        if len(self.slots) + len(parts) > self.most:
+        fresh = [p for p in parts if p not in self.slots]
+        if len(self.slots) + len(fresh) > self.most:
             self._forget()
-        get = self.slots.get
-        fresh = [p for p in parts if get(p) is None]
+            fresh = [p for p in parts if p not in self.slots]
         if fresh:
-            raw = self._encoded(fresh)
-            self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
-            lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(self.kind).itemsize
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), self.kind)])
+            order, ids, lengths = self._encoded(fresh)
+            self.slots.update(zip(order, range(len(self.slots), len(self.slots) + len(order))))
+            self.ids = np.concatenate([self.ids, ids])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(order), np.int64)])
         slots = np.fromiter(map(self.slots.__getitem__, parts), np.int64, len(parts))
         self.uses[slots] += counts
         return slots
@@ -146,7 +153,7 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _runs(column: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text."""
     total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
     at = 0
