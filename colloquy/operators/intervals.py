@@ -236,8 +236,8 @@ def hull_iou(start: Column, end: Column, other_start: Column, other_end: Column)
 def suppress(candidates: DataFrame, keys: Sequence[str], score: str, most: float, width=None) -> DataFrame:
     """Greedy non-maximum suppression: by ``score`` downwards (then start, then end), keep what has a hull IoU of ``most`` or less with all kept so far.
 
-    In rounds instead of in turn: what comes before all its undecided neighbours is kept, for nothing else can stop it, and its neighbours go.
-    Neighbours are found once, by stretches of ``width`` if that is given.  Of rows equal in score, start and end one is kept; null scores come last.
+    In rounds instead of in turn: what comes before all its undecided neighbours is kept, for nothing else can stop it, and its neighbours go; what has
+    no undecided neighbour left is kept as well.  Neighbours are found once, by stretches of ``width`` if that is given.  Of rows equal in score, start and end one is kept; null scores come last.
     """
     order = Window.partitionBy(*keys, "start", "end").orderBy(F.col(score).desc_nulls_last())
     # of equal windows the best one stands for all, as it suppresses the others (unless nothing is suppressed)
@@ -248,17 +248,14 @@ def suppress(candidates: DataFrame, keys: Sequence[str], score: str, most: float
     met = meeting(windows, windows.select(*keys, "start", "end", F.col("id__").alias("other__"), F.col("place__").alias("other_place__")), keys, width)
     hull = F.greatest("end", "b_end") - F.least("start", "b_start")
     near = met.where("place__ < other_place__").where(F.col("hi") - F.col("lo") > most * hull)
-    before = settled(near.select(F.col("id__").alias("u"), F.col("other__").alias("v")))  # u comes before v, and may suppress it
-    undecided, kept = rows.select("id__"), None
-    while True:
-        free = settled(undecided.join(before.select(F.col("v").alias("id__")), "id__", "left_anti"))
-        kept = free if kept is None else kept.union(free)
-        gone = before.join(free.select(F.col("id__").alias("u")), "u", "left_semi").select(F.col("v").alias("id__")).distinct()
-        undecided = settled(undecided.join(free, "id__", "left_anti").join(gone, "id__", "left_anti"))
-        if not undecided.limit(1).count():
-            return rows.join(kept, "id__", "left_semi").drop("id__")
-        alive = undecided.select("id__")
-        before = settled(before.join(alive.withColumnRenamed("id__", "u"), "u", "left_semi").join(alive.withColumnRenamed("id__", "v"), "v", "left_semi"))
+    ahead = settled(near.select(F.col("id__").alias("u"), F.col("other__").alias("v")))  # u comes before v and, if it is kept, suppresses it
+    gone = None
+    while ahead.limit(1).count():
+        kept = ahead.select("u").distinct().join(ahead.select(F.col("v").alias("u")), "u", "left_anti")
+        fallen = settled(ahead.join(kept, "u", "left_semi").select("v").distinct())
+        gone = fallen if gone is None else gone.union(fallen)
+        ahead = settled(ahead.join(kept, "u", "left_anti").join(fallen.select(F.col("v").alias("u")), "u", "left_anti").join(fallen, "v", "left_anti"))
+    return (rows if gone is None else rows.join(gone, F.col("id__") == F.col("v"), "left_anti")).drop("id__")
 
 
 def solo(turns: DataFrame, blocked: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", least=0, width=None) -> DataFrame:

@@ -207,8 +207,8 @@ def jon_14_present(spark, sf_dir):
 
 @query("SELECT variant, epoch, (SELECT stage FROM (VALUES (1, 'a'), (4, 'b'), (9, 'c')) s(since, stage) WHERE since <= epoch ORDER BY since DESC LIMIT 1) AS stage FROM history", HISTORY)
 def jon_15_schedule(spark, sf_dir):
-    stage = F.when(F.col("epoch") >= 9, "c").when(F.col("epoch") >= 4, "b").when(F.col("epoch") >= 1, "a")
-    return history(spark, sf_dir).select("variant", "epoch", stage.alias("stage"))
+    schedule = spark.createDataFrame([(1, "a"), (4, "b"), (9, "c")], "since long, stage string")
+    return an.as_of(history(spark, sf_dir), schedule, "epoch", "since", "stage").select("variant", "epoch", "stage")
 
 
 @query("SELECT e.epoch, (SELECT stage FROM (VALUES (1, 'a'), (4, 'b'), (9, 'c')) s(since, stage) WHERE since <= e.epoch ORDER BY since DESC LIMIT 1) AS stage FROM (SELECT DISTINCT epoch FROM history) e", HISTORY)

@@ -95,14 +95,13 @@ def random_turns(rng, recs, n, longest, span):
     return rows + rows[:5]
 
 
-@pytest.mark.parametrize("width", [1, 7, 50, 1000])
+@pytest.mark.parametrize("width", [7, 1000])
 def test_stretches_change_nothing(spark, width):
     rng = random.Random(width)
     turns = spans(spark, random_turns(rng, 12, 60, 40, 400)).persist()
     totals = turns.groupBy("rec").agg((F.max("end") + 9).alias("total"))
-    for rule in ({}, {"touching": True}, {"gap": 6}):
-        for keys in (["rec"], ["rec", "speaker"]):
-            assert got(iv.merge(turns, keys, width=width, **rule), *keys, "start", "end") == got(iv.merge(turns, keys, **rule), *keys, "start", "end")
+    for rule, keys in (({}, ["rec"]), ({"touching": True}, ["rec", "speaker"]), ({"gap": 6}, ["rec"]), ({}, ["rec", "speaker"])):
+        assert got(iv.merge(turns, keys, width=width, **rule), *keys, "start", "end") == got(iv.merge(turns, keys, **rule), *keys, "start", "end")
     both = iv.overlaps(turns)
     assert got(iv.overlaps(turns, width=width), "rec", "start", "end") == got(both, "rec", "start", "end")
     speech = iv.merge(turns, ["rec"], touching=True)
@@ -174,7 +173,7 @@ def test_one_long_recording_is_many_tasks(spark):
     assert len(tasks) > 1 and max(tasks) < 100_000
 
 
-@pytest.mark.parametrize("width", [1, 5, 1000])
+@pytest.mark.parametrize("width", [1, 9])
 def test_runs_by_stretches_equal_those_of_a_whole_key(spark, width):
     rng = random.Random(width)
     rows = [(rng.choice(["p", None]), i, i + rng.randint(0, 2), rng.choice(["x", "x", "x", None, "y"])) for i in rng.sample(range(200), 120)]
@@ -182,7 +181,7 @@ def test_runs_by_stretches_equal_those_of_a_whole_key(spark, width):
     for keys in (["rec"], []):
         whole, cut = (iv.run_lengths(frame, keys, "start", "text", w) for w in (None, width))
         assert got(cut, *keys, "text", "first", "last", "n") == got(whole, *keys, "text", "first", "last", "n")
-    for least in (1, 2, 3, 5):
+    for least in (1, 3):
         whole, cut = (iv.repeated_runs(frame, ["rec"], least=least, gap=3, width=w) for w in (None, width))
         assert got(cut, "rec", "start", "end", "text") == got(whole, "rec", "start", "end", "text")
     # one text throughout: a run over all stretches

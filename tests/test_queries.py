@@ -56,3 +56,19 @@ def test_every_turn_of_a_recording_meets_a_cell(spark):
     for name in ("jon_06_whole_overlap_join", "jon_07_whole_midpoint_join"):
         assert {(r.rec, r.speaker, r.b_start) for r in all_queries()[name](spark, DATA).collect()} == turns
     assert all_queries()["prj_21_whole_status"](spark, DATA).where("turn > 0").count()
+
+
+def test_seeded_shuffle_and_choice_by_plain_hashes(spark):
+    import struct
+
+    xxhash = pytest.importorskip("xxhash")
+    from colloquy.plans.views import runs
+
+    def number(name):
+        plain = xxhash.xxh64_intdigest(struct.pack("<i", 42), xxhash.xxh64_intdigest(name.encode(), 42))
+        return plain - (1 << 64) * (plain >> 63)
+
+    names = [r.name for r in runs(spark, DATA).collect()]
+    assert [r.name for r in all_queries()["srt_05_shuffle"](spark, DATA).collect()] == sorted(names, key=number) != sorted(names)
+    chosen = {r.name: r.variant for r in all_queries()["srt_10_seeded_choice"](spark, DATA).collect()}
+    assert chosen == {n: ("SER", "SR", "ER", "R")[number(n) % 4] for n in names} and len(set(chosen.values())) == 4
