@@ -14,18 +14,30 @@ from colloquy.llm import jaccard, language, mixing, packing, secrets, simhash
 from colloquy.llm.common import forget, saved
 
 
+#: Rows that pass to a Python worker at a time.  Documents are long; batches of Spark's default size, held on both sides, are what takes most memory.
+BATCH = 1000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose language is less likely than not; all others stay unchanged."""
+    _in_small_batches(spark)
     return language.accepted(docs, language.train(docs, language.held_out(F.col("doc_id"))))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, the one with the smallest doc_id: fingerprints near by op2, or five-word similarity of 0.8 or more."""
+    _in_small_batches(spark)
     return simhash.deduplicated(docs, similar=jaccard.SIMILAR)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; every document stays."""
+    _in_small_batches(spark)
     return secrets.redacted(docs)
 
 
@@ -38,6 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     import public_tokenizers
 
+    _in_small_batches(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
