@@ -229,3 +229,19 @@ def test_diarization_error_by_stretches(spark, collar, skip):
     totals = sides[0].groupBy("rec").agg(F.max("end").alias("total"))
     found = [sorted(tuple(r) for r in me.diarization_error(*sides, totals=totals, collar=collar, skip_overlap=skip, width=w).collect()) for w in (None, 90)]
     assert len(found[0]) == 4 and all(a[:1] == b[:1] and a[1:] == pytest.approx(b[1:]) for f in found[1:] for a, b in zip(found[0], f))
+
+
+def test_words_late_by_days_pair_with_no_earlier_utterance(spark, tmp_path):
+    """The third utterance is shorter than the collar and the fourth says the last word of the second one again."""
+    import duckdb
+
+    from colloquy.plans import all_queries, all_sql
+
+    said = [("user", "one two three"), ("assistant", "four five the"), ("user", "six"), ("assistant", "seven the eight")]
+    spark.createDataFrame([(2, turn, role, text) for turn, (role, text) in enumerate(said)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("met_03_time_constrained_errors", "met_14_layer_3", "met_15_layer_3_summary"):
+        result = duck.execute(all_sql()[name])
+        columns = [c[0] for c in result.description]
+        assert sorted(map(tuple, all_queries()[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(result.fetchall())
