@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .analytics import quota_select
 from .intervals import gaps, measure, merge, overlaps, sliding, snap, suppress
+from .scan import settled
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,8 @@ def fragment_windows(turns: DataFrame, totals: DataFrame, keys: Sequence[str], s
     """
     keys = list(keys)
     talked = turns.join(overlaps(turns, keys, speaker, width=rule.stretch).select(*keys).distinct(), keys, "left_semi")
-    found = measure(snapped_windows(talked, totals, keys, rule), talked, keys, speaker, rule.stretch)
+    # measuring reads the windows several times
+    found = measure(settled(snapped_windows(talked, totals, keys, rule)), talked, keys, speaker, rule.stretch)
     times = F.map_values("by_speaker")
     found = found.withColumn("balance", F.array_min(times) / F.aggregate(times, F.lit(0.0), lambda a, x: a + x)).withColumn("density", F.col("speech") / (F.col("end") - F.col("start")))
     return found.where((F.col("overlap") >= rule.overlap) & (F.col("balance") >= rule.balance) & (F.col("density") >= rule.density))

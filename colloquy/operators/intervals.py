@@ -17,6 +17,9 @@ from .scan import settled
 _BUCKET = "bucket__"
 
 
+#: For a side of a join that grows with windows: whatever a shuffle says of its compressed size, no driver builds a table of it to broadcast.
+_SPREAD = "merge"
+
 #: The number of the stretch of a key that a piece lies in.
 STRETCH = "stretch__"
 
@@ -89,7 +92,7 @@ def meeting(a: DataFrame, b: DataFrame, keys: Sequence[str], width=None) -> Data
         a = a.withColumn(_BUCKET, F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
         right = right.withColumn(_BUCKET, F.explode(F.sequence(F.floor(F.col("b_start") / width), F.floor(F.col("b_end") / width))))
         on.append(_BUCKET)
-    met = a.join(right, on).where("start < b_end and b_start < end")
+    met = a.join(right if width is None else right.hint(_SPREAD), on).where("start < b_end and b_start < end")
     met = met.withColumn("lo", F.greatest("start", "b_start")).withColumn("hi", F.least("end", "b_end"))
     return met.where(F.col(_BUCKET) == F.floor(F.col("lo") / width)).drop(_BUCKET) if width is not None else met
 
@@ -208,8 +211,8 @@ def measure(windows: DataFrame, turns: DataFrame, keys: Sequence[str], speaker:
     spoken = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind__") == "turn", F.struct(F.col("who__").alias(speaker), F.col("shared").alias("w"))))))
     found = shared.groupBy(*own).agg(of("overlap", "shared").alias("overlap"), of("overlap", "n").alias("events"), of("speech", "shared").alias("speech"), spoken.alias("by_speaker"))
     longest = meeting(windows.select(*own).distinct(), both, keys, width).groupBy(*own).agg(F.max(F.col("hi") - F.col("lo")).alias("longest"))
-    found = found.join(longest, own, "left").select(*own, "overlap", "events", "longest", "speech", "by_speaker")
-    return windows.join(found, own, "left").fillna(0, ["overlap", "events", "longest", "speech"])
+    found = found.join(longest.hint(_SPREAD), own, "left").select(*own, "overlap", "events", "longest", "speech", "by_speaker")
+    return windows.join(found.hint(_SPREAD), own, "left").fillna(0, ["overlap", "events", "longest", "speech"])
 
 
 def snap(points: DataFrame, silences: DataFrame, keys: Sequence[str], at: str, radius, outward: int) -> DataFrame:
@@ -221,9 +224,9 @@ def snap(points: DataFrame, silences: DataFrame, keys: Sequence[str], at: str, r
     own = F.floor(F.col(at) / radius)
     asked = points.select(*keys, at).distinct().withColumn(_BUCKET, F.explode(F.array(own, own + outward)))
     away = (F.col("mid__") - F.col(at)) * outward
-    near = asked.join(mids, [*keys, _BUCKET]).where((away >= 0) & (away <= radius))
+    near = asked.join(mids.hint(_SPREAD), [*keys, _BUCKET]).where((away >= 0) & (away <= radius))
     best = near.groupBy(*keys, at).agg(F.min_by("mid__", F.struct(away.alias("d"), F.col("mid__"))).alias("mid__"))
-    return points.join(best, [*keys, at], "left").withColumn(at, F.coalesce("mid__", F.col(at).cast("double"))).drop("mid__")
+    return points.join(best.hint(_SPREAD), [*keys, at], "left").withColumn(at, F.coalesce("mid__", F.col(at).cast("double"))).drop("mid__")
 
 
 def hull_iou(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
@@ -251,11 +254,11 @@ def suppress(candidates: DataFrame, keys: Sequence[str], score: str, most: float
     ahead = settled(near.select(F.col("id__").alias("u"), F.col("other__").alias("v")))  # u comes before v and, if it is kept, suppresses it
     gone = None
     while ahead.limit(1).count():
-        kept = ahead.select("u").distinct().join(ahead.select(F.col("v").alias("u")), "u", "left_anti")
+        kept = settled(ahead.select("u").distinct().join(ahead.select(F.col("v").alias("u")).hint(_SPREAD), "u", "left_anti")).hint(_SPREAD)
         fallen = settled(ahead.join(kept, "u", "left_semi").select("v").distinct())
         gone = fallen if gone is None else gone.union(fallen)
-        ahead = settled(ahead.join(kept, "u", "left_anti").join(fallen.select(F.col("v").alias("u")), "u", "left_anti").join(fallen, "v", "left_anti"))
-    return (rows if gone is None else rows.join(gone, F.col("id__") == F.col("v"), "left_anti")).drop("id__")
+        ahead = settled(ahead.join(kept, "u", "left_anti").join(fallen.select(F.col("v").alias("u")).hint(_SPREAD), "u", "left_anti").join(fallen.hint(_SPREAD), "v", "left_anti"))
+    return (rows if gone is None else rows.join(gone.hint(_SPREAD), F.col("id__") == F.col("v"), "left_anti")).drop("id__")
 
 
 def solo(turns: DataFrame, blocked: DataFrame, keys: Sequence[str] = ("rec",), speaker: str = "speaker", least=0, width=None) -> DataFrame:

@@ -188,3 +188,13 @@ def test_runs_by_stretches_equal_those_of_a_whole_key(spark, width):
     same = spark.range(90).selectExpr("'r' AS rec", "id AS start", "id + 1 AS end", "'t' AS text")
     assert got(iv.repeated_runs(same, ["rec"], least=80, width=width)) == [(79, 80)]
     assert got(iv.run_lengths(same, ["rec"], "start", "text", width), "first", "last", "n") == [(0, 89, 90)]
+
+
+def test_windows_are_joined_without_a_table_in_the_driver(spark):
+    """However small what is joined seems, windows, silences and overlaps are not broadcast."""
+    turns = spark.sql("SELECT * FROM VALUES ('a', 'x', 0L, 9L), ('a', 'y', 5L, 14L) AS t(rec, speaker, start, end)")
+    windows = turns.select("rec", "start", "end")
+    assert "Broadcast" not in iv.snap(windows, windows, ["rec"], "start", 4, -1)._jdf.queryExecution().executedPlan().toString()
+    # the speakers of a recording are few, and may be broadcast
+    measured = iv.measure(windows, turns, ["rec"], width=10)._jdf.queryExecution().executedPlan().toString()
+    assert measured.count("SortMergeJoin") == 3
