@@ -245,3 +245,23 @@ def test_words_late_by_days_pair_with_no_earlier_utterance(spark, tmp_path):
         result = duck.execute(all_sql()[name])
         columns = [c[0] for c in result.description]
         assert sorted(map(tuple, all_queries()[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(result.fetchall())
+
+
+def test_errors_of_long_texts_that_only_lose_or_gain():
+    """Half a million characters against what is left of them: no column of all the others is worked out for each."""
+    import time
+
+    long = "abcdefghij" * 50_000
+    short = long[3:].replace("f", "")
+    began = time.process_time()
+    assert me.edit_distance(long, short) == me.edit_distance(short, long) == len(long) - len(short)
+    assert time.process_time() - began < 10
+    assert me.edit_distance("abc", "") == 3 and me.edit_distance("", "abc") == 3 and me.edit_distance("abcd", "axd") == 2
+
+
+def test_only_one_row_of_tokens_at_a_time_is_in_python():
+    """Whole batches of token lists as Python objects outgrow the memory of a worker."""
+    from pyspark.sql.types import LongType
+    from pyspark.util import PythonEvalType
+
+    assert all(f.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF and f.returnType == LongType() for f in (me.token_errors, me.timed_errors(5.0)))
