@@ -265,3 +265,37 @@ def test_only_one_row_of_tokens_at_a_time_is_in_python():
     from pyspark.util import PythonEvalType
 
     assert all(f.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF and f.returnType == LongType() for f in (me.token_errors, me.timed_errors(5.0)))
+
+
+def contending_session(turns, words):
+    """Turns of two speakers, every seventh word replaced by an earlier one of the turn; two streams by turns, and one in which neighbours are turned."""
+    rng = random.Random(15)
+    said, heard = [], []
+    for n in range(turns):
+        tokens = [f"w{rng.randint(0, 300)}" for _ in range(words)]
+        said.append(("AB"[n % 2], tokens))
+        heard.append([tokens[i - 3] if (i + n) % 7 == 0 and i >= 3 else t for i, t in enumerate(tokens)])
+    streams = [[t for h in heard[k::2] for t in h] for k in (0, 1)]
+    one = [t for n in range(0, turns, 2) for h in (heard[n + 1], heard[n]) for t in h]
+    return said, streams, one, sum(me.edit_distance(u, h) for (_, u), h in zip(said, heard))
+
+
+def test_hours_of_contending_words_are_searched_near_the_answer():
+    """The words have equals elsewhere, so only where each utterance as a whole may lie says what the rest costs."""
+    import resource
+    import time
+
+    said, streams, one, most = contending_session(200, 60)
+    own = [[u for s, u in said if s == k] for k in "AB"]
+    began, memory = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = me.stream_errors(said, streams), me.merged_errors(said, one), me.best_interleaving(own, one)[0]
+    assert found[1] == found[2] and most - 20 <= min(found) and max(found) <= most
+    assert time.process_time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - memory < 500 << 10
+
+
+def test_what_utterances_cost_at_least_is_never_more_than_they_cost():
+    rng = random.Random(16)
+    for _ in range(300):
+        u, s = ([rng.randint(0, 4) for _ in range(rng.randint(0, n))] for n in (6, 12))
+        least = min(plain_distance(u, s[i:j]) for i in range(len(s) + 1) for j in range(i, len(s) + 1))
+        assert me._apart(np.array(u, np.int64), np.array(s, np.int64)) == least
