@@ -299,3 +299,18 @@ def test_what_utterances_cost_at_least_is_never_more_than_they_cost():
         u, s = ([rng.randint(0, 4) for _ in range(rng.randint(0, n))] for n in (6, 12))
         least = min(plain_distance(u, s[i:j]) for i in range(len(s) + 1) for j in range(i, len(s) + 1))
         assert me._apart(np.array(u, np.int64), np.array(s, np.int64)) == least
+
+
+def test_speakers_of_many_sessions_are_assigned_in_one_call(spark):
+    rng = random.Random(17)
+    rows = [(n, side, f"{side}{k}", [rng.choice("abc") for _ in range(rng.randint(0, 5))]) for n in range(60) for side in "rh" for k in range(rng.randint(1, 4))]
+    table = spark.createDataFrame(rows, "rec long, side string, speaker string, tokens array<string>")
+    found = me.assigned_errors(*(table.where(F.col("side") == side).drop("side") for side in "rh"), ["rec"])
+    # before, each session was a pandas call of its own
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        sides = [[t for n, s, _, t in rows if n == r.rec and s == side] for side in "rh"]
+        most = max(map(len, sides))
+        ref, hyp = (side + [[]] * (most - len(side)) for side in sides)
+        least = min(sum(plain_distance(ref[i], hyp[j]) for i, j in enumerate(p)) for p in itertools.permutations(range(most)))
+        assert (r.errors, r.length) == (least, sum(map(len, ref)))
