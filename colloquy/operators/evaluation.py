@@ -29,10 +29,11 @@ def total_durations(reference: DataFrame, stated: DataFrame, key: str = "rec") -
     return last.join(stated.where("total is not null").select(key, "total"), key, "left").select(key, F.coalesce("total", "last").alias("total"))
 
 
-def layer1(reference: DataFrame, hypothesis: DataFrame, stated: DataFrame, key: str = "rec", collar=0) -> DataFrame:
-    """(key, source, miss, false_alarm, confusion, total, der) of recordings with reference turns and a hypothesis; others are left out."""
+def layer1(reference: DataFrame, hypothesis: DataFrame, stated: DataFrame, key: str = "rec", collar=0, width=None) -> DataFrame:
+    """(key, source, miss, false_alarm, confusion, total, der) of recordings with reference turns and a hypothesis; others are left out.  With ``width``
+    recordings are scored by stretches, see :func:`metrics.diarization_error`."""
     both = reference.join(hypothesis.select(key).distinct(), key, "left_semi")
-    scores = diarization_error(both.drop("source"), hypothesis, [key], totals=total_durations(both, stated, key), collar=collar)
+    scores = diarization_error(both.drop("source"), hypothesis, [key], totals=total_durations(both, stated, key), collar=collar, width=width)
     return both.select(key, "source").distinct().join(scores, key)
 
 

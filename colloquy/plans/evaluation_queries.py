@@ -42,7 +42,7 @@ def _layer1(spark, sf_dir):
     recordings = turns.select("rec").distinct().withColumn("has_annotation", number % 3 != 2)
     stated = totals(turns).select("rec", F.when(number % 2 == 0, F.col("total") - 500).alias("total"))
     prepared = turns.withColumn("start", F.col("start") + 40).withColumn("end", F.col("end") + 40)
-    return recordings, ev.layer1(ev.reference_turns(recordings, turns.where(number % 3 == 0), prepared), _hypothesis(spark, sf_dir), stated)
+    return recordings, ev.layer1(ev.reference_turns(recordings, turns.where(number % 3 == 0), prepared), _hypothesis(spark, sf_dir), stated, width=600_000)
 
 
 @query(

@@ -285,3 +285,12 @@ def test_many_small_blocks_are_transformed_in_one_go(spark):
     # before, each block was a call of its own
     applied = spectrum._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in applied and "FlatMapGroupsInArrow" not in applied
+
+
+def test_layer_1_by_stretches(spark):
+    schema = "rec string, speaker string, start long, end long"
+    ref = spark.createDataFrame([("r", "A", 0, 70), ("r", "B", 50, 90), ("q", "A", 5, 25)], schema).withColumn("source", F.lit("eaf"))
+    hyp = spark.createDataFrame([("r", "x", 10, 95), ("r", "y", 60, 80), ("q", "x", 0, 40)], schema)
+    stated = spark.createDataFrame([("r", 85), ("q", None)], "rec string, total long")
+    whole, cut = (sorted(map(tuple, ev.layer1(ref, hyp, stated, width=w).collect())) for w in (None, 16))
+    assert whole == cut and len(cut) == 2
