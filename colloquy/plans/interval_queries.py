@@ -111,7 +111,7 @@ def int_07_measure_windows(spark, sf_dir):
 )
 def int_08_snap_outward(spark, sf_dir):
     turns = segments(spark, sf_dir)
-    silences = iv.gaps(iv.merge(turns, ["rec"], touching=True), totals(turns), ["rec"], 200)
+    silences = iv.gaps(iv.merge(turns, ["rec"], touching=True, width=600_000), totals(turns), ["rec"], 200, width=600_000)
     ends = iv.sliding(totals(turns), 90_000, 60_000).select("rec", F.col("end").alias("at"), F.col("end").alias("snapped"))
     return iv.snap(ends, silences, ["rec"], "snapped", 5000, 1)
 
