@@ -1,6 +1,7 @@
 """Layered scores, fragments and small functions against plain loops."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from colloquy.operators import evaluation as ev
 from colloquy.operators import fragments as fr
 from colloquy.operators import intervals as iv
 from colloquy.operators import metrics as me
+from colloquy.operators.scan import settled
 from colloquy.sinks import files as fs
 from colloquy.sources import annotations as src
 from colloquy.sources import tables
@@ -129,6 +131,30 @@ def test_find_fragments(spark):
     assert sorted((r.rec, r.start, r.end, r.overlap, r.events, r.longest) for r in found) == sorted(expected)
 
 
+@pytest.mark.parametrize("stretch", [700, 5000])
+def test_fragments_by_stretches(spark, monkeypatch, stretch):
+    """Recordings of several stretches have the same fragments, and of the windows only what the rule keeps is written."""
+    written = []
+    monkeypatch.setattr(fr, "settled", lambda frame: written.append(settled(frame)) or written[-1])
+    rng = random.Random(stretch)
+    rows = turns_of(rng, 2, 70, span=12_000)
+    rule = fr.FragmentRule(target=900, shortest=600, longest=1500, stride=20, silence=30, radius=150, overlap=250, balance=0.2, density=0.3, stretch=stretch)
+    ends = {r: max(b for q, _, _, b in rows if q == r) + 100 for r in {r for r, *_ in rows}}
+    turns, totals = spark.createDataFrame(rows, TURNS), spark.createDataFrame(list(ends.items()), "rec string, total long")
+
+    def sets(found):
+        return sorted((r.rec, r.start, r.end, r.overlap, r.events, r.longest) for r in found.collect())
+
+    def plain(rule):
+        return [(r, *f) for r in sorted(ends) for f in plain_fragments([x[1:] for x in rows if x[0] == r], ends[r], rule)]
+
+    found = sets(fr.find_fragments(turns, totals, ["rec"], rule=rule))
+    assert found == plain(rule) and len(found) > 3
+    assert max(ends.values()) > 2 * stretch and sum(f.count() for f in written) < sum((e - 900) // 20 for e in ends.values()) / 2
+    # nothing shares more than all of its time
+    assert sets(fr.fragment_windows(turns, totals, ["rec"], rule=rule)) == plain(replace(rule, iou=1.0))
+
+
 def test_select_fragments_in_two_passes(spark):
     rng = random.Random(5)
     rows = [(f"R{rng.randint(0, 25)}", float(i), rng.choice(["light", "heavy"]), rng.choice(["low", "unknown"]), rng.random() < 0.6, rng.randint(0, 50) / 7) for i in range(300)]
