@@ -160,8 +160,8 @@ def _found(turns: DataFrame, totals: DataFrame, keys: Sequence[str], speaker: st
     and spans, and of the windows only those that the rule keeps are ever rows.
     """
     keys = list(keys)
-    both = overlaps(turns, keys, speaker, width=rule.stretch)
-    speech = merge(turns, keys, touching=True, width=rule.stretch)
+    # both are read several times
+    both, speech = settled(overlaps(turns, keys, speaker, width=rule.stretch)), settled(merge(turns, keys, touching=True, width=rule.stretch))
     middle = ((F.col("start") + F.col("end")) / 2).alias("start")
     silent = gaps(speech, totals, keys, rule.silence, rule.stretch).select(*keys, middle, middle.alias("end"))
     nobody = F.lit(None).cast(turns.schema[speaker].dataType)
@@ -183,7 +183,9 @@ def _found(turns: DataFrame, totals: DataFrame, keys: Sequence[str], speaker: st
     times = "overlap double, events long, longest double, speech double"
     speakers = f"by_speaker map<{parts.schema['who__'].dataType.simpleString()}, double>"
     schema = f"{types}, start double, end double, {times}, {speakers}, balance double, density double, sure__ boolean"
-    return parts.groupBy(*keys, STRETCH).applyInArrow(_of_stretch(keys, rule, most), schema)
+    # the rows of a stretch are few, but not its windows: partitions are not put together by size
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, *keys, STRETCH).groupBy(*keys, STRETCH).applyInArrow(_of_stretch(keys, rule, most), schema)
 
 
 def fragment_windows(turns: DataFrame, totals: DataFrame, keys: Sequence[str], speaker: str = "speaker", rule: FragmentRule = FragmentRule()) -> DataFrame:

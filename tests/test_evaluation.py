@@ -155,6 +155,14 @@ def test_fragments_by_stretches(spark, monkeypatch, stretch):
     assert sets(fr.fragment_windows(turns, totals, ["rec"], rule=rule)) == plain(replace(rule, iou=1.0))
 
 
+def test_stretches_are_dealt_to_all_tasks(spark):
+    """However few the rows of stretches are, they aren't put together in one task, as their windows are many."""
+    turns = spark.createDataFrame(turns_of(random.Random(6), 20, 30), TURNS)
+    rule = fr.FragmentRule(target=900, shortest=600, longest=1500, stride=150, silence=40, radius=200, overlap=100, balance=0.1, density=0.2)
+    found = fr.fragment_windows(turns, turns.groupBy("rec").agg((F.max("end") + 100).alias("total")), ["rec"], rule=rule)
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() == 4
+
+
 def test_select_fragments_in_two_passes(spark):
     rng = random.Random(5)
     rows = [(f"R{rng.randint(0, 25)}", float(i), rng.choice(["light", "heavy"]), rng.choice(["low", "unknown"]), rng.random() < 0.6, rng.randint(0, 50) / 7) for i in range(300)]
