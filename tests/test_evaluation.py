@@ -163,6 +163,24 @@ def test_stretches_are_dealt_to_all_tasks(spark):
     assert found.select(F.spark_partition_id().alias("task")).distinct().count() == 4
 
 
+def test_candidates_do_not_shuffle_windows(spark):
+    """What is written to disk grows with turns and fragments, however many windows there are."""
+    status, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+
+    def shuffled():
+        stages = status.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    turns = spark.createDataFrame(turns_of(random.Random(4), 2, 70, span=12_000), TURNS)
+    rule = fr.FragmentRule(target=900, shortest=600, longest=1500, stride=3, silence=30, radius=150, overlap=400, balance=0.3, density=0.3)
+    totals, noise = turns.groupBy("rec").agg((F.max("end") + 100).alias("total")), spark.createDataFrame([("R0", "low"), ("R0", "low")], "rec string, noise string")
+    before = shuffled()
+    found = fr.candidates(fr.find_fragments(turns, totals, ["rec"], rule=rule), noise, (400, 800), 300).collect()
+    assert {r.noise for r in found} == {"low", "unknown"}
+    assert shuffled() - before < sum((r.total - 900) // 3 for r in totals.collect())
+
+
 def test_select_fragments_in_two_passes(spark):
     rng = random.Random(5)
     rows = [(f"R{rng.randint(0, 25)}", float(i), rng.choice(["light", "heavy"]), rng.choice(["low", "unknown"]), rng.random() < 0.6, rng.randint(0, 50) / 7) for i in range(300)]
